@@ -10,9 +10,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def _exps(scores: Column) -> Column:
-    top = F.array_max(scores)
-    return F.transform(scores, lambda s: F.exp(s - top))
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once; a lambda would recompute it per element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def array_sum(values: Column) -> Column:
@@ -23,9 +23,17 @@ def scale(scores: Column, temperature: float) -> Column:
     return F.transform(scores, lambda s: s.cast("double") / F.lit(float(temperature)))
 
 
+def _exps(scores: Column) -> Column:
+    return let(F.array_max(scores), lambda top: F.transform(scores, lambda s: F.exp(s - top)))
+
+
 def softmax(scores: Column) -> Column:
-    exps = _exps(scores)
-    return F.transform(exps, lambda e: e / array_sum(exps))
+    return let(
+        _exps(scores),
+        lambda exps: let(
+            array_sum(exps), lambda total: F.transform(exps, lambda e: e / total)
+        ),
+    )
 
 
 def log_sum_exp(scores: Column) -> Column:

@@ -12,9 +12,9 @@ from corpusloom.config import SPECIAL_TOKENS
 
 # The characters Python's str.strip() removes.
 PYTHON_BLANKS = (
-    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0 "
-    "           "
-    "    　"
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
 )
 
 # Pre-tokenizer patterns (Unicode classes).
@@ -142,12 +142,25 @@ def clean_generated(text: Column) -> Column:
     return python_strip(text)
 
 
+def _round_tenth(x: Column) -> Column:
+    """Nearest tenth of the exact binary value, ties to the even tenth, as Python rounds.
+
+    20x is taken as an exact sum of two doubles, so 12.35 (stored a little below) gives 12.3.
+    """
+    high = x * 16 + x * 4
+    low = x * 4 - (high - x * 16)
+    half_steps = F.rint(high)
+    excess = (high - half_steps) + low
+    lower = F.floor(half_steps / 2)
+    up = (half_steps % 2 == 1) & ((excess > 0) | ((excess == 0) & (lower % 2 == 1)))
+    return F.when(up, lower + 1).otherwise(lower) / F.lit(10.0)
+
+
 def format_duration(seconds: Column) -> Column:
     """``h:m:s.s`` without zero padding; hours and minutes truncated, seconds to one decimal."""
-    rest = seconds % F.lit(3600)
     return F.concat_ws(
         ":",
         F.floor(seconds / 3600).cast("string"),
-        F.floor(rest / 60).cast("string"),
-        F.bround(seconds % F.lit(60), 1).cast("string"),
+        F.floor(seconds % F.lit(3600) / 60).cast("string"),
+        _round_tenth(seconds % F.lit(60)).cast("string"),
     )
