@@ -29,15 +29,12 @@ def encode_word_level(
     """
     names = list(texts)
     spread = df.select(*key, *keep, *texts.values()).repartition(*key)
-    words = F.concat(
-        *[
-            F.transform(
-                encodable_words(F.col(source), "whitespace", normalize),
-                lambda w, f=f: F.struct(F.lit(f).alias("field"), w.alias("token")),
-            )
-            for f, source in enumerate(texts.values())
-        ]
-    )
+
+    def tagged(f: int, source: str) -> Column:
+        found = encodable_words(F.col(source), "whitespace", normalize)
+        return F.transform(found, lambda w: F.struct(F.lit(f).alias("field"), w.alias("token")))
+
+    words = F.concat(*[tagged(f, source) for f, source in enumerate(texts.values())])
     exploded = spread.select(*key, *keep, F.posexplode_outer(words).alias("pos", "w")).select(
         *key, *keep, "pos", "w.field", "w.token"
     )

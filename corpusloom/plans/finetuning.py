@@ -55,11 +55,6 @@ def require_equal_lengths(sequences: DataFrame) -> DataFrame:
     return sequences.filter(F.assert_true(equal, "input_ids and labels differ in length").isNull())
 
 
-def record_key(records: DataFrame) -> DataFrame:
-    """Add one whole-number key per record, for sources numbered by ``src`` = a whole number."""
-    return records.withColumn("rec_key", F.col("rec_id"))
-
-
 def sft_dataset(records: DataFrame, tokenizer: Tokenizer, stage: StageSettings = FINETUNING) -> DataFrame:
     filled = records.withColumns({f: default_text(F.col(f)) for f in FIELDS})
     sequences = truncate_sft(sft_sequences(encode_records(filled, tokenizer), stage), stage.max_length)
@@ -67,14 +62,23 @@ def sft_dataset(records: DataFrame, tokenizer: Tokenizer, stage: StageSettings =
 
 
 def train_batches(
-    sequences: DataFrame, stage: StageSettings = FINETUNING, seed: int = 42, key: str = "rec_id",
+    sequences: DataFrame, stage: StageSettings = FINETUNING, seed: int = 42,
     keys: DataFrame | None = None,
 ) -> DataFrame:
-    return pad_sft(batch_train(sequences, key, stage.batch_size, seed, keys), stage.ignore_index)
+    """Shuffled padded batches; the shuffle key is ``src:rec_id``, so any number of sources fits."""
+
+    def keyed(df: DataFrame) -> DataFrame:
+        return df.withColumn("rec_key", F.concat_ws(":", "src", F.col("rec_id").cast("string")))
+
+    batches = batch_train(
+        keyed(sequences), "rec_key", stage.batch_size, seed, None if keys is None else keyed(keys)
+    )
+    return pad_sft(batches.drop("rec_key"), stage.ignore_index)
 
 
 def eval_batches(
-    sequences: DataFrame, stage: StageSettings = FINETUNING, key: str = "rec_id",
-    keys: DataFrame | None = None,
+    sequences: DataFrame, stage: StageSettings = FINETUNING, keys: DataFrame | None = None
 ) -> DataFrame:
-    return pad_sft(batch_eval(sequences, key, stage.eval_batch_size, keys), stage.ignore_index)
+    """Padded batches in stored order of one source, as the validation split is."""
+    batches = batch_eval(sequences, "rec_id", stage.eval_batch_size, keys)
+    return pad_sft(batches, stage.ignore_index)
