@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from corpusloom.config import TokenizerSettings
 from corpusloom.functions.text import normalize_whitespace, words_whitespace
 from corpusloom.operators.records import END_MARK
+from corpusloom.session import scratch_path
 from corpusloom.sources.corpus import read_corpus, widen
-from corpusloom.tokenizer import Tokenizer
+from corpusloom.tokenizer import Tokenizer, get_or_train
 
 WORD_LEVEL = TokenizerSettings("word-level", "whitespace", vocab_size=512)
 SUBWORD = TokenizerSettings(vocab_size=512)
@@ -17,7 +18,7 @@ SUBWORD = TokenizerSettings(vocab_size=512)
 # Room for 2^24 lines per document in the line number.
 LINE_BITS = 24
 
-_trained: dict[tuple[str, str], Tokenizer] = {}
+_trained: dict[tuple, Tokenizer] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,13 +69,19 @@ def instruct_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).select("src", (F.shiftleft("doc_id", LINE_BITS) + F.col("k")).alias("line_no"), "text")
 
 
+def _tokenizer(spark: SparkSession, sf_dir: str, settings: TokenizerSettings) -> Tokenizer:
+    """Trained on the whole documents table, saved, and loaded by every query of the session."""
+    at = (spark.sparkContext.applicationId, sf_dir, settings)
+    if at not in _trained:
+        _trained[at] = get_or_train(
+            documents(spark, sf_dir), scratch_path(spark, "tokenizer"), settings
+        )
+    return _trained[at]
+
+
 def word_tokenizer(spark: SparkSession, sf_dir: str) -> Tokenizer:
-    return Tokenizer.train(documents(spark, sf_dir), WORD_LEVEL)
+    return _tokenizer(spark, sf_dir, WORD_LEVEL)
 
 
 def bpe_tokenizer(spark: SparkSession, sf_dir: str) -> Tokenizer:
-    """Trained once per session and table folder; training is a sequence of Spark jobs."""
-    at = (spark.sparkContext.applicationId, sf_dir)
-    if at not in _trained:
-        _trained[at] = Tokenizer.train(documents(spark, sf_dir), SUBWORD)
-    return _trained[at]
+    return _tokenizer(spark, sf_dir, SUBWORD)

@@ -311,7 +311,7 @@ def _framed(spark, sf_dir) -> DataFrame:
 
 def _records_encoded(spark, sf_dir) -> DataFrame:
     made = rec.make_records(inputs.instruct_lines(spark, sf_dir))
-    return finetuning.encode_records(made, inputs.word_tokenizer(spark, sf_dir))
+    return finetuning.encode_records(made, inputs.word_tokenizer(spark, sf_dir), clustered=True)
 
 
 def _sft(spark, sf_dir) -> DataFrame:

@@ -103,7 +103,9 @@ def pre_tokenize(text: Column, how: str, normalize: bool = True) -> Column:
 def _any_of(tokens: Sequence[str]) -> str:
     # longest first, so that a token that starts another never hides it
     longest_first = sorted(tokens, key=lambda t: (-len(t), t))
-    return "|".join(re.escape(t).replace("/", r"\/") for t in longest_first)
+    starts = "".join(sorted({re.escape(t[0]) for t in tokens}))
+    # the look-ahead rejects most characters by one class test
+    return rf"(?=[{starts}])(?:{'|'.join(map(re.escape, longest_first))})"
 
 
 def split_specials(text: Column, specials: Sequence[str] = SPECIAL_TOKENS) -> Column:

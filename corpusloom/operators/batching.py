@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -13,9 +11,10 @@ from corpusloom.functions.sequences import pad_right
 from corpusloom.operators.order import shuffled_index, stored_index
 
 
-def _number(df: DataFrame, size: int) -> DataFrame:
-    return df.select(
-        *[c for c in df.columns if c != "row_index"],
+def _number(df: DataFrame, index: DataFrame, key: str, size: int) -> DataFrame:
+    # the index is numbered on bare keys; the sequences meet it by one join on the unique key
+    return df.join(index, key).select(
+        *df.columns,
         F.floor(F.col("row_index") / size).alias("batch_id"),
         (F.col("row_index") % size).cast("int").alias("row_in_batch"),
     )
@@ -24,13 +23,17 @@ def _number(df: DataFrame, size: int) -> DataFrame:
 def batch_train(
     df: DataFrame, key: str, size: int = 8, seed: int = 42, keys: DataFrame | None = None
 ) -> DataFrame:
-    """Batches in a reproducible random order; the short last batch is kept."""
-    return _number(shuffled_index(df, key, seed, keys=keys), size)
+    """Batches in a reproducible random order; the short last batch is kept.
+
+    ``key`` is unique. ``keys`` may hold the same keys in a frame that is cheaper to scan than
+    ``df``, such as the table that ``df`` was encoded from.
+    """
+    return _number(df, shuffled_index(df if keys is None else keys, key, seed), key, size)
 
 
 def batch_eval(df: DataFrame, key: str, size: int = 4, keys: DataFrame | None = None) -> DataFrame:
     """Batches in stored order; the short last batch is kept."""
-    return _number(stored_index(df, key, keys=keys), size)
+    return _number(df, stored_index(df if keys is None else keys, key), key, size)
 
 
 def pad(batches: DataFrame, padding: dict[str, int], ruler: str = "input_ids") -> DataFrame:

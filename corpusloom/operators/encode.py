@@ -20,15 +20,18 @@ def encode_word_level(
     texts: dict[str, str],
     keep: Sequence[str] = (),
     normalize: bool = True,
+    clustered: bool = False,
 ) -> DataFrame:
     """``key``, ``keep`` and one id array per entry of ``texts`` (output name to text column).
 
     The texts are spread by ``key`` once, as text. The words are looked up by a broadcast join and
     collected again inside the same partition, so the exploded words never cross the network.
-    ``keep`` columns must depend on ``key``.
+    ``key`` is unique and ``keep`` columns depend on it. ``clustered`` says that ``df`` is already
+    hash-partitioned by ``key``, as a grouped frame is; a wrong claim costs a shuffle, nothing else.
     """
     names = list(texts)
-    spread = df.select(*key, *keep, *texts.values()).repartition(*key)
+    spread = df.select(*key, *keep, *texts.values())
+    spread = spread if clustered else spread.repartition(*key)
 
     def tagged(f: int, source: str) -> Column:
         found = encodable_words(F.col(source), "whitespace", normalize)

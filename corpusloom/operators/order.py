@@ -26,6 +26,12 @@ def unit_hash(key: Column, seed: int) -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
+def _cell(position: str, shift: int) -> Column:
+    # never null, so no two branches of the plan differ by an inferred null filter and the totals
+    # are scanned once
+    return F.coalesce(F.shiftright(position, shift), F.lit(0))
+
+
 def sum_before(
     df: DataFrame,
     position: str,
@@ -35,78 +41,47 @@ def sum_before(
     ties: Sequence[str] = (),
     total: str | None = None,
     shifts: Sequence[int] = DENSE,
-    counted: DataFrame | None = None,
 ) -> DataFrame:
     """Sum of ``value`` over all earlier rows of the same ``part``, as column ``out``.
 
     Positions are cut into cells of 2^shift; a window runs inside each cell only, and the cells'
     totals go through the same operator one level up. A hot ``part`` is thereby spread over its
     cells, and the rows themselves are shuffled once: the totals join on the window's own keys.
-
-    ``total`` names a column for the sum over the whole part. ``counted`` may hold the same
-    positions and values as ``df`` in a frame that is cheaper to scan.
+    ``total`` names a column for the sum over the whole part.
     """
     part = list(part)
-    order = [position, *ties]
-    earlier = F.coalesce(
-        F.sum(value).over(
-            W.partitionBy(*(part or [F.lit(0)])).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-        ),
-        F.lit(0),
-    )
+
+    def running(*within: str) -> Column:
+        w = W.partitionBy(*(within or [F.lit(0)])).orderBy(position, *ties)
+        return F.coalesce(F.sum(value).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+
     if not shifts:
         # top level: one row per remaining cell
         if total:
-            whole = W.partitionBy(*(part or [F.lit(0)]))
-            df = df.withColumn(total, F.sum(value).over(whole))
-        return df.withColumn(out, earlier)
+            df = df.withColumn(total, F.sum(value).over(W.partitionBy(*(part or [F.lit(0)]))))
+        return df.withColumn(out, running(*part))
 
     cell, base = f"__cell{len(shifts)}", f"__base{len(shifts)}"
-    celled = df.withColumn(cell, F.shiftright(position, shifts[0]))
-    in_cell = F.coalesce(
-        F.sum(value).over(
-            W.partitionBy(*part, cell).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-        ),
-        F.lit(0),
-    )
-    totals = (
-        (df if counted is None else counted)
-        .withColumn(cell, F.shiftright(position, shifts[0]))
-        .groupBy(*part, cell)
-        .agg(F.sum(value).alias("__sum"))
-    )
-    bases = sum_before(
-        totals, cell, "__sum", base, part, total=total, shifts=shifts[1:]
-    ).drop("__sum")
+    celled = df.withColumn(cell, _cell(position, shifts[0]))
+    totals = celled.groupBy(*part, cell).agg(F.sum(value).alias("__sum"))
+    bases = sum_before(totals, cell, "__sum", base, part, total=total, shifts=shifts[1:])
     return (
-        celled.withColumn(out, in_cell)
-        .join(bases, [*part, cell])
+        celled.withColumn(out, running(*part, cell))
+        .join(bases.drop("__sum"), [*part, cell])
         .withColumn(out, F.col(out) + F.col(base))
         .drop(cell, base)
     )
 
 
-def shuffled_index(df: DataFrame, key: str, seed: int = 42, out: str = "row_index",
-                   keys: DataFrame | None = None) -> DataFrame:
-    """Number rows 0.. in a reproducible random order of ``key``."""
-
-    def positioned(frame: DataFrame) -> DataFrame:
-        return frame.withColumn("__pos", shuffle_key(F.col(key), seed)).withColumn("__one", F.lit(1))
-
-    return sum_before(
-        positioned(df), "__pos", "__one", out, ties=[key], shifts=HASHED,
-        counted=None if keys is None else positioned(keys.select(key)),
-    ).drop("__pos", "__one")
-
-
-def stored_index(df: DataFrame, key: str, out: str = "row_index",
-                 keys: DataFrame | None = None) -> DataFrame:
-    """Number rows 0.. in the order of the unique whole number ``key``."""
+def shuffled_index(keys: DataFrame, key: str, seed: int = 42, out: str = "row_index") -> DataFrame:
+    """``key`` and its place, from 0, in a reproducible random order."""
+    placed = keys.select(key).withColumns(
+        {"__pos": shuffle_key(F.col(key), seed), "__one": F.lit(1)}
+    )
+    return sum_before(placed, "__pos", "__one", out, ties=[key], shifts=HASHED).select(key, out)
 
-    def counting(frame: DataFrame) -> DataFrame:
-        return frame.withColumn("__one", F.lit(1))
 
-    return sum_before(
-        counting(df), key, "__one", out,
-        counted=None if keys is None else counting(keys.select(key)),
-    ).drop("__one")
+def stored_index(keys: DataFrame, key: str, out: str = "row_index") -> DataFrame:
+    """``key`` and its place, from 0, in the order of the unique whole number ``key``."""
+    counted = keys.select(key).withColumn("__one", F.lit(1))
+    return sum_before(counted, key, "__one", out).select(key, out)

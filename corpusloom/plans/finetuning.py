@@ -15,9 +15,12 @@ from corpusloom.tokenizer import Tokenizer
 KEY = ("src", "rec_id")
 
 
-def encode_records(records: DataFrame, tokenizer: Tokenizer) -> DataFrame:
-    """``src, rec_id`` and the four fields as id arrays, encoded in one pass."""
-    return tokenizer.encode(records, KEY, {f"{f}_ids": f for f in FIELDS})
+def encode_records(records: DataFrame, tokenizer: Tokenizer, clustered: bool = False) -> DataFrame:
+    """``src, rec_id`` and the four fields as id arrays, encoded in one pass.
+
+    ``clustered``: the records come straight from the assembling group-by, not from files.
+    """
+    return tokenizer.encode(records, KEY, {f"{f}_ids": f for f in FIELDS}, clustered=clustered)
 
 
 def sft_sequences(encoded: DataFrame, stage: StageSettings = FINETUNING) -> DataFrame:

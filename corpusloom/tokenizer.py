@@ -39,13 +39,18 @@ class Tokenizer:
         return None if row is None else row.id
 
     def encode(
-        self, df: DataFrame, key: Sequence[str], texts: dict[str, str], keep: Sequence[str] = ()
+        self,
+        df: DataFrame,
+        key: Sequence[str],
+        texts: dict[str, str],
+        keep: Sequence[str] = (),
+        clustered: bool = False,
     ) -> DataFrame:
         """``key``, ``keep`` and one id array per entry of ``texts`` (output to text column)."""
         if self.merges is None:
             return encode.encode_word_level(
                 df, self.vocab, self.settings.vocab_size, key, texts, keep,
-                self.settings.normalize_whitespace,
+                self.settings.normalize_whitespace, clustered,
             )
         encoded = encode.encode_bpe(
             df, self._encoder(), texts, self.settings.pre_tokenizer,
