@@ -426,8 +426,12 @@ def pad_corpus_eval(spark, sf_dir):
 
 @query
 def pad_sft(spark, sf_dir):
-    cut = finetuning.truncate_sft(_sft(spark, sf_dir))
-    return _batch_columns(finetuning.train_batches(cut), "input_ids", "labels")
+    """Sequences are stored once; the numbering then reads their keys only."""
+    path = scratch_path(spark, "sft_sequences")
+    finetuning.truncate_sft(_sft(spark, sf_dir)).write.parquet(path)
+    return _batch_columns(
+        finetuning.train_batches(spark.read.parquet(path)), "input_ids", "labels"
+    )
 
 
 @query_as("step_budget")

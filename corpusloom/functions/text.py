@@ -77,8 +77,10 @@ def show_bytes(word: Column) -> Column:
 
 def read_bytes(shown: Column) -> Column:
     """Reverse of :func:`show_bytes`; invalid UTF-8 becomes U+FFFD."""
-    raw = F.encode(F.translate(shown, SHOWN_BYTES, RAW_BYTES), "ISO-8859-1")
-    return F.make_valid_utf8(raw.cast("string"))
+    # byte 0 is put back on its own: translate takes it for a deletion
+    latin = F.translate(shown, SHOWN_BYTES[1:], RAW_BYTES[1:])
+    latin = F.replace(latin, F.lit(SHOWN_BYTES[0]), F.lit(RAW_BYTES[0]))
+    return F.make_valid_utf8(F.encode(latin, "ISO-8859-1").cast("string"))
 
 
 def words_bytelevel(text: Column) -> Column:

@@ -301,9 +301,11 @@ class _Learner:
             active, floor = self._active(pairs, top, wanted)
             segments = self._segments(active) if active else None
             while segments is None and len(active) > 1:
+                # too many segments: go on with the more frequent half; equal counts stay together,
+                # so a tie may leave none, and then the round is the best pair alone
                 wanted = max(len(active) // 2, 1)
-                by_count = sorted(active.items(), key=lambda entry: (-entry[1], entry[0]))
-                active, floor = self._active(pairs, by_count, wanted)
+                floor = sorted(active.values(), reverse=True)[wanted] + 1
+                active = {pair: n for pair, n in active.items() if n >= floor}
                 segments = self._segments(active) if active else None
             if segments is None:
                 self._merge_one(*top[0])

@@ -58,10 +58,12 @@ def require_equal_lengths(sequences: DataFrame) -> DataFrame:
     return sequences.filter(F.assert_true(equal, "input_ids and labels differ in length").isNull())
 
 
-def sft_dataset(records: DataFrame, tokenizer: Tokenizer, stage: StageSettings = FINETUNING) -> DataFrame:
+def sft_dataset(
+    records: DataFrame, tokenizer: Tokenizer, stage: StageSettings = FINETUNING
+) -> DataFrame:
     filled = records.withColumns({f: default_text(F.col(f)) for f in FIELDS})
-    sequences = truncate_sft(sft_sequences(encode_records(filled, tokenizer), stage), stage.max_length)
-    return require_equal_lengths(sequences)
+    sequences = sft_sequences(encode_records(filled, tokenizer), stage)
+    return require_equal_lengths(truncate_sft(sequences, stage.max_length))
 
 
 def train_batches(
@@ -85,3 +87,20 @@ def eval_batches(
     """Padded batches in stored order of one source, as the validation split is."""
     batches = batch_eval(sequences, "rec_id", stage.eval_batch_size, keys)
     return pad_sft(batches, stage.ignore_index)
+
+
+def prepare(
+    train: DataFrame, validation: DataFrame, tokenizer: Tokenizer, folder: str,
+    stage: StageSettings = FINETUNING, seed: int = 42,
+) -> tuple[DataFrame, DataFrame]:
+    """Encode the records of both splits once, store the sequences, return their padded batches.
+
+    Every epoch starts from the stored sequences; row numbering reads their key columns only.
+    """
+    spark = train.sparkSession
+    made = []
+    for name, records in (("train", train), ("val", validation)):
+        path = f"{folder}/sft_sequences_{name}"
+        sft_dataset(records, tokenizer, stage).write.mode("overwrite").parquet(path)
+        made.append(spark.read.parquet(path))
+    return train_batches(made[0], stage, seed), eval_batches(made[1], stage)
