@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.config import BOS
 from corpusloom.functions import scores as sc
 from corpusloom.functions import sequences as seq
 from corpusloom.functions.text import clean_generated, join_fields
@@ -28,7 +29,7 @@ def story_prompts(df: DataFrame, tokenizer: Tokenizer, key: str = "prompt_id") -
 def continuation_prompts(df: DataFrame, tokenizer: Tokenizer, key: str = "prompt_id",
                          text: str = "text") -> DataFrame:
     encoded = tokenizer.encode(df, [key], {"ids": text})
-    return encoded.select(key, F.concat(seq.ids(2), "ids").alias("prompt"))
+    return encoded.select(key, F.concat(seq.ids(BOS), "ids").alias("prompt"))
 
 
 def candidates(df: DataFrame, scores: str = "scores", temperature: float = 1.0, k: int = 0,

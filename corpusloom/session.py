@@ -48,7 +48,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def _file_system(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+    fs, target = _file_system(spark, path)
+    return fs.exists(target)
+
+
+def drop_mark(spark: SparkSession, path: str) -> None:
+    """Remove the success mark of an output that is about to be replaced."""
+    fs, target = _file_system(spark, f"{path}/_SUCCESS")
+    fs.delete(target, False)

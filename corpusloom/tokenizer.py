@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from corpusloom.config import SPECIAL_TOKENS, TokenizerSettings
 from corpusloom.functions.text import encodable_words
 from corpusloom.operators import bpe, encode, vocab
-from corpusloom.session import path_exists
+from corpusloom.session import drop_mark, path_exists
 
 
 @dataclass(frozen=True)
@@ -83,6 +83,7 @@ class Tokenizer:
 
     def save(self, path: str) -> None:
         spark = self.vocab.sparkSession
+        drop_mark(spark, f"{path}/settings")
         self.vocab.write.mode("overwrite").parquet(f"{path}/vocab")
         if self.merges is not None:
             self.merges.merge_table(spark).write.mode("overwrite").parquet(f"{path}/merges")
