@@ -46,7 +46,7 @@ def ranked(scores: Column) -> Column:
         scores, lambda s, i: F.struct((-s).alias("neg"), i.alias("cand"))
     )
     return F.transform(
-        F.array_sort(keyed),
+        F.sort_array(keyed),
         lambda e: F.struct(e["cand"].alias("cand"), (-e["neg"]).alias("score")),
     )
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.config import SPECIAL_TOKENS, UNK
 from corpusloom.functions.text import encodable_words, read_bytes
+from corpusloom.operators import vocab as vocabulary
 from corpusloom.operators.vocab import lookup
 
 
@@ -45,9 +46,10 @@ def encode_word_level(
         exploded, vocab.select("token", "id"), "token", vocab_rows,
         salt=F.hash(*key, "pos"),
     )
-    entry = F.struct("pos", "field", F.coalesce("id", F.lit(UNK)).alias("id"))
+    tag = ["field"] if len(names) > 1 else []
+    entry = F.struct("pos", *tag, F.coalesce("id", F.lit(UNK)).alias("id"))
     collected = found.groupBy(*key, *keep).agg(
-        F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), entry))).alias("__ids")
+        F.sort_array(F.collect_list(F.when(F.col("pos").isNotNull(), entry))).alias("__ids")
     )
 
     def of_field(f: int) -> Column:
@@ -149,20 +151,43 @@ def encode_bpe(
 
 def token_array(vocab: DataFrame) -> Column:
     """The vocabulary's tokens by id as one array, through a scalar subquery."""
-    entries = F.array_sort(F.collect_list(F.struct("id", "token")))
+    entries = F.sort_array(F.collect_list(F.struct("id", "token")))
     return vocab.agg(entries["token"].alias("tokens")).scalar()
 
 
-def decode(df: DataFrame, vocab: DataFrame, ids: str, byte_level: bool, out: str = "text") -> DataFrame:
+def decode(
+    df: DataFrame,
+    vocab: DataFrame,
+    vocab_rows: int,
+    ids: str,
+    byte_level: bool,
+    out: str = "text",
+    key: Sequence[str] = (),
+) -> DataFrame:
     """Tokens of ``ids`` in text order without specials, joined by blanks or as decoded bytes.
 
-    An id is a place in the token array, so decoding is a row-local array access.
+    An id is a place in the token array, so decoding is a row-local array access. A vocabulary
+    beyond the broadcast bound is joined instead, and needs the unique ``key``.
     """
-    shown = F.filter(ids, lambda i: i >= len(SPECIAL_TOKENS))
-    tokens = F.transform(shown, lambda i: F.get(F.col("__tokens"), i))
-    joined = F.array_join(tokens, "" if byte_level else " ")
-    return (
-        df.withColumn("__tokens", token_array(vocab))
-        .withColumn(out, read_bytes(joined) if byte_level else joined)
-        .drop("__tokens")
+    kept = F.filter(ids, lambda i: i >= len(SPECIAL_TOKENS))
+
+    def text_of(tokens: Column) -> Column:
+        joined = F.array_join(tokens, "" if byte_level else " ")
+        return read_bytes(joined) if byte_level else joined
+
+    if vocab_rows <= vocabulary.BROADCAST_ROWS:
+        return (
+            df.withColumn("__tokens", token_array(vocab))
+            .withColumn(out, text_of(F.transform(kept, lambda i: F.get(F.col("__tokens"), i))))
+            .drop("__tokens")
+        )
+    if not key:
+        raise ValueError("a vocabulary of this size is joined: name the key columns")
+    places = df.select(*key, F.posexplode_outer(kept).alias("pos", "id"))
+    found = lookup(places, vocab.select("id", "token"), "id", vocab_rows, F.hash(*key, "pos"))
+    spelled = found.groupBy(*key).agg(
+        F.sort_array(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", "token")))).alias(
+            "__spelled"
+        )
     )
+    return df.join(spelled, [*key]).withColumn(out, text_of(F.col("__spelled.token"))).drop("__spelled")

@@ -57,7 +57,7 @@ def assemble_records(assigned: DataFrame) -> DataFrame:
         F.collect_list(F.when(F.col("kind") == "text", line)).alias("__lines"),
     )
     kept = F.filter(
-        F.array_sort("__lines"),
+        F.sort_array("__lines"),
         lambda x: F.col("__reset").isNull() | (x["line_no"] > F.col("__reset")),
     )
     return grouped.select(

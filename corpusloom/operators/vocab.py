@@ -55,17 +55,17 @@ def train_word_level(df: DataFrame, settings: TokenizerSettings, text: str = "te
 
 
 def lookup(
-    facts: DataFrame, table: DataFrame, on: str, table_rows: int, salt: Column | None = None
+    facts: DataFrame, table: DataFrame, on: str, table_rows: int, salt: Column
 ) -> DataFrame:
     """Left join to a lookup table that has ``table_rows`` rows at most.
 
     Broadcast within :data:`BROADCAST_ROWS`. Beyond it a shuffle join, where every lookup row is
-    repeated once per salt, so that the rows of one hot key go to ``SALTS`` tasks.
+    repeated once per salt, so that the rows of one hot key go to ``SALTS`` tasks. ``salt`` is a
+    hash of the row, so that a task that is run again places its rows as before.
     """
     if table_rows <= BROADCAST_ROWS:
         return facts.join(F.broadcast(table), on, "left")
-    salt = F.rand(7) * 2147483647 if salt is None else salt
-    salted = facts.withColumn("__salt", F.pmod(salt.cast("int"), F.lit(SALTS)))
+    salted = facts.withColumn("__salt", F.pmod(salt, F.lit(SALTS)))
     copies = table.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return salted.join(copies, [on, "__salt"], "left").drop("__salt")
 
@@ -73,5 +73,4 @@ def lookup(
 def token_to_id(tokens: DataFrame, vocab: DataFrame, vocab_rows: int, token: str = "token") -> DataFrame:
     """Exact lookup of ``token``; ``id`` is null where the vocabulary lacks it."""
     ids = vocab.select(F.col("token").alias(token), "id")
-    # the salt must not change between runs of a lost task
     return lookup(tokens, ids, token, vocab_rows, salt=F.hash(*tokens.columns))

@@ -78,8 +78,13 @@ class Tokenizer:
         )
         return encoded.withColumn(out, F.size("__ids")).drop("__ids")
 
-    def decode(self, df: DataFrame, ids: str, out: str = "text") -> DataFrame:
-        return encode.decode(df, self.vocab, ids, self.byte_level, out)
+    def decode(
+        self, df: DataFrame, ids: str, out: str = "text", key: Sequence[str] = ()
+    ) -> DataFrame:
+        """Add the text of an id array; ``key`` is used only by very large vocabularies."""
+        return encode.decode(
+            df, self.vocab, self.settings.vocab_size, ids, self.byte_level, out, key
+        )
 
     def save(self, path: str) -> None:
         spark = self.vocab.sparkSession

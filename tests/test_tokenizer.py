@@ -139,6 +139,12 @@ def test_large_vocabulary_takes_the_shuffle_path(spark, texts, monkeypatch):
     monkeypatch.setattr(vocab, "BROADCAST_ROWS", 10)
     monkeypatch.setattr(vocab, "SALTS", 3)
     assert encoded(tok, frame(spark, some)) == want
+    coded = spark.createDataFrame(list(enumerate(want)), "doc_id long, ids array<int>")
+    joined = tok.decode(coded, "ids", key=["doc_id"]).orderBy("doc_id").collect()
+    with pytest.raises(ValueError):
+        tok.decode(coded, "ids")
+    monkeypatch.undo()
+    assert joined == tok.decode(coded, "ids").orderBy("doc_id").collect()
 
 
 def test_several_texts_in_one_pass(spark):
