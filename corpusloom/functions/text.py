@@ -83,22 +83,30 @@ def read_bytes(shown: Column) -> Column:
     return F.make_valid_utf8(F.encode(latin, "ISO-8859-1").cast("string"))
 
 
-def words_bytelevel(text: Column) -> Column:
+def pieces_bytelevel(text: Column) -> Column:
+    """Byte-level words in plain spelling: one blank is put in front of a text that has none."""
     spaced = F.when(
         F.startswith(text, F.lit(" ")) | (text == ""), text
     ).otherwise(F.concat(F.lit(" "), text))
-    pieces = F.regexp_extract_all(spaced, F.lit(BYTE_LEVEL_PIECES), F.lit(0))
-    return F.transform(pieces, show_bytes)
+    return F.regexp_extract_all(spaced, F.lit(BYTE_LEVEL_PIECES), F.lit(0))
+
+
+def words_bytelevel(text: Column) -> Column:
+    return F.transform(pieces_bytelevel(text), show_bytes)
+
 
+def pre_tokenize(text: Column, how: str, normalize: bool = True, spelled: bool = True) -> Column:
+    """Words of one text, without regard to special tokens written in it (training side).
 
-def pre_tokenize(text: Column, how: str, normalize: bool = True) -> Column:
-    """Words of one text, without regard to special tokens written in it (training side)."""
+    ``spelled=False`` leaves byte-level words in plain spelling, for callers that spell each
+    distinct word once.
+    """
     clean = default_text(text)
     clean = normalize_whitespace(clean) if normalize else clean
     if how == "whitespace":
         return words_whitespace(clean)
     if how == "byte-level":
-        return words_bytelevel(clean)
+        return words_bytelevel(clean) if spelled else pieces_bytelevel(clean)
     raise ValueError(f"Unknown pre-tokenizer strategy: {how}")
 
 
@@ -120,16 +128,20 @@ def split_specials(text: Column, specials: Sequence[str] = SPECIAL_TOKENS) -> Co
 
 
 def encodable_words(
-    text: Column, how: str, normalize: bool = True, specials: Sequence[str] = SPECIAL_TOKENS
+    text: Column,
+    how: str,
+    normalize: bool = True,
+    specials: Sequence[str] = SPECIAL_TOKENS,
+    spelled: bool = True,
 ) -> Column:
     """Words of one text as the encoder sees them: special tokens whole, the rest pre-tokenized."""
     text = default_text(text)
-    plain = pre_tokenize(text, how, normalize)
+    plain = pre_tokenize(text, how, normalize, spelled)
     mixed = F.flatten(
         F.transform(
             split_specials(text, specials),
             lambda piece: F.when(piece.isin(*specials), F.array(piece)).otherwise(
-                pre_tokenize(piece, how, normalize)
+                pre_tokenize(piece, how, normalize, spelled)
             ),
         )
     )

@@ -28,9 +28,10 @@ from corpusloom.session import cut_lineage
 
 MERGE_SCHEMA = "rank int, left_id int, right_id int, merged_id int"
 
-# A round's segment table is brought to the driver only up to this many rows; above it the round
-# takes fewer pairs, down to the single best one, whose segments are a handful.
+# A round's segment table is brought to the driver only up to this many rows and symbols; above it
+# the round takes fewer pairs, down to the single best one, which needs no table.
 MAX_SEGMENTS = 50_000
+MAX_SYMBOLS = 4_000_000
 FIRST_PAIRS = 64
 MAX_PAIRS = 8_192
 
@@ -277,7 +278,7 @@ class _Learner:
         table = segment_counts(self.words, set(active)).persist()
         try:
             size = table.agg(F.count("*").alias("rows"), F.sum(F.size("seg")).alias("syms")).first()
-            if size.rows > MAX_SEGMENTS or (size.syms or 0) > 16 * MAX_SEGMENTS:
+            if size.rows > MAX_SEGMENTS or (size.syms or 0) > MAX_SYMBOLS:
                 return None
             return [(tuple(r.seg), r.n) for r in table.collect()]
         finally:

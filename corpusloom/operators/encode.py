@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.config import SPECIAL_TOKENS, UNK
-from corpusloom.functions.text import encodable_words, read_bytes
+from corpusloom.functions.text import RAW_BYTES, SHOWN_BYTES, encodable_words, read_bytes
 from corpusloom.operators import vocab as vocabulary
 from corpusloom.operators.vocab import lookup
 
@@ -59,9 +59,15 @@ def encode_word_level(
     return collected.select(*key, *keep, *[of_field(f).alias(n) for f, n in enumerate(names)])
 
 
-def bpe_encoder(char_ids: dict[str, int], merges: list[tuple[int, int, int]], specials=SPECIAL_TOKENS):
+def bpe_encoder(
+    char_ids: dict[str, int],
+    merges: list[tuple[int, int, int]],
+    byte_level: bool,
+    specials: Sequence[str] = SPECIAL_TOKENS,
+):
     """Arrow UDF from words to token ids. Each distinct word of a batch is segmented once.
 
+    Byte-level words come in plain spelling and are spelled in bytes here, once each.
     Driver-side input is the vocabulary and merge list, bounded by the vocabulary size.
     """
     # a pair learned twice counts at its later place
@@ -69,11 +75,16 @@ def bpe_encoder(char_ids: dict[str, int], merges: list[tuple[int, int, int]], sp
     special_ids = {token: i for i, token in enumerate(specials)}
     unknown = UNK
     memo: dict[str, list[int]] = {}
+    shown = {b: chr(b) for b in range(256)} | dict(zip(map(ord, RAW_BYTES), SHOWN_BYTES))
+    byte_ids = [char_ids.get(shown[b], unknown) for b in range(256)]
 
     def segment(word: str) -> list[int]:
         import heapq
 
-        syms = [char_ids.get(c, unknown) for c in word]
+        if byte_level:
+            syms = [byte_ids[b] for b in word.encode()]
+        else:
+            syms = [char_ids.get(c, unknown) for c in word]
         after = list(range(1, len(syms))) + [-1]
         before = list(range(-1, len(syms) - 1))
         queue = []
@@ -143,7 +154,7 @@ def encode_bpe(
     """Add one id array per entry of ``texts``. Row-local: no shuffle, whatever the word skew."""
     return df.withColumns(
         {
-            name: encoder(encodable_words(F.col(source), pre_tokenizer, normalize))
+            name: encoder(encodable_words(F.col(source), pre_tokenizer, normalize, spelled=False))
             for name, source in texts.items()
         }
     )

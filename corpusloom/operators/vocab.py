@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from corpusloom.config import SPECIAL_TOKENS, TokenizerSettings
-from corpusloom.functions.text import pre_tokenize
+from corpusloom.functions.text import pre_tokenize, show_bytes
 
 VOCAB_SCHEMA = "id int, token string, kind string"
 
@@ -21,10 +21,12 @@ def word_counts(
     df: DataFrame, text: str = "text", how: str = "whitespace", normalize: bool = True
 ) -> DataFrame:
     """``word, n`` over all texts; counts are combined before the shuffle, so hot words are cheap."""
-    words = pre_tokenize(F.col(text), how, normalize)
+    words = pre_tokenize(F.col(text), how, normalize, spelled=False)
     # the outer form keeps Catalyst from adding a filter that would tokenize every text again
     exploded = df.select(F.explode_outer(words).alias("word")).filter(F.col("word").isNotNull())
-    return exploded.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    counts = exploded.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    # spelling bytes keeps words apart, so it can wait for the distinct words
+    return counts.withColumn("word", show_bytes(F.col("word"))) if how == "byte-level" else counts
 
 
 def special_vocab(spark: SparkSession, specials=SPECIAL_TOKENS) -> DataFrame:

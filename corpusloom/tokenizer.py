@@ -62,7 +62,7 @@ class Tokenizer:
         first = len(SPECIAL_TOKENS)
         alphabet = self.merges.tokens[first : self.merges.alphabet_end]
         return encode.bpe_encoder(
-            {c: first + i for i, c in enumerate(alphabet)}, self.merges.merges
+            {c: first + i for i, c in enumerate(alphabet)}, self.merges.merges, self.byte_level
         )
 
     def lengths(self, df: DataFrame, text: str = "text", out: str = "n_tokens") -> DataFrame:
