@@ -266,7 +266,7 @@ SELECT substr(word, i, 1) AS left, substr(word, i + 1, 1) AS right, sum(n)::BIGI
 FROM (SELECT word, n, unnest(range(1, length(word))) AS i FROM counts) GROUP BY 1, 2""",
     "vocab_size": f"WITH {VOCAB_CTE} SELECT count(*) AS vocab_size FROM vocab",
     "token_to_id": f"""WITH {VOCAB_CTE}
-SELECT token, id FROM (SELECT DISTINCT unnest({words('text')}) AS token FROM benchmark)
+SELECT token, coalesce(id, -1) AS id FROM (SELECT DISTINCT unnest({words('text')}) AS token FROM benchmark)
 LEFT JOIN vocab USING (token)""",
     "encode_word_level": f"WITH {ENCODED_CTE} SELECT doc_id, {text_of('ids')} AS ids FROM enc",
     # a blank before every word that follows one; the training prefix blank leads

@@ -238,10 +238,14 @@ def vocab_size(spark, sf_dir):
 
 @query
 def token_to_id(spark, sf_dir):
-    """Every distinct word of the benchmark texts, looked up in the documents' vocabulary."""
+    """Every distinct word of the benchmark texts, looked up in the documents' vocabulary.
+
+    An unknown word's null is shown as -1, so that the column stays whole numbers everywhere.
+    """
     made = vocab.train_word_level(documents(spark, sf_dir), WORD_LEVEL)
     tokens = vocab.word_counts(table(spark, sf_dir, "benchmark")).select(F.col("word").alias("token"))
-    return vocab.token_to_id(tokens, made, WORD_LEVEL.vocab_size)
+    found = vocab.token_to_id(tokens, made, WORD_LEVEL.vocab_size)
+    return found.select("token", F.coalesce("id", F.lit(-1)).alias("id"))
 
 
 # --- encoding ----------------------------------------------------------------------------------

@@ -35,7 +35,13 @@ def classify_lines(lines: DataFrame) -> DataFrame:
 
 def assign_records(classified: DataFrame) -> DataFrame:
     """Add ``rec_id``, the number of end marks before the line, and ``n_records`` of its source."""
-    flagged = classified.withColumn("__end", (F.col("kind") == "end").cast("long"))
+    flagged = classified.withColumns(
+        {
+            # lines without a source form one stream
+            "src": F.coalesce("src", F.lit("")),
+            "__end": (F.col("kind") == "end").cast("long"),
+        }
+    )
     return sum_before(
         flagged, "line_no", "__end", "rec_id", part=["src"], total="n_records"
     ).drop("__end")

@@ -47,6 +47,7 @@ def test_edge_lines(spark):
     df = spark.createDataFrame([("s", i, t) for i, t in enumerate(EDGE)], SCHEMA)
     assert parsed(df, "s") == fold(EDGE)
     assert parsed(df, "s")[2][:2] == ("x", "y z")
+    assert parsed(df.selectExpr("CAST(NULL AS string) AS src", "line_no", "text"), "") == fold(EDGE)
 
 
 @pytest.mark.parametrize("partitions", [1, 4, 16])

@@ -177,6 +177,9 @@ def test_save_load_and_reuse(spark, texts, tmp_path):
 def test_token_lookup(spark):
     tok = Tokenizer.train(frame(spark, ["a a b"]), TokenizerSettings("word-level", "whitespace", 20, 1))
     assert (tok.size(), tok.token_to_id("[PAD]"), tok.token_to_id("a"), tok.token_to_id("zz")) == (15, 1, 13, None)
+    asked = spark.createDataFrame([("a",), ("zz",), ("[EOS]",)], "token string")
+    found = {r.token: r.id for r in vocab.token_to_id(asked, tok.vocab, 20).collect()}
+    assert found == {"a": 13, "zz": None, "[EOS]": 3}
 
 
 def test_word_counts_tokenize_each_text_once(spark, small):
