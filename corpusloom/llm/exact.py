@@ -23,11 +23,13 @@ from pyspark.sql import functions as F
 
 from corpusloom.session import scratch_path, shared_folder
 
-#: Settings of the state for the time in which the stream runs. The memory is that of one executor.
+#: Settings of the state for the time in which the stream runs. The memory is that of one executor; space
+#: on disk is not reserved ahead, as each partition has a store of its own.
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 
 
