@@ -22,6 +22,7 @@ import re
 import zlib
 from collections import Counter
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -97,7 +98,7 @@ class _Reader:
     def blocks(self, source: str) -> list[Block]:
         out: list[Block] = []
         stack: list[tuple[str, tuple[str, ...]]] = []
-        open_, around = Counter(), Counter()
+        open_, around = Counter(), {}
         parts: list[str] = []
         linked, silent = 0, 0
         tag, context = "", frozenset()
@@ -105,7 +106,8 @@ class _Reader:
         def flush() -> None:
             nonlocal linked
             if parts:
-                text = " ".join(entities.unescape("".join(parts)).split())
+                text = "".join(parts)
+                text = " ".join((entities.unescape(text) if "&" in text else text).split())
                 if text:
                     out.append(Block(text, tag, context, min(1.0, linked / len(text))))
                 parts.clear()
@@ -179,21 +181,14 @@ class _Reader:
             stack.append((name, own))
             open_[name] += 1
             silent += name in SILENT_TAGS
-            around.update(own)
+            for mark in own:
+                around[mark] = around.get(mark, 0) + 1
         flush()
         return out
 
 
-_hashed: dict[str, int] = {}
-
-
 def _number(feature: str) -> int:
-    found = _hashed.get(feature)
-    if found is None:
-        if len(_hashed) > 200_000:
-            _hashed.clear()
-        found = _hashed[feature] = zlib.crc32(feature.encode()) & ((1 << BITS) - 1)
-    return found
+    return zlib.crc32(feature.encode()) & ((1 << BITS) - 1)
 
 
 def features(blocks: list[Block], without: frozenset[str] = frozenset()) -> list[list[int]]:
@@ -203,17 +198,29 @@ def features(blocks: list[Block], without: frozenset[str] = frozenset()) -> list
         text = block.text
         size = len(text).bit_length()
         link = 0 if block.linked == 0 else 1 if block.linked < 0.4 else 2 if block.linked < 0.8 else 3
-        names = ["bias", f"tag {block.tag}", f"size {size}", f"link {link}", f"size {size} link {link}"]
-        names += [f"in {a}" for a in block.around if a not in without]
-        names.append("stop" if text[-1] in ".!?…\"”’)" else "no stop")
-        names.append(f"place {10 * i // n}" if n > 2 else "place alone")
-        off, on = bool(_ABOUT & block.around), bool((_ARTICLE | ARTICLE_WORDS) & (block.around - without))
-        names += [f"off {off}", f"off {off} on {on}", f"off {off} on {on} tag {block.tag}"]
-        names += [f"says {w.lower()}" for w in set(TELLING.findall(text[:200]))]
-        out.append([_number(f) for f in names])
+        numbers = [
+            *_element_features(block.tag, block.around, without),
+            *_shape_features(size, link, text[-1] in ".!?…\"”’)", 10 * i // n if n > 2 else -1),
+        ]
+        if size < 9:
+            numbers += [_number(f"says {w.lower()}") for w in set(TELLING.findall(text))]
+        out.append(numbers)
     return out
 
 
+@lru_cache(maxsize=100_000)
+def _element_features(tag: str, around: frozenset[str], without: frozenset[str]) -> tuple[int, ...]:
+    off, on = bool(_ABOUT & around), bool((_ARTICLE | ARTICLE_WORDS) & (around - without))
+    names = ["bias", f"tag {tag}", f"off {off}", f"off {off} on {on}", f"off {off} on {on} tag {tag}"]
+    return tuple(_number(f) for f in names + [f"in {a}" for a in sorted(around - without)])
+
+
+@lru_cache(maxsize=10_000)
+def _shape_features(size: int, link: int, stop: bool, place: int) -> tuple[int, ...]:
+    names = (f"size {size}", f"link {link}", f"size {size} link {link}", f"stop {stop}", f"place {place}")
+    return tuple(_number(f) for f in names)
+
+
 def labels_by_elements(blocks: list[Block]) -> list[int] | None:
     """1 for blocks in an article or main element and in nothing that surrounds one; None without any."""
     if not any(_ARTICLE & b.around for b in blocks):

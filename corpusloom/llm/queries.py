@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bpe, decontaminate, exact, near, nbsvm
+from corpusloom.llm import bpe, decontaminate, exact, html, near, nbsvm
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: A document is taken for good, or toxic, from this score on.
@@ -47,6 +47,12 @@ def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    texts = html.extract(pages, html.train(pages)).drop("html")
+    return texts.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(quality(table(spark, sf_dir, "documents"), sf_dir), 5, 0)
 
@@ -62,6 +68,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
+    "op4_html_extraction": op4_html_extraction,
     "op6_quality_classifier": op6_quality_classifier,
     "op8_byte_bpe": op8_byte_bpe,
     "op10_exact_dedup": op10_exact_dedup,
