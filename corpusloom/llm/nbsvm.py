@@ -78,15 +78,20 @@ def _texts(batch: pa.RecordBatch, column: str) -> Iterator[np.ndarray]:
             yield data[a:b]
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, settings: Settings, key="doc_id", text="text") -> DataFrame:
-    """The texts and labels of the sample. Its ids are bounded in number, so they are broadcast."""
-    chosen = (
+def labelled_ids(labels: DataFrame, label: str, rows: int, key: str = "doc_id", seed: int = 7) -> DataFrame:
+    """Columns id and label of at most ``rows`` labelled ids."""
+    return (
         labels.filter(F.col(label).isin(0, 1) & F.col(key).isNotNull())
         .groupBy(F.col(key).alias("id"))
         .agg(F.max(label).cast("int").alias("label"))
-        .orderBy(F.xxhash64(F.lit(settings.seed), "id"), "id")
-        .limit(settings.rows)
+        .orderBy(F.xxhash64(F.lit(seed), "id"), "id")
+        .limit(rows)
     )
+
+
+def labelled(docs: DataFrame, labels: DataFrame, label: str, settings: Settings, key="doc_id", text="text") -> DataFrame:
+    """The texts and labels of the sample. Its ids are bounded in number, so they are broadcast."""
+    chosen = labelled_ids(labels, label, settings.rows, key, settings.seed)
     texts = docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text"))
     return texts.join(F.broadcast(chosen), "id").select("id", "text", "label")
 

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bpe, decontaminate, exact, html, near, nbsvm
+from corpusloom.llm import bpe, decontaminate, exact, html, licenses, near, nbsvm, toxicity
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: A document is taken for good, or toxic, from this score on.
@@ -53,10 +53,20 @@ def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.withColumn("n_chars", F.char_length("text").cast("long"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").filter(nbsvm.remainder("doc_id", 4) != 2)
+    return judged(toxicity.score(docs, toxicity.fit(docs, labels)), 4, 2)
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(quality(table(spark, sf_dir, "documents"), sf_dir), 5, 0)
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens(table(spark, sf_dir, "documents"))
 
@@ -69,7 +79,9 @@ QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op4_html_extraction": op4_html_extraction,
+    "op5_toxicity": op5_toxicity,
     "op6_quality_classifier": op6_quality_classifier,
+    "op7_license_scan": op7_license_scan,
     "op8_byte_bpe": op8_byte_bpe,
     "op10_exact_dedup": op10_exact_dedup,
 }
