@@ -20,13 +20,13 @@ def components(links: DataFrame) -> DataFrame:
     labels = cut_lineage(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("label")))
     while True:
         near = (
-            both.join(labels.select(F.col("node").alias("b"), F.col("label").alias("seen")), "b")
+            both.join(labels.select(F.col("node").alias("b"), F.col("label").alias("seen")).hint("merge"), "b")
             .groupBy(F.col("a").alias("node"))
             .agg(F.min("seen").alias("seen"))
         )
-        closer = labels.join(near, "node").select("node", F.least("label", "seen").alias("to"), "label")
+        closer = labels.join(near.hint("merge"), "node").select("node", F.least("label", "seen").alias("to"), "label")
         jump = closer.select(F.col("node").alias("to"), F.col("to").alias("further"))
-        after = closer.join(jump, "to").select("node", F.least("to", "further").alias("label"), F.col("label").alias("was"))
+        after = closer.join(jump.hint("merge"), "to").select("node", F.least("to", "further").alias("label"), F.col("label").alias("was"))
         after = cut_lineage(after)
         if after.filter("label <> was").isEmpty():
             return after.select("node", "label")

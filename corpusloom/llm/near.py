@@ -143,7 +143,7 @@ def links(texts: DataFrame, buckets: DataFrame, threshold: float = THRESHOLD) ->
     """
     spark = texts.sparkSession
     shared = buckets.groupBy("bucket").count().filter("count > 1").select("bucket")
-    members = cut_lineage(buckets.join(shared, "bucket"))
+    members = cut_lineage(buckets.join(shared.hint("merge"), "bucket"))
     ids = members.select("id").distinct()
     path = scratch_path(spark, "near-texts")
     texts.join(ids, "id", "left_semi").write.parquet(path)
@@ -154,13 +154,13 @@ def links(texts: DataFrame, buckets: DataFrame, threshold: float = THRESHOLD) ->
         rank = F.xxhash64("id") if turn == 0 else F.xxhash64(F.lit(turn), "bucket", "id")
         centres = open_.groupBy("bucket").agg(F.min(F.struct(rank.alias("r"), "id", "label")).alias("c"))
         pairs = (
-            open_.join(centres, "bucket")
+            open_.join(centres.hint("merge"), "bucket")
             .filter(F.col("label") != F.col("c.label"))
             .select(F.least("id", "c.id").alias("a"), F.greatest("id", "c.id").alias("b"))
             .distinct()
         )
-        pairs = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-        pairs = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
+        pairs = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")).hint("merge"), "b")
+        pairs = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")).hint("merge"), "a")
         new = cut_lineage(pairs.mapInArrow(_verified(threshold), "a long, b long"))
         nothing = new.isEmpty()
         found = new if found is None else found.unionByName(new)
@@ -168,10 +168,10 @@ def links(texts: DataFrame, buckets: DataFrame, threshold: float = THRESHOLD) ->
             return found
         turn += 1
         label = components(found)
-        named = members.join(label.withColumnRenamed("node", "id"), "id", "left")
+        named = members.join(label.withColumnRenamed("node", "id").hint("merge"), "id", "left")
         named = named.select("bucket", "id", F.coalesce("label", "id").alias("label"))
         several = named.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y")
-        open_ = cut_lineage(named.join(several.select("bucket"), "bucket"))
+        open_ = cut_lineage(named.join(several.select("bucket").hint("merge"), "bucket"))
 
 
 def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
