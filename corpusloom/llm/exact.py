@@ -16,6 +16,7 @@ a null id counts as the smallest. Other columns, whatever their names, are ignor
 from __future__ import annotations
 
 import string
+import uuid
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -106,11 +107,12 @@ def exact_dedup(
     """
     spark = docs.sparkSession
     shared_folder(spark)
-    arrivals = scratch_path(spark, "arrivals")
+    state = state or scratch_path(spark, "digests")
+    arrivals = f"{state}-arrivals/{uuid.uuid4().hex}"
     fingerprints(docs, key, text, digest).write.parquet(arrivals)
     stored = spark.read.parquet(arrivals)
-    state = state or scratch_path(spark, "digests")
-    absorb(spark.readStream.schema(stored.schema).parquet(arrivals), state)
+    # the stream remembers which files it has read, so it goes on with what is new
+    absorb(spark.readStream.schema(stored.schema).parquet(f"{state}-arrivals/*"), state)
 
     digests = known(spark, state)
     decided = _decisions(stored, digests, ["digest"])

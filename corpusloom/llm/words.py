@@ -113,9 +113,9 @@ def windows(values: np.ndarray, counts: np.ndarray, size: int) -> tuple[np.ndarr
     text = np.repeat(np.arange(len(per_text)), per_text)
     left = counts[1:][text] - np.arange(n)
     total = np.zeros(n, np.uint64)
-    for k in range(size):
+    for k in range(min(size, n)):
         shifted = np.zeros(n, np.uint64)
-        shifted[: n - k or None] = values[k:] if k else values
+        shifted[: n - k] = values[k:]
         shifted[left <= k] = 0
         total += shifted * _STEP[k % 64]
     keep = (left >= size) | ((per_text[text] < size) & (left == per_text[text]))
