@@ -244,7 +244,7 @@ def token_to_id(spark, sf_dir):
     """
     made = vocab.train_word_level(documents(spark, sf_dir), WORD_LEVEL)
     tokens = vocab.word_counts(table(spark, sf_dir, "benchmark")).select(F.col("word").alias("token"))
-    found = vocab.token_to_id(tokens, made, WORD_LEVEL.vocab_size)
+    found = vocab.token_to_id(tokens, made)
     return found.select("token", F.coalesce("id", F.lit(-1)).alias("id"))
 
 
@@ -315,7 +315,7 @@ def _framed(spark, sf_dir) -> DataFrame:
 
 def _records_encoded(spark, sf_dir) -> DataFrame:
     made = rec.make_records(inputs.instruct_lines(spark, sf_dir))
-    return finetuning.encode_records(made, inputs.word_tokenizer(spark, sf_dir), clustered=True)
+    return finetuning.encode_records(made, inputs.word_tokenizer(spark, sf_dir))
 
 
 def _sft(spark, sf_dir) -> DataFrame:

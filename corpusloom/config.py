@@ -49,9 +49,9 @@ class TokenizerSettings:
 
     def __post_init__(self):
         if self.pre_tokenizer not in PRE_TOKENIZERS:
-            raise ValueError(f"Unknown pre-tokenizer strategy: {self.pre_tokenizer}")
+            raise ValueError(f"no such way to split words: {self.pre_tokenizer}")
         if self.strategy not in STRATEGIES:
-            raise ValueError(f"Unknown tokenizer strategy: {self.strategy}")
+            raise ValueError(f"no such kind of vocabulary: {self.strategy}")
         if self.strategy == "word-level" and self.pre_tokenizer == "byte-level":
             raise ValueError("A word-level vocabulary cannot use the byte-level pre-tokenizer")
 

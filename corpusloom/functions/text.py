@@ -53,11 +53,6 @@ def default_text(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 
 
-def is_filled(text: Column) -> Column:
-    """False for null and for the empty string only; blanks count as text."""
-    return text.isNotNull() & (text != "")
-
-
 def normalize_whitespace(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 
@@ -107,7 +102,7 @@ def pre_tokenize(text: Column, how: str, normalize: bool = True, spelled: bool =
         return words_whitespace(clean)
     if how == "byte-level":
         return words_bytelevel(clean) if spelled else pieces_bytelevel(clean)
-    raise ValueError(f"Unknown pre-tokenizer strategy: {how}")
+    raise ValueError(f"no such way to split words: {how}")
 
 
 def _any_of(tokens: Sequence[str]) -> str:

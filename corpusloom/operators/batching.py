@@ -8,12 +8,21 @@ from pyspark.sql import Window as W
 
 from corpusloom.config import PAD, StageSettings
 from corpusloom.functions.sequences import pad_right
-from corpusloom.operators.order import shuffled_index, stored_index
-
-
-def _number(df: DataFrame, index: DataFrame, key: str, size: int) -> DataFrame:
-    # the index is numbered on bare keys; the sequences meet it by one join on the unique key
-    return df.join(index, key).select(
+from corpusloom.operators.order import shuffled_index, source_index, stored_index
+
+
+def _number(df: DataFrame, index: DataFrame, key: tuple[str, ...], size: int) -> DataFrame:
+    """The index is numbered on bare keys; the sequences meet it by one join. A null key is a key
+    like any other, a repeated one is an error: it would multiply rows."""
+    whole = F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(key)])
+    rows = F.count(F.lit(1)).over(W.partitionBy("__key"))
+    index = index.select(whole.alias("__key"), "row_index").withColumn(
+        "row_index",
+        F.when(rows > 1, F.raise_error(F.lit("a batch key is not unique")).cast("long")).otherwise(
+            F.col("row_index")
+        ),
+    )
+    return df.withColumn("__key", whole).join(index, "__key").select(
         *df.columns,
         F.floor(F.col("row_index") / size).alias("batch_id"),
         (F.col("row_index") % size).cast("int").alias("row_in_batch"),
@@ -28,12 +37,20 @@ def batch_train(
     ``key`` is unique. ``keys`` may hold the same keys in a frame that is cheaper to scan than
     ``df``, such as the table that ``df`` was encoded from.
     """
-    return _number(df, shuffled_index(df if keys is None else keys, key, seed), key, size)
+    return _number(df, shuffled_index(df if keys is None else keys, key, seed), (key,), size)
 
 
 def batch_eval(df: DataFrame, key: str, size: int = 4, keys: DataFrame | None = None) -> DataFrame:
     """Batches in stored order; the short last batch is kept."""
-    return _number(df, stored_index(df if keys is None else keys, key), key, size)
+    return _number(df, stored_index(df if keys is None else keys, key), (key,), size)
+
+
+def batch_eval_records(
+    df: DataFrame, size: int = 4, keys: DataFrame | None = None, source: str = "src", key: str = "rec_id"
+) -> DataFrame:
+    """Batches of records in stored order, one source after another; the short last batch is kept."""
+    index = source_index(df if keys is None else keys, source, key)
+    return _number(df, index, (source, key), size)
 
 
 def pad(batches: DataFrame, padding: dict[str, int], ruler: str = "input_ids") -> DataFrame:

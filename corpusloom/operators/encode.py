@@ -2,61 +2,45 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.config import SPECIAL_TOKENS, UNK
 from corpusloom.functions.text import RAW_BYTES, SHOWN_BYTES, encodable_words, read_bytes
-from corpusloom.operators import vocab as vocabulary
-from corpusloom.operators.vocab import lookup
 
 
-def encode_word_level(
-    df: DataFrame,
-    vocab: DataFrame,
-    vocab_rows: int,
-    key: Sequence[str],
-    texts: dict[str, str],
-    keep: Sequence[str] = (),
-    normalize: bool = True,
-    clustered: bool = False,
-) -> DataFrame:
-    """``key``, ``keep`` and one id array per entry of ``texts`` (output name to text column).
+def _per_word(ids_of: Callable[[str], list[int]]):
+    """Arrow UDF from words to ids that spells each distinct word of a batch once."""
 
-    The texts are spread by ``key`` once, as text. The words are looked up by a broadcast join and
-    collected again inside the same partition, so the exploded words never cross the network.
-    ``key`` is unique and ``keep`` columns depend on it. ``clustered`` says that ``df`` is already
-    hash-partitioned by ``key``, as a grouped frame is; a wrong claim costs a shuffle, nothing else.
-    """
-    names = list(texts)
-    spread = df.select(*key, *keep, *texts.values())
-    spread = spread if clustered else spread.repartition(*key)
+    @F.arrow_udf("array<int>")
+    def encode(batch):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        coded = batch.flatten().dictionary_encode()
+        per_word = pa.array([ids_of(w) for w in coded.dictionary.to_pylist()], pa.list_(pa.int32()))
+        spelled = per_word.take(coded.indices)
+        token_ends = np.concatenate(([0], np.cumsum(pc.list_value_length(spelled).to_numpy())))
+        word_ends = np.concatenate(([0], np.cumsum(pc.list_value_length(batch).to_numpy())))
+        return pa.ListArray.from_arrays(
+            pa.array(token_ends[word_ends].astype(np.int32)), spelled.flatten()
+        )
 
-    def tagged(f: int, source: str) -> Column:
-        found = encodable_words(F.col(source), "whitespace", normalize)
-        return F.transform(found, lambda w: F.struct(F.lit(f).alias("field"), w.alias("token")))
+    return encode
 
-    words = F.concat(*[tagged(f, source) for f, source in enumerate(texts.values())])
-    exploded = spread.select(*key, *keep, F.posexplode_outer(words).alias("pos", "w")).select(
-        *key, *keep, "pos", "w.field", "w.token"
-    )
-    found = lookup(
-        exploded, vocab.select("token", "id"), "token", vocab_rows,
-        salt=F.hash(*key, "pos"),
-    )
-    tag = ["field"] if len(names) > 1 else []
-    entry = F.struct("pos", *tag, F.coalesce("id", F.lit(UNK)).alias("id"))
-    collected = found.groupBy(*key, *keep).agg(
-        F.sort_array(F.collect_list(F.when(F.col("pos").isNotNull(), entry))).alias("__ids")
-    )
 
-    def of_field(f: int) -> Column:
-        own = F.filter("__ids", lambda e: e["field"] == f) if len(names) > 1 else F.col("__ids")
-        return own["id"]
+def word_encoder(vocab: DataFrame):
+    """Arrow UDF from words to ids of a word-level vocabulary, whatever its size.
 
-    return collected.select(*key, *keep, *[of_field(f).alias(n) for f, n in enumerate(names)])
+    The vocabulary, bounded by its settings, is brought to every worker once.
+    """
+    rows = vocab.select("token", "id").toArrow()
+    ids = dict(zip(rows["token"].to_pylist(), rows["id"].to_pylist(), strict=True))
+    shared = vocab.sparkSession.sparkContext.broadcast(ids)
+    return _per_word(lambda word: [shared.value.get(word, UNK)])
 
 
 def bpe_encoder(
@@ -126,25 +110,10 @@ def bpe_encoder(
                 memo[word] = found
         return found
 
-    @F.arrow_udf("array<int>")
-    def encode(batch):
-        import numpy as np
-        import pyarrow as pa
-        import pyarrow.compute as pc
+    return _per_word(ids_of)
 
-        coded = batch.flatten().dictionary_encode()
-        per_word = pa.array([ids_of(w) for w in coded.dictionary.to_pylist()], pa.list_(pa.int32()))
-        spelled = per_word.take(coded.indices)
-        token_ends = np.concatenate(([0], np.cumsum(pc.list_value_length(spelled).to_numpy())))
-        word_ends = np.concatenate(([0], np.cumsum(pc.list_value_length(batch).to_numpy())))
-        return pa.ListArray.from_arrays(
-            pa.array(token_ends[word_ends].astype(np.int32)), spelled.flatten()
-        )
-
-    return encode
 
-
-def encode_bpe(
+def encode_texts(
     df: DataFrame,
     encoder,
     texts: dict[str, str],
@@ -166,39 +135,16 @@ def token_array(vocab: DataFrame) -> Column:
     return vocab.agg(entries["token"].alias("tokens")).scalar()
 
 
-def decode(
-    df: DataFrame,
-    vocab: DataFrame,
-    vocab_rows: int,
-    ids: str,
-    byte_level: bool,
-    out: str = "text",
-    key: Sequence[str] = (),
-) -> DataFrame:
+def decode(df: DataFrame, vocab: DataFrame, ids: str, byte_level: bool, out: str = "text") -> DataFrame:
     """Tokens of ``ids`` in text order without specials, joined by blanks or as decoded bytes.
 
-    An id is a place in the token array, so decoding is a row-local array access. A vocabulary
-    beyond the broadcast bound is joined instead, and needs the unique ``key``.
+    An id is a place in the token array, so decoding is a row-local array access.
     """
     kept = F.filter(ids, lambda i: i >= len(SPECIAL_TOKENS))
-
-    def text_of(tokens: Column) -> Column:
-        joined = F.array_join(tokens, "" if byte_level else " ")
-        return read_bytes(joined) if byte_level else joined
-
-    if vocab_rows <= vocabulary.BROADCAST_ROWS:
-        return (
-            df.withColumn("__tokens", token_array(vocab))
-            .withColumn(out, text_of(F.transform(kept, lambda i: F.get(F.col("__tokens"), i))))
-            .drop("__tokens")
-        )
-    if not key:
-        raise ValueError("a vocabulary of this size is joined: name the key columns")
-    places = df.select(*key, F.posexplode_outer(kept).alias("pos", "id"))
-    found = lookup(places, vocab.select("id", "token"), "id", vocab_rows, F.hash(*key, "pos"))
-    spelled = found.groupBy(*key).agg(
-        F.sort_array(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", "token")))).alias(
-            "__spelled"
-        )
+    tokens = F.transform(kept, lambda i: F.get(F.col("__tokens"), i))
+    joined = F.array_join(tokens, "" if byte_level else " ")
+    return (
+        df.withColumn("__tokens", token_array(vocab))
+        .withColumn(out, read_bytes(joined) if byte_level else joined)
+        .drop("__tokens")
     )
-    return df.join(spelled, [*key]).withColumn(out, text_of(F.col("__spelled.token"))).drop("__spelled")

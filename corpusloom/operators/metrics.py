@@ -47,10 +47,16 @@ def cross_entropy(
     smoothing: float = 0.0,
     aux: float = 0.0,
 ) -> DataFrame:
-    """One row: rows counted, smoothed mean loss over them, and the loss with the auxiliary term."""
-    used = df.filter(F.col(label) != ignore_index)
+    """One row: rows counted, smoothed mean loss over them, and the loss with the auxiliary term.
+
+    A label that is null or no class is an error, unless it is ``ignore_index``.
+    """
+    used = df.filter(F.col(label).isNull() | (F.col(label) != ignore_index))
+    valid = F.col(label).isNotNull() & (F.col(label) >= 0) & (F.col(label) < F.size(scores))
     norm = log_sum_exp(F.col(scores))
-    picked = norm - F.get(scores, F.col(label))
+    picked = F.when(valid, norm - F.get(scores, F.col(label))).otherwise(
+        F.raise_error(F.lit("a label is no class")).cast("double")
+    )
     # mean over classes of (norm - score)
     uniform = norm - array_sum(F.col(scores)) / F.size(scores)
     each = (1.0 - smoothing) * picked + smoothing * uniform
@@ -77,7 +83,8 @@ def route_load(df: DataFrame, k: int, categories: int, scores: str = "scores") -
     """Per category its share of all assignments, with the balance term and the worst share.
 
     The balance term weighs shares by a uniform target, so it is 1 whatever the shares are;
-    ``worst`` (largest share times the number of categories) is what shows an imbalance.
+    ``worst`` (largest share times the number of categories) is what shows an imbalance. Without
+    assignments all shares are 0, and so are both.
     """
     spark = df.sparkSession
     chosen = top_k(ranked(F.col(scores)), k)["cand"]
@@ -94,7 +101,8 @@ def route_load(df: DataFrame, k: int, categories: int, scores: str = "scores") -
         .agg(F.collect_list(F.struct("cand", F.coalesce("n", F.lit(0)).alias("n"))).alias("c"))
         .withColumn("__total", F.aggregate("c", F.lit(0).cast("long"), lambda a, x: a + x["n"]))
         .withColumn("c", F.transform("c", lambda x: F.struct(
-            x["cand"].alias("cand"), (x["n"] / F.col("__total")).alias("share"))))
+            x["cand"].alias("cand"),
+            F.when(F.col("__total") > 0, F.try_divide(x["n"], F.col("__total"))).otherwise(0.0).alias("share"))))
     )
     balance = categories * array_sum(
         F.transform(F.col("c.share"), lambda s: s / F.lit(float(categories)))

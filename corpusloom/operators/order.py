@@ -47,7 +47,7 @@ def sum_before(
     Positions are cut into cells of 2^shift; a window runs inside each cell only, and the cells'
     totals go through the same operator one level up. A hot ``part`` is thereby spread over its
     cells, and the rows themselves are shuffled once: the totals join on the window's own keys.
-    ``total`` names a column for the sum over the whole part.
+    A null part is a part like any other. ``total`` names a column for the sum over the whole part.
     """
     part = list(part)
 
@@ -61,15 +61,22 @@ def sum_before(
             df = df.withColumn(total, F.sum(value).over(W.partitionBy(*(part or [F.lit(0)]))))
         return df.withColumn(out, running(*part))
 
-    cell, base = f"__cell{len(shifts)}", f"__base{len(shifts)}"
-    celled = df.withColumn(cell, _cell(position, shifts[0]))
-    totals = celled.groupBy(*part, cell).agg(F.sum(value).alias("__sum"))
+    # one struct holds part and cell: it is never null itself, so the join keeps null parts, and it
+    # is the key of the window, the totals and the join, so the rows are shuffled once
+    key, cell, base = (f"__{name}{len(shifts)}" for name in ("key", "cell", "base"))
+    fields = [F.col(p).alias(f"p{i}") for i, p in enumerate(part)]
+    celled = df.withColumn(key, F.struct(*fields, _cell(position, shifts[0]).alias("cell")))
+    totals = celled.groupBy(key).agg(F.sum(value).alias("__sum"))
+    totals = totals.select(
+        key, "__sum", F.col(f"{key}.cell").alias(cell),
+        *[F.col(f"{key}.p{i}").alias(p) for i, p in enumerate(part)],
+    )
     bases = sum_before(totals, cell, "__sum", base, part, total=total, shifts=shifts[1:])
     return (
-        celled.withColumn(out, running(*part, cell))
-        .join(bases.drop("__sum"), [*part, cell])
+        celled.withColumn(out, running(key))
+        .join(bases.select(key, base, *([total] if total else [])), key)
         .withColumn(out, F.col(out) + F.col(base))
-        .drop(cell, base)
+        .drop(key, base)
     )
 
 
@@ -81,6 +88,23 @@ def shuffled_index(keys: DataFrame, key: str, seed: int = 42, out: str = "row_in
     return sum_before(placed, "__pos", "__one", out, ties=[key], shifts=HASHED).select(key, out)
 
 
+def source_index(keys: DataFrame, source: str, key: str, out: str = "row_index") -> DataFrame:
+    """``source``, ``key`` and their place, from 0: sources in order, ``key`` within each."""
+    counted = keys.select(source, key).withColumn("__one", F.lit(1))
+    inside = sum_before(counted, key, "__one", "__in", part=[source], total="__rows")
+    # one row per source from here on
+    sizes = inside.groupBy(F.struct(F.col(source).alias("source")).alias("__of")).agg(
+        F.max("__rows").alias("__rows")
+    )
+    earlier = W.partitionBy(F.lit(0)).orderBy("__of").rowsBetween(W.unboundedPreceding, -1)
+    first = sizes.select("__of", F.coalesce(F.sum("__rows").over(earlier), F.lit(0)).alias("__first"))
+    return (
+        inside.withColumn("__of", F.struct(F.col(source).alias("source")))
+        .join(first, "__of")
+        .select(source, key, (F.col("__first") + F.col("__in")).alias(out))
+    )
+
+
 def stored_index(keys: DataFrame, key: str, out: str = "row_index") -> DataFrame:
     """``key`` and its place, from 0, in the order of the unique whole number ``key``."""
     counted = keys.select(key).withColumn("__one", F.lit(1))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from corpusloom.functions.text import default_text, python_strip
 from corpusloom.operators.order import sum_before
@@ -51,6 +52,11 @@ def assemble_records(assigned: DataFrame) -> DataFrame:
     """One row per ended record: the last field of each kind, and the text after the last reset."""
     # the tail after a source's last end mark is no record; it is dropped before it is collected
     ended = assigned.filter(F.col("rec_id") < F.col("n_records"))
+    # so is text before the last reset; the window is keyed like the aggregate, which reuses its order
+    reset = F.max(F.when(F.col("kind") == "reset", F.col("line_no")))
+    ended = ended.withColumn("__reset", reset.over(W.partitionBy("src", "rec_id"))).filter(
+        (F.col("kind") != "text") | F.col("__reset").isNull() | (F.col("line_no") > F.col("__reset"))
+    )
     line = F.struct("line_no", "payload")
 
     def last_of(kind: str):
@@ -59,16 +65,11 @@ def assemble_records(assigned: DataFrame) -> DataFrame:
 
     grouped = ended.groupBy("src", "rec_id").agg(
         *[last_of(name) for name, _ in FIELD_MARKS],
-        F.max(F.when(F.col("kind") == "reset", F.col("line_no"))).alias("__reset"),
         F.collect_list(F.when(F.col("kind") == "text", line)).alias("__lines"),
     )
-    kept = F.filter(
-        F.sort_array("__lines"),
-        lambda x: F.col("__reset").isNull() | (x["line_no"] > F.col("__reset")),
-    )
     return grouped.select(
         "src", "rec_id", "features", "words", "summary",
-        python_strip(F.array_join(kept["payload"], " ")).alias("story"),
+        python_strip(F.array_join(F.sort_array("__lines")["payload"], " ")).alias("story"),
     )
 
 

@@ -25,7 +25,7 @@ def length_stats(lengths: DataFrame, length: str = "n_tokens") -> DataFrame:
     """n, min, max, mean, population std, median and percentiles by linear interpolation."""
     exact = F.col("length").cast("decimal(38,0)")
     one = length_histogram(lengths, length).agg(
-        F.sum("n").alias("n"),
+        F.coalesce(F.sum("n"), F.lit(0)).alias("n"),
         F.min("length").alias("min"),
         F.max("length").alias("max"),
         F.sum(exact * F.col("n")).alias("__s1"),
@@ -37,8 +37,8 @@ def length_stats(lengths: DataFrame, length: str = "n_tokens") -> DataFrame:
     spread = (s2.cast("decimal(38,0)") * n - s1.cast("decimal(38,0)") * s1).cast("double")
     return one.select(
         "n", "min", "max",
-        (s1.cast("double") / n).alias("mean"),
-        (F.sqrt(spread) / n).alias("std"),
+        F.try_divide(s1.cast("double"), n).alias("mean"),
+        F.try_divide(F.sqrt(spread), n).alias("std"),
         F.get("__p", 1).alias("median"),
         *[
             F.get("__p", i).alias(f"p{round(p * 100)}")

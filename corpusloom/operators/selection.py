@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.operators.order import shuffle_key, unit_hash
+from corpusloom.operators.order import shuffled_index, source_index, unit_hash
 
 
 def split(
@@ -22,13 +22,21 @@ def split(
 
 
 def sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
-    """``n`` rows in a reproducible random order (all rows, if there are fewer)."""
-    return df.orderBy(shuffle_key(F.col(key), seed), key).limit(n)
+    """The first ``n`` rows of a reproducible random order (all rows, if there are fewer).
 
+    The bare keys are numbered, so whole rows never meet in one task. ``key`` is unique, not null.
+    """
+    first = shuffled_index(df.filter(F.col(key).isNotNull()), key, seed).filter(F.col("row_index") < n)
+    return df.join(first, key).orderBy("row_index").select(*df.columns)
 
-def head(records: DataFrame, n: int = 2500, order: tuple[str, ...] = ("src", "rec_id")) -> DataFrame:
-    """The first ``n`` records in stored order."""
-    return records.orderBy(*order).limit(n)
+
+def head(records: DataFrame, n: int = 2500, order: tuple[str, str] = ("src", "rec_id")) -> DataFrame:
+    """The first ``n`` records in stored order, by numbers of the bare keys, as in :func:`sample`."""
+    first = source_index(records, *order).filter(F.col("row_index") < n)
+    whole = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(order)])
+    kept = first.select(whole.alias("__key"), "row_index")
+    joined = records.withColumn("__key", whole).join(kept, "__key")
+    return joined.orderBy("row_index").select(*records.columns)
 
 
 def drop_empty(df: DataFrame, text: str = "text") -> DataFrame:

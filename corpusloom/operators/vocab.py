@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -11,11 +11,6 @@ from corpusloom.functions.text import pre_tokenize, show_bytes
 
 VOCAB_SCHEMA = "id int, token string, kind string"
 
-# Small tables up to this many rows are broadcast; larger ones are joined by shuffle.
-BROADCAST_ROWS = 1_000_000
-# On the shuffle path, a hot word's rows are spread over this many copies of the small side.
-SALTS = 32
-
 
 def word_counts(
     df: DataFrame, text: str = "text", how: str = "whitespace", normalize: bool = True
@@ -56,23 +51,10 @@ def train_word_level(df: DataFrame, settings: TokenizerSettings, text: str = "te
     return specials.unionByName(words)
 
 
-def lookup(
-    facts: DataFrame, table: DataFrame, on: str, table_rows: int, salt: Column
-) -> DataFrame:
-    """Left join to a lookup table that has ``table_rows`` rows at most.
+def token_to_id(tokens: DataFrame, vocab: DataFrame, token: str = "token") -> DataFrame:
+    """Exact lookup of ``token``; ``id`` is null where the vocabulary lacks it.
 
-    Broadcast within :data:`BROADCAST_ROWS`. Beyond it a shuffle join, where every lookup row is
-    repeated once per salt, so that the rows of one hot key go to ``SALTS`` tasks. ``salt`` is a
-    hash of the row, so that a task that is run again places its rows as before.
+    No side is forced: Spark broadcasts the vocabulary if its measured bytes allow it, and splits
+    the rows of a hot token otherwise.
     """
-    if table_rows <= BROADCAST_ROWS:
-        return facts.join(F.broadcast(table), on, "left")
-    salted = facts.withColumn("__salt", F.pmod(salt, F.lit(SALTS)))
-    copies = table.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.join(copies, [on, "__salt"], "left").drop("__salt")
-
-
-def token_to_id(tokens: DataFrame, vocab: DataFrame, vocab_rows: int, token: str = "token") -> DataFrame:
-    """Exact lookup of ``token``; ``id`` is null where the vocabulary lacks it."""
-    ids = vocab.select(F.col("token").alias(token), "id")
-    return lookup(tokens, ids, token, vocab_rows, salt=F.hash(*tokens.columns))
+    return tokens.join(vocab.select(F.col("token").alias(token), "id"), token, "left")

@@ -8,19 +8,16 @@ from pyspark.sql import functions as F
 from corpusloom.config import FINETUNING, StageSettings
 from corpusloom.functions import sequences as seq
 from corpusloom.functions.text import default_text
-from corpusloom.operators.batching import batch_eval, batch_train, pad_sft
+from corpusloom.operators.batching import batch_eval_records, batch_train, pad_sft
 from corpusloom.operators.records import FIELDS
 from corpusloom.tokenizer import Tokenizer
 
 KEY = ("src", "rec_id")
 
 
-def encode_records(records: DataFrame, tokenizer: Tokenizer, clustered: bool = False) -> DataFrame:
-    """``src, rec_id`` and the four fields as id arrays, encoded in one pass.
-
-    ``clustered``: the records come straight from the assembling group-by, not from files.
-    """
-    return tokenizer.encode(records, KEY, {f"{f}_ids": f for f in FIELDS}, clustered=clustered)
+def encode_records(records: DataFrame, tokenizer: Tokenizer) -> DataFrame:
+    """``src, rec_id`` and the four fields as id arrays, encoded in one pass."""
+    return tokenizer.encode(records, KEY, {f"{f}_ids": f for f in FIELDS})
 
 
 def sft_sequences(encoded: DataFrame, stage: StageSettings = FINETUNING) -> DataFrame:
@@ -84,8 +81,8 @@ def train_batches(
 def eval_batches(
     sequences: DataFrame, stage: StageSettings = FINETUNING, keys: DataFrame | None = None
 ) -> DataFrame:
-    """Padded batches in stored order of one source, as the validation split is."""
-    batches = batch_eval(sequences, "rec_id", stage.eval_batch_size, keys)
+    """Padded batches in stored order, one source after another."""
+    batches = batch_eval_records(sequences, stage.eval_batch_size, keys)
     return pad_sft(batches, stage.ignore_index)
 
 

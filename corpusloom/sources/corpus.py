@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from corpusloom.operators.records import FIELDS, make_records
-from corpusloom.session import path_exists
+from corpusloom.session import drop_mark, path_exists
 
 RECORD_SCHEMA = "src string, rec_id long, " + ", ".join(f"{f} string" for f in FIELDS)
 
@@ -27,20 +27,30 @@ def read_corpus(
 
 
 def read_instruct_lines(
-    spark: SparkSession, path: str, file_format: str = "parquet", src: str = "src"
+    spark: SparkSession, path: str, file_format: str = "parquet", src: str = "src",
+    per_file: bool = False,
 ) -> DataFrame:
-    """Ordered lines (src, line_no, text) from a table that has them, or from text files."""
+    """Ordered lines (src, line_no, text) from a table that has them, or from text files.
+
+    Text files are one stream in the order of their names, so a record may go on in the next file;
+    ``per_file`` makes each a stream of its own.
+    """
     if file_format == "text":
-        return _lines_of_files(spark, path)
+        return _lines_of_files(spark, path, per_file)
     df = spark.read.format(file_format).load(path)
     return df.select(F.col(src).cast("string").alias("src"), F.col("line_no").cast("long"), "text")
 
 
-def _lines_of_files(spark: SparkSession, path: str) -> DataFrame:
+#: Room for a file of 4 TB in a line number; the file's place is above it.
+FILE_BITS = 42
+
+
+def _lines_of_files(spark: SparkSession, path: str, per_file: bool) -> DataFrame:
     """Lines of text files. ``line_no`` is the split's byte offset plus the place in the split.
 
     A split has at most as many lines as bytes, so these numbers rise within a file; they have
-    gaps, which the record parser does not mind. The window sees one file split at a time.
+    gaps, which the record parser does not mind. The window sees one file split at a time. The order
+    of the files is a table of one row per file.
     """
     lines = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("src"),
@@ -49,7 +59,15 @@ def _lines_of_files(spark: SparkSession, path: str) -> DataFrame:
         F.col("value").alias("text"),
     )
     place = F.row_number().over(W.partitionBy("src", "__start").orderBy("__read")) - 1
-    return lines.select("src", (F.col("__start") + place).alias("line_no"), "text")
+    placed = lines.select("src", (F.col("__start") + place).alias("line_no"), "text")
+    if per_file:
+        return placed
+    names = spark.read.text(path).select(F.col("_metadata.file_path").alias("src")).distinct()
+    rank = F.row_number().over(W.partitionBy(F.lit(0)).orderBy("src")).cast("long") - 1
+    files = names.select("src", F.shiftleft(rank, FILE_BITS).alias("__file"))
+    return placed.join(files, "src").select(
+        F.lit(path).alias("src"), (F.col("__file") + F.col("line_no")).alias("line_no"), "text"
+    )
 
 
 def save_records(records: DataFrame, path: str) -> None:
@@ -67,6 +85,9 @@ def get_or_make_records(
     spark = train_lines.sparkSession
     paths = [f"{folder}/sft_train", f"{folder}/sft_val"]
     if not all(path_exists(spark, f"{p}/_SUCCESS") for p in paths):
+        # both marks go first, so a pair that is only half new never counts as whole
+        for path in paths:
+            drop_mark(spark, path)
         for lines, path in zip((train_lines, validation_lines), paths):
             save_records(make_records(lines), path)
     return load_records(spark, paths[0]), load_records(spark, paths[1])

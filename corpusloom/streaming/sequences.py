@@ -1,6 +1,6 @@
 """The row-local part of corpus preparation, on a stream of new documents.
 
-Sub-word encoding, framing and truncation look at one row only, so the same plan runs on a streaming
+Encoding, framing and truncation look at one row only, so the same plan runs on a streaming
 frame without state. Batching needs the whole order and stays a batch job on what this writes.
 """
 
@@ -19,8 +19,6 @@ def write_sequences(
     text: str = "text", stage: StageSettings = PRETRAINING,
 ) -> StreamingQuery:
     """Encode all documents that have arrived to parquet under ``out``, exactly once, then stop."""
-    if tokenizer.merges is None:
-        raise ValueError("streams need a subword-level tokenizer: its encoding is row-local")
     sequences = corpus_sequences(documents, tokenizer, key, text, stage)
     return (
         sequences.writeStream.format("parquet")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from corpusloom.config import SPECIAL_TOKENS, TokenizerSettings
 from corpusloom.functions.text import encodable_words
 from corpusloom.operators import bpe, encode, vocab
-from corpusloom.session import drop_mark, path_exists
+from corpusloom.session import cut_lineage, drop_mark, path_exists
 
 
 @dataclass(frozen=True)
@@ -23,7 +23,8 @@ class Tokenizer:
     @classmethod
     def train(cls, df: DataFrame, settings: TokenizerSettings, text: str = "text") -> Tokenizer:
         if settings.strategy == "word-level":
-            return cls(settings, vocab.train_word_level(df, settings, text))
+            # bounded by its settings; cut, so that its uses don't count the corpus again
+            return cls(settings, cut_lineage(vocab.train_word_level(df, settings, text)))
         merges = bpe.train_bpe(df, settings, text)
         return cls(settings, merges.vocab(df.sparkSession), merges)
 
@@ -39,26 +40,20 @@ class Tokenizer:
         return None if row is None else row.id
 
     def encode(
-        self,
-        df: DataFrame,
-        key: Sequence[str],
-        texts: dict[str, str],
-        keep: Sequence[str] = (),
-        clustered: bool = False,
+        self, df: DataFrame, key: Sequence[str], texts: dict[str, str], keep: Sequence[str] = ()
     ) -> DataFrame:
-        """``key``, ``keep`` and one id array per entry of ``texts`` (output to text column)."""
-        if self.merges is None:
-            return encode.encode_word_level(
-                df, self.vocab, self.settings.vocab_size, key, texts, keep,
-                self.settings.normalize_whitespace, clustered,
-            )
-        encoded = encode.encode_bpe(
-            df, self._encoder(), texts, self.settings.pre_tokenizer,
-            self.settings.normalize_whitespace,
+        """``key``, ``keep`` and one id array per entry of ``texts`` (output to text column).
+
+        Row-local for either strategy: no shuffle, and it runs on streams.
+        """
+        encoded = encode.encode_texts(
+            df, self._encoder(), texts, self.settings.pre_tokenizer, self.settings.normalize_whitespace
         )
         return encoded.select(*key, *keep, *texts)
 
     def _encoder(self):
+        if self.merges is None:
+            return encode.word_encoder(self.vocab)
         first = len(SPECIAL_TOKENS)
         alphabet = self.merges.tokens[first : self.merges.alphabet_end]
         return encode.bpe_encoder(
@@ -72,19 +67,15 @@ class Tokenizer:
                 F.col(text), self.settings.pre_tokenizer, self.settings.normalize_whitespace
             )
             return df.withColumn(out, F.size(words))
-        encoded = encode.encode_bpe(
+        encoded = encode.encode_texts(
             df, self._encoder(), {"__ids": text}, self.settings.pre_tokenizer,
             self.settings.normalize_whitespace,
         )
         return encoded.withColumn(out, F.size("__ids")).drop("__ids")
 
-    def decode(
-        self, df: DataFrame, ids: str, out: str = "text", key: Sequence[str] = ()
-    ) -> DataFrame:
-        """Add the text of an id array; ``key`` is used only by very large vocabularies."""
-        return encode.decode(
-            df, self.vocab, self.settings.vocab_size, ids, self.byte_level, out, key
-        )
+    def decode(self, df: DataFrame, ids: str, out: str = "text") -> DataFrame:
+        """Add the text of an id array."""
+        return encode.decode(df, self.vocab, ids, self.byte_level, out)
 
     def save(self, path: str) -> None:
         spark = self.vocab.sparkSession

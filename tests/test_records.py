@@ -8,28 +8,6 @@ from corpusloom.sources import corpus as S
 SCHEMA = "src string, line_no long, text string"
 
 
-def fold(lines):
-    """The parse as one sequential pass."""
-    done, now = [], None
-    fresh = lambda: {"features": "", "words": "", "summary": "", "story": []}
-    now = fresh()
-    for line in lines:
-        line = (line or "").strip()
-        for name, mark in R.FIELD_MARKS:
-            if line.startswith(mark):
-                now[name] = line[len(mark) + 1 :]
-                break
-        else:
-            if line == "Story:":
-                now["story"] = []
-            elif line == "<|endoftext|>":
-                done.append((now["features"], now["words"], now["summary"], " ".join(now["story"]).strip()))
-                now = fresh()
-            else:
-                now["story"].append(line)
-    return done
-
-
 def parsed(df, src):
     rows = R.make_records(df).filter(f"src = '{src}'").orderBy("rec_id").collect()
     assert [r.rec_id for r in rows] == list(range(len(rows)))
@@ -43,21 +21,41 @@ EDGE = [
 ]
 
 
+# the records of the lines above, written out by hand
+EDGE_RECORDS = [
+    ("a", "", "", "hello  world"),
+    ("", "", "", ""),
+    ("x", "y z", "", "t3"),
+    ("", "", "", "only text"),
+]
+
+
 def test_edge_lines(spark):
     df = spark.createDataFrame([("s", i, t) for i, t in enumerate(EDGE)], SCHEMA)
-    assert parsed(df, "s") == fold(EDGE)
-    assert parsed(df, "s")[2][:2] == ("x", "y z")
-    assert parsed(df.selectExpr("CAST(NULL AS string) AS src", "line_no", "text"), "") == fold(EDGE)
+    assert parsed(df, "s") == EDGE_RECORDS
+    assert parsed(df.selectExpr("CAST(NULL AS string) AS src", "line_no", "text"), "") == EDGE_RECORDS
+
+
+def written(rng, i):
+    """A record, and lines that stand for it: fields in any order, some twice, text before the story."""
+    fields = {"features": f"f{i}", "words": f"w{i}, v", "summary": f"s {i}"}
+    marks = dict(R.FIELD_MARKS)
+    chosen = {k: v for k, v in fields.items() if rng.random() < 0.7}
+    lines = [f" {marks[k]} {v}" for k, v in chosen.items()]
+    lines += [f"{marks[k]} old" for k in chosen if rng.random() < 0.2]
+    lines.reverse()
+    story = [f"line {i}.{j}" for j in range(rng.randrange(5))]
+    if rng.random() < 0.8:
+        lines += [f"noise {i}"] * rng.randrange(3) + ["Story:"]
+    record = tuple(chosen.get(k, "") for k in ("features", "words", "summary")) + (" ".join(story),)
+    return record, lines + [f"  {x} " for x in story] + ["<|endoftext|>"]
 
 
 @pytest.mark.parametrize("partitions", [1, 4, 16])
-def test_random_streams_equal_the_sequential_pass(spark, partitions):
+def test_random_streams_give_the_records_they_were_made_of(spark, partitions):
     rng = random.Random(partitions)
-    kinds = ["Features: f{}", "Words: w{}", "Summary:s{}", "Story:", "<|endoftext|>", "line {}", "", " x{} "]
-    streams = {
-        src: [rng.choice(kinds).format(i) for i in range(n)]
-        for src, n in (("hot", 600), ("cold", 40), ("never", 0))
-    }
+    made = {src: [written(rng, i) for i in range(n)] for src, n in (("hot", 150), ("cold", 10))}
+    streams = {src: [line for _, lines in some for line in lines] for src, some in made.items()}
     streams["never"] = ["Story:", "no end", "here"]
     rows = []
     for src, lines in streams.items():
@@ -68,8 +66,8 @@ def test_random_streams_equal_the_sequential_pass(spark, partitions):
             rows.append((src, at, text))
     rng.shuffle(rows)
     df = spark.createDataFrame(rows, SCHEMA).repartition(partitions)
-    for src, lines in streams.items():
-        assert parsed(df, src) == fold(lines)
+    for src in streams:
+        assert parsed(df, src) == [record for record, _ in made.get(src, [])]
 
 
 def test_unended_source_is_dropped_before_it_is_collected(spark):
@@ -96,6 +94,38 @@ def test_text_files_keep_their_line_order(spark, tmp_path):
     assert [r.story for r in rows[300:]] == ["B"]
 
 
+def test_records_go_on_in_the_next_file(spark, tmp_path):
+    (tmp_path / "part-0.txt").write_text("Features: f\nStory:\none\n")
+    (tmp_path / "part-1.txt").write_text("two\n<|endoftext|>\nStory:\n")
+    (tmp_path / "part-2.txt").write_text("three\n<|endoftext|>\n")
+    rows = R.make_records(S.read_instruct_lines(spark, str(tmp_path), "text")).orderBy("rec_id").collect()
+    assert [(r.features, r.story) for r in rows] == [("f", "one two"), ("", "three")]
+    alone = R.make_records(S.read_instruct_lines(spark, str(tmp_path), "text", per_file=True))
+    assert sorted(r.story for r in alone.collect()) == ["three", "two"]
+
+
+def test_a_failed_rebuild_leaves_no_pair(spark, tmp_path, monkeypatch):
+    def lines(word):
+        return spark.createDataFrame([("s", 0, f"Words: {word}"), ("s", 1, "<|endoftext|>")], SCHEMA)
+
+    folder = str(tmp_path)
+    S.get_or_make_records(lines("a"), lines("b"), folder)
+    (tmp_path / "sft_train" / "_SUCCESS").unlink()
+    save = S.save_records
+
+    def fails(records, path):
+        if path.endswith("sft_val"):
+            raise OSError("lost")
+        save(records, path)
+
+    monkeypatch.setattr(S, "save_records", fails)
+    with pytest.raises(OSError):
+        S.get_or_make_records(lines("c"), lines("d"), folder)
+    monkeypatch.undo()
+    pair = S.get_or_make_records(lines("e"), lines("f"), folder)
+    assert [df.first().words for df in pair] == ["e", "f"]
+
+
 def test_records_are_reused_only_as_a_pair(spark, tmp_path):
     def lines(word):
         return spark.createDataFrame([("s", 0, f"Words: {word}"), ("s", 1, "<|endoftext|>")], SCHEMA)

@@ -2,6 +2,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from corpusloom.config import TokenizerSettings
@@ -106,6 +107,27 @@ def test_routing(spark):
     assert [r.cand for r in first] == [0, 2] and math.isclose(sum(r.weight for r in first), 1.0)
 
 
+def test_null_epochs_are_epochs(spark):
+    log = spark.createDataFrame([(None, i, 1.0) for i in range(6)] + [("e", 1, 2.0)], "epoch string, step int, loss double")
+    got = M.windowed_history(log, 2).collect()
+    assert sorted((r.epoch, r.window, r.mean_loss) for r in got) == [(None, i, 1.0) for i in range(3)]
+
+
+@pytest.mark.parametrize("label", [7, -1, None])
+def test_labels_that_are_no_class_are_refused(spark, label):
+    df = spark.createDataFrame([([0.0, 1.0], 0), ([0.0, 1.0], label)], "scores array<double>, label int")
+    with pytest.raises(PySparkException, match="no class"):
+        M.cross_entropy(df).collect()
+
+
+def test_reports_of_nothing(spark):
+    none = spark.createDataFrame([], "scores array<double>, n_tokens int")
+    rows = M.route_load(none, 2, 3).collect()
+    assert [(r.cand, r.share, r.balance, r.worst) for r in sorted(rows)] == [(i, 0.0, 0.0, 0.0) for i in range(3)]
+    stats = R.length_stats(none).first()
+    assert stats.n == 0 and stats["mean"] is None and stats["p99"] is None
+
+
 def test_prompts_and_answers(spark):
     train = spark.createDataFrame([("Dialogue BadEnding ride work upset a b , . Tom ran",)], "text string")
     tok = Tokenizer.train(train, TokenizerSettings("word-level", "whitespace", 40, 1))

@@ -164,5 +164,29 @@ def test_stream_equals_batch(spark, texts, tokenizer, tmp_path):
     write_sequences(stream, tokenizer, out, str(tmp_path / "ck")).awaitTermination(120)
     want = pretraining.corpus_sequences(df, tokenizer, "doc_id").orderBy("doc_id").collect()
     assert spark.read.parquet(out).orderBy("doc_id").collect() == want
-    with pytest.raises(ValueError):
-        write_sequences(stream, Tokenizer(TokenizerSettings("word-level", "whitespace"), None), out, out)
+    words = Tokenizer.train(df, TokenizerSettings("word-level", "whitespace", 100))
+    out = str(tmp_path / "words")
+    write_sequences(stream, words, out, str(tmp_path / "ck2")).awaitTermination(120)
+    want = pretraining.corpus_sequences(df, words, "doc_id").orderBy("doc_id").collect()
+    assert spark.read.parquet(out).orderBy("doc_id").collect() == want
+
+
+@pytest.mark.parametrize("sources", [("a", "b"), (None, "b", "c")])
+def test_eval_batches_of_several_sources(spark, sources):
+    rows = [(s, i, [i] * (i + 1), [i] * (i + 1)) for s in sources for i in range(5)]
+    df = spark.createDataFrame(rows, "src string, rec_id long, input_ids array<int>, labels array<int>").repartition(3)
+    got = finetuning.eval_batches(df).orderBy("batch_id", "row_in_batch").collect()
+    assert [(r.src, r.rec_id, 4 * r.batch_id + r.row_in_batch) for r in got] == [
+        (s, i, 5 * k + i) for k, s in enumerate(sources) for i in range(5)
+    ]
+
+
+def test_batch_keys(spark):
+    some = spark.createDataFrame([(None,), (3,), (1,)], "k long")
+    for made in (B.batch_eval(some, "k"), B.batch_train(some, "k")):
+        assert sorted(r.row_in_batch for r in made.collect()) == [0, 1, 2]
+    assert [r.k for r in B.batch_eval(some, "k").orderBy("row_in_batch").collect()] == [None, 1, 3]
+    twice = spark.createDataFrame([(3,), (3,), (1,)], "k long")
+    for made in (B.batch_eval(twice, "k"), B.batch_train(twice, "k")):
+        with pytest.raises(PySparkException, match="not unique"):
+            made.collect()

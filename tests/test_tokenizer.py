@@ -1,4 +1,5 @@
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,6 +8,7 @@ from tokenizers import decoders, models, normalizers, pre_tokenizers, trainers
 
 from corpusloom.config import SPECIAL_TOKENS, TokenizerSettings
 from corpusloom.operators import bpe, vocab
+from corpusloom.plans import generation
 from corpusloom.tokenizer import Tokenizer, get_or_train, load_tokenizer
 
 
@@ -70,8 +72,6 @@ def test_bpe_encoding_like_library(spark, pair, texts):
 
 def test_bpe_decoding_like_library(spark, pair, texts):
     ours, theirs, _ = pair
-    if not ours.byte_level:
-        pytest.skip("the byte decoder goes with byte-level words")
     some = texts[:50] + ODD
     coded = ours.encode(frame(spark, some), ["doc_id"], {"ids": "text"})
     got = [r.text for r in ours.decode(coded, "ids").orderBy("doc_id").collect()]
@@ -131,28 +131,37 @@ def test_null_text_encodes_to_nothing(spark):
     assert encoded(tok, df) == [[], [13, 13]]
 
 
-def test_large_vocabulary_takes_the_shuffle_path(spark, texts, monkeypatch):
-    """Beyond the broadcast bound the lookup is a salted shuffle join with the same result."""
-    some = texts[:40] + ["the " * 500]
-    tok = Tokenizer.train(frame(spark, some), TokenizerSettings("word-level", "whitespace", 300))
-    want = encoded(tok, frame(spark, some))
-    monkeypatch.setattr(vocab, "BROADCAST_ROWS", 10)
-    monkeypatch.setattr(vocab, "SALTS", 3)
-    assert encoded(tok, frame(spark, some)) == want
-    coded = spark.createDataFrame(list(enumerate(want)), "doc_id long, ids array<int>")
-    joined = tok.decode(coded, "ids", key=["doc_id"]).orderBy("doc_id").collect()
-    with pytest.raises(ValueError):
-        tok.decode(coded, "ids")
-    monkeypatch.undo()
-    assert joined == tok.decode(coded, "ids").orderBy("doc_id").collect()
+def test_decoding_does_not_depend_on_the_size_in_the_settings(spark, texts):
+    some = frame(spark, texts[:40])
+    small = Tokenizer.train(some, TokenizerSettings("word-level", "whitespace", 300))
+    named_large = Tokenizer(TokenizerSettings("word-level", "whitespace", 2_000_000), small.vocab)
+    coded = named_large.encode(some, ["doc_id"], {"ids": "text"})
+    answers = coded.withColumn("prompt_len", F.lit(0)).withColumn("ids", F.concat("ids", F.array(F.lit(12))))
+    got = generation.story_texts(answers, named_large).orderBy("doc_id").collect()
+    assert got == generation.story_texts(answers, small).orderBy("doc_id").collect()
+    assert generation.continuation_texts(coded, named_large).count() == 40
+
+
+def test_prompts_take_time_in_proportion_to_the_text(spark):
+    """Long texts are encoded row by row; nothing carries the whole text along with every word."""
+    tok = Tokenizer.train(frame(spark, ["a b c"]), TokenizerSettings("word-level", "whitespace", 50, 1))
+
+    def seconds(words):
+        df = spark.createDataFrame([(1, ["x"], ["y"], "a b " * (words // 2))], "k int, features array<string>, words array<string>, summary string")
+        start = time.time()
+        row = generation.story_prompts(df, tok, "k").collect()[0]
+        assert len(row.prompt) == words + 10
+        return time.time() - start
+
+    seconds(1000)
+    assert seconds(40_000) < 8 * seconds(10_000) + 1
 
 
 def test_several_texts_in_one_pass(spark):
     df = spark.createDataFrame([(1, "a b", "c"), (2, "", "b b a"), (3, None, "")], "k long, x string, y string")
     tok = Tokenizer.train(df.select(F.lit("a b c").alias("text")), TokenizerSettings("word-level", "whitespace", 20, 1))
-    for clustered in (False, True):
-        rows = tok.encode(df, ["k"], {"p": "x", "q": "y"}, clustered=clustered).orderBy("k").collect()
-        assert [(r.p, r.q) for r in rows] == [([13, 14], [15]), ([], [14, 14, 13]), ([], [])]
+    rows = tok.encode(df, ["k"], {"p": "x", "q": "y"}).orderBy("k").collect()
+    assert [(r.p, r.q) for r in rows] == [([13, 14], [15]), ([], [14, 14, 13]), ([], [])]
 
 
 def test_save_load_and_reuse(spark, texts, tmp_path):
@@ -178,7 +187,7 @@ def test_token_lookup(spark):
     tok = Tokenizer.train(frame(spark, ["a a b"]), TokenizerSettings("word-level", "whitespace", 20, 1))
     assert (tok.size(), tok.token_to_id("[PAD]"), tok.token_to_id("a"), tok.token_to_id("zz")) == (15, 1, 13, None)
     asked = spark.createDataFrame([("a",), ("zz",), ("[EOS]",)], "token string")
-    found = {r.token: r.id for r in vocab.token_to_id(asked, tok.vocab, 20).collect()}
+    found = {r.token: r.id for r in vocab.token_to_id(asked, tok.vocab).collect()}
     assert found == {"a": 13, "zz": None, "[EOS]": 3}
 
 
@@ -188,13 +197,11 @@ def test_word_counts_tokenize_each_text_once(spark, small):
     assert plan.count("regexp_extract_all") == 1
 
 
-def test_word_level_encoding_shuffles_text_only(spark, small):
+def test_word_level_encoding_needs_no_shuffle(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     tok = Tokenizer.train(docs, TokenizerSettings("word-level", "whitespace", 100))
-    fixed = Tokenizer(tok.settings, spark.createDataFrame(tok.vocab.collect(), vocab.VOCAB_SCHEMA))
-    plan = fixed.encode(docs, ["doc_id"], {"ids": "text"})._jdf.queryExecution().executedPlan().toString()
-    assert "BroadcastHashJoin" in plan
-    assert plan.count("Exchange hashpartitioning") == 1
+    plan = tok.encode(docs, ["doc_id"], {"ids": "text"})._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan
 
 
