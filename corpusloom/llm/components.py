@@ -5,7 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.session import cut_lineage
+from corpusloom.session import scratch_path
+
+
+def stored(df: DataFrame, name: str = "step") -> DataFrame:
+    """``df`` written to the shared folder and read again.
+
+    In a loop a written table is better than a checkpoint, whose plan keeps what is known of the columns,
+    which grows with every turn.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -16,18 +27,18 @@ def components(links: DataFrame) -> DataFrame:
     with very many links is only a long run of narrow rows, which a skewed join can split.
     """
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    both = cut_lineage(both.filter("a <> b").distinct())
-    labels = cut_lineage(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("label")))
+    both = stored(both.filter("a <> b").distinct(), "links")
+    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("label")))
     while True:
         near = (
-            both.join(labels.select(F.col("node").alias("b"), F.col("label").alias("seen")).hint("merge"), "b")
+            both.join(labels.select(F.col("node").alias("b"), F.col("label").alias("seen")), "b")
             .groupBy(F.col("a").alias("node"))
             .agg(F.min("seen").alias("seen"))
         )
-        closer = labels.join(near.hint("merge"), "node").select("node", F.least("label", "seen").alias("to"), "label")
+        closer = stored(labels.join(near, "node").select("node", F.least("label", "seen").alias("to"), "label"))
         jump = closer.select(F.col("node").alias("to"), F.col("to").alias("further"))
-        after = closer.join(jump.hint("merge"), "to").select("node", F.least("to", "further").alias("label"), F.col("label").alias("was"))
-        after = cut_lineage(after)
+        after = closer.join(jump, "to").select("node", F.least("to", "further").alias("label"), F.col("label").alias("was"))
+        after = stored(after)
         if after.filter("label <> was").isEmpty():
             return after.select("node", "label")
         labels = after.select("node", "label")

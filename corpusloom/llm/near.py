@@ -11,10 +11,11 @@ it is the Jaccard similarity. A class is a connected component of links.
    than all registers' (ProbMinHash). The share of equal registers estimates the similarity.
 3. Banding: documents that share all registers of a band meet in a bucket. With 16 bands of 4 a pair at 0.8
    meets with a probability of 0.9998.
-4. Verification in rounds: per bucket and round one member is the centre, which changes with the round, and
-   members of other classes are compared with it, on their whole texts; then classes are joined. So a
-   bucket costs its size in each round, not its square. It ends when a round finds no link. (A
-   link between two members neither of which was a centre is found through others, or in a later round.)
+4. Verification in rounds: per bucket a few members are centres, and members of other classes are compared
+   with them, on their whole texts; then classes are joined. The centres change with the round and double
+   from the second on, so a bucket costs its size times the centres, not its square, and small buckets are
+   compared in full. It ends when a round finds no link. A link in a large bucket is missed only if neither
+   end was a centre, no other link joins their classes, and the last round saw none of its kind.
 
 Ids must be whole numbers, and one row per id; rows without an id are left out. Texts without a word
 (null, empty, punctuation) have no shingles and are classes of their own. Texts of fewer than five words
@@ -31,8 +32,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm import words as W
-from corpusloom.llm.components import components
-from corpusloom.session import cut_lineage, scratch_path, shared_folder
+from corpusloom.llm.components import components, stored
+from corpusloom.session import shared_folder
 
 BANDS, ROWS = 16, 4
 REGISTERS = BANDS * ROWS
@@ -127,51 +128,56 @@ def similarity(left: pa.Array, right: pa.Array) -> np.ndarray:
 
 
 def _verified(threshold: float):
+    """The classes of the pairs whose texts are similar."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in W.pieces(batch, "text_b", rows=512):
                 alike = pa.array(similarity(part["text_a"], part["text_b"]) >= threshold - 1e-9)
-                yield pa.record_batch({"a": part["a"].filter(alike), "b": part["b"].filter(alike)})
+                yield pa.record_batch({"a": part["class_a"].filter(alike), "b": part["class_b"].filter(alike)})
 
     return run
 
 
-def links(texts: DataFrame, buckets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Links that join the members of buckets into classes.
+def bucket_classes(texts: DataFrame, buckets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """``id`` and ``label``, the smallest id of its class, for the ids that share a bucket with others.
 
     ``texts`` has a row (id, text) for each id, ``buckets`` a row (bucket, id) for each membership.
     """
-    spark = texts.sparkSession
     shared = buckets.groupBy("bucket").count().filter("count > 1").select("bucket")
-    members = cut_lineage(buckets.join(shared.hint("merge"), "bucket"))
-    ids = members.select("id").distinct()
-    path = scratch_path(spark, "near-texts")
-    texts.join(ids, "id", "left_semi").write.parquet(path)
-    texts = spark.read.parquet(path)
-    open_, label, found, turn = members.withColumn("label", F.col("id")), None, None, 0
+    members = stored(buckets.join(shared, "bucket"), "members")
+    label = members.select("id").distinct().withColumn("label", F.col("id"))
+    texts = stored(texts.join(label.select("id"), "id", "left_semi"), "texts")
+    open_, turn = members.withColumn("label", F.col("id")), 0
     while True:
         # in the first round all buckets of a document tend to have the same centre, later all differ
-        rank = F.xxhash64("id") if turn == 0 else F.xxhash64(F.lit(turn), "bucket", "id")
-        centres = open_.groupBy("bucket").agg(F.min(F.struct(rank.alias("r"), "id", "label")).alias("c"))
-        pairs = (
-            open_.join(centres.hint("merge"), "bucket")
-            .filter(F.col("label") != F.col("c.label"))
-            .select(F.least("id", "c.id").alias("a"), F.greatest("id", "c.id").alias("b"))
-            .distinct()
+        ranks = [F.xxhash64(F.lit(turn), F.lit(k), "bucket", "id") for k in range(1 << max(0, turn - 1))]
+        ranks = ranks if turn else [F.xxhash64("id")]
+        centres = open_.groupBy("bucket").agg(
+            *[F.min(F.struct(r.alias("rank"), "id", "label")).alias(f"c{k}") for k, r in enumerate(ranks)]
         )
-        pairs = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")).hint("merge"), "b")
-        pairs = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")).hint("merge"), "a")
-        new = cut_lineage(pairs.mapInArrow(_verified(threshold), "a long, b long"))
-        nothing = new.isEmpty()
-        found = new if found is None else found.unionByName(new)
-        if nothing and turn:
-            return found
+        centres = centres.select("bucket", F.explode(F.array(*[f"c{k}" for k in range(len(ranks))])).alias("c"))
+        met = open_.join(centres, "bucket").filter(F.col("label") != F.col("c.label"))
+        one, other = F.struct("id", "label"), F.struct("c.id", "c.label")
+        pairs = met.select(F.least(one, other).alias("x"), F.greatest(one, other).alias("y")).distinct()
+        pairs = pairs.select(
+            F.col("x.id").alias("a"), F.col("x.label").alias("class_a"),
+            F.col("y.id").alias("b"), F.col("y.label").alias("class_b"),
+        )
+        pairs = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
+        pairs = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
+        new = stored(pairs.mapInArrow(_verified(threshold), "a long, b long").distinct(), "links")
+        if new.isEmpty():
+            if turn:
+                return label
+        else:
+            joined = components(new).select(F.col("node").alias("label"), F.col("label").alias("whole"))
+            label = label.join(joined, "label", "left").select("id", F.coalesce("whole", "label").alias("label"))
+            label = stored(label, "labels")
         turn += 1
-        label = components(found)
-        named = members.join(label.withColumnRenamed("node", "id").hint("merge"), "id", "left")
-        named = named.select("bucket", "id", F.coalesce("label", "id").alias("label"))
+        named = members.join(label, "id")
         several = named.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y")
-        open_ = cut_lineage(named.join(several.select("bucket").hint("merge"), "bucket"))
+        open_ = stored(named.join(several.select("bucket"), "bucket"), "open")
 
 
 def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -181,18 +187,16 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", thres
     rows = docs.filter(F.col(key).isNotNull()).select(
         F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text")
     )
-    path = scratch_path(spark, "signatures")
-    rows.mapInArrow(_signed, "id long, same1 long, same2 long, buckets array<long>").write.parquet(path)
-    signed = spark.read.parquet(path)
-    same = cut_lineage(
-        signed.groupBy("same1", "same2").agg(F.min("id").alias("first"), F.first("buckets").alias("buckets"))
-    )
+    signed = rows.mapInArrow(_signed, "id long, same1 long, same2 long, buckets array<long>")
+    signed = stored(signed, "signatures")
+    same = signed.groupBy("same1", "same2").agg(F.min("id").alias("first"), F.first("buckets").alias("buckets"))
+    same = stored(same, "texts-apart")
     buckets = same.select(F.explode("buckets").alias("bucket"), F.col("first").alias("id"))
-    label = components(links(rows, buckets, threshold))
-    named = same.select("same1", "same2", "first").join(label.withColumnRenamed("node", "first"), "first", "left")
+    label = bucket_classes(rows, buckets, threshold).withColumnRenamed("id", "first")
+    named = same.select("same1", "same2", "first").join(label, "first", "left")
     named = named.select("same1", "same2", F.coalesce("label", "first").alias("class_id"))
     member = signed.select("id", "same1", "same2").join(named, ["same1", "same2"]).select("id", "class_id")
-    member = cut_lineage(member)
+    member = stored(member, "classes")
     bare = rows.select("id").join(member.select("id"), "id", "left_anti").withColumn("class_id", F.col("id"))
     every = member.unionByName(bare)
     sizes = every.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size"))
