@@ -14,6 +14,9 @@ from corpusloom.tokenizer import Tokenizer, get_or_train
 
 WORD_LEVEL = TokenizerSettings("word-level", "whitespace", vocab_size=512)
 SUBWORD = TokenizerSettings(vocab_size=512)
+# The default tokenizer's size in the queries whose SQL learns the merges anew: a second for ten or so.
+CHECKED_VOCAB = 256
+CHECKED_SUBWORD = TokenizerSettings(vocab_size=CHECKED_VOCAB)
 
 # Room for 2^24 lines per document in the line number.
 LINE_BITS = 24
@@ -85,3 +88,7 @@ def word_tokenizer(spark: SparkSession, sf_dir: str) -> Tokenizer:
 
 def bpe_tokenizer(spark: SparkSession, sf_dir: str) -> Tokenizer:
     return _tokenizer(spark, sf_dir, SUBWORD)
+
+
+def checked_bpe_tokenizer(spark: SparkSession, sf_dir: str) -> Tokenizer:
+    return _tokenizer(spark, sf_dir, CHECKED_SUBWORD)

@@ -2,15 +2,26 @@
 
 from __future__ import annotations
 
-from corpusloom.config import COVERAGE_CUTOFFS, SPECIAL_TOKENS
-from corpusloom.functions.text import PYTHON_BLANKS, SPACING_REPAIRS
+# Expected values, written out here so that a wrong one in the library shows.
+SPECIAL_TOKENS = (
+    "[UNK]", "[PAD]", "[BOS]", "[EOS]", "[SEP]", "<features>", "</features>", "<words>", "</words>",
+    "<summary>", "</summary>", "<story>", "</story>",
+)
+COVERAGE_CUTOFFS = (256, 512, 768, 850, 1024, 1280, 1536, 2048)
+SPACING_REPAIRS = (
+    (" ,", ","), (" .", "."), (" !", "!"), (" ?", "?"), (" '", "'"), (" \n", "\n"), ("Ġ", " "), ("Ċ", "\n"),
+)
+BLANK_CODES = (
+    *range(9, 14), *range(28, 33), 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288,
+)
 
 VOCAB = 512
+BPE_VOCAB = 256
 
 BLANK = r"[\s\x0b\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 WORD = r"[\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}]+|[^\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}\s]+"
 PIECE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+"
-STRIP = "||".join(f"chr({ord(ch)})" for ch in PYTHON_BLANKS)
+STRIP = "||".join(f"chr({code})" for code in BLANK_CODES)
 
 
 def quoted(text: str) -> str:
@@ -97,18 +108,7 @@ lines AS (
     FROM described))"""
 LINE_NO = "(doc_id << 24) + k"
 
-RECORDS_ENCODED_CTE = f"""{VOCAB_CTE},
-{RECORDS_CTE},
-fields AS (
-  SELECT src, rec_id, unnest([0, 1, 2, 3]) AS field, unnest([features, words, summary, story]) AS text
-  FROM records),
-rtok AS (
-  SELECT src, rec_id, field, unnest(w) AS token, unnest(range(len(w))) AS pos
-  FROM (SELECT src, rec_id, field, {words('text')} AS w FROM fields)),
-rids AS (
-  SELECT src, rec_id, field, list(coalesce(id, 0) ORDER BY pos) AS ids
-  FROM rtok LEFT JOIN vocab USING (token) GROUP BY ALL),
-renc AS (
+RENC_CTE = """renc AS (
   SELECT r.src, r.rec_id,
     coalesce(f.ids, []::INTEGER[]) AS f, coalesce(w.ids, []::INTEGER[]) AS w,
     coalesce(s.ids, []::INTEGER[]) AS s, coalesce(t.ids, []::INTEGER[]) AS t
@@ -116,8 +116,8 @@ renc AS (
   LEFT JOIN rids f ON (f.src, f.rec_id, f.field) = (r.src, r.rec_id, 0)
   LEFT JOIN rids w ON (w.src, w.rec_id, w.field) = (r.src, r.rec_id, 1)
   LEFT JOIN rids s ON (s.src, s.rec_id, s.field) = (r.src, r.rec_id, 2)
-  LEFT JOIN rids t ON (t.src, t.rec_id, t.field) = (r.src, r.rec_id, 3)),
-prompts AS (
+  LEFT JOIN rids t ON (t.src, t.rec_id, t.field) = (r.src, r.rec_id, 3))"""
+SFT_CTE = """prompts AS (
   SELECT *, [2, 5] || f || [6, 7] || w || [8, 9] || s || [10, 11] AS prompt FROM renc),
 sft AS (
   SELECT src, rec_id, prompt || t || [12, 3] AS ids,
@@ -128,6 +128,20 @@ cut AS (
     CASE WHEN len(ids) > 512 THEN labels[:511] || [3] ELSE labels END AS labels
   FROM sft)"""
 
+RECORDS_ENCODED_CTE = f"""{VOCAB_CTE},
+{RECORDS_CTE},
+fields AS (
+  SELECT src, rec_id, unnest([0, 1, 2, 3]) AS field, unnest([features, words, summary, story]) AS text
+  FROM records),
+rtok AS (
+  SELECT src, rec_id, field, unnest(w) AS token, unnest(range(len(w))) AS pos
+  FROM (SELECT src, rec_id, field, {words('text')} AS w FROM fields)),
+rids AS (
+  SELECT src, rec_id, field, list(coalesce(id, 0) ORDER BY pos) AS ids
+  FROM rtok LEFT JOIN vocab USING (token) GROUP BY ALL),
+{RENC_CTE},
+{SFT_CTE}"""
+
 FRAMED = "[2] || ids || [3]"
 TRUNCATED = f"CASE WHEN len(ids) > 510 THEN ([2] || ids)[:511] || [3] ELSE {FRAMED} END"
 
@@ -136,8 +150,8 @@ def padded(ids: str, value: int, upto: str) -> str:
     return f"{ids} || list_transform(range({upto} - len({ids})), lambda i: {value})"
 
 
-def padded_corpus(order: str, size: int) -> str:
-    return f"""WITH {ENCODED_CTE},
+def padded_corpus(order: str, size: int, encoded: str = ENCODED_CTE) -> str:
+    return f"""WITH RECURSIVE {encoded},
 seqs AS (SELECT doc_id, {TRUNCATED} AS ids FROM enc),
 numbered AS (SELECT *, row_number() OVER (ORDER BY {order}) - 1 AS i FROM seqs),
 measured AS (SELECT *, i // {size} AS batch_id, max(len(ids)) OVER (PARTITION BY i // {size}) AS longest
@@ -149,6 +163,17 @@ FROM measured"""
 LENGTHS_CTE = f"""lengths AS (
   SELECT doc_id, len({words('text')}) AS n_tokens FROM documents WHERE text IS NOT NULL AND text <> '')"""
 
+SFT_LENGTHS_CTE = f"""{RECORDS_CTE},
+lengths AS (SELECT 10 + len({words('features')}) + len({words('words')}) + len({words('summary')})
+  + len({words('story')}) AS n_tokens FROM records)"""
+STATS = """SELECT count(*) AS n, min(n_tokens) AS min, max(n_tokens) AS max, round(avg(n_tokens), 6) AS mean,
+  round(stddev_pop(n_tokens), 6) AS std, round(quantile_cont(n_tokens, 0.5), 6) AS median,
+  round(quantile_cont(n_tokens, 0.25), 6) AS p25, round(quantile_cont(n_tokens, 0.75), 6) AS p75,
+  round(quantile_cont(n_tokens, 0.9), 6) AS p90, round(quantile_cont(n_tokens, 0.95), 6) AS p95,
+  round(quantile_cont(n_tokens, 0.99), 6) AS p99 FROM lengths"""
+COVERAGE = f"""SELECT max_seq, round(100.0::DOUBLE * count(*) FILTER (WHERE n_tokens <= max_seq) / count(*), 6) AS coverage
+FROM lengths, (SELECT unnest([{', '.join(map(str, COVERAGE_CUTOFFS))}])::INTEGER AS max_seq) GROUP BY max_seq"""
+
 LOG_CTE = """log AS (SELECT event_type AS epoch, event_id AS step, value / 100.0::DOUBLE AS loss FROM events)"""
 
 SCORES_CTE = """scores AS (
@@ -208,6 +233,79 @@ BYTE_TOKENS_CTE = f"""pieces AS (
 spelled AS (SELECT word, {bytes_shown('word')} AS shown
   FROM (SELECT DISTINCT word FROM pieces), (SELECT {BYTE_CHARS} AS tbl))"""
 
+def bpe_cte(size: int = BPE_VOCAB) -> str:
+    """Learning merges as a recursion over the distinct words, spelled as ids in angle brackets.
+
+    A step finds the best pair (most frequent, then smallest ids) and replaces it, leftmost first. One
+    more row holds the tokens; a merge that spells a known token takes its id.
+    """
+    specials = ", ".join(quoted(t) for t in SPECIAL_TOKENS)
+    return f"""{BYTE_TOKENS_CTE},
+wc AS (SELECT shown AS word, count(*) AS n FROM pieces JOIN spelled USING (word) GROUP BY 1),
+alpha AS (SELECT c, 12 + row_number() OVER (ORDER BY unicode(c)) AS id
+  FROM (SELECT DISTINCT unnest(string_split(word, '')) AS c FROM wc)),
+start AS (SELECT word, any_value(n) AS n, string_agg('<' || id || '>', '' ORDER BY i) AS s
+  FROM (SELECT word, n, unnest(string_split(word, '')) AS c, unnest(range(length(word))) AS i FROM wc)
+  JOIN alpha USING (c) GROUP BY word),
+bpe AS (
+  (SELECT 0 AS step, word, n, s, NULL::VARCHAR[] AS toks, 0::BIGINT AS l, 0::BIGINT AS r, 0::BIGINT AS m FROM start
+   UNION ALL
+   SELECT 0, NULL, 0, '', [{specials}] || coalesce(list(c ORDER BY id), []), 0, 0, 0 FROM alpha)
+  UNION ALL
+  SELECT step + 1, word, n, replace(s, '<' || p.l || '><' || p.r || '>', '<' || p.m || '>'),
+    CASE WHEN toks IS NULL THEN NULL WHEN p.m = len(toks) THEN list_append(toks, p.joined) ELSE toks END, p.l, p.r, p.m
+  FROM bpe, (
+    SELECT l, r, joined, coalesce(list_position(known, joined) - 1, len(known)) AS m FROM (
+      SELECT l, r, known, known[l + 1] || known[r + 1] AS joined FROM (
+        SELECT pair[1] AS l, pair[2] AS r, sum(n) AS c FROM (
+          SELECT n, unnest(list_transform(range(1, len(ids)), lambda i: [ids[i], ids[i + 1]])) AS pair FROM (
+            SELECT n, regexp_extract_all(s, '\\d+')::BIGINT[] AS ids FROM bpe WHERE word IS NOT NULL))
+        GROUP BY 1, 2 HAVING sum(n) >= 2 ORDER BY c DESC, l, r LIMIT 1),
+        (SELECT toks AS known FROM bpe WHERE toks IS NOT NULL)
+      WHERE len(known) < {size})) p),
+learned AS (SELECT word AS shown, regexp_extract_all(s, '\\d+')::INTEGER[] AS ids FROM bpe
+  WHERE word IS NOT NULL AND step = (SELECT max(step) FROM bpe))"""
+
+
+def bpe_encoded(source: str, keys: str) -> str:
+    """``keys`` and ids of the column text of a source whose words are among the learned ones or not."""
+    return f"""SELECT {keys}, coalesce(ids, []::INTEGER[]) AS ids FROM {source} LEFT JOIN (
+  SELECT {keys}, flatten(list(ids ORDER BY pos)) AS ids FROM (
+    SELECT {keys}, unnest(w) AS word, unnest(range(len(w))) AS pos FROM (
+      SELECT {keys}, {byte_words('text')} AS w FROM {source}))
+  JOIN spelled USING (word) JOIN learned USING (shown) GROUP BY {keys}) USING ({keys})"""
+
+
+BPE_RECORDS_CTE = f"""{bpe_cte()},
+{RECORDS_CTE},
+fields AS (
+  SELECT src, rec_id, unnest([0, 1, 2, 3]) AS field, unnest([features, words, summary, story]) AS text
+  FROM records),
+fpieces AS (
+  SELECT src, rec_id, field, unnest(w) AS word, unnest(range(len(w))) AS pos
+  FROM (SELECT src, rec_id, field, {byte_words('text')} AS w FROM fields)),
+fspelled AS (SELECT word, {bytes_shown('word')} AS shown
+  FROM (SELECT DISTINCT word FROM fpieces), (SELECT {BYTE_CHARS} AS tbl)),
+-- words of labels and sources may be none of the documents': the merges are replayed on them
+fcodes AS (SELECT shown, string_agg('<' || coalesce(id, 0) || '>', '' ORDER BY i) AS s FROM (
+  SELECT shown, unnest(string_split(shown, '')) AS c, unnest(range(length(shown))) AS i
+  FROM (SELECT DISTINCT shown FROM fspelled)) LEFT JOIN alpha USING (c) GROUP BY shown),
+steps AS (SELECT step, l, r, m FROM bpe WHERE toks IS NOT NULL AND step > 0),
+replay AS (
+  SELECT 0 AS done, shown, s FROM fcodes
+  UNION ALL
+  SELECT done + 1, shown, replace(s, '<' || l || '><' || r || '>', '<' || m || '>')
+  FROM replay JOIN steps ON step = done + 1),
+flearned AS (SELECT shown, regexp_extract_all(s, '\\d+')::INTEGER[] AS ids FROM replay
+  WHERE done = (SELECT max(step) FROM steps)),
+rids AS (SELECT src, rec_id, field, flatten(list(ids ORDER BY pos)) AS ids
+  FROM fpieces JOIN fspelled USING (word) JOIN flearned USING (shown) GROUP BY ALL),
+{RENC_CTE},
+{SFT_CTE}"""
+
+BPE_ENCODED_CTE = f"""{bpe_cte()},
+enc AS ({bpe_encoded('documents', 'doc_id')})"""
+
 DECODED = "array_to_string(list(token ORDER BY pos) FILTER (WHERE id >= 13), ' ')"
 DECODED_CTE = f"""{ENCODED_CTE},
 decoded AS (
@@ -225,8 +323,7 @@ ORACLE = {
     "vocab_roundtrip": f"WITH {VOCAB_CTE} SELECT * FROM vocab",
     "default_text": """SELECT doc_id, coalesce(quality::VARCHAR || ',' || toxic::VARCHAR, '') AS text
       FROM documents LEFT JOIN labels USING (doc_id)""",
-    "drop_empty": r"""SELECT * FROM (SELECT doc_id,
-      string_split(regexp_replace(text, '\.$', chr(10)), chr(10))[-1] AS text FROM documents) WHERE text <> ''""",
+    "drop_empty": "SELECT doc_id, text FROM documents JOIN labels USING (doc_id) WHERE quality = 1 AND text <> ''",
     "normalize_text": f"SELECT doc_id, {norm('text')} AS text FROM documents",
     "words_whitespace": f"SELECT doc_id, array_to_string({words('text')}, ' ') AS words FROM documents",
     "words_bytelevel": f"""WITH {BYTE_TOKENS_CTE}
@@ -281,7 +378,8 @@ LEFT JOIN vocab USING (token)""",
     "sft_labels": f"WITH {RECORDS_ENCODED_CTE} SELECT src, rec_id, {text_of('labels')} AS labels FROM sft",
     "truncate_sft": f"""WITH {RECORDS_ENCODED_CTE}
 SELECT src, rec_id, {text_of('ids')} AS ids, {text_of('labels')} AS labels FROM cut""",
-    "check_lengths": f"WITH {RECORDS_ENCODED_CTE} SELECT count(*) AS n_unequal FROM cut WHERE len(ids) <> len(labels)",
+    "check_lengths": f"""WITH {RECORDS_CTE}
+SELECT src, count(*) AS n_unequal FROM records WHERE rec_id % 3 = 0 GROUP BY src""",
     "shift_labels": f"""WITH {ENCODED_CTE},
 padded AS (SELECT doc_id, {FRAMED} || [1, 1] AS ids FROM enc)
 SELECT doc_id, {text_of('ids[:-2]')} AS ids,
@@ -303,15 +401,34 @@ SELECT src, rec_id, batch_id, i % 8 AS row_in_batch, {text_of('(' + padded('ids'
     "step_budget": """SELECT n_batches, n_batches * 2 AS n_steps, floor(0.03::DOUBLE * (n_batches * 2))::BIGINT AS n_warmup
 FROM (SELECT ceil(count(*) / 8)::BIGINT AS n_batches FROM documents)""",
     "corpus_lengths": f"WITH {LENGTHS_CTE} SELECT * FROM lengths",
-    "length_stats": f"""WITH {LENGTHS_CTE}
-SELECT count(*) AS n, min(n_tokens) AS min, max(n_tokens) AS max, round(avg(n_tokens), 6) AS mean,
-  round(stddev_pop(n_tokens), 6) AS std, round(quantile_cont(n_tokens, 0.5), 6) AS median,
-  round(quantile_cont(n_tokens, 0.25), 6) AS p25, round(quantile_cont(n_tokens, 0.75), 6) AS p75,
-  round(quantile_cont(n_tokens, 0.9), 6) AS p90, round(quantile_cont(n_tokens, 0.95), 6) AS p95,
-  round(quantile_cont(n_tokens, 0.99), 6) AS p99 FROM lengths""",
-    "truncation_coverage": f"""WITH {LENGTHS_CTE}
-SELECT max_seq, round(100.0::DOUBLE * count(*) FILTER (WHERE n_tokens <= max_seq) / count(*), 6) AS coverage
-FROM lengths, (SELECT unnest([{', '.join(map(str, COVERAGE_CUTOFFS))}])::INTEGER AS max_seq) GROUP BY max_seq""",
+    "length_stats": f"WITH {LENGTHS_CTE} {STATS}",
+    "sft_length_stats": f"WITH {SFT_LENGTHS_CTE} {STATS}",
+    "sft_truncation_coverage": f"WITH {SFT_LENGTHS_CTE} {COVERAGE}",
+    "length_stats_bpe": f"""WITH RECURSIVE {BPE_ENCODED_CTE},
+lengths AS (SELECT len(ids) AS n_tokens FROM enc JOIN documents USING (doc_id) WHERE text <> '') {STATS}""",
+    "train_bpe": f"""WITH RECURSIVE {bpe_cte()}
+SELECT (step - 1)::INTEGER AS rank, l::INTEGER AS left_id, r::INTEGER AS right_id, m::INTEGER AS merged_id
+FROM bpe WHERE toks IS NOT NULL AND step > 0""",
+    "encode_bpe": f"WITH RECURSIVE {BPE_ENCODED_CTE} SELECT doc_id, {text_of('ids')} AS ids FROM enc",
+    "pad_corpus_bpe": padded_corpus(f"{u60('doc_id')}, doc_id", 8, BPE_ENCODED_CTE),
+    "truncate_sft_bpe": f"""WITH RECURSIVE {BPE_RECORDS_CTE}
+SELECT src, rec_id, {text_of('ids')} AS ids, {text_of('labels')} AS labels FROM cut""",
+    "continuation_prompts": f"WITH {ENCODED_CTE} SELECT doc_id, {text_of('([2] || ids)')} AS prompt FROM enc",
+    "model_inputs": f"""WITH {ENCODED_CTE},
+seqs AS (SELECT doc_id, {TRUNCATED} AS ids FROM enc),
+numbered AS (SELECT *, (row_number() OVER (ORDER BY doc_id) - 1) // 4 AS batch FROM seqs),
+measured AS (SELECT *, max(len(ids)) OVER (PARTITION BY batch) AS longest FROM numbered)
+SELECT doc_id, repeat('1', len(ids)) || repeat('0', longest - len(ids)) AS mask,
+  {text_of('(ids[2:] || list_transform(range(longest - len(ids)), lambda i: -100))')} AS labels FROM measured""",
+    "batch_eval_records": f"""WITH {RECORDS_CTE}
+SELECT src, rec_id, i // 4 AS batch_id, i % 4 AS row_in_batch FROM (
+  SELECT src, rec_id, row_number() OVER (ORDER BY src, rec_id) - 1 AS i FROM records)""",
+    "pad_sft_eval": f"""WITH {RECORDS_ENCODED_CTE},
+numbered AS (SELECT *, row_number() OVER (ORDER BY src, rec_id) - 1 AS i FROM cut),
+measured AS (SELECT *, i // 4 AS batch_id, max(len(ids)) OVER (PARTITION BY i // 4) AS longest FROM numbered)
+SELECT src, rec_id, batch_id, i % 4 AS row_in_batch, {text_of('(' + padded('ids', 1, 'longest') + ')')} AS input_ids,
+  {text_of('(' + padded('labels', -100, 'longest') + ')')} AS labels FROM measured""",
+    "truncation_coverage": f"WITH {LENGTHS_CTE} {COVERAGE}",
     "sft_lengths": f"""WITH {RECORDS_CTE}
 SELECT src, rec_id, 10 + len({words('features')}) + len({words('words')}) + len({words('summary')})
   + len({words('story')}) AS n_tokens FROM records""",
@@ -349,8 +466,8 @@ SELECT cand, round(share, 6) AS share, round(64 * sum(share / 64) OVER (), 6) AS
 picked AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY ctx ORDER BY score DESC, cand) <= 2)
 SELECT ctx, cand, round(exp(score) / sum(exp(score)) OVER (PARTITION BY ctx), 6) AS weight FROM picked""",
     "story_prompts": f"""WITH {VOCAB_CTE}, {DESCRIBED_CTE},
-t AS (SELECT doc_id, array_to_string(features, ', ') AS features, array_to_string(words, ', ') AS words, summary
-  FROM described),
+t AS (SELECT doc_id, array_to_string(features, ', ') AS features, array_to_string(words, ', ') AS words,
+  text AS summary FROM described),
 f AS (SELECT doc_id, unnest([0, 1, 2]) AS field, unnest([features, words, summary]) AS text FROM t),
 k AS (SELECT doc_id, field, unnest(w) AS token, unnest(range(len(w))) AS pos
   FROM (SELECT doc_id, field, {words('text')} AS w FROM f)),

@@ -10,7 +10,7 @@ from checks.inputs import WORD_LEVEL, documents, table
 from corpusloom import config as c
 from corpusloom.functions import sequences as seq
 from corpusloom.functions import text as tx
-from corpusloom.operators import bpe, metrics, reports, selection, vocab
+from corpusloom.operators import batching, bpe, metrics, reports, selection, vocab
 from corpusloom.operators import records as rec
 from corpusloom.operators.batching import batch_eval, batch_train, step_budget
 from corpusloom.plans import finetuning, generation, length_analysis, pretraining
@@ -44,8 +44,11 @@ def rounded(*names: str):
 
 @query
 def read_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = src.read_corpus(spark, f"{sf_dir}/documents.parquet")
-    return selection.split(docs, "doc_id").filter("split = 'train'").select("doc_id", "text", "split")
+    """The table with its split column, written out and read back by ``split``."""
+    path = scratch_path(spark, "corpus")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    selection.split(docs, "doc_id").write.parquet(path)
+    return src.read_corpus(spark, path, split="train")
 
 
 @query
@@ -106,11 +109,11 @@ def default_text(spark, sf_dir):
 
 @query
 def drop_empty(spark, sf_dir):
-    """Last line of every document; texts that end in a line feed leave an empty one."""
-    docs = table(spark, sf_dir, "documents").select(
-        "doc_id", F.element_at(F.split(F.regexp_replace("text", r"\.$", "\n"), "\n"), -1).alias("text")
-    )
-    return selection.drop_empty(docs)
+    """Whole texts of the labelled documents; the text is null without a label and empty for label 0."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").join(labels, "doc_id", "left")
+    shown_ = F.when(F.col("quality") == 1, F.col("text")).when(F.col("quality") == 0, "")
+    return selection.drop_empty(docs.select("doc_id", shown_.alias("text")))
 
 
 @query
@@ -226,7 +229,7 @@ def bpe_pair_counts(spark, sf_dir):
 
 @query
 def train_bpe(spark, sf_dir):
-    tok = inputs.bpe_tokenizer(spark, sf_dir)
+    tok = inputs.checked_bpe_tokenizer(spark, sf_dir)
     return tok.merges.merge_table(spark)
 
 
@@ -263,7 +266,7 @@ def encode_word_level(spark, sf_dir):
 
 @query
 def encode_bpe(spark, sf_dir):
-    tok = inputs.bpe_tokenizer(spark, sf_dir)
+    tok = inputs.checked_bpe_tokenizer(spark, sf_dir)
     return tok.encode(documents(spark, sf_dir), ["doc_id"], {"ids": "text"}).select(
         "doc_id", shown("ids").alias("ids")
     )
@@ -356,10 +359,22 @@ def truncate_sft(spark, sf_dir):
     return cut.select("src", "rec_id", shown("input_ids").alias("ids"), shown("labels").alias("labels"))
 
 
+@query
+def truncate_sft_bpe(spark, sf_dir):
+    """The same on the default tokenizer."""
+    made = rec.make_records(inputs.instruct_lines(spark, sf_dir))
+    coded = finetuning.encode_records(made, inputs.checked_bpe_tokenizer(spark, sf_dir))
+    cut = finetuning.truncate_sft(finetuning.sft_sequences(coded))
+    return cut.select("src", "rec_id", shown("input_ids").alias("ids"), shown("labels").alias("labels"))
+
+
 @query
 def check_lengths(spark, sf_dir):
-    cut = finetuning.truncate_sft(_sft(spark, sf_dir))
-    return finetuning.unequal_lengths(cut).agg(F.count(F.lit(1)).alias("n_unequal"))
+    """The labels of every third record lose their last one first, so the filter has rows to find."""
+    cut = finetuning.truncate_sft(_sft(spark, sf_dir)).withColumn(
+        "labels", F.when(F.col("rec_id") % 3 == 0, seq.drop_last(F.col("labels"))).otherwise(F.col("labels"))
+    )
+    return finetuning.unequal_lengths(cut).groupBy("src").agg(F.count(F.lit(1)).alias("n_unequal"))
 
 
 @query
@@ -438,6 +453,41 @@ def pad_sft(spark, sf_dir):
     )
 
 
+@query
+def pad_corpus_bpe(spark, sf_dir):
+    tok = inputs.checked_bpe_tokenizer(spark, sf_dir)
+    made = pretraining.corpus_sequences(documents(spark, sf_dir), tok, "doc_id")
+    return _batch_columns(
+        pretraining.train_batches(made, "doc_id", keys=table(spark, sf_dir, "documents")), "input_ids"
+    )
+
+
+@query
+def model_inputs(spark, sf_dir):
+    """Padding mask and next-token labels of padded batches."""
+    tok = inputs.word_tokenizer(spark, sf_dir)
+    made = pretraining.corpus_sequences(documents(spark, sf_dir), tok, "doc_id")
+    batches = pretraining.eval_batches(made, "doc_id", keys=table(spark, sf_dir, "documents"))
+    bits = F.array_join(F.transform("mask", lambda b: b.cast("int").cast("string")), "")
+    return pretraining.model_inputs(batches).select("doc_id", bits.alias("mask"), shown("labels").alias("labels"))
+
+
+@query
+def batch_eval_records(spark, sf_dir):
+    """Record numbers are per source; batches run through all sources."""
+    records = rec.make_records(inputs.instruct_lines(spark, sf_dir)).select("src", "rec_id")
+    return _batch_columns(batching.batch_eval_records(records))
+
+
+@query
+def pad_sft_eval(spark, sf_dir):
+    path = scratch_path(spark, "sft_sequences")
+    finetuning.truncate_sft(_sft(spark, sf_dir)).write.parquet(path)
+    return _batch_columns(
+        finetuning.eval_batches(spark.read.parquet(path)), "input_ids", "labels"
+    )
+
+
 @query_as("step_budget")
 def budget(spark, sf_dir):
     return step_budget(table(spark, sf_dir, "documents"), c.PRETRAINING)
@@ -452,17 +502,19 @@ def corpus_lengths(spark, sf_dir):
     return made.select("doc_id", F.col("n_tokens").cast("long").alias("n_tokens"))
 
 
-@query
-def length_stats(spark, sf_dir):
-    made = length_analysis.corpus_lengths(documents(spark, sf_dir), Tokenizer(WORD_LEVEL, None))
-    stats = reports.length_stats(made)
-    return stats.select(
+def _stats(lengths: DataFrame) -> DataFrame:
+    return reports.length_stats(lengths).select(
         "n",
         *[F.col(x).cast("long").alias(x) for x in ("min", "max")],
         *[F.round(x, 6).alias(x) for x in ("mean", "std", "median", "p25", "p75", "p90", "p95", "p99")],
     )
 
 
+@query
+def length_stats(spark, sf_dir):
+    return _stats(length_analysis.corpus_lengths(documents(spark, sf_dir), Tokenizer(WORD_LEVEL, None)))
+
+
 @query
 def truncation_coverage(spark, sf_dir):
     made = length_analysis.corpus_lengths(documents(spark, sf_dir), Tokenizer(WORD_LEVEL, None))
@@ -471,8 +523,8 @@ def truncation_coverage(spark, sf_dir):
 
 @query
 def length_stats_bpe(spark, sf_dir):
-    tok = inputs.bpe_tokenizer(spark, sf_dir)
-    return reports.length_stats(length_analysis.corpus_lengths(documents(spark, sf_dir), tok))
+    tok = inputs.checked_bpe_tokenizer(spark, sf_dir)
+    return _stats(length_analysis.corpus_lengths(documents(spark, sf_dir), tok))
 
 
 @query
@@ -482,6 +534,19 @@ def sft_lengths(spark, sf_dir):
     return lengths.select("src", "rec_id", F.col("n_tokens").cast("long").alias("n_tokens"))
 
 
+@query
+def sft_length_stats(spark, sf_dir):
+    made = rec.make_records(inputs.instruct_lines(spark, sf_dir))
+    return _stats(length_analysis.sft_lengths(made, Tokenizer(WORD_LEVEL, None)))
+
+
+@query
+def sft_truncation_coverage(spark, sf_dir):
+    made = rec.make_records(inputs.instruct_lines(spark, sf_dir))
+    lengths = length_analysis.sft_lengths(made, Tokenizer(WORD_LEVEL, None))
+    return reports.truncation_coverage(lengths).withColumns(rounded("coverage"))
+
+
 @query
 def sample_counts(spark, sf_dir):
     lines = inputs.instruct_lines(spark, sf_dir)
@@ -576,10 +641,18 @@ def routed_weights(spark, sf_dir):
 @query
 def story_prompts(spark, sf_dir):
     tok = inputs.word_tokenizer(spark, sf_dir)
-    made = generation.story_prompts(inputs.described(spark, sf_dir), tok, "doc_id")
+    whole = inputs.described(spark, sf_dir).withColumn("summary", F.col("text"))
+    made = generation.story_prompts(whole, tok, "doc_id")
     return made.select("doc_id", "features", "words", "summary", shown("prompt").alias("prompt"))
 
 
+@query
+def continuation_prompts(spark, sf_dir):
+    tok = inputs.word_tokenizer(spark, sf_dir)
+    made = generation.continuation_prompts(documents(spark, sf_dir), tok, "doc_id")
+    return made.select("doc_id", shown("prompt").alias("prompt"))
+
+
 @query
 def story_texts(spark, sf_dir):
     """A model that answers with the text itself: prompt, text ids, story end, text ids."""

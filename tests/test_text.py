@@ -80,7 +80,7 @@ def test_split_specials_loses_nothing(column, parts):
 def test_clean_generated_follows_order(column):
     expected = {
         "a , b . c ! d ? it 's \n x": "a, b. c! d? it's\n x",
-        "a  , b": "a, b",
+        "a  , b": "a , b",
         "  ,": ",",
         "Hello , world !": "Hello, world!",
     }
