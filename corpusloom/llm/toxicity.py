@@ -44,7 +44,7 @@ LETTERS = "abcdefghijklmnopqrstuvwxyzàáâäãåæçèéêëìíîïñòóôö
 OTHER = 63
 
 #: Entries of the memo of tokens; it is emptied when full, which changes no result.
-MEMO = 300_000
+MEMO = 100_000
 
 _CODE = {c: i + 1 for i, c in enumerate(LETTERS)}
 _TABLE = np.zeros(0x3000, np.uint8)
@@ -230,7 +230,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = 80
 
     @F.arrow_udf("array<int>")
     def found(column: pa.Array) -> pa.Array:
-        reader = Reader(Restorer(shared.value), lambda words: {_number(f) for w in words for f in beginnings(w)})
+        reader = Reader(Restorer(shared.value), lambda words: tuple({_number(f) for w in words for f in beginnings(w)}))
         out = [sorted(set().union(*reader.of(v.as_py() or ""))) for part in _batch(column) for v in part["text"]]
         return pa.array(out, pa.list_(pa.int32()))
 
