@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.config import SPECIAL_TOKENS, TokenizerSettings
 from corpusloom.operators.vocab import VOCAB_SCHEMA, word_counts
-from corpusloom.session import cut_lineage
+from corpusloom.session import cut_lineage, remove, written
 
 MERGE_SCHEMA = "rank int, left_id int, right_id int, merged_id int"
 
@@ -230,6 +230,14 @@ class _Learner:
         # happen only after a merge whose string already had an id.
         self.credit: dict[tuple[int, int], int] = {}
         self.reused = False
+        self.path: str | None = None
+
+    def _store(self) -> None:
+        """Write the word table; the one of the round before is not needed any more."""
+        before = self.path
+        self.words, self.path = written(self.words.filter(F.size("syms") > 1), "words")
+        if before:
+            remove(self.words.sparkSession, before)
 
     def _id_of(self, token: str) -> int:
         if token not in self.ids:
@@ -295,7 +303,7 @@ class _Learner:
                 candidates = returned + [(n, pair) for pair, n in top[:1]]
                 count, pair = min(candidates, key=lambda c: (-c[0], c[1]))
                 self._merge_one(pair, count)
-                self.words = cut_lineage(self.words.filter(F.size("syms") > 1))
+                self._store()
                 continue
             if not top or top[0][1] < self.least:
                 break
@@ -314,7 +322,9 @@ class _Learner:
                 self._run_round(segments, set(active), floor)
                 if len(segments) * 4 < MAX_SEGMENTS:
                     wanted = min(wanted * 2, MAX_PAIRS)
-            self.words = cut_lineage(self.words.filter(F.size("syms") > 1))
+            self._store()
+        if self.path:
+            remove(self.words.sparkSession, self.path)
         return Merges(self.tokens, self.alphabet_end, self.merges)
 
     def _run_round(self, segments, active, floor):
