@@ -6,9 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bpe, decontaminate, exact, html, licenses, near, nbsvm, repeats, toxicity
+from corpusloom.llm import bpe, decontaminate, exact, html, licenses, near, nbsvm, repeats, surrogates, toxicity
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
+#: Stands for a secret of the user's; with another one all surrogates differ.
+SURROGATE_KEY = b"a key for the checks"
 #: A document is taken for good, or toxic, from this score on.
 CUT = 0.3
 
@@ -43,6 +45,10 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_classes(table(spark, sf_dir, "documents"))
 
 
+def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.replace(table(spark, sf_dir, "documents").select("doc_id", "text"), SURROGATE_KEY)
+
+
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -82,6 +88,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op2_pii_surrogates": op2_pii_surrogates,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op4_html_extraction": op4_html_extraction,
     "op5_toxicity": op5_toxicity,
