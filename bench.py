@@ -47,10 +47,12 @@ def main() -> None:
     start = time.time()
     inputs.word_tokenizer(spark, sf_dir)
     times["get_or_train_word_level"] = time.time() - start
-    start = time.time()
-    settings = replace(inputs.SUBWORD, vocab_size=1024)
-    Tokenizer.train(inputs.documents(spark, sf_dir), settings)
-    times["train_bpe_1024"] = time.time() - start
+    # the default tokenizer's size, and a small one
+    for size in (20_000, 1024):
+        start = time.time()
+        settings = replace(inputs.SUBWORD, vocab_size=size)
+        Tokenizer.train(inputs.documents(spark, sf_dir), settings)
+        times[f"train_bpe_{size}"] = time.time() - start
     inputs.bpe_tokenizer(spark, sf_dir)
 
     for name in HEADLINE:
