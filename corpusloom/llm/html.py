@@ -268,9 +268,9 @@ def made_up_pages(count: int, seed: int = 11) -> list[tuple[list[Block], list[in
             continue
         parts: list[tuple[str, int]] = [(element(around(menus), f"<h1>{prose(1, 4)[:-1]}</h1>" * int(rng.random() < 0.3) + links(rng.integers(2, 8))), 0)]
         if rng.random() < 0.6:
-            parts.append((element(around(notices), f"<p>{pick(says)} {prose(3, 20)}</p>"), 0))
+            parts.append((element(around(notices), f"<p>{pick(says)} {prose(3, 60)}</p>"), 0))
         if rng.random() < 0.4:
-            parts.append((element(around(sides), f"<h3>{prose(2, 4)}</h3>{links(3)}<p>{prose(5, 30)}</p>"), 0))
+            parts.append((element(around(sides), f"<h3>{prose(2, 4)}</h3>{links(3)}<p>{prose(5, 70)}</p>"), 0))
         holder = pick(article)
         heading = f"<h1>{prose(3, 9)[:-1]}</h1>" * int(rng.random() < 0.8)
         if rng.random() < 0.15:
@@ -279,14 +279,14 @@ def made_up_pages(count: int, seed: int = 11) -> list[tuple[list[Block], list[in
         inner = [(x, 1) for x in body]
         if rng.random() < 0.4:
             spot = rng.integers(1, len(inner) + 1)
-            inner.insert(spot, (element(around(notices + sides), f"<p>{prose(2, 15)}</p>"), 0))
+            inner.insert(spot, (element(around(notices + sides), f"<p>{prose(2, 60)}</p>"), 0))
         if rng.random() < 0.3:
-            inner.append((element(around(talks), f"<p>{prose(3, 40)}</p><p>{prose(3, 40)}</p>"), 0))
+            inner.append((element(around(talks), f"<p>{prose(3, 80)}</p><p>{prose(3, 80)}</p>"), 0))
         tail: list[tuple[str, int]] = []
         if rng.random() < 0.5:
-            tail.append((element(around(talks), f"<h3>Comments</h3><p>{prose(3, 40)}</p><p>{prose(3, 40)}</p>"), 0))
+            tail.append((element(around(talks), f"<h3>Comments</h3><p>{prose(3, 80)}</p><p>{prose(3, 80)}</p>"), 0))
         if rng.random() < 0.4:
-            tail.append((element(around(sides), f"<p>{prose(5, 30)}</p>{links(3)}"), 0))
+            tail.append((element(around(sides), f"<p>{prose(5, 70)}</p>{links(3)}"), 0))
         tail.append((element(around(ends), f"{pick(says)} {prose(1, 12)}"), 0))
         reader, blocks, labels = _Reader(), [], []
         for group, wrap in ((parts, "body"), (inner, holder), (tail, "body")):

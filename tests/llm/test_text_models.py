@@ -132,6 +132,11 @@ PAGES = [
      "Title here\n\nA <long> paragraph, it goes on and on.\n\nSecond one with breaks."),
     ("<body><header><p>Site name</p></header><main><h1>A title</h1><p>Para one.</p><aside><p>See also this.</p></aside><p>Para two is here.</p>"
      "<section class='comments'><p>first!</p></section></main><footer>x</footer>", "A title\n\nPara one.\n\nPara two is here."),
+    ('<body><header class="site-header"><nav><a href=/>Home</a></nav></header><div id="cookie-banner"><p>We use cookies. <button>OK</button></p></div>'
+     '<aside class="sidebar"><h3>Popular</h3><ul><li><a href=1>One thing</a></li></ul></aside><article class="post"><header><h1>Head line</h1></header>'
+     '<p>The quick river ran over the old stone.</p><div class="ad-slot"><p>Buy now, it is cheap!</p></div><ul><li>First item</li><li>Second item</li></ul>'
+     '<div class="reader-comments"><p>The quick river ran over the old stone.</p></div></article><form><p>Sign up for our newsletter</p></form><footer><p>© 2020 Site.</p></footer>',
+     "Head line\n\nThe quick river ran over the old stone.\n\nFirst item\n\nSecond item"),
     ("<article><p>cut off in the mid", "cut off in the mid"),
     ("<article><script>var x='<p>no</p>'</script><style>p{}</style><!-- <p>no</p> --><p>yes it is", "yes it is"),
     (None, ""), ("", ""), ("<div><br></div>", ""), ("<<<>>&amp", None), ("<p " * 2000, None), ("<div>" * 20_000 + "deep", None), ("</p></b>" * 1000, None),
