@@ -27,7 +27,7 @@ def components(links: DataFrame) -> DataFrame:
     with very many links is only a long run of narrow rows, which a skewed join can split.
     """
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    both = stored(both.filter("a <> b").distinct(), "links")
+    both = stored(both.filter("a <> b"), "links")
     labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("label")))
     while True:
         near = (

@@ -185,3 +185,14 @@ def test_word_fingerprints_do_not_depend_on_neighbours():
     own = [W.words(pa.array([t]))[0].tolist() for t in texts]
     assert [values[a:b].tolist() for a, b in zip(counts[:-1], counts[1:], strict=True)] == own
     assert own[0] == own[3][::-1] and own[4][1] == own[0][1]
+
+
+def test_sketches_count_registers_alike(spark):
+    rng = np.random.default_rng(4)
+    one = rng.integers(0, 1 << 48, (30, near.REGISTERS)).astype(np.uint64)
+    other = np.where(rng.random(one.shape) < rng.random((30, 1)), one, one + np.uint64(1))
+    bits = [(W.mix(x) & np.uint64(15)) for x in (one, other)]
+    rows = list(zip(near._sketch(one).tolist(), near._sketch(other).tolist(), strict=True))
+    frame = spark.createDataFrame(rows, "a array<long>, b array<long>")
+    got = [r.n for r in frame.select(near._alike(F.col("a"), F.col("b")).alias("n")).collect()]
+    assert got == (bits[0] == bits[1]).sum(axis=1).tolist()
