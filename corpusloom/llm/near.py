@@ -174,7 +174,7 @@ def bucket_classes(texts: DataFrame, buckets: DataFrame, threshold: float = THRE
     members = stored(buckets.join(shared, "bucket").withColumn("label", F.col("id")), "members")
     label = stored(members.select("id", "label").distinct(), "labels")
     texts = stored(texts.join(label.select("id"), "id", "left_semi"), "texts")
-    turn, quiet = 0, 0
+    turn, quiet, seen = 0, 0, None
     while quiet < QUIET:
         # in the first round all buckets of a document tend to have the same centre, later all differ
         ranks = [F.xxhash64(F.lit(turn), F.lit(k), "bucket", "id") for k in range(CENTRES[turn > 1])]
@@ -195,6 +195,10 @@ def bucket_classes(texts: DataFrame, buckets: DataFrame, threshold: float = THRE
             F.col("x.id").alias("a"), F.col("x.label").alias("class_a"),
             F.col("y.id").alias("b"), F.col("y.label").alias("class_b"),
         )
+        if seen is not None:  # no pair is compared twice
+            pairs = pairs.join(seen, ["a", "b"], "left_anti")
+        pairs = stored(pairs, "pairs")
+        seen = pairs.select("a", "b") if seen is None else seen.unionByName(pairs.select("a", "b"))
         pairs = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
         pairs = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
         new = stored(pairs.mapInArrow(_verified(threshold), "a long, b long"), "links")
@@ -230,7 +234,8 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", thres
     member = stored(member, "classes")
     bare = rows.select("id").join(member.select("id"), "id", "left_anti").withColumn("class_id", F.col("id"))
     every = member.unionByName(bare)
-    sizes = every.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size"))
+    # written, so that the join's sides are plain exchanges, which can be split at a large class
+    sizes = stored(every.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size")), "sizes")
     return every.join(sizes, "class_id").select(
         F.col("id").alias(key), "class_id", "class_size", (F.col("id") == F.col("class_id")).alias("kept")
     )
