@@ -14,8 +14,10 @@ it is the Jaccard similarity. A class is a connected component of links.
 4. Verification in rounds: per bucket one or two members are centres, which change with the round, and
    members of other classes that have enough registers in common with one are compared with it on their
    whole texts; then classes are joined. So a bucket costs its size in a round, not its square. It ends
-   after two rounds without a link. A link in a large bucket is missed only if neither end was a
-   centre and no other link joins their classes.
+   after two rounds without a link.
+5. The rest: in buckets that still hold several classes, every two members of different classes meet in
+   blocks of bounded size, and those with enough registers in common are compared on their texts, likely
+   links first. No pair of a bucket stays open, so this costs the square of what the rounds have left apart.
 
 Ids must be whole numbers, and one row per id; rows without an id are left out. Texts without a word
 (null, empty, punctuation) have no shingles and are classes of their own. Texts of fewer than five words
@@ -43,6 +45,8 @@ THRESHOLD = 0.8
 LEAST_ALIKE = 40
 #: Centres of a bucket in the first two rounds, and in later ones; rounds without a link that end the search.
 CENTRES, QUIET = (1, 2), 2
+#: Members of a block of a bucket, on average. Registers alike of the pairs that are compared first, and then.
+BLOCK, STEPS = 256, (52, LEAST_ALIKE)
 
 
 def shingles(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -165,6 +169,37 @@ def _verified(threshold: float):
     return run
 
 
+def _open_pairs(members: DataFrame, least_alike: int) -> DataFrame:
+    """Every two members of different classes that share a bucket and have enough registers alike, once.
+
+    A bucket's members are dealt into blocks, and each two blocks are a key of the join.
+    """
+    spread = members.groupBy("bucket").agg(
+        F.min("label").alias("least"), F.max("label").alias("most"), F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks")
+    )
+    spread = spread.filter("least <> most").select("bucket", "blocks")
+    block = F.pmod(F.xxhash64("bucket", "id"), "blocks")
+    rows = members.join(spread, "bucket").select("bucket", "blocks", block.alias("block"), F.struct("id", "label", "sketch").alias("m"))
+    one = rows.select("bucket", F.col("block").alias("i"), F.explode(F.expr("sequence(block, blocks - 1)")).alias("j"), F.col("m").alias("x"))
+    other = rows.select("bucket", F.explode(F.expr("sequence(0L, block)")).alias("i"), F.col("block").alias("j"), F.col("m").alias("y"))
+    enough = _alike(F.col("x.sketch"), F.col("y.sketch")) >= least_alike
+    met = one.alias("one").join(
+        other.alias("other").hint("merge"),
+        (F.col("one.bucket") == F.col("other.bucket")) & (F.col("one.i") == F.col("other.i")) & (F.col("one.j") == F.col("other.j"))
+        & F.expr("x.label <> y.label AND (one.i < one.j OR x.id < y.id)") & enough,
+    )
+    return _pairs(met, F.struct("x.id", "x.label"), F.struct("y.id", "y.label"))
+
+
+def _pairs(met: DataFrame, one: Column, other: Column) -> DataFrame:
+    """Distinct pairs of members that met, the smaller id first."""
+    pairs = met.select(F.least(one, other).alias("x"), F.greatest(one, other).alias("y")).distinct()
+    return pairs.select(
+        F.col("x.id").alias("a"), F.col("x.label").alias("class_a"),
+        F.col("y.id").alias("b"), F.col("y.label").alias("class_b"),
+    )
+
+
 def bucket_classes(texts: DataFrame, buckets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``id`` and ``label``, the smallest id of its class, for the ids that share a bucket with others.
 
@@ -175,26 +210,27 @@ def bucket_classes(texts: DataFrame, buckets: DataFrame, threshold: float = THRE
     label = stored(members.select("id", "label").distinct(), "labels")
     texts = stored(texts.join(label.select("id"), "id", "left_semi"), "texts")
     turn, quiet, seen = 0, 0, None
-    while quiet < QUIET:
-        # in the first round all buckets of a document tend to have the same centre, later all differ
-        ranks = [F.xxhash64(F.lit(turn), F.lit(k), "bucket", "id") for k in range(CENTRES[turn > 1])]
-        ranks = ranks if turn else [F.xxhash64("id")]
-        centre = F.struct("id", "label", "sketch")
-        open_ = members.groupBy("bucket").agg(
-            *[F.min_by(centre, r).alias(f"c{k}") for k, r in enumerate(ranks)],
-            F.min("label").alias("least"), F.max("label").alias("most"),
-        )
-        centres = F.explode(F.array(*[f"c{k}" for k in range(len(ranks))])).alias("c")
-        centres = open_.filter("least <> most").select("bucket", centres)
-        met = members.join(centres, "bucket").filter(
-            (F.col("label") != F.col("c.label")) & (_alike(F.col("sketch"), F.col("c.sketch")) >= LEAST_ALIKE)
-        )
-        one, other = F.struct("id", "label"), F.struct("c.id", "c.label")
-        pairs = met.select(F.least(one, other).alias("x"), F.greatest(one, other).alias("y")).distinct()
-        pairs = pairs.select(
-            F.col("x.id").alias("a"), F.col("x.label").alias("class_a"),
-            F.col("y.id").alias("b"), F.col("y.label").alias("class_b"),
-        )
+    steps = list(STEPS)
+    while quiet < QUIET or steps:
+        if quiet < QUIET:
+            # in the first round all buckets of a document tend to have the same centre, later all differ
+            ranks = [F.xxhash64(F.lit(turn), F.lit(k), "bucket", "id") for k in range(CENTRES[turn > 1])]
+            ranks = ranks if turn else [F.xxhash64("id")]
+            centre = F.struct("id", "label", "sketch")
+            open_ = members.groupBy("bucket").agg(
+                *[F.min_by(centre, r).alias(f"c{k}") for k, r in enumerate(ranks)],
+                F.min("label").alias("least"), F.max("label").alias("most"),
+            )
+            centres = F.explode(F.array(*[f"c{k}" for k in range(len(ranks))])).alias("c")
+            centres = open_.filter("least <> most").select("bucket", centres)
+            met = members.join(centres, "bucket").filter(
+                (F.col("label") != F.col("c.label")) & (_alike(F.col("sketch"), F.col("c.sketch")) >= LEAST_ALIKE)
+            )
+            pairs = _pairs(met, F.struct("id", "label"), F.struct("c.id", "c.label"))
+            turn += 1
+            quiet += 1
+        else:
+            pairs = _open_pairs(members, steps.pop(0))
         if seen is not None:  # no pair is compared twice
             pairs = pairs.join(seen, ["a", "b"], "left_anti")
         pairs = stored(pairs, "pairs")
@@ -202,10 +238,8 @@ def bucket_classes(texts: DataFrame, buckets: DataFrame, threshold: float = THRE
         pairs = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
         pairs = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
         new = stored(pairs.mapInArrow(_verified(threshold), "a long, b long"), "links")
-        turn += 1
-        quiet += 1
         if not new.isEmpty():
-            quiet = 0
+            quiet = 0 if len(steps) == len(STEPS) else quiet
             joined = components(new).select(F.col("node").alias("label"), F.col("label").alias("whole"))
             whole = F.coalesce("whole", "label").alias("label")
             label = stored(label.join(joined, "label", "left").select("id", whole), "labels")

@@ -129,6 +129,22 @@ def test_near_classes_equal_brute_force(spark):
     assert got == label
 
 
+def test_a_family_of_half_alike_texts_loses_no_copy(spark):
+    rng = np.random.default_rng(8)
+    form = [f"form{k}" for k in range(130)]
+    texts = [" ".join([*form, *(f"own{k}x{j}" for j in range(40))]) for k in range(700)]
+    copies = sorted(int(k) for k in rng.choice(700, 12, replace=False))
+    texts += [texts[k] + " more" for k in copies]
+    column = pa.array(texts)
+    value, text, weight = near.shingles(column)
+    sketch = near._sketch(near.signatures(value, text, weight, len(texts))).tolist()
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    buckets = spark.createDataFrame([(b, k, s) for k, s in enumerate(sketch) for b in (1, 2)], "bucket long, id long, sketch array<long>")
+    assert near.similarity(column.slice(0, 1), column.slice(1, 1))[0] < 0.79
+    got = dict(map(tuple, near.bucket_classes(rows, buckets).collect()))
+    assert got == {k: k for k in range(700)} | {700 + n: k for n, k in enumerate(copies)}
+
+
 def test_near_awkward_rows(spark):
     rows = [*AWKWARD, (None, "one two", "x", 1)]
     got = {r.doc_id: (r.class_id, r.class_size, r.kept) for r in near.near_classes(spark.createDataFrame(rows, DOCS)).collect()}
