@@ -40,6 +40,8 @@ LOOKALIKES = {
 WILDCARD = "*#"
 SEPARATORS = ".-_~·'`​‌‍­"
 COST, WILD_COST, STRETCH_COST = 0.5, 1.0, 1.0
+#: Of a separator that stands for a word break, and of a look-alike before or after a word that stands for nothing.
+BREAK_COST, EDGE_COST = 2.0, 10.0
 LETTERS = "abcdefghijklmnopqrstuvwxyzàáâäãåæçèéêëìíîïñòóôöõøùúûüýßœ"
 OTHER = 63
 
@@ -55,9 +57,15 @@ _WORD = re.compile(r"[^\W\d_]+")
 _LETTER_BY_LETTER = re.compile(r"(?<![^\W_])(?:[^\W_@$!]|[@$!])(?:[ .\-_*~]{1,2}(?:[^\W_]|[@$!])(?![^\W_])){3,}")
 _STRETCHED = re.compile(r"([^\W\d_])\1\1")
 _DISGUISE = re.compile("[" + re.escape("".join(LOOKALIKES) + WILDCARD + SEPARATORS) + "]")
+#: What only stands between words, so a token is parted there.
+_BETWEEN = re.compile(r"[,;:/\\?\"\[\]{}=&…“”«»]+")
 #: Symbols and punctuation before and after a word, and symbols that stand there more than once.
 _EDGES = re.compile(r"^[\W_]+(?=\w)|(?:[.,;:!?\"'’”)\]}…]+|([#$%&*!?+|@])\1+)+$")
 
+#: Look-alikes that are no letters or digits, and other characters around a word.
+_SYMBOLS = "".join(c for c in LOOKALIKES if not c.isalnum()) + WILDCARD
+_PLAIN = SEPARATORS + "^)'’”…>"
+
 
 def _signs(text: str) -> np.ndarray:
     """A number for each character: a letter's, or 0 for what is between words."""
@@ -111,8 +119,10 @@ class Restorer:
         self.model = model
 
     def options(self, sign: str, times: int) -> list[tuple[str, float]]:
-        if sign in SEPARATORS or sign == " ":
+        if sign == " ":
             return [("", 0.0)]
+        if sign in SEPARATORS:
+            return [("", 0.0), (" ", BREAK_COST if times == 1 else 0.0)]
         if sign in WILDCARD:
             return [(c, WILD_COST) for c in LETTERS[:26]] + [("", WILD_COST)]
         letters = [(c, COST) for c in LOOKALIKES[sign]] if sign in LOOKALIKES else [(sign, 0.0)]
@@ -126,18 +136,22 @@ class Restorer:
                 out.append((letter * 2, cost + STRETCH_COST))
         return out
 
-    def __call__(self, token: str) -> str:
+    def __call__(self, token: str, lead: int = 0, trail: int = 0) -> str:
+        """The likeliest reading; look-alikes among the first and last so many characters may be nothing."""
         runs, at = [], 0
         while at < len(token):
             to = at
             while to < len(token) and token[to] == token[at]:
                 to += 1
-            runs.append((token[at], to - at))
+            runs.append((token[at], to - at, at < lead or to > len(token) - trail))
             at = to
         states: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}
-        for sign, times in runs:
+        for sign, times, edge in runs:
             after: dict[tuple[int, int], tuple[float, tuple]] = {}
-            for letters, cost in self.options(sign, times):
+            options = self.options(sign, times)
+            if edge:  # a doubled one is two letters, as the reading without it is there anyway
+                options = [o for o in options if times != 2 or len(o[0]) == 2 or sign in WILDCARD] + [("", EDGE_COST)]
+            for letters, cost in options:
                 for (a, b), (score, path) in states.items():
                     for letter in letters:
                         code = _CODE.get(letter, OTHER if letter.isalpha() else 0)
@@ -154,11 +168,25 @@ class Restorer:
         return "".join(reversed(parts))
 
     def token(self, token: str) -> str:
-        """A token between blanks, restored if it shows signs of disguise."""
+        """A token between blanks, its parts restored if they show signs of disguise."""
+        return " ".join(filter(None, map(self.part, _BETWEEN.split(token))))
+
+    def readings(self, token: str) -> list[str]:
+        """The token restored, and its parts with the look-alikes before and after them as letters."""
+        out = [self.token(token)]
+        for part in _BETWEEN.split(token):
+            core = part.strip(_PLAIN)
+            inner = core.strip(_SYMBOLS)
+            if inner != core and any(c.isalpha() for c in inner):
+                lead = core.index(inner)
+                out.append(self(core, lead, len(core) - len(inner) - lead))
+        return out
+
+    def part(self, token: str) -> str:
         core = _EDGES.sub("", token)
         if core.isalpha():
             return self(core) if _STRETCHED.search(core) else core
-        if not core or core.isdigit() or len(core) > 64 or not any(c.isalpha() for c in core):
+        if not core or core.isdigit() or not any(c.isalpha() for c in core):
             return core
         if not (_DISGUISE.search(core) or _STRETCHED.search(core)):
             return core
@@ -173,6 +201,13 @@ def beginnings(word: str) -> list[str]:
     return [word[:n] for n in range(LEAST, min(MOST, len(word)) + 1)] + [word + "$"]
 
 
+def spelt_words(letters: str, step: int = 10_000) -> Iterator[list[str]]:
+    """Lists of the words that letters without word breaks may hold: all of them, and those from any letter on."""
+    yield [letters]
+    for at in range(0, len(letters), step):
+        yield [letters[i : i + n] for i in range(at, min(at + step, len(letters))) for n in range(LEAST, MOST + 1) if i + n <= len(letters)]
+
+
 class Reader(dict):
     """Tokens to what ``weigh`` says of their restored words; kept for each token that was seen."""
 
@@ -183,14 +218,14 @@ class Reader(dict):
     def __missing__(self, token: str):
         if len(self) >= MEMO:
             self.clear()
-        found = self[token] = self.weigh(_WORD.findall(self.restorer.token(token)))
+        found = self[token] = self.weigh(_WORD.findall(" ".join(self.restorer.readings(token))))
         return found
 
     def of(self, text: str) -> list:
         low = text.lower()
         out = [self[t] for t in set(low.split())]
         for spelt in _LETTER_BY_LETTER.finditer(low):
-            out.append(self.weigh([self.restorer(spelt[0][:200])]))
+            out += [self.weigh(words) for words in spelt_words(self.restorer("".join(c for c in spelt[0] if c not in " .-_*~")))]
         return out
 
 

@@ -108,6 +108,17 @@ def test_disguised_words_are_restored(spark):
     assert ["idiot"] in words
 
 
+def test_words_disguised_at_edges_in_lists_and_after_other_words_are_seen(spark):
+    docs = spark.read.parquet(f"{MIDDLE}/documents.parquet")
+    docs = docs.select("text").unionByName(spark.createDataFrame([("you are a stupid idiot today, asshole and ass " * 50,)], "text string"))
+    reader = toxicity.Reader(toxicity.Restorer(toxicity.language_model(toxicity.character_counts(docs))), lambda found: found)
+    for text, word in {
+        "you are a i d i o t today": "idiot", "y o u i d i o t": "idiot", "s t u p i d " * 100 + "i d i o t": "idiot",
+        "1d10t,m0r0n," * 20: "moron", "12345" * 20 + ",1d10t": "idiot", "$tupid": "stupid", "@sshole": "asshole", "!diot": "idiot", "a$$": "ass",
+    }.items():
+        assert any(word in words for words in reader.of(text)), (text[-30:], reader.of(text))
+
+
 def test_character_counts(spark):
     docs = spark.createDataFrame([(1, "abc déf, " * 30), (2, None), (3, "")], "doc_id long, text string")
     counts = toxicity.character_counts(docs)
