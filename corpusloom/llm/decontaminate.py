@@ -4,7 +4,8 @@ Texts become templates: runs of numbers, names (capitalised words inside a sente
 number) are replaced by one typed placeholder each, other words are lower-cased. Windows of eight template
 tokens, at least half of them words, are hash-joined with the benchmark's windows. An alignment is a
 document, an item and the distance between their positions; it counts if its slots are consistent: the
-same value in the item always has the same value in the document, and the reverse. A document is reported
+same value in the item always has the same value in the document, and the reverse. Windows with the item's own
+values always count, and so do windows of eight lower-cased words that are the item's, whatever their case. A document is reported
 with an item if the counting alignments have half of the item's windows, or six of them or more (13 tokens
 of a passage that goes on).
 
@@ -50,8 +51,11 @@ def _unit_values() -> np.ndarray:
     return np.unique(values)
 
 
-def templates(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Template tokens of a batch, their slot values (0 for words), and the tokens before each text."""
+def templates(column: pa.Array, plain: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Template tokens of a batch, their slot values (0 for words), and the tokens before each text.
+
+    ``plain``: no placeholders; the tokens are the lower-cased words, and a name is one like any other.
+    """
     data, off = W.utf8(column)
     starts, ends, counts = W.spans(data, off)
     value = W.fingerprints(W.lowered(data), starts, ends)
@@ -76,6 +80,8 @@ def templates(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     kind[(first >= 48) & (first <= 57)] = NUMBER
     after_number = np.concatenate([[False], kind[:-1] == NUMBER]) & same
     kind[after_number & (kind == LITERAL) & np.isin(value, _unit_values())] = UNIT
+    if plain:
+        return value, np.where(kind == NUMBER, value, np.where(kind == UNIT, value, 0)), counts
     goes_on = same & ((kind == NUMBER) | (kind == NAME)) & np.concatenate([[False], kind[1:] == kind[:-1]])
     head = np.flatnonzero(~goes_on)
     run = np.arange(n) - head[np.cumsum(~goes_on) - 1]
@@ -87,7 +93,7 @@ def templates(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _windows(sizes: list[int], bitmap: np.ndarray | None, shorter: bool):
-    """Windows as rows: id, window, place in the text, size, windows of the text, slots.
+    """Windows as rows: id, window, place in the text, size, windows of the text, slots (none in plain ones), plain.
 
     ``sizes`` has what sizes are made of each text; ``shorter``: a text with fewer tokens is one window.
     """
@@ -95,37 +101,41 @@ def _windows(sizes: list[int], bitmap: np.ndarray | None, shorter: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in W.pieces(batch, "text"):
-                value, slot, counts = templates(part["text"])
-                word = np.concatenate([[0], np.cumsum(slot == 0)])
-                per_text = np.diff(counts)
-                for size in sizes:
-                    window, at, text = W.windows(value, counts, size)
-                    length = np.minimum(size, per_text[text])
-                    keep = (2 * (word[at + length] - word[at]) >= length) & (shorter | (length == size))
-                    if bitmap is not None:
-                        bit = window & np.uint64((1 << BITMAP_BITS) - 1)
-                        keep &= (bitmap[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1) > 0
-                    made = np.bincount(text[keep], minlength=len(per_text))
-                    window, at, text, length = window[keep], at[keep], text[keep], length[keep]
-                    ends = np.concatenate([[0], np.cumsum(length)])
-                    inner = np.repeat(at - ends[:-1], length) + np.arange(ends[-1])
-                    yield pa.record_batch(
-                        {
-                            "id": part["id"].take(pa.array(text)),
-                            "window": pa.array(window.view(np.int64)),
-                            "at": pa.array(at - counts[text]),
-                            "size": pa.array(length.astype(np.int32)),
-                            "of": pa.array(made[text].astype(np.int32)),
-                            "slots": pa.ListArray.from_arrays(
-                                pa.array(ends, pa.int32()), pa.array(slot[inner].view(np.int64))
-                            ),
-                        }
-                    )
+                for plain in (False, True):
+                    value, slot, counts = templates(part["text"], plain)
+                    word = np.concatenate([[0], np.cumsum(slot == 0)])
+                    per_text = np.diff(counts)
+                    for size in sizes:
+                        window, at, text = W.windows(value, counts, size)
+                        window = W.mix(window + np.uint64(1)) if plain else window
+                        length = np.minimum(size, per_text[text])
+                        keep = (2 * (word[at + length] - word[at]) >= length) & (shorter | (length == size))
+                        if bitmap is not None:
+                            bit = window & np.uint64((1 << BITMAP_BITS) - 1)
+                            keep &= (bitmap[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1) > 0
+                        made = np.bincount(text[keep], minlength=len(per_text))
+                        window, at, text, length = window[keep], at[keep], text[keep], length[keep]
+                        slots = np.zeros_like(length) if plain else length
+                        ends = np.concatenate([[0], np.cumsum(slots)])
+                        inner = np.repeat(at - ends[:-1], slots) + np.arange(ends[-1])
+                        yield pa.record_batch(
+                            {
+                                "id": part["id"].take(pa.array(text)),
+                                "window": pa.array(window.view(np.int64)),
+                                "at": pa.array(at - counts[text]),
+                                "size": pa.array(length.astype(np.int32)),
+                                "of": pa.array(made[text].astype(np.int32)),
+                                "slots": pa.ListArray.from_arrays(
+                                    pa.array(ends, pa.int32()), pa.array(slot[inner].view(np.int64))
+                                ),
+                                "plain": pa.array(np.full(len(at), plain)),
+                            }
+                        )
 
     return run
 
 
-_SCHEMA = "id long, window long, at long, size int, of int, slots array<long>"
+_SCHEMA = "id long, window long, at long, size int, of int, slots array<long>, plain boolean"
 
 
 def _rows(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -167,11 +177,11 @@ def contaminated(
     bitmap = _bitmap(items)
     found = _rows(docs, key, text).mapInArrow(_windows(sizes, bitmap, False), _SCHEMA)
     items = items.select(
-        "window", "size", F.col("id").alias("item"), F.col("at").alias("item_at"), F.col("of").alias("item_of"), F.col("slots").alias("item_slots")
+        "window", "size", "plain", F.col("id").alias("item"), F.col("at").alias("item_at"), F.col("of").alias("item_of"), F.col("slots").alias("item_slots")
     )
     matched = cut_lineage(
-        found.select("id", "window", "size", "at", "slots")
-        .join(items.hint("merge"), ["window", "size"])
+        found.select("id", "window", "size", "plain", "at", "slots")
+        .join(items.hint("merge"), ["window", "size", "plain"])
         .withColumn("apart", F.col("at") - F.col("item_at"))
     )
     where = ["id", "item", "apart"]
@@ -183,11 +193,18 @@ def contaminated(
         .filter("n <> x OR n <> y")
     )
     changed = slots.filter("a <> b").select("id", "item").distinct().withColumn("changed", F.lit(True))
-    counted = matched.join(wrong.select(*where), where, "left_anti")
-    places = counted.groupBy("id", "item", "item_at").agg(F.max("item_of").alias("item_of"))
-    total = places.groupBy("id", "item").agg(F.count(F.lit(1)).alias("n_windows"), F.max("item_of").alias("item_of"))
+    # a window with the item's own values counts in any alignment; a plain one has no slots
+    own = F.col("slots") == F.col("item_slots")
+    counted = matched.join(wrong.select(*where, F.lit(True).alias("bad")), where, "left").filter(F.col("bad").isNull() | own)
+    places = counted.groupBy("id", "item", "plain", "item_at").agg(F.max("item_of").alias("item_of"))
+    total = places.groupBy("id", "item", "plain").agg(F.count(F.lit(1)).alias("n_windows"), F.max("item_of").alias("item_of"))
+    # of templates and plain windows, those that cover more, among the ones that report
+    most = F.max(F.struct((F.col("n_windows") / F.col("item_of")).alias("share"), "n_windows", "item_of")).alias("most")
     return (
         total.filter((F.col("n_windows") >= share * F.col("item_of")) | (F.col("n_windows") >= run))
+        .groupBy("id", "item")
+        .agg(most)
+        .select("id", "item", "most.n_windows", "most.item_of")
         .join(changed, ["id", "item"], "left")
         .select(
             F.col("id").alias(key),

@@ -188,6 +188,14 @@ def test_templates(spark, text, found, same):
     assert [(r.doc_id, r.item_id, r.exact) for r in got] == ([(5, 1, same)] if found else [])
 
 
+def test_copies_with_one_altered_slot_or_in_another_case(spark):
+    item = "At noon the teacher John opened the wide old door to the garden and went slowly down the long path, and there the gardener John sat."
+    docs = [(1, item.replace("John sat", "Jon sat")), (2, QUESTION.lower()), (3, QUESTION.upper()), (4, "12 13 5 kg")]
+    items = spark.createDataFrame([(1, item), (2, QUESTION), (3, "12 13"), (4, "5 kg")], "item_id long, text string")
+    got = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()
+    assert sorted((r.doc_id, r.item_id, r.exact) for r in got) == [(1, 1, False), (2, 2, True), (3, 2, True)]
+
+
 def test_contamination_of_empty_tables(spark):
     docs = spark.createDataFrame([(5, QUESTION)], "doc_id long, text string")
     items = spark.createDataFrame([(1, QUESTION)], "item_id long, text string")
