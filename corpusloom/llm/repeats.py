@@ -16,7 +16,8 @@ same one. All decisions are made on the input.
 Anchors and windows are compared by 64-bit fingerprints, and a window's only among those with the same
 anchor, which makes 128 bits of its content.
 
-Null texts are empty. Ids are whole numbers, one row each; rows without an id have the defined result that
+Null texts are empty. Ids are whole numbers. Rows with one id and text are one document, which none of them
+makes go; texts that share an id are parts of it, in the order of a fingerprint. Rows without an id have the defined result that
 nothing of them is removed or makes others go. Texts under 100 bytes keep all bytes. Other columns are ignored.
 """
 
@@ -99,25 +100,26 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in W.pieces(batch, "text"):
             data, off = W.utf8(part["text"])
-            ids = part["id"].to_numpy()
+            ids, parts = part["id"].to_numpy(), part["part"].to_numpy()
             found = []
-            for row in np.argsort(ids, kind="stable").tolist():
+            for row in np.lexsort((parts, ids)).tolist():
                 text = data[off[row] : off[row + 1]]
                 if len(text) >= LENGTH:
                     for at, block in _blocks(text):
                         anchor, whole, first, count, inner = runs(block)
-                        found.append((anchor, whole, np.full(len(first), ids[row]), first + at, count, inner))
+                        found.append((anchor, whole, np.full(len(first), ids[row]), np.full(len(first), parts[row]), first + at, count, inner))
             if not found:
                 continue
-            anchor, whole, key, first, count, inner = (np.concatenate(x) for x in zip(*found, strict=True))
-            _, earliest = np.unique(anchor ^ W.mix(whole), return_index=True)
-            again = np.ones(len(anchor), bool)
-            again[earliest] = False
+            anchor, whole, key, of, first, count, inner = (np.concatenate(x) for x in zip(*found, strict=True))
+            _, earliest, back = np.unique(anchor ^ W.mix(whole), return_index=True, return_inverse=True)
+            at = earliest[back]
+            again = (key != key[at]) | (of != of[at]) | (first != first[at])
             yield pa.record_batch(
                 {
                     "anchor": pa.array(anchor.view(np.int64), mask=again),
                     "whole": pa.array(whole.view(np.int64)),
                     "id": pa.array(key),
+                    "part": pa.array(of),
                     "start": pa.array(first),
                     "n": pa.array(count.astype(np.int32)),
                     "inner": pa.array(inner),
@@ -130,12 +132,13 @@ def _pieces_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in W.pieces(batch, "text"):
             data, off = W.utf8(part["text"])
-            out = {"anchor": [], "id": [], "start": [], "bytes": []}
-            for row, (key, wanted) in enumerate(zip(part["id"].to_pylist(), part["wanted"].to_pylist(), strict=True)):
+            out = {"anchor": [], "id": [], "part": [], "start": [], "bytes": []}
+            for row, (key, of, wanted) in enumerate(zip(*(part[c].to_pylist() for c in ("id", "part", "wanted")), strict=True)):
                 for run in wanted:
                     a = off[row] + run["start"]
                     out["anchor"].append(run["anchor"])
                     out["id"].append(key)
+                    out["part"].append(of)
                     out["start"].append(run["start"])
                     out["bytes"].append(data[a : a + run["n"] + LENGTH - 1].tobytes())
             yield pa.record_batch({k: pa.array(v, pa.binary() if k == "bytes" else pa.int64()) for k, v in out.items()})
@@ -143,13 +146,18 @@ def _pieces_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _later_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Windows that an earlier run of the same anchor has. Rows come by anchor, then by place."""
-    last, known = None, np.zeros(0, np.uint64)
+    last, known, place_before = None, np.zeros(0, np.uint64), None
     for batch in batches:
+        # rows that are repeated follow each other, and count once
+        places = list(zip(*(batch[c].to_pylist() for c in ("anchor", "id", "part", "start")), strict=True))
+        once = [a != b for a, b in zip(places, [place_before, *places], strict=False)]
+        place_before = places[-1] if places else place_before
+        batch = batch.filter(pa.array(once, pa.bool_()))
         anchors = batch["anchor"].to_numpy()
-        ids, starts = batch["id"].to_numpy(), batch["start"].to_numpy()
+        ids, parts, starts = batch["id"].to_numpy(), batch["part"].to_numpy(), batch["start"].to_numpy()
         data = batch["bytes"]
         cut = np.flatnonzero(np.concatenate([[True], anchors[1:] != anchors[:-1]])) if len(anchors) else []
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
         for a, b in zip(cut, [*cut[1:], len(anchors)], strict=True):
             if anchors[a] != last:
                 last, known = anchors[a], np.zeros(0, np.uint64)
@@ -164,46 +172,48 @@ def _later_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 later = (np.arange(len(flat)) != first[back]) | np.isin(value, known, assume_unique=True)[back]
                 if len(rows) < b - a or b == len(anchors):
                     known = np.union1d(known, value)
-                key, at = ids[block : block + len(rows)][row], starts[block : block + len(rows)][row] + place
+                key, of, at = ids[block : block + len(rows)][row], parts[block : block + len(rows)][row], starts[block : block + len(rows)][row] + place
                 # neighbouring windows become one run again
                 hit = np.flatnonzero(later)
                 if len(hit):
                     new = np.flatnonzero(np.concatenate([[True], (np.diff(hit) > 1) | (np.diff(row[hit]) > 0)]))
-                    out.append((key[hit[new]], at[hit[new]], np.diff(new, append=len(hit))))
+                    out.append((key[hit[new]], of[hit[new]], at[hit[new]], np.diff(new, append=len(hit))))
         if out:
-            key, at, n = (np.concatenate(x) for x in zip(*out, strict=True))
-            yield pa.record_batch({"id": pa.array(key), "start": pa.array(at), "n": pa.array(n.astype(np.int32))})
+            key, of, at, n = (np.concatenate(x) for x in zip(*out, strict=True))
+            yield pa.record_batch({"id": pa.array(key), "part": pa.array(of), "start": pa.array(at), "n": pa.array(n.astype(np.int32))})
 
 
 def repeated_windows(rows: DataFrame) -> DataFrame:
-    """Runs of windows that also start earlier (id, start, n), from rows of id and text."""
+    """Runs of windows that also start earlier (id, part, start, n), from rows of id, part and text."""
     spark = rows.sparkSession
-    found = rows.mapInArrow(_anchors, "anchor long, whole long, id long, start long, n int, inner boolean")
+    found = rows.mapInArrow(_anchors, "anchor long, whole long, id long, part long, start long, n int, inner boolean")
     # a run that is marked already goes anywhere
-    key = F.coalesce("anchor", F.xxhash64("id", "start"))
+    key = F.coalesce("anchor", F.xxhash64("id", "part", "start"))
     same = Window.partitionBy("key")
-    equal = Window.partitionBy("key", "whole").orderBy("id", "start")
+    equal = Window.partitionBy("key", "whole").orderBy("id", "part", "start")
     placed = (
         found.withColumn("key", key)
         .withColumn("marked", F.col("anchor").isNull())
         .drop("anchor")
         .withColumn("several", F.col("inner") | (F.min("whole").over(same) != F.max("whole").over(same)))
-        .withColumn("again", F.col("marked") | (F.row_number().over(equal) > 1))
+        .withColumn("again", F.col("marked") | (F.rank().over(equal) > 1))
         .filter("again OR several")
-        .select("key", "id", "start", "n", "again")
+        .select("key", "id", "part", "start", "n", "again")
     )
     path = scratch_path(spark, "runs")
     placed.write.parquet(path)
     placed = spark.read.parquet(path)
     wanted = (
         placed.filter("NOT again")
-        .groupBy("id")
-        .agg(F.collect_list(F.struct(F.col("key").alias("anchor"), "start", "n")).alias("wanted"))
+        .groupBy("id", "part")
+        .agg(F.collect_set(F.struct(F.col("key").alias("anchor"), "start", "n")).alias("wanted"))
     )
-    parts = rows.join(wanted, "id").mapInArrow(_pieces_of, "anchor long, id long, start long, bytes binary")
-    parts = parts.repartition("anchor").sortWithinPartitions("anchor", "id", "start")
+    parts = rows.join(wanted, ["id", "part"]).mapInArrow(_pieces_of, "anchor long, id long, part long, start long, bytes binary")
+    parts = parts.repartition("anchor").sortWithinPartitions("anchor", "id", "part", "start")
     return (
-        placed.filter("again").select("id", "start", "n").unionByName(parts.mapInArrow(_later_windows, "id long, start long, n int"))
+        placed.filter("again").select("id", "part", "start", "n").unionByName(
+            parts.mapInArrow(_later_windows, "id long, part long, start long, n int")
+        )
     )
 
 
@@ -237,10 +247,11 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     """A row for each document: ``key``, n_bytes, n_removed, n_spans, and kept, the bytes that stay."""
     shared_folder(docs.sparkSession)
     rows = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    rows = rows.withColumn("part", F.xxhash64("text"))
     marks = (
         repeated_windows(rows.filter("id IS NOT NULL"))
-        .groupBy("id")
+        .groupBy("id", "part")
         .agg(F.collect_list(F.struct("start", "n")).alias("marks"))
     )
     schema = "id long, n_bytes long, n_removed long, n_spans long, kept binary"
-    return rows.join(marks, "id", "left").mapInArrow(_cut, schema).withColumnRenamed("id", key)
+    return rows.join(marks, ["id", "part"], "left").mapInArrow(_cut, schema).withColumnRenamed("id", key)

@@ -243,6 +243,15 @@ def test_repeats_of_few_letters(spark):
     assert repeats.without_repeats(docs.limit(0)).count() == 0
 
 
+def test_repeated_rows_and_ids_keep_a_copy(spark):
+    one, other = (" ".join(f"{w}{k}" for k in range(60)) for w in ("one", "other"))
+    for parts in (1, 4):
+        rows = [(1, one), (1, one), (2, other * 2), (2, "short"), (2, other * 2), (3, one + "!")]
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        got = sorted((r.doc_id, bytes(r.kept).decode()) for r in repeats.without_repeats(docs).collect())
+        assert got == sorted([(1, one), (1, one), (2, other), (2, "short"), (2, other), (3, "!")])
+
+
 def test_a_long_text_in_blocks_has_every_window(monkeypatch):
     data = np.random.default_rng(2).integers(97, 99, 5000).astype(np.uint8)
     monkeypatch.setattr(repeats.W, "PIECE", 100)
