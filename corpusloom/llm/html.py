@@ -20,6 +20,7 @@ from __future__ import annotations
 import html as entities
 import re
 import zlib
+from bisect import bisect_left
 from collections import Counter
 from dataclasses import dataclass
 from functools import lru_cache
@@ -42,6 +43,8 @@ BLOCK_TAGS = frozenset(
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW_TAGS = frozenset("script style textarea title xmp iframe noembed noframes noscript template svg math".split())
 SILENT_TAGS = frozenset("head select option button object canvas audio video map datalist".split())
+#: What can stand in a head; any other tag, or text, ends it.
+HEAD_TAGS = frozenset("html head title base basefont bgsound link meta style script noscript noframes template".split())
 #: An opening tag of the first kind ends open elements of the second kind.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 #: Elements, and words in classes and ids, around text that is not the article.
@@ -124,6 +127,16 @@ class _Reader:
                     del around[mark]
             return name
 
+        tags: dict[str, tuple[list[int], list[bool]]] = {}
+
+        def closes_ahead(name: str, at: int) -> bool:
+            """Whether the next tag of the name closes it."""
+            if name not in tags:
+                every = list(re.finditer(f"<(/?){name}(?=[\\s/>])", source, re.I))
+                tags[name] = [m.start() for m in every], [bool(m[1]) for m in every]
+            place = bisect_left(tags[name][0], at)
+            return place < len(tags[name][0]) and tags[name][1][place]
+
         at = 0
         while at < len(source):
             found = _TOKEN.match(source, at)
@@ -132,6 +145,8 @@ class _Reader:
             if name is None:
                 if found[0][0] == "<" and len(found[0]) > 1:
                     continue
+                if stack and stack[-1][0] == "head" and not found[0].isspace():
+                    pop()
                 if not silent:
                     piece = found[0]
                     if not parts:
@@ -153,6 +168,9 @@ class _Reader:
                 elif name == "p":
                     flush()
                 continue
+            if open_["head"] and name not in HEAD_TAGS:
+                while pop() != "head":
+                    pass
             if name in RAW_TAGS:
                 end = re.compile(f"</{re.escape(name)}[^>]*(?:>|\\Z)", re.I).search(source, at)
                 at = end.end() if end else len(source)
@@ -163,6 +181,11 @@ class _Reader:
                 continue
             if name in BLOCK_TAGS:
                 flush()
+                for other in ("button", "select", "option"):
+                    inside = other == "option" and (open_["select"] or open_["datalist"])
+                    if open_[other] and not inside and not closes_ahead(other, at):
+                        while pop() != other:
+                            pass
                 if open_["p"]:
                     while pop() != "p":
                         pass

@@ -164,6 +164,18 @@ def test_pages_of_other_makes(spark):
     assert html.extract(rows.limit(0), html.train(table.limit(0))).count() == 0
 
 
+def test_elements_left_open_silence_nothing_else():
+    def texts(source):
+        return [b.text for b in html._Reader().blocks(source)]
+
+    assert texts("<html><head><title>x</title><body><article><p>One.</p></article>") == ["One."]
+    assert texts("<head><meta charset=x><script>s</script><p>One.") == ["One."]
+    assert texts("<head><title>x</title>Bare text") == ["Bare text"]
+    assert texts("<div><button>OK<p>One.</p><button>OK</button></div>") == ["One."]
+    assert texts("<div><select><option>A<option>B<p>One.</p></div>") == ["One."]
+    assert texts("<div><button><div>OK</div></button><select><option>A<hr><option>B</select><p>One.</p></div>") == ["One."]
+
+
 def test_viterbi_is_the_best_of_all_labellings():
     from itertools import product
 
