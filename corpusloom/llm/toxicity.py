@@ -225,7 +225,7 @@ class Reader(dict):
         low = text.lower()
         out = [self[t] for t in set(low.split())]
         for spelt in _LETTER_BY_LETTER.finditer(low):
-            out += [self.weigh(words) for words in spelt_words(self.restorer("".join(c for c in spelt[0] if c not in " .-_*~")))]
+            out += [self.weigh(words) for words in spelt_words(self.restorer("".join(" " if c in ".-_~" else c for c in spelt[0])))]
         return out
 
 
