@@ -6,7 +6,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bpe, decontaminate, exact, html, licenses, near, nbsvm, repeats, surrogates, toxicity
+from corpusloom.llm import (
+    bpe,
+    decontaminate,
+    exact,
+    hosts,
+    html,
+    licenses,
+    nbsvm,
+    near,
+    repeats,
+    surrogates,
+    toxicity,
+)
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Stands for a secret of the user's; with another one all surrogates differ.
@@ -86,6 +98,13 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op13_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = hosts.judge(table(spark, sf_dir, "documents"))
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_pii_surrogates": op2_pii_surrogates,
@@ -97,6 +116,7 @@ QUERIES = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_exact_dedup": op10_exact_dedup,
+    "op13_host_rules": op13_host_rules,
 }
 
 ORACLE = {
@@ -108,4 +128,55 @@ ORACLE = {
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(k) AS text_sha256
         FROM t JOIN g USING (k)
     """,
+    "op13_host_rules": r"""
+        WITH words AS (
+            SELECT doc_id, source, coalesce(text, '') AS t,
+                   regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+            FROM documents
+        ), starts AS (
+            SELECT doc_id, unnest(range(1, len(w) - 6)) AS i, w FROM words WHERE len(w) >= 8
+        ), windows AS (
+            SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(w[i:i + 7], ' ')) AS times FROM starts
+        ), covered AS (
+            SELECT DISTINCT doc_id, unnest(range(i, i + 8)) AS j FROM windows WHERE times > 1
+        ), repeated AS (SELECT doc_id, count(*) AS n FROM covered GROUP BY doc_id),
+        lines AS (
+            SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM words
+        ), filled AS (
+            SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines
+            FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id
+        ), measured AS (
+            SELECT doc_id, source, CAST(len(w) AS BIGINT) AS n_words,
+                   CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+                   CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+                   coalesce(n_lines, 0) AS n_lines, coalesce(n_dup_lines, 0) AS n_dup_lines,
+                   coalesce(r.n, 0) AS n_repeat_words
+            FROM words LEFT JOIN repeated r USING (doc_id) LEFT JOIN filled USING (doc_id)
+        ), flagged AS (
+            SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM measured
+        ), failures AS (
+            SELECT source, unnest(['base', 'symbols', 'lines', 'letters']) AS rule,
+                   unnest([base_failed, 100 * n_symbols > 10 * n_words, 100 * n_dup_lines > 30 * n_lines,
+                           word_chars < 2 * n_words]) AS failed
+            FROM flagged
+        ), hosts AS (
+            SELECT source, rule, CAST(count(*) AS DOUBLE) AS n, CAST(sum(failed::INT) AS DOUBLE) AS x
+            FROM failures GROUP BY source, rule
+        ), totals AS (
+            SELECT rule, count(*) AS k, sum(n) AS docs, sum(x) / sum(n) AS p, sum(n * n) AS squares,
+                   sum(x * x / n) - sum(x) * (sum(x) / sum(n)) AS spread
+            FROM hosts GROUP BY rule
+        ), prior AS (
+            SELECT rule, p, greatest(0, least(CAST(1 AS DOUBLE) / 11, coalesce(
+                CASE WHEN p * (1 - p) <> 0 AND docs - squares / docs - (k - 1) <> 0
+                     THEN (spread / (p * (1 - p)) - (k - 1)) / (docs - squares / docs - (k - 1)) END, 0))) AS share
+            FROM totals
+        ), verdicts AS (
+            SELECT source, max(p + n * share / (n * share + 1 - share) * (x / n - p)) <= 0.5 AS host_kept
+            FROM hosts JOIN prior USING (rule) GROUP BY source
+        )
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+               NOT base_failed AND host_kept AS kept
+        FROM flagged f JOIN verdicts v ON f.source IS NOT DISTINCT FROM v.source
+    """,
 }

@@ -60,9 +60,14 @@ def lowered(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end of each word, and the number of words before each text (one more for all)."""
-    inside = _IS_WORD[data]
+def spans(
+    data: np.ndarray, off: np.ndarray, is_word: np.ndarray = _IS_WORD
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of each word, and the number of words before each text (one more for all).
+
+    ``is_word`` tells the bytes of words from others, where words of another kind are wanted.
+    """
+    inside = is_word[data]
     before = np.empty_like(inside)
     before[1:] = inside[:-1]
     cuts = off[:-1][off[:-1] < len(data)]
@@ -79,7 +84,9 @@ def spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return starts, ends, np.searchsorted(starts, off)
 
 
-def fingerprints(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def fingerprints(
+    low: np.ndarray, starts: np.ndarray, ends: np.ndarray, is_word: np.ndarray = _IS_WORD
+) -> np.ndarray:
     """A 64-bit value for each word of the lower-cased bytes."""
     out = np.empty(len(starts), np.uint64)
     at = 0
@@ -90,7 +97,7 @@ def fingerprints(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         begin = starts[at:to] - first
         place = np.arange(len(part)) - np.repeat(begin, np.diff(begin, append=len(part)))
         values = _BYTE[part] * _PLACE[place & 1023]
-        values[~_IS_WORD[part]] = 0
+        values[~is_word[part]] = 0
         out[at:to] = np.add.reduceat(values, begin) + (ends[at:to] - starts[at:to]).astype(np.uint64)
         at = to
     return mix(out)
