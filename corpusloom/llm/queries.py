@@ -16,6 +16,7 @@ from corpusloom.llm import (
     nbsvm,
     near,
     repeats,
+    search,
     surrogates,
     toxicity,
 )
@@ -98,6 +99,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = hosts.judge(table(spark, sf_dir, "documents"))
     return judged.select(
@@ -116,6 +121,7 @@ QUERIES = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_exact_dedup": op10_exact_dedup,
+    "op12_ranked_search": op12_ranked_search,
     "op13_host_rules": op13_host_rules,
 }
 
@@ -128,6 +134,37 @@ ORACLE = {
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(k) AS text_sha256
         FROM t JOIN g USING (k)
     """,
+    "op12_ranked_search": r"""
+        WITH terms AS (
+            SELECT doc_id, unnest(regexp_extract_all(
+                translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+            FROM documents
+        ), asked AS (
+            SELECT item_id, unnest(regexp_extract_all(
+                translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+            FROM (SELECT DISTINCT item_id, text FROM benchmark)
+        ), lengths AS (SELECT doc_id, count(*) AS n FROM terms GROUP BY doc_id),
+        totals AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS l FROM lengths),
+        held AS (SELECT doc_id, term, count(*) AS tf FROM terms GROUP BY doc_id, term),
+        weights AS (
+            SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(docs) + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE)))
+                              AS BIGINT) AS w
+            FROM held, totals GROUP BY term
+        ), impacts AS (
+            SELECT doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + ((75 * n * docs) // l)))) AS impact
+            FROM held JOIN lengths USING (doc_id) JOIN weights USING (term), totals
+        ), scores AS (
+            SELECT item_id, doc_id, CAST(sum(repeats * impact) AS BIGINT) AS score
+            FROM (SELECT item_id, term, count(*) AS repeats FROM asked GROUP BY ALL) JOIN impacts USING (term)
+            GROUP BY item_id, doc_id
+        ), ranked AS (
+            SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score
+            FROM scores WHERE score > 0
+        )
+        SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 10
+    """,
     "op13_host_rules": r"""
         WITH words AS (
             SELECT doc_id, source, coalesce(text, '') AS t,
