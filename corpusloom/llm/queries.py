@@ -19,6 +19,7 @@ from corpusloom.llm import (
     search,
     surrogates,
     toxicity,
+    trie,
 )
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -99,6 +100,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.trie(table(spark, sf_dir, "conversations"))
+
+
 def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -121,6 +126,7 @@ QUERIES = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_prefix_trie": op11_prefix_trie,
     "op12_ranked_search": op12_ranked_search,
     "op13_host_rules": op13_host_rules,
 }
@@ -134,6 +140,50 @@ ORACLE = {
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(k) AS text_sha256
         FROM t JOIN g USING (k)
     """,
+    "op11_prefix_trie": """
+        WITH crcs AS (
+            SELECT list(list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: xor(c >> 1, (c & 1) * 3988292384))
+                        ORDER BY n) AS crc
+            FROM (SELECT unnest(range(256)) AS n)
+        ), filled AS (
+            SELECT conv_id, turn, {'role': coalesce(role, ''), 'text': coalesce(text, '')} AS t
+            FROM conversations WHERE conv_id IS NOT NULL
+        ), own AS (
+            SELECT conv_id, list(t ORDER BY turn NULLS FIRST, sha256(strlen(t.role) || ':' || t.role || t.text)) AS turns
+            FROM filled GROUP BY conv_id
+        ), heads AS (
+            SELECT conv_id, turns, conv_id - conv_id % 100 AS base, xor(4294967295, list_reduce(
+                       [4294967295] || list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: ascii(c)),
+                       lambda a, b: xor(a >> 8, crc[CAST(xor(a, b) & 255 AS BIGINT) + 1]))) % 6 AS h
+            FROM own, crcs
+        ), rebuilt AS (
+            SELECT o.conv_id, coalesce(list_slice(b.turns, 1, o.h), []) || list_slice(o.turns, o.h + 1, len(o.turns)) AS turns
+            FROM heads o LEFT JOIN own b ON b.conv_id = o.base
+        ), prefixes AS (
+            SELECT conv_id, turns, unnest(range(0, len(turns) + 1)) AS depth FROM rebuilt
+        ), named AS (
+            SELECT conv_id, depth, len(turns) = depth AS ends,
+                   CASE WHEN depth > 0 THEN length(turns[depth].text) ELSE 0 END AS chars,
+                   min(conv_id) OVER (PARTITION BY depth, list_slice(turns, 1, depth)) AS node
+            FROM prefixes
+        ), members AS (
+            SELECT *, lag(node) OVER (PARTITION BY conv_id ORDER BY depth) AS parent FROM named
+        ), nodes AS (
+            SELECT node, depth, any_value(parent) AS parent, count(*) AS n_convs, any_value(chars) AS chars,
+                   sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+            FROM members GROUP BY node, depth
+        ), children AS (
+            SELECT parent AS node, depth - 1 AS depth, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY ALL
+        ), counted AS (
+            SELECT n.*, coalesce(n_children, 0) AS n_children FROM nodes n LEFT JOIN children USING (node, depth)
+        ), sums AS (
+            SELECT m.node, m.depth, CAST(sum((n_children = 0)::INT) AS BIGINT) AS n_leaves,
+                   CAST(sum((n_convs - 1) * c.chars) AS BIGINT) AS saved_tokens
+            FROM counted c JOIN members m ON m.conv_id = c.node AND m.depth <= c.depth GROUP BY m.node, m.depth
+        )
+        SELECT node AS conv_id, depth, parent AS parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256
+        FROM counted JOIN sums USING (node, depth)
+    """,
     "op12_ranked_search": r"""
         WITH terms AS (
             SELECT doc_id, unnest(regexp_extract_all(
