@@ -404,14 +404,14 @@ FROM (SELECT ceil(count(*) / 8)::BIGINT AS n_batches FROM documents)""",
     "length_stats": f"WITH {LENGTHS_CTE} {STATS}",
     "sft_length_stats": f"WITH {SFT_LENGTHS_CTE} {STATS}",
     "sft_truncation_coverage": f"WITH {SFT_LENGTHS_CTE} {COVERAGE}",
-    "length_stats_bpe": f"""WITH RECURSIVE {BPE_ENCODED_CTE},
+    "length_stats_bpe_256": f"""WITH RECURSIVE {BPE_ENCODED_CTE},
 lengths AS (SELECT len(ids) AS n_tokens FROM enc JOIN documents USING (doc_id) WHERE text <> '') {STATS}""",
-    "train_bpe": f"""WITH RECURSIVE {bpe_cte()}
+    "train_bpe_256": f"""WITH RECURSIVE {bpe_cte()}
 SELECT (step - 1)::INTEGER AS rank, l::INTEGER AS left_id, r::INTEGER AS right_id, m::INTEGER AS merged_id
 FROM bpe WHERE toks IS NOT NULL AND step > 0""",
-    "encode_bpe": f"WITH RECURSIVE {BPE_ENCODED_CTE} SELECT doc_id, {text_of('ids')} AS ids FROM enc",
-    "pad_corpus_bpe": padded_corpus(f"{u60('doc_id')}, doc_id", 8, BPE_ENCODED_CTE),
-    "truncate_sft_bpe": f"""WITH RECURSIVE {BPE_RECORDS_CTE}
+    "encode_bpe_256": f"WITH RECURSIVE {BPE_ENCODED_CTE} SELECT doc_id, {text_of('ids')} AS ids FROM enc",
+    "pad_corpus_bpe_256": padded_corpus(f"{u60('doc_id')}, doc_id", 8, BPE_ENCODED_CTE),
+    "truncate_sft_bpe_256": f"""WITH RECURSIVE {BPE_RECORDS_CTE}
 SELECT src, rec_id, {text_of('ids')} AS ids, {text_of('labels')} AS labels FROM cut""",
     "continuation_prompts": f"WITH {ENCODED_CTE} SELECT doc_id, {text_of('([2] || ids)')} AS prompt FROM enc",
     "model_inputs": f"""WITH {ENCODED_CTE},

@@ -30,6 +30,12 @@ def query_as(name: str):
     return lambda fn: query(fn, name)
 
 
+def with_small_vocabulary(fn):
+    """Register ``fn``, and as ``.._256`` with a vocabulary that SQL can learn anew in reasonable time."""
+    query(lambda spark, sf_dir: fn(spark, sf_dir, inputs.checked_bpe_tokenizer), f"{fn.__name__}_{inputs.CHECKED_VOCAB}")
+    return query(fn)
+
+
 def shown(ids):
     """An id array as text, so that results compare by value in any engine."""
     return F.array_join(F.transform(ids, lambda x: x.cast("string")), " ")
@@ -227,9 +233,9 @@ def bpe_pair_counts(spark, sf_dir):
     )
 
 
-@query
-def train_bpe(spark, sf_dir):
-    tok = inputs.checked_bpe_tokenizer(spark, sf_dir)
+@with_small_vocabulary
+def train_bpe(spark, sf_dir, tokenizer=inputs.bpe_tokenizer):
+    tok = tokenizer(spark, sf_dir)
     return tok.merges.merge_table(spark)
 
 
@@ -264,9 +270,9 @@ def encode_word_level(spark, sf_dir):
     return _encoded(spark, sf_dir).select("doc_id", shown("ids").alias("ids"))
 
 
-@query
-def encode_bpe(spark, sf_dir):
-    tok = inputs.checked_bpe_tokenizer(spark, sf_dir)
+@with_small_vocabulary
+def encode_bpe(spark, sf_dir, tokenizer=inputs.bpe_tokenizer):
+    tok = tokenizer(spark, sf_dir)
     return tok.encode(documents(spark, sf_dir), ["doc_id"], {"ids": "text"}).select(
         "doc_id", shown("ids").alias("ids")
     )
@@ -359,11 +365,11 @@ def truncate_sft(spark, sf_dir):
     return cut.select("src", "rec_id", shown("input_ids").alias("ids"), shown("labels").alias("labels"))
 
 
-@query
-def truncate_sft_bpe(spark, sf_dir):
+@with_small_vocabulary
+def truncate_sft_bpe(spark, sf_dir, tokenizer=inputs.bpe_tokenizer):
     """The same on the default tokenizer."""
     made = rec.make_records(inputs.instruct_lines(spark, sf_dir))
-    coded = finetuning.encode_records(made, inputs.checked_bpe_tokenizer(spark, sf_dir))
+    coded = finetuning.encode_records(made, tokenizer(spark, sf_dir))
     cut = finetuning.truncate_sft(finetuning.sft_sequences(coded))
     return cut.select("src", "rec_id", shown("input_ids").alias("ids"), shown("labels").alias("labels"))
 
@@ -453,9 +459,9 @@ def pad_sft(spark, sf_dir):
     )
 
 
-@query
-def pad_corpus_bpe(spark, sf_dir):
-    tok = inputs.checked_bpe_tokenizer(spark, sf_dir)
+@with_small_vocabulary
+def pad_corpus_bpe(spark, sf_dir, tokenizer=inputs.bpe_tokenizer):
+    tok = tokenizer(spark, sf_dir)
     made = pretraining.corpus_sequences(documents(spark, sf_dir), tok, "doc_id")
     return _batch_columns(
         pretraining.train_batches(made, "doc_id", keys=table(spark, sf_dir, "documents")), "input_ids"
@@ -521,9 +527,9 @@ def truncation_coverage(spark, sf_dir):
     return reports.truncation_coverage(made).withColumns(rounded("coverage"))
 
 
-@query
-def length_stats_bpe(spark, sf_dir):
-    tok = inputs.checked_bpe_tokenizer(spark, sf_dir)
+@with_small_vocabulary
+def length_stats_bpe(spark, sf_dir, tokenizer=inputs.bpe_tokenizer):
+    tok = tokenizer(spark, sf_dir)
     return _stats(length_analysis.corpus_lengths(documents(spark, sf_dir), tok))
 
 

@@ -1,14 +1,18 @@
 """Byte-pair-encoding vocabularies, learned from distributed word counts.
 
 The corpus-sized work (word counts, pair counts, segment counts, rewriting the words) runs as Spark
-jobs. A round learns many merges at once, exactly:
-
-* Take the most frequent pairs and a floor, such that every pair counting at least the floor is
-  among them. Cut each word where a pair outside that set stands. A merge never raises the count of
-  a pair that already existed, and a pair built across a cut occurs at most as often as the pair at
-  the cut. So until the best count falls below the floor, the cuts cannot matter.
-* What lies between the cuts repeats heavily. The distinct segments with their summed counts are a
-  small table, whose size is checked, and the round's merges are read off it.
+jobs. Pair counts are made once; afterwards a round adds the differences that its merges make, which
+come from the words it changed only. A round learns many merges at once, exactly:
+
+* Take the most frequent pairs, and cut each word where another pair stands. A merge never raises the
+  count of a pair that already existed, and a pair built across a cut comes after the pair at the cut
+  in the order of choice (it is no more frequent, and its ids are larger). So until the best pair falls
+  behind the best one left out, the cuts cannot matter.
+* What lies between the cuts repeats heavily. The most frequent segments, a bounded table, are merged
+  on the driver as an example. What they don't cover is known by its sum per pair only: a merge there
+  may take something from each neighbouring pair and give it to a new one, so these counts become
+  ranges. The round goes on for as long as the best pair is an exact count. The first one always is,
+  so a round learns one merge at least, and several whatever the number of distinct segments is.
 
 Symbols are ids throughout: specials first, then the alphabet by code point, then merged strings.
 """
@@ -28,10 +32,10 @@ from corpusloom.session import cut_lineage, remove, written
 
 MERGE_SCHEMA = "rank int, left_id int, right_id int, merged_id int"
 
-# A round's segment table is brought to the driver only up to this many rows and symbols; above it
-# the round takes fewer pairs, down to the single best one, which needs no table.
+# What a round brings to the driver: the most frequent segments of limited length, and pairs. What
+# is beyond stays in its sums, so neither bound changes a merge.
 MAX_SEGMENTS = 50_000
-MAX_SYMBOLS = 4_000_000
+MAX_SEGMENT_SYMBOLS = 80
 FIRST_PAIRS = 64
 MAX_PAIRS = 8_192
 
@@ -112,63 +116,72 @@ def segment_counts(words: DataFrame, active: set[tuple[int, int]]) -> DataFrame:
     )
 
 
-def rewrite_segments(
-    words: DataFrame, active: set[tuple[int, int]], merged: dict[tuple, tuple]
-) -> DataFrame:
-    """Replace every stretch by what the round made of it."""
-
-    @F.arrow_udf("array<int>")
-    def rewrite(batch):
-        import pyarrow as pa
-
-        rows = []
-        for syms in batch.to_pylist():
-            out, start = [], 0
-            for i in range(1, len(syms) + 1):
-                if i == len(syms) or (syms[i - 1], syms[i]) not in active:
-                    stretch = tuple(syms[start:i])
-                    out.extend(merged.get(stretch, stretch))
-                    start = i
-            rows.append(out)
-        return pa.array(rows, pa.list_(pa.int32()))
-
-    return words.select(rewrite("syms").alias("syms"), "n")
+def merged(syms: list[int], ranks: dict[tuple[int, int], tuple[int, int]]) -> list[int] | None:
+    """A word after a round's merges, one after the other, each leftmost first; None if none applies.
+
+    ``ranks`` has the place of a pair among the merges, and what it becomes.
+    """
+    done, changed = -1, False
+    while True:
+        following = [r for pair in zip(syms, syms[1:]) if (r := ranks.get(pair)) and r[0] > done]
+        if not following:
+            return syms if changed else None
+        (done, new), changed = min(following), True
+        out, i = [], 0
+        while i < len(syms):
+            r = ranks.get((syms[i], syms[i + 1])) if i + 1 < len(syms) else None
+            if r and r[0] == done:
+                out.append(new)
+                i += 2
+            else:
+                out.append(syms[i])
+                i += 1
+        syms = out
 
 
-def rewrite_pair(words: DataFrame, left: int, right: int, new: int) -> DataFrame:
-    """Merge one pair, leftmost first."""
+def rewrite(words: DataFrame, merges: list[tuple[tuple[int, int], int]]) -> DataFrame:
+    """``syms, n, before``: the words after ``merges``; ``before`` is null where nothing changed."""
+    ranks = {pair: (i, new) for i, (pair, new) in enumerate(merges)}
 
     @F.arrow_udf("array<int>")
-    def rewrite(batch):
+    def after(batch):
         import pyarrow as pa
 
-        rows = []
-        for syms in batch.to_pylist():
-            out, i = [], 0
-            while i < len(syms):
-                if i + 1 < len(syms) and syms[i] == left and syms[i + 1] == right:
-                    out.append(new)
-                    i += 2
-                else:
-                    out.append(syms[i])
-                    i += 1
-            rows.append(out)
-        return pa.array(rows, pa.list_(pa.int32()))
+        return pa.array([merged(syms, ranks) for syms in batch.to_pylist()], pa.list_(pa.int32()))
+
+    made = words.select(after("syms").alias("after"), "syms", "n")
+    changed = F.col("after").isNotNull()
+    return made.select(F.coalesce("after", "syms").alias("syms"), "n", F.when(changed, F.col("syms")).alias("before"))
 
-    return words.select(rewrite("syms").alias("syms"), "n")
+
+def pair_changes(rewritten: DataFrame) -> DataFrame:
+    """``left_id, right_id, n``: by how much the words a round changed alter the pair counts."""
+    changed = rewritten.filter(F.col("before").isNotNull())
+    gone = changed.select(F.col("before").alias("syms"), (-F.col("n")).alias("n"))
+    return pair_counts(changed.select("syms", "n")).unionByName(pair_counts(gone))
 
 
 class _Round:
-    """The merges of one round, read off its distinct segments."""
+    """The merges of one round, from its frequent segments and the sums of what they don't cover.
+
+    ``counts`` are exact counts of all active pairs. A pair's count here is the largest it can be;
+    ``rest`` is the part of it from outside the segments, ``sure`` what of that part is certain.
+    """
 
-    def __init__(self, segments: list[tuple[tuple[int, ...], int]]):
-        self.start = [seg for seg, _ in segments]
+    def __init__(self, segments: list[tuple[tuple[int, ...], int]], counts: dict[tuple[int, int], int]):
         self.now = [list(seg) for seg, _ in segments]
         self.weight = [n for _, n in segments]
         self.count: Counter = Counter()
         self.where = defaultdict(set)
         for i, seg in enumerate(self.now):
             self._add(i, seg, self.weight[i])
+        self.rest = {p: n - self.count[p] for p, n in counts.items() if n > self.count[p]}
+        self.sure = dict(self.rest)
+        self.by_left, self.by_right = defaultdict(set), defaultdict(set)
+        for p in self.rest:
+            self.by_left[p[0]].add(p)
+            self.by_right[p[1]].add(p)
+        self.count.update(self.rest)
         self.heap = [(-n, pair) for pair, n in self.count.items()]
         heapq.heapify(self.heap)
 
@@ -178,18 +191,20 @@ class _Round:
             self.where[pair].add(i)
 
     def best(self):
-        """Most frequent pair, ties by ids; outdated heap entries are passed over."""
+        """Most frequent pair, ties by ids, and whether that is certain; outdated entries are passed over."""
         while self.heap:
             negative, pair = self.heap[0]
             if self.count[pair] == -negative:
-                return pair, -negative
+                rest = self.rest.get(pair, 0)
+                # how often a pair of equals overlaps itself isn't known from its sum
+                return pair, -negative, rest == self.sure.get(pair, 0) and (pair[0] != pair[1] or not rest)
             heapq.heappop(self.heap)
-        return None, 0
+        return None, 0, True
 
     def merge(self, pair, new) -> int:
         """Apply one merge. Returns how often ``pair`` itself was consumed by an overlap."""
         overlaps, touched = 0, set()
-        for i in self.where.pop(pair):
+        for i in self.where.pop(pair, ()):
             old, fresh, j = self.now[i], [], 0
             while j < len(old):
                 if j + 1 < len(old) and (old[j], old[j + 1]) == pair:
@@ -206,13 +221,36 @@ class _Round:
             self._add(i, fresh, self.weight[i])
             touched.update(zip(fresh, fresh[1:]))
             self.now[i] = fresh
+        if pair in self.rest:
+            touched |= self._merge_rest(pair, new)
         for p in touched:
             if self.count[p] > 0:
                 heapq.heappush(self.heap, (-self.count[p], p))
         return overlaps
 
-    def results(self) -> dict[tuple, tuple]:
-        return {s: tuple(t) for s, t in zip(self.start, self.now) if len(s) != len(t)}
+    def _merge_rest(self, pair, new) -> set:
+        """Outside the segments any occurrence may have taken from its neighbours, and so made new pairs."""
+        left, right = pair
+        size = self.rest.pop(pair)
+        self.sure.pop(pair, None)
+        self.count[pair] -= size
+        self.by_left[left].discard(pair)
+        self.by_right[right].discard(pair)
+        made: Counter = Counter()
+        if (right, left) in self.rest:
+            made[new, new] = self.rest[right, left]
+        for p in self.by_right[left]:
+            made[p[0], new] = self.rest[p]
+        for p in self.by_left[right]:
+            made[new, p[1]] = self.rest[p]
+        for p in self.by_right[left] | self.by_left[right]:
+            self.sure[p] = max(0, self.sure[p] - size)
+        for p, most in made.items():
+            self.rest[p], self.sure[p] = min(size, most), 0
+            self.count[p] += self.rest[p]
+            self.by_left[p[0]].add(p)
+            self.by_right[p[1]].add(p)
+        return set(made)
 
 
 class _Learner:
@@ -230,14 +268,8 @@ class _Learner:
         # happen only after a merge whose string already had an id.
         self.credit: dict[tuple[int, int], int] = {}
         self.reused = False
-        self.path: str | None = None
-
-    def _store(self) -> None:
-        """Write the word table; the one of the round before is not needed any more."""
-        before = self.path
-        self.words, self.path = written(self.words.filter(F.size("syms") > 1), "words")
-        if before:
-            remove(self.words.sparkSession, before)
+        self.paths: list[str] = []
+        self.rounds = 0
 
     def _id_of(self, token: str) -> int:
         if token not in self.ids:
@@ -252,93 +284,93 @@ class _Learner:
         self.merges.append((*pair, new))
         return new
 
-    def _merge_one(self, pair, count):
-        new = self._learn(pair)
-        self.credit[pair] = count
-        self.words = rewrite_pair(self.words, *pair, new)
+    def _count(self) -> None:
+        """Count all pairs, once."""
+        self.pairs, path = written(pair_counts(self.words), "pairs")
+        self.paths = [path]
 
-    def _returned(self, pairs: DataFrame):
+    def _apply(self, merges) -> None:
+        """Rewrite the words and bring the pair counts up to date; the tables before are not needed any more."""
+        rewritten, words_path = written(
+            rewrite(self.words, merges).filter((F.size("syms") > 1) | F.col("before").isNotNull()), "words"
+        )
+        counts = self.pairs.unionByName(pair_changes(rewritten)).groupBy("left_id", "right_id")
+        self.pairs, pairs_path = written(counts.agg(F.sum("n").alias("n")).filter("n <> 0"), "pairs")
+        self.words = rewritten.select("syms", "n").filter(F.size("syms") > 1)
+        self.changed = rewritten.filter(F.col("before").isNotNull())
+        self._remove()
+        self.paths = [words_path, pairs_path]
+
+    def _made(self, new: int) -> int:
+        """How often the last round made the symbol ``new``."""
+        here, before = (F.size(F.filter(c, lambda x: x == new)) for c in ("syms", "before"))
+        return self.changed.agg(F.sum((here - before) * F.col("n"))).first()[0] or 0
+
+    def _remove(self) -> None:
+        for path in self.paths:
+            remove(self.words.sparkSession, path)
+
+    def _returned(self):
         """A merged pair that a reused string brought back, with its credited count."""
         done = self.words.sparkSession.createDataFrame(
             list(self.credit), "left_id int, right_id int"
         )
-        rows = pairs.join(F.broadcast(done), ["left_id", "right_id"]).collect()
+        rows = self.pairs.join(F.broadcast(done), ["left_id", "right_id"]).collect()
         return [(r.n + self.credit[r.left_id, r.right_id], (r.left_id, r.right_id)) for r in rows]
 
-    def _active(self, pairs: DataFrame, top: list, wanted: int) -> tuple[dict, int]:
-        """Pairs a round works on, and the floor all other pairs stay below; none: take one pair."""
-        if len(top) <= wanted:
-            floor = self.least
-        else:
-            floor = top[wanted][1] + 1
-            if floor > top[0][1]:
-                # the best count is shared by more pairs than were fetched: take the whole tie
-                floor = top[0][1]
-                tie = pairs.filter(F.col("n") >= floor).limit(MAX_PAIRS + 1).collect()
-                if len(tie) > MAX_PAIRS:
-                    return {}, floor
-                top = [((r.left_id, r.right_id), r.n) for r in tie]
-        floor = max(floor, self.least)
-        return {pair: n for pair, n in top if n >= floor}, floor
-
-    def _segments(self, active) -> list | None:
-        """Distinct segments, if they are few; the count is taken before anything is fetched."""
-        table = segment_counts(self.words, set(active)).persist()
-        try:
-            size = table.agg(F.count("*").alias("rows"), F.sum(F.size("seg")).alias("syms")).first()
-            if size.rows > MAX_SEGMENTS or (size.syms or 0) > MAX_SYMBOLS:
-                return None
-            return [(tuple(r.seg), r.n) for r in table.collect()]
-        finally:
-            table.unpersist()
+    def _segments(self, active) -> list:
+        """The most frequent segments: a bounded number, of a bounded length."""
+        table = segment_counts(self.words, active).filter(F.size("seg") <= MAX_SEGMENT_SYMBOLS)
+        return [(tuple(r.seg), r.n) for r in table.orderBy(F.desc("n"), "seg").limit(MAX_SEGMENTS).collect()]
 
     def run(self) -> Merges:
         wanted = FIRST_PAIRS
+        self._count()
         while len(self.tokens) < self.vocab_size:
-            pairs = pair_counts(self.words)
-            rows = pairs.orderBy(F.desc("n"), "left_id", "right_id").limit(wanted + 1).collect()
+            rows = self.pairs.orderBy(F.desc("n"), "left_id", "right_id").limit(wanted + 1).collect()
             top = [((r.left_id, r.right_id), r.n) for r in rows]
-            returned = self._returned(pairs) if self.reused else []
+            returned = self._returned() if self.reused else []
             if returned:
                 candidates = returned + [(n, pair) for pair, n in top[:1]]
                 count, pair = min(candidates, key=lambda c: (-c[0], c[1]))
-                self._merge_one(pair, count)
-                self._store()
+                self.credit[pair] = count
+                self._apply([(pair, self._learn(pair))])
                 continue
             if not top or top[0][1] < self.least:
                 break
-            active, floor = self._active(pairs, top, wanted)
-            segments = self._segments(active) if active else None
-            while segments is None and len(active) > 1:
-                # too many segments: go on with the more frequent half; equal counts stay together,
-                # so a tie may leave none, and then the round is the best pair alone
-                wanted = max(len(active) // 2, 1)
-                floor = sorted(active.values(), reverse=True)[wanted] + 1
-                active = {pair: n for pair, n in active.items() if n >= floor}
-                segments = self._segments(active) if active else None
-            if segments is None:
-                self._merge_one(*top[0])
-            else:
-                self._run_round(segments, set(active), floor)
-                if len(segments) * 4 < MAX_SEGMENTS:
-                    wanted = min(wanted * 2, MAX_PAIRS)
-            self._store()
-        if self.path:
-            remove(self.words.sparkSession, self.path)
+            active = dict(top[:wanted])
+            left_out = (-top[wanted][1], top[wanted][0]) if len(top) > wanted else None
+            learned, ended = self._round(active, left_out)
+            # a round cut short by uncertain counts had too long segments
+            wanted = min(wanted * 2, MAX_PAIRS) if ended else max(wanted // 2, FIRST_PAIRS)
+            self.rounds += 1
+            self._apply(learned)
+            pair, new = learned[-1]
+            if not ended and pair[0] == pair[1]:
+                # each merge but those that overlap another makes one symbol
+                self.credit[pair] = self._made(new)
+        self._remove()
         return Merges(self.tokens, self.alphabet_end, self.merges)
 
-    def _run_round(self, segments, active, floor):
-        step = _Round(segments)
+    def _round(self, active: dict, left_out: tuple | None) -> tuple[list, bool]:
+        """Merges of pairs and their ids, and whether the pairs were used up before certainty was."""
+        step, learned = _Round(self._segments(set(active)), active), []
         while len(self.tokens) < self.vocab_size:
-            pair, count = step.best()
-            if pair is None or count < floor:
+            pair, count, sure = step.best()
+            if pair is None or count < self.least or left_out and (-count, pair) >= left_out:
                 break
+            if not sure and learned:
+                return learned, False
             new = self._learn(pair)
+            learned.append((pair, new))
             self.credit[pair] = count - step.merge(pair, new)
+            # equals outside the segments end a round; so does an old symbol in new places, as it can
+            # make old pairs more frequent
+            if not sure:
+                return learned, False
             if self.reused:
-                # an existing symbol has new occurrences, so old pairs may grow: count afresh
                 break
-        self.words = rewrite_segments(self.words, active, step.results())
+        return learned, True
 
 
 def train_bpe(df: DataFrame, settings: TokenizerSettings, text: str = "text") -> Merges:

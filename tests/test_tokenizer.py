@@ -2,6 +2,8 @@ import json
 import time
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Regex, Tokenizer as Library
 from tokenizers import decoders, models, normalizers, pre_tokenizers, trainers
@@ -52,8 +54,8 @@ ODD = [
 @pytest.fixture(scope="module", params=["byte-level", "whitespace"])
 def pair(request, spark, texts):
     some = texts[:60] + ["x [PAD] y"] * 3
-    settings = TokenizerSettings(pre_tokenizer=request.param, vocab_size=500)
-    return Tokenizer.train(frame(spark, some), settings), library(some, request.param, 500), some
+    chosen = TokenizerSettings(pre_tokenizer=request.param, vocab_size=500)
+    return Tokenizer.train(frame(spark, some), chosen), library(some, request.param, 500), some
 
 
 def test_bpe_training_like_library(pair):
@@ -98,6 +100,54 @@ def test_bpe_repeats_and_ties(spark, monkeypatch, pairs, segments):
     assert ours.tokens == by_id(theirs)
 
 
+def _best_pair(words):
+    count = {}
+    for syms, n in words:
+        for pair in zip(syms, syms[1:]):
+            count[pair] = count.get(pair, 0) + n
+    return min(((-n, p) for p, n in count.items() if n > 0), default=None)
+
+
+@settings(max_examples=300, deadline=None)
+@given(
+    st.lists(st.tuples(st.lists(st.integers(0, 3), min_size=2, max_size=8), st.integers(1, 9)), min_size=1, max_size=12),
+    st.integers(0, 4),
+)
+def test_bpe_merges_of_a_round_are_certain(words, shown):
+    """With some of the words as segments and the sums of the others, what a round is sure of is right."""
+    words = [(tuple(s), n) for s, n in words]
+    counts = {}
+    for syms, n in words:
+        for pair in zip(syms, syms[1:]):
+            counts[pair] = counts.get(pair, 0) + n
+    step, new = bpe._Round(words[:shown], counts), 100
+    while True:
+        pair, n, sure = step.best()
+        want = _best_pair(words)
+        if pair is None or not sure:
+            break
+        assert (-n, pair) == want
+        step.merge(pair, new)
+        words = [(tuple(bpe.merged(list(s), {pair: (0, new)}) or s), n) for s, n in words]
+        new += 1
+    if shown >= len(words):
+        assert pair is None and want is None
+
+
+def test_bpe_counts_kept_by_differences(spark, texts):
+    """The pair counts that rounds bring up to date are those of the words they leave."""
+    df = frame(spark, texts[:40])
+    counts = vocab.word_counts(df, "text", "byte-level")
+    chars = sorted({c for r in counts.collect() for c in r.word})
+    learner = bpe._Learner(counts, chars, TokenizerSettings(vocab_size=len(chars) + 60))
+    learner.words = bpe.spell(counts, {c: learner.ids[c] for c in chars})
+    learner._remove = lambda: None
+    learner.run()
+    assert learner.rounds >= 1
+    kept = {(r.left_id, r.right_id): r.n for r in learner.pairs.collect()}
+    assert kept == {(r.left_id, r.right_id): r.n for r in bpe.pair_counts(learner.words).collect()}
+
+
 def test_bpe_same_string_from_two_merges(spark):
     """abc from a+bc and from ab+c: the second merge reuses the id and nothing else changes."""
     texts_ = ["bc bc bc bc bc bc abc abc abc abc xab xab xab xab xab xabc xabc ab ab ab ab"] * 3
