@@ -192,6 +192,19 @@ nucleus AS (SELECT ctx, cand, score FROM (
     FROM ({SOFT.format('kept')})) WHERE before <= 0.83)"""
 
 
+LONG_CTE = """long AS (
+  SELECT l_returnflag AS ctx, l_orderkey * 8 + l_linenumber AS cand,
+    max(round(l_extendedprice / 1000.0::DOUBLE) / 10.0::DOUBLE - l_quantity / 25.0::DOUBLE) / 0.7::DOUBLE AS score
+  FROM lineitem GROUP BY 1, 2),
+topped AS (SELECT *, max(score) OVER (PARTITION BY ctx) AS top FROM long),
+lse AS (SELECT ctx, any_value(top) + ln(sum(exp(score - top))) AS lse, count(*) AS n, avg(score) AS mean
+  FROM topped GROUP BY ctx),
+likely AS (SELECT ctx, cand, score, exp(score - lse) AS prob FROM long JOIN lse USING (ctx)),
+placed AS (SELECT *, row_number() OVER w AS rank,
+    coalesce(sum(prob) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM likely WINDOW w AS (PARTITION BY ctx ORDER BY score DESC, cand))"""
+
+
 def probabilities(ctes: str, source: str) -> str:
     return f"WITH {ctes} SELECT ctx, cand, round(prob, 6) AS prob FROM ({SOFT.format(source)})"
 
@@ -454,6 +467,22 @@ SELECT count(*) AS n, round(avg(loss), 6) AS loss, round(avg(loss) + 0.01, 6) AS
 SELECT ctx, cand AS token_id FROM ({SOFT.format('nucleus')})
 QUALIFY row_number() OVER (PARTITION BY ctx ORDER BY ln(prob) - ln(-ln((
   ('0x' || substr(md5('42:' || ctx || ':' || cand), 1, 8))::UBIGINT::DOUBLE + 0.5) / 4294967296.0)) DESC, cand) = 1""",
+    "softmax_long": f"WITH {LONG_CTE} SELECT ctx, cand, round(prob * 1e6, 4) AS prob FROM likely",
+    "log_sum_exp_long": """WITH s AS (SELECT o_orderpriority AS ctx, o_totalprice::DOUBLE / 100.0::DOUBLE + 50.0 AS score FROM orders),
+t AS (SELECT *, max(score) OVER (PARTITION BY ctx) AS top FROM s)
+SELECT ctx, round(any_value(top) + ln(sum(exp(score - top))), 6) AS log_sum_exp, count(*) AS n,
+  round(sum(score), 3) AS total FROM t GROUP BY ctx""",
+    "top_k_long": f"WITH {LONG_CTE} SELECT ctx, cand, rank FROM placed WHERE rank <= 500",
+    "ranked_long": f"WITH {LONG_CTE} SELECT ctx, cand, rank, round(before, 6) AS before FROM placed",
+    "top_p_long": f"WITH {LONG_CTE} SELECT ctx, cand, rank FROM placed WHERE before <= 0.6 OR rank = 1",
+    "draw_long": f"""WITH {LONG_CTE} SELECT ctx, cand FROM long QUALIFY row_number() OVER (PARTITION BY ctx
+  ORDER BY score - ln(-ln((('0x' || substr(md5('42:' || ctx || ':' || cand), 1, 8))::UBIGINT::DOUBLE + 0.5)
+    / 4294967296.0)) DESC, cand) = 1""",
+    "cross_entropy_long": f"""WITH {LONG_CTE},
+labels AS (SELECT ctx, min(cand) AS cand FROM long GROUP BY ctx),
+per AS (SELECT 0.95 * (lse - score) + 0.05 * (lse - mean) AS loss
+  FROM labels JOIN long USING (ctx, cand) JOIN lse USING (ctx))
+SELECT count(*) AS n, round(avg(loss), 6) AS loss, round(avg(loss) + 0.01, 6) AS total_loss FROM per""",
     "route_load": f"""WITH {SCORES_CTE},
 picked AS (SELECT ctx, cand FROM scores QUALIFY row_number() OVER (PARTITION BY ctx ORDER BY score DESC, cand) <= 2),
 shares AS (SELECT c.cand, count(p.cand)::DOUBLE / (SELECT count(*) FROM picked) AS share

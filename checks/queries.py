@@ -10,7 +10,7 @@ from checks.inputs import WORD_LEVEL, documents, table
 from corpusloom import config as c
 from corpusloom.functions import sequences as seq
 from corpusloom.functions import text as tx
-from corpusloom.operators import batching, bpe, metrics, reports, selection, vocab
+from corpusloom.operators import batching, bpe, long_scores, metrics, reports, selection, vocab
 from corpusloom.operators import records as rec
 from corpusloom.operators.batching import batch_eval, batch_train, step_budget
 from corpusloom.plans import finetuning, generation, length_analysis, pretraining
@@ -641,6 +641,62 @@ def routed_weights(spark, sf_dir):
     return made.withColumns(rounded("weight"))
 
 
+# --- the same with one row per candidate: a context may hold any share of them ------------------
+
+
+def _long_scores(spark, sf_dir) -> DataFrame:
+    """The lines of orders as candidates of three contexts, each of which holds a third of them."""
+    score = F.round(F.col("l_extendedprice") / 1000.0) / 10.0 - F.col("l_quantity") / 25.0
+    cand = (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("cand")
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_returnflag", cand).agg(F.max(score).alias("score"))
+    return long_scores.long_scores(lines, "l_returnflag", "cand", F.col("score"), temperature=0.7)
+
+
+@query
+def softmax_long(spark, sf_dir):
+    made = long_scores.softmax(_long_scores(spark, sf_dir))
+    return made.select("ctx", "cand", F.round(F.col("prob") * 1e6, 4).alias("prob"))
+
+
+@query
+def log_sum_exp_long(spark, sf_dir):
+    """Scores of order priorities far from zero, so that exponentials would overflow without a scale."""
+    orders = table(spark, sf_dir, "orders")
+    long = long_scores.long_scores(orders, "o_orderpriority", "o_orderkey", F.col("o_totalprice") / 100.0 + 50.0)
+    made = long_scores.context_sums(long)
+    return made.select("ctx", F.round("log_sum_exp", 6).alias("log_sum_exp"), "n", F.round("total", 3).alias("total"))
+
+
+@query
+def top_k_long(spark, sf_dir):
+    return long_scores.top_k(_long_scores(spark, sf_dir), 500).select("ctx", "cand", "rank")
+
+
+@query
+def ranked_long(spark, sf_dir):
+    made = long_scores.ranked(_long_scores(spark, sf_dir))
+    return made.select("ctx", "cand", "rank", F.round("before", 6).alias("before"))
+
+
+@query
+def top_p_long(spark, sf_dir):
+    return long_scores.top_p(_long_scores(spark, sf_dir), 0.6).select("ctx", "cand", "rank")
+
+
+@query
+def draw_long(spark, sf_dir):
+    return long_scores.draw(_long_scores(spark, sf_dir))
+
+
+@query
+def cross_entropy_long(spark, sf_dir):
+    """The first line of each context is its label."""
+    long = _long_scores(spark, sf_dir)
+    labels = long.groupBy("ctx").agg(F.min("cand").alias("label"))
+    made = long_scores.cross_entropy(long, labels, smoothing=0.05, aux=0.01)
+    return made.withColumns(rounded("loss", "total_loss"))
+
+
 # --- prompts and generated texts ---------------------------------------------------------------
 
 
