@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.config import TokenizerSettings
 from corpusloom.functions.text import normalize_whitespace, words_whitespace
+from corpusloom.operators.order import sum_before
 from corpusloom.operators.records import END_MARK
 from corpusloom.session import scratch_path
 from corpusloom.sources.corpus import read_corpus, widen
@@ -72,6 +73,13 @@ def instruct_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).select("src", (F.shiftleft("doc_id", LINE_BITS) + F.col("k")).alias("line_no"), "text")
 
 
+def dense_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The line streams with the lines of each source numbered 0, 1, 2, .."""
+    lines = instruct_lines(spark, sf_dir).withColumn("one", F.lit(1))
+    numbered = sum_before(lines, "line_no", "one", "place", part=["src"])
+    return numbered.select("src", F.col("place").alias("line_no"), "text")
+
+
 def _tokenizer(spark: SparkSession, sf_dir: str, settings: TokenizerSettings) -> Tokenizer:
     """Trained on the whole documents table, saved, and loaded by every query of the session."""
     at = (spark.sparkContext.applicationId, sf_dir, settings)

@@ -367,6 +367,7 @@ ranked AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER B
   count(*) OVER (PARTITION BY source) AS n_records FROM documents)
 SELECT src, {LINE_NO} AS line_no, rec_id, n_records FROM lines JOIN ranked USING (doc_id)""",
     "assemble_records": f"WITH {RECORDS_CTE} SELECT * EXCLUDE (doc_id) FROM records",
+    "stream_records": f"WITH {RECORDS_CTE} SELECT * EXCLUDE (doc_id) FROM records",
     "word_counts": f"WITH {counts_cte()} SELECT * FROM counts",
     "word_counts_bytelevel": f"""WITH {BYTE_TOKENS_CTE}
 SELECT shown AS word, count(*) AS n FROM pieces JOIN spelled USING (word) GROUP BY 1""",

@@ -16,6 +16,7 @@ from corpusloom.operators.batching import batch_eval, batch_train, step_budget
 from corpusloom.plans import finetuning, generation, length_analysis, pretraining
 from corpusloom.session import scratch_path
 from corpusloom.sources import corpus as src
+from corpusloom.streaming import records as stream
 from corpusloom.tokenizer import Tokenizer, get_or_train, load_tokenizer
 
 QUERIES = {}
@@ -81,6 +82,16 @@ def head_records(spark, sf_dir):
     return selection.head(rec.make_records(inputs.instruct_lines(spark, sf_dir)), 600)
 
 
+@query
+def stream_records(spark, sf_dir):
+    """The lines dealt into files without regard to order, read as a stream of two files at a time."""
+    arrived, out = (scratch_path(spark, name) for name in ("arrived", "streamed"))
+    inputs.dense_lines(spark, sf_dir).repartition(8, F.xxhash64("line_no")).write.parquet(arrived)
+    lines = spark.readStream.schema("src string, line_no long, text string").option("maxFilesPerTrigger", 2)
+    stream.write_records(lines.parquet(arrived), out, scratch_path(spark, "progress")).awaitTermination()
+    return spark.read.schema(stream.RECORDS).parquet(out).filter("NOT late").drop("late")
+
+
 @query
 def records_roundtrip(spark, sf_dir):
     lines = selection.split(inputs.instruct_lines(spark, sf_dir), "src")

@@ -55,12 +55,14 @@ def test_top_k_like_arrays(both, k):
     assert {(r.ctx, r.cand, r["rank"]) for r in ls.top_k(long, k).collect()} == want
 
 
-@pytest.mark.parametrize("p", [0.301, 0.9, 0])
-def test_nucleus_like_arrays(both, p):  # no p that a sum of equals meets, as it is rounded
+@pytest.mark.parametrize("p", [0.3, 0.9, 0])
+def test_nucleus_like_arrays(both, p):
     long, wide = both
     kept = wide.select("ctx", F.explode(sc.top_p(sc.ranked(F.col("scores")), p)["cand"]).alias("cand"))
+    # a sum of equals meets p up to its rounding, so that context may end one earlier or later
+    got = {(r.ctx, r.cand) for r in ls.top_p(long, p).collect()}
     want = {(r.ctx, r.cand) for r in kept.collect()}
-    assert {(r.ctx, r.cand) for r in ls.top_p(long, p).collect()} == want
+    assert all(c == "equal" for c, _ in got ^ want) and len(got ^ want) <= 1
 
 
 def test_running_sums(both):
@@ -102,7 +104,8 @@ def test_null_contexts_and_scores(spark):
     raw = spark.createDataFrame(rows, LONG)
     long = ls.long_scores(raw, "ctx", "cand", F.col("score"))
     got = {(r.ctx, r.cand): r.prob for r in ls.softmax(long).collect()}
-    assert got == {(None, 1): 1.0, (None, 2): 0.0, ("a", 1): 0.0, ("a", 2): 0.0, ("b", 5): 0.5, ("b", -5): 0.5}
+    want = {(None, 1): 1.0, (None, 2): 0.0, ("a", 1): 0.0, ("a", 2): 0.0, ("b", 5): 0.5, ("b", -5): 0.5}
+    assert got == pytest.approx(want)
     places = {(r.ctx, r.cand): r["rank"] for r in ls.ranked(long).collect()}
     assert places == {(None, 1): 1, (None, 2): 2, ("a", 1): 1, ("a", 2): 2, ("b", -5): 1, ("b", 5): 2}
     assert {r.ctx: r.log_sum_exp for r in ls.context_sums(long).collect()} == {
