@@ -333,6 +333,10 @@ ORACLE = {
     "head_records": f"WITH {RECORDS_CTE} SELECT * EXCLUDE (doc_id) FROM records ORDER BY src, rec_id LIMIT 600",
     "records_roundtrip": f"""WITH {RECORDS_CTE} SELECT * EXCLUDE (doc_id),
       CASE WHEN {split_of('src')} = 'train' THEN 'train' ELSE 'val' END AS part FROM records""",
+    "published_records": f"""WITH {RECORDS_CTE} SELECT * EXCLUDE (doc_id),
+      CASE WHEN {split_of('src')} = 'train' THEN 'train' ELSE 'val' END AS part FROM records""",
+    "maintained_counts": f"WITH {counts_cte()} SELECT * FROM counts",
+    "maintained_vocab": f"WITH {VOCAB_CTE} SELECT * FROM vocab",
     "vocab_roundtrip": f"WITH {VOCAB_CTE} SELECT * FROM vocab",
     "default_text": """SELECT doc_id, coalesce(quality::VARCHAR || ',' || toxic::VARCHAR, '') AS text
       FROM documents LEFT JOIN labels USING (doc_id)""",

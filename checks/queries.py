@@ -10,7 +10,7 @@ from checks.inputs import WORD_LEVEL, documents, table
 from corpusloom import config as c
 from corpusloom.functions import sequences as seq
 from corpusloom.functions import text as tx
-from corpusloom.operators import batching, bpe, long_scores, metrics, reports, selection, vocab
+from corpusloom.operators import batching, bpe, long_scores, maintained, metrics, reports, selection, vocab
 from corpusloom.operators import records as rec
 from corpusloom.operators.batching import batch_eval, batch_train, step_budget
 from corpusloom.plans import finetuning, generation, length_analysis, pretraining
@@ -111,6 +111,38 @@ def vocab_roundtrip(spark, sf_dir):
     return load_tokenizer(spark, path).vocab
 
 
+@query
+def published_records(spark, sf_dir):
+    """The same behind one pointer; the second call reads what the first has published."""
+    lines, root = selection.split(inputs.instruct_lines(spark, sf_dir), "src"), scratch_path(spark, "published")
+    is_train = F.col("split") == "train"
+    halves = [lines.filter(x).drop("split") for x in (is_train, ~is_train)]
+    src.publish_records(*halves, root)
+    train, val = src.publish_records(*[half.limit(0) for half in halves], root)
+    return train.withColumn("part", F.lit("train")).unionByName(val.withColumn("part", F.lit("val")))
+
+
+def _maintained(spark, sf_dir) -> str:
+    """Counts of the training documents and all questions; then the other documents come and the questions go."""
+    root = scratch_path(spark, "counts")
+    docs = selection.split(documents(spark, sf_dir), "doc_id")
+    asked = table(spark, sf_dir, "benchmark").select("text")
+    is_train = F.col("split") == "train"
+    maintained.update_counts(spark, root, WORD_LEVEL, docs.filter(is_train).select("text").unionByName(asked))
+    maintained.update_counts(spark, root, WORD_LEVEL, docs.filter(~is_train), removed=asked)
+    return root
+
+
+@query
+def maintained_counts(spark, sf_dir):
+    return maintained.stored_counts(spark, _maintained(spark, sf_dir), WORD_LEVEL)
+
+
+@query
+def maintained_vocab(spark, sf_dir):
+    return Tokenizer.from_counts(maintained_counts(spark, sf_dir), WORD_LEVEL).vocab
+
+
 # --- text --------------------------------------------------------------------------------------
 
 

@@ -376,9 +376,13 @@ class _Learner:
 def train_bpe(df: DataFrame, settings: TokenizerSettings, text: str = "text") -> Merges:
     if settings.strategy != "subword-level":
         raise ValueError(f"not a subword-level strategy: {settings.strategy}")
-    counts = word_counts(df, text, settings.pre_tokenizer, settings.normalize_whitespace)
+    return bpe_of(word_counts(df, text, settings.pre_tokenizer, settings.normalize_whitespace), settings)
+
+
+def bpe_of(counts: DataFrame, settings: TokenizerSettings) -> Merges:
+    """The same from ``word, n``."""
     # rounds are CPU work per word, so the word table keeps all partitions however few its bytes
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    partitions = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     counts = cut_lineage(counts.repartition(partitions))
     seen = counts.select(F.explode_outer(F.split("word", "")).alias("c")).distinct()
     # at most one row per code point

@@ -33,8 +33,12 @@ def train_word_level(df: DataFrame, settings: TokenizerSettings, text: str = "te
     """Specials, then the most frequent words (ties by byte order) up to the vocabulary size."""
     if settings.strategy != "word-level":
         raise ValueError(f"not a word-level strategy: {settings.strategy}")
-    specials = special_vocab(df.sparkSession)
-    counts = word_counts(df, text, settings.pre_tokenizer, settings.normalize_whitespace)
+    return word_level_of(word_counts(df, text, settings.pre_tokenizer, settings.normalize_whitespace), settings)
+
+
+def word_level_of(counts: DataFrame, settings: TokenizerSettings) -> DataFrame:
+    """The same from ``word, n``."""
+    specials = special_vocab(counts.sparkSession)
     room = max(settings.vocab_size - len(SPECIAL_TOKENS), 0)
     frequent = (
         counts.filter((F.col("n") >= settings.min_frequency) & ~F.col("word").isin(*SPECIAL_TOKENS))

@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from corpusloom.operators.records import FIELDS, make_records
 from corpusloom.session import drop_mark, path_exists
+from corpusloom.sources import snapshots
 
 RECORD_SCHEMA = "src string, rec_id long, " + ", ".join(f"{f} string" for f in FIELDS)
 
@@ -91,3 +92,29 @@ def get_or_make_records(
         for lines, path in zip((train_lines, validation_lines), paths):
             save_records(make_records(lines), path)
     return load_records(spark, paths[0]), load_records(spark, paths[1])
+
+
+def publish_records(
+    train_lines: DataFrame, validation_lines: DataFrame, root: str, force: bool = False
+) -> tuple[DataFrame, DataFrame]:
+    """Published records of both splits, or both made anew and published together if there are none.
+
+    Unlike separate folders, several readers and writers may be at work at once: each reads the pair of one
+    version, and of two writers of the first version the later one takes what the other has published.
+    """
+    spark = train_lines.sparkSession
+    version, _ = snapshots.current(spark, root)
+    if force or not version:
+
+        def write(folder: str) -> None:
+            for lines, name in ((train_lines, "sft_train"), (validation_lines, "sft_val")):
+                save_records(make_records(lines), f"{folder}/{name}")
+
+        try:
+            version = snapshots.publish(spark, root, write, version)
+        except snapshots.Conflict:
+            if force:
+                raise
+            version = None
+    _, folder = snapshots.current(spark, root, version)
+    return load_records(spark, f"{folder}/sft_train"), load_records(spark, f"{folder}/sft_val")

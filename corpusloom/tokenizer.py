@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from corpusloom.config import SPECIAL_TOKENS, TokenizerSettings
 from corpusloom.functions.text import encodable_words
 from corpusloom.operators import bpe, encode, vocab
-from corpusloom.session import cut_lineage, drop_mark, path_exists
+from corpusloom.session import cut_lineage
+from corpusloom.sources import snapshots
 
 
 @dataclass(frozen=True)
@@ -28,6 +29,14 @@ class Tokenizer:
         merges = bpe.train_bpe(df, settings, text)
         return cls(settings, merges.vocab(df.sparkSession), merges)
 
+    @classmethod
+    def from_counts(cls, counts: DataFrame, settings: TokenizerSettings) -> Tokenizer:
+        """A tokenizer from ``word, n``, such as the maintained counts of a changing corpus."""
+        if settings.strategy == "word-level":
+            return cls(settings, cut_lineage(vocab.word_level_of(counts, settings)))
+        merges = bpe.bpe_of(counts, settings)
+        return cls(settings, merges.vocab(counts.sparkSession), merges)
+
     @property
     def byte_level(self) -> bool:
         return self.settings.pre_tokenizer == "byte-level"
@@ -78,31 +87,34 @@ class Tokenizer:
         return encode.decode(df, self.vocab, ids, self.byte_level, out)
 
     def save(self, path: str) -> None:
+        """Publish vocabulary, merges and settings together as the newest version under ``path``."""
         spark = self.vocab.sparkSession
-        drop_mark(spark, f"{path}/settings")
-        self.vocab.write.mode("overwrite").parquet(f"{path}/vocab")
-        if self.merges is not None:
-            self.merges.merge_table(spark).write.mode("overwrite").parquet(f"{path}/merges")
-        # written last: its success mark stands for the whole tokenizer
-        spark.createDataFrame([asdict(self.settings)]).write.mode("overwrite").parquet(
-            f"{path}/settings"
-        )
+
+        def write(folder: str) -> None:
+            self.vocab.write.parquet(f"{folder}/vocab")
+            if self.merges is not None:
+                self.merges.merge_table(spark).write.parquet(f"{folder}/merges")
+            spark.createDataFrame([asdict(self.settings)]).write.parquet(f"{folder}/settings")
+
+        snapshots.publish(spark, path, write)
 
 
 def is_saved(spark: SparkSession, path: str) -> bool:
-    return path_exists(spark, f"{path}/settings/_SUCCESS")
+    return snapshots.current(spark, path)[0] > 0
 
 
-def load_tokenizer(spark: SparkSession, path: str) -> Tokenizer:
-    if not is_saved(spark, path):
+def load_tokenizer(spark: SparkSession, path: str, version: int | None = None) -> Tokenizer:
+    """The newest version, or an earlier one; later writers don't change what this one reads."""
+    _, folder = snapshots.current(spark, path, version)
+    if folder is None:
         raise FileNotFoundError(f"no tokenizer at {path}")
-    settings = TokenizerSettings(**spark.read.parquet(f"{path}/settings").first().asDict())
-    table = spark.read.schema(vocab.VOCAB_SCHEMA).parquet(f"{path}/vocab")
+    settings = TokenizerSettings(**spark.read.parquet(f"{folder}/settings").first().asDict())
+    table = spark.read.schema(vocab.VOCAB_SCHEMA).parquet(f"{folder}/vocab")
     if settings.strategy == "word-level":
         return Tokenizer(settings, table)
     # both tables are bounded by the vocabulary size
     rows = table.orderBy("id").collect()
-    merges = spark.read.schema(bpe.MERGE_SCHEMA).parquet(f"{path}/merges").orderBy("rank").collect()
+    merges = spark.read.schema(bpe.MERGE_SCHEMA).parquet(f"{folder}/merges").orderBy("rank").collect()
     fixed = sum(r.kind != "merge" for r in rows)
     return Tokenizer(
         settings,
