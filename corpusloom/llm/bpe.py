@@ -6,7 +6,9 @@ trying the next shorter one when it doesn't go with the token before, and steppi
 A position that was left without success is marked, so none is tried twice and the time is linear in
 the piece. Whether two tokens go together is worked out once and kept.
 
-Tokens are looked up in a trie of strings, in which each byte is the Latin-1 character of its value.
+Tokens are looked up in a trie of strings, in which each byte is the Latin-1 character of its value. The
+longest tokens of a piece come from one pass of the automaton, up to the first two that don't go together;
+from there the piece is gone through step by step.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from __future__ import annotations
 import base64
 from array import array
 from functools import lru_cache
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -29,6 +32,22 @@ MEMO = 1 << 19
 MEMO_CHARS = 64
 
 
+class _Known(dict):
+    """The ids of pieces; one that is missing is encoded, and kept if it is short."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, match: str) -> tuple[int, ...]:
+        found = tuple(self.encode(match.encode().decode("latin-1")))
+        if len(match) <= MEMO_CHARS:
+            if len(self) >= MEMO:
+                self.clear()
+            self[match] = found
+        return found
+
+
 class Codec:
     """Encoder and decoder of one vocabulary, given as ``{bytes: rank}``."""
 
@@ -46,7 +65,7 @@ class Codec:
         self.widths = [len(self.token.get(i, "")) for i in range(size)]
         self.prefixes = [-2] * size
         self.pairs: dict[tuple[int, int], bool] = {}
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known = _Known(self.encode_piece)
 
     def merged(self, text: str) -> list[int]:
         """The ids of a short string by merging the best pair again and again."""
@@ -84,9 +103,21 @@ class Codec:
         whole = ids.get(text)
         if whole is not None:
             return [whole]
-        out: list[int] = []
         left = bytearray(len(text) + 1)
+        out: list[int] = []
         at, now, last = 0, None, None
+        # one pass for the longest tokens, as far as neighbours go together
+        for _, token in self.trie.iter_long(text):
+            if last is not None:
+                fits = pairs.get((last, token))
+                if fits is None:
+                    fits = self.together(last, token)
+                if not fits:
+                    now = self.prefix(token)
+                    break
+            out.append(token)
+            at += widths[token]
+            last = token
         while at < len(text):
             if now is None:
                 ahead = text[at : at + self.widest]
@@ -114,22 +145,13 @@ class Codec:
             now = self.prefix(now)
         return out
 
-    def piece(self, match: str) -> tuple[int, ...]:
-        found = tuple(self.encode_piece(match.encode().decode("latin-1")))
-        if len(match) <= MEMO_CHARS:
-            if len(self.known) >= MEMO:
-                self.known.clear()
-            self.known[match] = found
-        return found
-
     def encode(self, text: str) -> array:
-        out = array("i")
-        known = self.known.get
-        for match in self.pattern.finditer(text) if len(text) > 1 << 20 else self.pattern.findall(text):
-            if not isinstance(match, str):
-                match = match[0]
-            out.extend(known(match) or self.piece(match))
-        return out
+        known = self.known.__getitem__
+        if len(text) > 1 << 20:
+            matches = (match[0] for match in self.pattern.finditer(text))
+        else:
+            matches = self.pattern.findall(text)
+        return array("i", chain.from_iterable(map(known, matches)))
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.spelling.__getitem__, ids))

@@ -41,8 +41,10 @@ BLOCK_TAGS = frozenset(
     "td tfoot th thead tr ul".split()
 )
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW_TAGS = frozenset("script style textarea title xmp iframe noembed noframes noscript template svg math".split())
-SILENT_TAGS = frozenset("head select option button object canvas audio video map datalist".split())
+RAW_TAGS = frozenset("script style textarea title xmp iframe noembed noframes noscript template".split())
+#: Foreign elements: they nest, end at their own "/>" or with what is around them, and no block stands in them.
+FOREIGN_TAGS = ("svg", "math")
+SILENT_TAGS = frozenset("head select option button object canvas audio video map datalist".split()) | {*FOREIGN_TAGS}
 #: What can stand in a head; any other tag, or text, ends it.
 HEAD_TAGS = frozenset("html head title base basefont bgsound link meta style script noscript noframes template".split())
 #: An opening tag of the first kind ends open elements of the second kind.
@@ -181,6 +183,9 @@ class _Reader:
                 continue
             if name in BLOCK_TAGS:
                 flush()
+                for other in FOREIGN_TAGS:
+                    while open_[other]:
+                        pop()
                 for other in ("button", "select", "option"):
                     inside = other == "option" and (open_["select"] or open_["datalist"])
                     if open_[other] and not inside and not closes_ahead(other, at):

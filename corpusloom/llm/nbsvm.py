@@ -144,16 +144,18 @@ def _log_count_ratios(x: list[np.ndarray], y: np.ndarray, settings: Settings) ->
 def _dual_descent(x, y, ratio, rows, settings: Settings, rng) -> tuple[np.ndarray, float]:
     """Dual coordinate descent of the hinge loss; each text's scaled indicators have length one."""
     weight, bias = np.zeros(len(ratio)), 0.0
-    values = {i: ratio[x[i]] / max(np.sqrt((ratio[x[i]] ** 2).sum()), 1e-9) for i in rows}
+    # lengths only: the scaled values of all texts would fill the driver
+    length = {i: max(np.sqrt((ratio[x[i]] ** 2).sum()), 1e-9) for i in rows}
     share = {s: settings.cost * len(rows) / (2 * max(1, (y[rows] == s).sum())) for s in (1.0, -1.0)}
     alpha = np.zeros(len(y))
     for _ in range(settings.epochs):
         for i in rng.permutation(rows):
-            slope = y[i] * (weight[x[i]] @ values[i] + bias) - 1
+            values = ratio[x[i]] / length[i]
+            slope = y[i] * (weight[x[i]] @ values + bias) - 1
             new = min(max(alpha[i] - slope / 2, 0.0), share[y[i]])
             if new != alpha[i]:
                 step = (new - alpha[i]) * y[i]
-                weight[x[i]] += step * values[i]
+                weight[x[i]] += step * values
                 bias += step
                 alpha[i] = new
     return weight, bias

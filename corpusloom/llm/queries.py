@@ -33,11 +33,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def quality(docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with their quality score; labels of every fifth id, by checksum, are not learned."""
+def quality(docs: DataFrame, sf_dir: str, to: str = "score") -> DataFrame:
+    """The documents with their quality score as column ``to``; labels of every fifth id, by checksum, are not learned."""
     settings = nbsvm.Settings()
     labels = table(docs.sparkSession, sf_dir, "labels").filter(nbsvm.remainder("doc_id", 5) != 0)
-    return nbsvm.score(docs, nbsvm.fit(nbsvm.labelled(docs, labels, "quality", settings), settings))
+    return nbsvm.score(docs, nbsvm.fit(nbsvm.labelled(docs, labels, "quality", settings), settings), to=to)
 
 
 def judged(scored: DataFrame, of: int, out: int) -> DataFrame:

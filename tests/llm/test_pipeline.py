@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from corpusloom.llm import decontaminate, exact, near, queries
 
@@ -42,3 +44,20 @@ def test_rows_without_an_id_or_text_stay(spark):
     rows = spark.createDataFrame([(None, "a b", "en", "s", 3), (1, None, None, None, None)], "doc_id long, text string, lang string, source string, n_chars long")
     for _, stage in corpus_pipeline.STAGES[1:4]:
         assert stage(spark, rows, SMALL).count() == 2
+
+
+def test_columns_named_like_those_of_the_stages(spark):
+    """What the stages make on their way must not replace columns of the documents."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    for name in ("score", "kept", "keep_id", "class_id", "item_id"):
+        docs = docs.withColumn(name, F.lit("mine"))
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        made = stage(spark, docs, SMALL)
+        assert made.columns == docs.columns
+        assert made.filter(" OR ".join(f"{c} <> 'mine'" for c in docs.columns[-5:])).count() == 0
+
+
+def test_empty_documents(spark):
+    empty = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, SMALL).count() == 0

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -270,3 +271,26 @@ def test_a_long_text_in_blocks_has_every_window(monkeypatch):
     starts = [at + first + k for at, block in repeats._blocks(data) for first, n in zip(*repeats.runs(block)[2:4], strict=True) for k in range(n)]
     assert starts == list(range(5000 - 99))
     assert pa.array(starts).null_count == 0
+
+
+FOREIGN = [
+    "<svg/>", "<svg class='icon'/>", "<math/>", "<svg><path d='M0 0'/></svg>", "<svg><svg><g></svg><text>x</text></svg>",
+    "<svg><title>icon</title><rect></svg>", "<svg>", "<math><mi>x", "<svg><g>",
+]
+
+
+def test_foreign_elements_leave_the_text_as_it_was(spark):
+    """Wherever a block begins, an icon before it changes no text, closed or not."""
+    sources = [r.html for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").orderBy("page_id").limit(12).collect()]
+    reader = html._Reader()
+    for i, source in enumerate(sources):
+        want = [b.text for b in reader.blocks(source)]
+        assert want
+        body = source.lower().find("<body")
+        starts = [m.start() for m in re.finditer(r"<(?:p|h[1-6]|div|section|ul|article)[\s>]", source) if m.start() > body]
+        for at in starts[:: max(1, len(starts) // 15)]:
+            icon = FOREIGN[(i + at) % len(FOREIGN)]
+            assert [b.text for b in reader.blocks(source[:at] + icon + source[at:])] == want
+    assert [b.text for b in reader.blocks("<p>one <svg/>two <math><mi>x</mi></math>three</p><p>four <svg><g>five</p>six")] == [
+        "one two three", "four", "six"
+    ]
