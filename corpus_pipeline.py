@@ -12,7 +12,10 @@ from corpusloom.session import scratch_path
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier doesn't reject."""
-    return quality(docs, sf_dir).filter(F.col("score") >= CUT).select(*docs.columns)
+    score = "score"
+    while score in docs.columns:
+        score = f"_{score}"
+    return quality(docs, sf_dir, score).filter(F.col(score) >= CUT).select(*docs.columns)
 
 
 def unique(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
