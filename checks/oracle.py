@@ -146,6 +146,24 @@ FRAMED = "[2] || ids || [3]"
 TRUNCATED = f"CASE WHEN len(ids) > 510 THEN ([2] || ids)[:511] || [3] ELSE {FRAMED} END"
 
 
+def feistel(x: str) -> str:
+    """Four turns of two half steps, as text: sides a and b, each half moved by a hash of the other."""
+    left, right = f"({x} // b)", f"({x} % b)"
+    steps = []
+    for turn in range(4):
+        steps.append(("l", f"(l + {moved(turn, 'l', 'r')} % a) % a"))
+        steps.append(("r", f"(r + {moved(turn, 'r', 'l')} % b) % b"))
+    query = f"(SELECT {left} AS l, {right} AS r)"
+    for name, step in steps:
+        other = "r" if name == "l" else "l"
+        query = f"(SELECT {step} AS {name}, {other} FROM {query})"
+    return f"(SELECT l * b + r FROM {query})"
+
+
+def moved(turn: int, side: str, value: str) -> str:
+    return f"('0x' || substr(md5('42:' || epoch || ':{turn}:{side}:' || {value}), 1, 15))::BIGINT"
+
+
 def padded(ids: str, value: int, upto: str) -> str:
     return f"{ids} || list_transform(range({upto} - len({ids})), lambda i: {value})"
 
@@ -407,6 +425,14 @@ SELECT doc_id, {text_of('ids[:-2]')} AS ids,
 SELECT doc_id, repeat('1', len(ids) + 2) || '00' AS mask FROM enc""",
     "batch_train": f"""SELECT doc_id, i // 8 AS batch_id, i % 8 AS row_in_batch FROM (
   SELECT doc_id, row_number() OVER (ORDER BY {u60('doc_id')}, doc_id) - 1 AS i FROM documents)""",
+    "batch_epochs": f"""WITH RECURSIVE sized AS (SELECT count(*) AS n, ceil(sqrt(count(*)))::BIGINT AS a FROM documents),
+sides AS (SELECT n, a, ceil(n / a)::BIGINT AS b FROM sized),
+walk AS (
+  SELECT doc_id, epoch, n, a, b, {feistel('i')} AS p FROM (
+    SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS i, unnest([0, 1]) AS epoch FROM documents), sides
+  UNION ALL
+  SELECT doc_id, epoch, n, a, b, {feistel('p')} FROM walk WHERE p >= n)
+SELECT doc_id, epoch::INTEGER AS epoch, p // 8 AS batch_id, (p % 8)::INTEGER AS row_in_batch FROM walk WHERE p < n""",
     "batch_eval": """SELECT doc_id, i // 4 AS batch_id, i % 4 AS row_in_batch FROM (
   SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS i FROM documents)""",
     "pad_corpus": padded_corpus(f"{u60('doc_id')}, doc_id", 8),
@@ -455,6 +481,10 @@ UNION ALL SELECT 'structured', count(*) FROM documents""",
     "metric_windows": f"""WITH {LOG_CTE},
 numbered AS (SELECT *, (row_number() OVER (PARTITION BY epoch ORDER BY step) - 1) // 100 AS win FROM log)
 SELECT epoch, win AS "window", round(avg(loss), 6) AS mean_loss, round(exp(avg(loss)), 6) AS perplexity
+FROM numbered GROUP BY ALL HAVING count(*) = 100""",
+    "stream_metric_windows": f"""WITH {LOG_CTE},
+numbered AS (SELECT *, (row_number() OVER (PARTITION BY epoch ORDER BY step) - 1) // 100 AS win FROM log)
+SELECT epoch, win AS "window", round(avg(loss), 6) AS mean_loss, round(exp(avg(loss)), 6) AS perplexity
 FROM numbered GROUP BY ALL HAVING count(*) = 100""",
     "epoch_summary": f"""WITH {LOG_CTE}
 SELECT epoch, round(avg(loss), 6) AS mean_loss, round(exp(avg(loss)), 6) AS perplexity FROM log GROUP BY 1""",

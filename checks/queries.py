@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,9 +15,11 @@ from corpusloom.functions import text as tx
 from corpusloom.operators import batching, bpe, long_scores, maintained, metrics, reports, selection, vocab
 from corpusloom.operators import records as rec
 from corpusloom.operators.batching import batch_eval, batch_train, step_budget
+from corpusloom.operators.order import stored_index
 from corpusloom.plans import finetuning, generation, length_analysis, pretraining
 from corpusloom.session import scratch_path
 from corpusloom.sources import corpus as src
+from corpusloom.streaming import metrics as windows
 from corpusloom.streaming import records as stream
 from corpusloom.tokenizer import Tokenizer, get_or_train, load_tokenizer
 
@@ -467,6 +471,18 @@ def batch_train_rows(spark, sf_dir):
     return _batch_columns(batch_train(docs, "doc_id"))
 
 
+@query
+def batch_epochs(spark, sf_dir):
+    """Both epochs' orders of the documents, from numbers that are given once."""
+    docs = table(spark, sf_dir, "documents").select("doc_id")
+    numbered, n = stored_index(docs, "doc_id"), docs.count()
+    epochs = [
+        batching.batch_epoch(numbered, "row_index", n, epoch=e).withColumn("epoch", F.lit(e))
+        for e in range(c.PRETRAINING.epochs)
+    ]
+    return reduce(DataFrame.unionByName, epochs).drop("row_index")
+
+
 @query_as("batch_eval")
 def batch_eval_rows(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id")
@@ -620,6 +636,21 @@ def metric_windows(spark, sf_dir):
     )
 
 
+@query
+def stream_metric_windows(spark, sf_dir):
+    """The log in three arrivals, cut at steps that end no window, each read by a query that goes on with the state."""
+    arrived, out, progress = (scratch_path(spark, name) for name in ("log", "windows", "progress"))
+    log = _log(spark, sf_dir).select("epoch", "step", "loss")
+    steps = log.agg(F.min("step").alias("first"), F.max("step").alias("last")).first()
+    third = (steps.last - steps.first) // 3
+    cuts = [steps.first, steps.first + third, steps.last - third, steps.last + 1]
+    for low, high in zip(cuts, cuts[1:]):
+        log.filter((F.col("step") >= low) & (F.col("step") < high)).write.mode("append").parquet(arrived)
+        running = spark.readStream.schema(log.schema).parquet(arrived)
+        windows.write_history(running, 100, out, progress).awaitTermination()
+    return spark.read.schema(windows.WINDOWS).parquet(out).withColumns(rounded("mean_loss", "perplexity"))
+
+
 @query
 def epoch_summary(spark, sf_dir):
     return metrics.epoch_summary(_log(spark, sf_dir)).withColumns(rounded("mean_loss", "perplexity"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from corpusloom.config import PAD, StageSettings
+from corpusloom.functions.permutation import permuted
 from corpusloom.functions.sequences import pad_right
 from corpusloom.operators.order import shuffled_index, source_index, stored_index
 
@@ -40,6 +41,21 @@ def batch_train(
     return _number(df, shuffled_index(df if keys is None else keys, key, seed), (key,), size)
 
 
+def batch_epoch(
+    df: DataFrame, index: str, n: int, size: int = 8, seed: int = 42, epoch: int = 0
+) -> DataFrame:
+    """Batches in the random order of one epoch, for rows numbered 0..n-1 once (by ``stored_index``).
+
+    The order is arithmetic on the number, so an epoch neither sorts nor joins, and any epoch can be
+    made without those before it.
+    """
+    return df.withColumn("__place", permuted(F.col(index), n, seed, epoch)).select(
+        *df.columns,
+        F.floor(F.col("__place") / size).alias("batch_id"),
+        (F.col("__place") % size).cast("int").alias("row_in_batch"),
+    )
+
+
 def batch_eval(df: DataFrame, key: str, size: int = 4, keys: DataFrame | None = None) -> DataFrame:
     """Batches in stored order; the short last batch is kept."""
     return _number(df, stored_index(df if keys is None else keys, key), (key,), size)

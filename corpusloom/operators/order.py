@@ -14,6 +14,9 @@ DENSE = (20, 22)
 HASHED = (40,)
 
 
+POSITION_BITS = 60
+
+
 def shuffle_key(key: Column, seed: int) -> Column:
     """60 bits of the MD5 of ``seed:key`` as a whole number."""
     digest = F.md5(F.concat_ws(":", F.lit(str(seed)), key.cast("string")))

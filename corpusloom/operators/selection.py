@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.operators.order import shuffled_index, source_index, unit_hash
+from corpusloom.operators.order import POSITION_BITS, shuffle_key, source_index, unit_hash
 
 
 def split(
@@ -21,17 +21,51 @@ def split(
     )
 
 
+# A histogram has 2^14 cells, and the cell of the cut-off is narrowed until so many keys are left.
+CELL_BITS, FEW = 14, 4096
+
+
+def sample_bound(keys: DataFrame, key: str, n: int, seed: int = 42) -> tuple | None:
+    """Shuffle position and key of the last of the first ``n`` keys; None if there are no more than ``n``.
+
+    Keys are counted by cells of their position (one row per cell and task is shuffled), and the cell
+    that holds the n-th is divided again. Only the few keys of the last cell are ordered.
+    """
+    placed = keys.filter(F.col(key).isNotNull()).select(F.col(key).alias("key"), shuffle_key(F.col(key), seed).alias("pos"))
+    shift, inside, before = POSITION_BITS, placed, 0
+    while True:
+        shift = max(shift - CELL_BITS, 0)
+        cells = inside.groupBy(F.shiftright("pos", shift).alias("cell")).count().collect()
+        for cell, count in sorted(map(tuple, cells)):
+            if before + count >= n:
+                break
+            before += count
+        else:
+            return None
+        inside = placed.filter(F.shiftright("pos", shift) == cell)
+        if count <= FEW or not shift:
+            last = inside.orderBy("pos", "key").limit(n - before).agg(F.max(F.struct("pos", "key")).alias("last"))
+            return tuple(last.first().last)
+
+
 def sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     """The first ``n`` rows of a reproducible random order (all rows, if there are fewer).
 
-    The bare keys are numbered, so whole rows never meet in one task. ``key`` is unique, not null.
+    The cut-off is found first; rows are then chosen by a filter of the scan, and only the chosen ones
+    are put in order. ``key`` is unique, not null.
     """
-    first = shuffled_index(df.filter(F.col(key).isNotNull()), key, seed).filter(F.col("row_index") < n)
-    return df.join(first, key).orderBy("row_index").select(*df.columns)
+    if n <= 0:
+        return df.limit(0)
+    bound = sample_bound(df, key, n, seed)
+    chosen = df.filter(F.col(key).isNotNull()).withColumn("__pos", shuffle_key(F.col(key), seed))
+    if bound is not None:
+        pos, last = bound
+        chosen = chosen.filter((F.col("__pos") < pos) | ((F.col("__pos") == pos) & (F.col(key) <= F.lit(last))))
+    return chosen.orderBy("__pos", key).select(*df.columns)
 
 
 def head(records: DataFrame, n: int = 2500, order: tuple[str, str] = ("src", "rec_id")) -> DataFrame:
-    """The first ``n`` records in stored order, by numbers of the bare keys, as in :func:`sample`."""
+    """The first ``n`` records in stored order, by numbers of the bare keys, so whole rows never meet in one task."""
     first = source_index(records, *order).filter(F.col("row_index") < n)
     whole = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(order)])
     kept = first.select(whole.alias("__key"), "row_index")
