@@ -210,6 +210,20 @@ nucleus AS (SELECT ctx, cand, score FROM (
     FROM ({SOFT.format('kept')})) WHERE before <= 0.83)"""
 
 
+LENGTH_PLAN_CTE = f"""{LENGTHS_CTE},
+sized AS (SELECT ceil(count(*) / 8)::BIGINT AS n FROM lengths),
+sides AS (SELECT n, ceil(sqrt(n))::BIGINT AS a, ceil(n / ceil(sqrt(n)))::BIGINT AS b FROM sized),
+placed AS (SELECT doc_id, n_tokens, row_number() OVER (
+    ORDER BY n_tokens // 64, {u60('doc_id')} >> 16, doc_id) - 1 AS i FROM lengths),
+walk AS (
+  SELECT no, epoch, n, a, b, {feistel('no')} AS p
+  FROM (SELECT DISTINCT i // 8 AS no, 0 AS epoch FROM placed), sides
+  UNION ALL
+  SELECT no, epoch, n, a, b, {feistel('p')} FROM walk WHERE p >= n),
+plan AS (SELECT doc_id, n_tokens, p AS batch_id, (i % 8)::INTEGER AS row_in_batch,
+    max(n_tokens) OVER (PARTITION BY i // 8) AS longest
+  FROM placed JOIN walk ON no = i // 8 WHERE p < n)"""
+
 LONG_CTE = """long AS (
   SELECT l_returnflag AS ctx, l_orderkey * 8 + l_linenumber AS cand,
     max(round(l_extendedprice / 1000.0::DOUBLE) / 10.0::DOUBLE - l_quantity / 25.0::DOUBLE) / 0.7::DOUBLE AS score
@@ -345,6 +359,7 @@ decoded AS (
 
 ORACLE = {
     "read_corpus": f"SELECT doc_id, text, 'train' AS split FROM documents WHERE {split_of('doc_id')} = 'train'",
+    "read_corpus_pruned": f"SELECT doc_id, text, 'train' AS split FROM documents WHERE {split_of('doc_id')} = 'train'",
     "instruct_lines": f"WITH {LINES_CTE} SELECT src, {LINE_NO} AS line_no, text FROM lines",
     "split_counts": f"SELECT {split_of('doc_id')} AS split, count(*) AS n FROM documents GROUP BY 1",
     "sample_corpus": f"SELECT doc_id, text FROM documents ORDER BY {u60('doc_id')}, doc_id LIMIT 500",
@@ -433,6 +448,10 @@ walk AS (
   UNION ALL
   SELECT doc_id, epoch, n, a, b, {feistel('p')} FROM walk WHERE p >= n)
 SELECT doc_id, epoch::INTEGER AS epoch, p // 8 AS batch_id, (p % 8)::INTEGER AS row_in_batch FROM walk WHERE p < n""",
+    "batch_lengths": f"WITH RECURSIVE {LENGTH_PLAN_CTE} SELECT doc_id, batch_id, row_in_batch, longest::INTEGER AS longest FROM plan",
+    "padding_waste": f"""WITH RECURSIVE {LENGTH_PLAN_CTE}
+SELECT sum(n_tokens)::BIGINT AS n_tokens, sum(longest)::BIGINT AS n_cells,
+  round(1 - sum(n_tokens)::DOUBLE / sum(longest), 6) AS waste FROM plan""",
     "batch_eval": """SELECT doc_id, i // 4 AS batch_id, i % 4 AS row_in_batch FROM (
   SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS i FROM documents)""",
     "pad_corpus": padded_corpus(f"{u60('doc_id')}, doc_id", 8),

@@ -62,6 +62,15 @@ def read_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return src.read_corpus(spark, path, split="train")
 
 
+@query
+def read_corpus_pruned(spark, sf_dir):
+    """The same, with a folder per split and files by ranges of ids."""
+    path = scratch_path(spark, "corpus")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    src.write_corpus(selection.split(docs, "doc_id"), path, "doc_id")
+    return src.read_corpus(spark, path, split="train")
+
+
 @query
 def instruct_lines(spark, sf_dir):
     path = scratch_path(spark, "lines")
@@ -483,6 +492,19 @@ def batch_epochs(spark, sf_dir):
     return reduce(DataFrame.unionByName, epochs).drop("row_index")
 
 
+@query
+def batch_lengths(spark, sf_dir):
+    lengths = length_analysis.corpus_lengths(documents(spark, sf_dir), inputs.word_tokenizer(spark, sf_dir))
+    return batching.length_plan(lengths, "doc_id")
+
+
+@query
+def padding_waste(spark, sf_dir):
+    lengths = length_analysis.corpus_lengths(documents(spark, sf_dir), inputs.word_tokenizer(spark, sf_dir))
+    made = batching.padding_waste(batching.length_plan(lengths, "doc_id"), lengths, "doc_id")
+    return made.withColumns(rounded("waste"))
+
+
 @query_as("batch_eval")
 def batch_eval_rows(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id")

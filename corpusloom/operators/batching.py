@@ -9,7 +9,14 @@ from pyspark.sql import Window as W
 from corpusloom.config import PAD, StageSettings
 from corpusloom.functions.permutation import permuted
 from corpusloom.functions.sequences import pad_right
-from corpusloom.operators.order import shuffled_index, source_index, stored_index
+from corpusloom.operators.order import (
+    POSITION_BITS,
+    shuffle_key,
+    shuffled_index,
+    source_index,
+    stored_index,
+    sum_before,
+)
 
 
 def _number(df: DataFrame, index: DataFrame, key: tuple[str, ...], size: int) -> DataFrame:
@@ -56,6 +63,49 @@ def batch_epoch(
     )
 
 
+# Lengths of a class; and the bits of the shuffle position that order rows inside one.
+CLASS_WIDTH, CLASS_BITS = 64, 44
+
+
+def length_plan(
+    lengths: DataFrame, key: str, length: str = "n_tokens", size: int = 8, seed: int = 42, width: int = CLASS_WIDTH
+) -> DataFrame:
+    """``key, batch_id, row_in_batch, longest``: batches of like length, from keys and lengths only.
+
+    Rows are numbered by length class and, inside a class, in random order, by running counts over cells
+    of both; consecutive rows make a batch. The batches come in a random order of their own, so lengths
+    don't rise through an epoch. Null lengths count as 0.
+    """
+    position = F.shiftleft(F.floor(F.coalesce(F.col(length), F.lit(0)) / width).cast("long"), CLASS_BITS) + F.shiftright(
+        shuffle_key(F.col(key), seed), POSITION_BITS - CLASS_BITS
+    )
+    narrow = lengths.select(key, F.coalesce(F.col(length), F.lit(0)).alias("__n"), position.alias("__pos"))
+    numbered = sum_before(narrow.withColumn("__one", F.lit(1)), "__pos", "__one", "__i", ties=[key], shifts=(CLASS_BITS - 10,))
+    batched = numbered.select(key, "__n", F.floor(F.col("__i") / size).alias("__batch"), (F.col("__i") % size).cast("int").alias("row_in_batch"))
+    longest = batched.groupBy("__batch").agg(F.max("__n").alias("longest"))
+    n_batches = -(-lengths.count() // size)
+    return batched.join(longest, "__batch").select(
+        key, permuted(F.col("__batch"), n_batches, seed).alias("batch_id"), "row_in_batch", "longest"
+    )
+
+
+def pad_by_plan(sequences: DataFrame, plan: DataFrame, key: str, padding: dict[str, int]) -> DataFrame:
+    """Sequences with their place in a :func:`length_plan`, padded to their batch's longest.
+
+    The arrays move once, to their place; how far to pad them is known by then.
+    """
+    joined = sequences.join(plan, key)
+    return joined.withColumns({name: pad_right(F.col(name), F.col("longest"), value) for name, value in padding.items()})
+
+
+def padding_waste(plan: DataFrame, lengths: DataFrame, key: str, length: str = "n_tokens") -> DataFrame:
+    """One row: tokens, cells of the padded batches, and the share of cells that is padding."""
+    joined = plan.join(lengths.select(key, F.coalesce(F.col(length), F.lit(0)).alias("__n")), key)
+    return joined.agg(F.sum("__n").alias("n_tokens"), F.sum("longest").alias("n_cells")).withColumn(
+        "waste", 1 - F.try_divide("n_tokens", "n_cells")
+    )
+
+
 def batch_eval(df: DataFrame, key: str, size: int = 4, keys: DataFrame | None = None) -> DataFrame:
     """Batches in stored order; the short last batch is kept."""
     return _number(df, stored_index(df if keys is None else keys, key), (key,), size)

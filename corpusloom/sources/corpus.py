@@ -27,6 +27,17 @@ def read_corpus(
     return df if split is None else df.filter(F.col("split") == split)
 
 
+def write_corpus(df: DataFrame, path: str, key: str, files: int | None = None) -> None:
+    """Write a corpus with a split column so that readers skip what they don't ask for.
+
+    Splits are folders, and inside one the files (and their row groups) hold ranges of ``key``, so a filter on
+    the split lists no other files and one on the key reads few row groups. A split of any size is spread over
+    several files. ``key`` has an order.
+    """
+    ranged = df.repartitionByRange(files, "split", key) if files else df.repartitionByRange("split", key)
+    ranged.sortWithinPartitions("split", key).write.partitionBy("split").parquet(path)
+
+
 def read_instruct_lines(
     spark: SparkSession, path: str, file_format: str = "parquet", src: str = "src",
     per_file: bool = False,
