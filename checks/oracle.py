@@ -465,6 +465,9 @@ SELECT src, rec_id, batch_id, i % 8 AS row_in_batch, {text_of('(' + padded('ids'
 FROM (SELECT ceil(count(*) / 8)::BIGINT AS n_batches FROM documents)""",
     "corpus_lengths": f"WITH {LENGTHS_CTE} SELECT * FROM lengths",
     "length_stats": f"WITH {LENGTHS_CTE} {STATS}",
+    "sketched_stats": f"""WITH {LENGTHS_CTE} SELECT count(*) AS n, min(n_tokens) AS min, max(n_tokens) AS max,
+  round(avg(n_tokens), 6) AS mean, round(stddev_pop(n_tokens), 6) AS std, true AS near_p25, true AS near_p50, true AS near_p75,
+  true AS near_p90, true AS near_p95, true AS near_p99 FROM lengths""",
     "sft_length_stats": f"WITH {SFT_LENGTHS_CTE} {STATS}",
     "sft_truncation_coverage": f"WITH {SFT_LENGTHS_CTE} {COVERAGE}",
     "length_stats_bpe_256": f"""WITH RECURSIVE {BPE_ENCODED_CTE},

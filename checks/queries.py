@@ -12,7 +12,7 @@ from checks.inputs import WORD_LEVEL, documents, table
 from corpusloom import config as c
 from corpusloom.functions import sequences as seq
 from corpusloom.functions import text as tx
-from corpusloom.operators import batching, bpe, long_scores, maintained, metrics, reports, selection, vocab
+from corpusloom.operators import batching, bpe, long_scores, maintained, metrics, reports, selection, sketches, vocab
 from corpusloom.operators import records as rec
 from corpusloom.operators.batching import batch_eval, batch_train, step_budget
 from corpusloom.operators.order import stored_index
@@ -621,6 +621,27 @@ def sft_lengths(spark, sf_dir):
     return lengths.select("src", "rec_id", F.col("n_tokens").cast("long").alias("n_tokens"))
 
 
+@query
+def sketched_stats(spark, sf_dir):
+    """Exact sums, and whether each quantile's true ranks come as near as the sketch's error says."""
+    tok, path = inputs.word_tokenizer(spark, sf_dir), scratch_path(spark, "sketches")
+    docs = selection.drop_empty(documents(spark, sf_dir, "doc_id", "source", "text"))
+    lengths = tok.lengths(docs, "text").select("source", "n_tokens")
+    sketches.length_sketches(lengths, "source").write.parquet(path)
+    made = sketches.sketched_stats(spark.read.parquet(path)).first()
+
+    def near(p: float):
+        value = made["median" if p == 0.5 else f"p{round(p * 100)}"]
+        below, upto = (F.sum(F.when(x, F.col("n")).otherwise(0)) / F.sum("n") for x in (F.col("length") < value, F.col("length") <= value))
+        return (F.greatest(below - p, p - upto) <= made.rank_error).alias(f"near_p{round(p * 100)}")
+
+    return reports.length_histogram(lengths).agg(
+        *[F.lit(made[name]).cast("long").alias(name) for name in ("n", "min", "max")],
+        *[F.lit(made[name]).alias(name) for name in ("mean", "std")],
+        *[near(p) for p in reports.PERCENTILES],
+    ).withColumns(rounded("mean", "std"))
+
+
 @query
 def sft_length_stats(spark, sf_dir):
     made = rec.make_records(inputs.instruct_lines(spark, sf_dir))
