@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -32,15 +33,28 @@ def _per_word(ids_of: Callable[[str], list[int]]):
     return encode
 
 
+#: A longer word is known by its digest, so a vocabulary's bytes are bounded by its rows.
+WORD_BYTES = 64
+
+
+def _word_key(word: str) -> str:
+    if len(word) * 4 <= WORD_BYTES or len(data := word.encode()) <= WORD_BYTES:
+        return word
+    return "\0" + hashlib.sha256(data).hexdigest()
+
+
 def word_encoder(vocab: DataFrame):
     """Arrow UDF from words to ids of a word-level vocabulary, whatever its size.
 
-    The vocabulary, bounded by its settings, is brought to every worker once.
+    The vocabulary is brought to every worker once: as many rows as its settings allow, and at most 65 bytes
+    of a word and its id in each, however long its words are.
     """
-    rows = vocab.select("token", "id").toArrow()
-    ids = dict(zip(rows["token"].to_pylist(), rows["id"].to_pylist(), strict=True))
+    token = F.col("token")
+    short = F.when(F.octet_length(token) <= WORD_BYTES, token).otherwise(F.concat(F.lit("\0"), F.sha2(token, 256)))
+    rows = vocab.select(short.alias("key"), "id").toArrow()
+    ids = dict(zip(rows["key"].to_pylist(), rows["id"].to_pylist(), strict=True))
     shared = vocab.sparkSession.sparkContext.broadcast(ids)
-    return _per_word(lambda word: [shared.value.get(word, UNK)])
+    return _per_word(lambda word: [shared.value.get(_word_key(word), UNK)])
 
 
 def bpe_encoder(

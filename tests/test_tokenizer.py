@@ -233,6 +233,16 @@ def test_save_load_and_reuse(spark, texts, tmp_path):
         assert forced.size() < size
 
 
+def test_long_words_have_ids_of_their_own(spark):
+    long = ["x" * 5000, "x" * 4999 + "y", "é" * 32, "é" * 33, "z" * 64, "z" * 65]
+    df = frame(spark, [" ".join(long), " ".join(reversed(long))])
+    tok = Tokenizer.train(df, TokenizerSettings("word-level", "whitespace", 100, 1))
+    ids = {w: tok.token_to_id(w) for w in long}
+    assert len({*ids.values()}) == len(long) and None not in ids.values()
+    assert encoded(tok, df) == [[ids[w] for w in long], [ids[w] for w in reversed(long)]]
+    assert encoded(tok, frame(spark, ["x" * 5001])) == [[0]]
+
+
 def test_token_lookup(spark):
     tok = Tokenizer.train(frame(spark, ["a a b"]), TokenizerSettings("word-level", "whitespace", 20, 1))
     assert (tok.size(), tok.token_to_id("[PAD]"), tok.token_to_id("a"), tok.token_to_id("zz")) == (15, 1, 13, None)
