@@ -21,6 +21,7 @@ import re
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -62,6 +63,8 @@ _BETWEEN = re.compile(r"[,;:/\\?\"\[\]{}=&…“”«»]+")
 #: Symbols and punctuation before and after a word, and symbols that stand there more than once.
 _EDGES = re.compile(r"^[\W_]+(?=\w)|(?:[.,;:!?\"'’”)\]}…]+|([#$%&*!?+|@])\1+)+$")
 
+#: What may follow a plain word.
+_AFTER = ".,;:"
 #: Look-alikes that are no letters or digits, and other characters around a word.
 _SYMBOLS = "".join(c for c in LOOKALIKES if not c.isalnum()) + WILDCARD
 _PLAIN = SEPARATORS + "^)'’”…>"
@@ -218,7 +221,12 @@ class Reader(dict):
     def __missing__(self, token: str):
         if len(self) >= MEMO:
             self.clear()
-        found = self[token] = self.weigh(_WORD.findall(" ".join(self.restorer.readings(token))))
+        bare = token.rstrip(_AFTER)
+        if bare.isalpha() and not _STRETCHED.search(bare):
+            words = [bare]  # the only reading of letters without a sign of disguise
+        else:
+            words = _WORD.findall(" ".join(self.restorer.readings(token)))
+        found = self[token] = self.weigh(words)
         return found
 
     def of(self, text: str) -> list:
@@ -237,7 +245,9 @@ class Model:
     shift: float = 0.0
     constant: float | None = None
 
+    @cached_property
     def reader(self) -> Reader:
+        """One for all batches that a Python worker gets with the same model."""
         weights = self.weights
 
         def most(words: list[str]) -> float:
@@ -328,7 +338,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", to: str = "score")
     @F.arrow_udf("double")
     def scores(column: pa.Array) -> pa.Array:
         own = shared.value
-        reader = own.reader()
+        reader = own.reader
         most = [max(reader.of(v.as_py() or ""), default=0.0) for part in _batch(column) for v in part["text"]]
         return pa.array(own.score(np.array(most, np.float64)), pa.float64())
 
