@@ -25,7 +25,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.components import stored
@@ -65,7 +65,8 @@ _SECRET = re.compile(
 )
 _SECRET_SIGNS = ("passw", "pwd", "token", "secret", "key")
 _TITLES = tuple(t + end for t in "|".join((MALE, FEMALE, NEITHER)).split("|") for end in (" ", ".", "\u00a0"))
-_LOCAL = re.compile(r"[A-Za-z0-9À-ÿ][\w.%+-]*\Z")
+_LOCAL = re.compile(r"[\w.%+-]")
+_LOCAL_START = re.compile(r"[A-Za-z0-9À-ÿ]")
 _DOMAIN = re.compile(r"(?:[A-Za-z0-9À-ÿ][\wÀ-ÿ-]*\.)+[A-Za-z]{2,}")
 _NAME = re.compile(rf"\b({MALE}|{FEMALE}|{NEITHER})\b\.?[  ]+([^\W\d_a-z][\w’'-]+(?:[  ][^\W\d_a-z][\w’'-]+){{0,2}})")
 _PART = re.compile(r"[^\W\d_]{2,}")
@@ -83,13 +84,17 @@ def _luhn(digits: str) -> int:
 def find(text: str) -> list[tuple[int, int, str, str]]:
     """Entities in order, none overlapping: start, end, kind, canonical form."""
     found: list[tuple[int, int, str, str]] = []
-    at = text.find("@")
+    at, low = text.find("@"), 0
     while at >= 0:
-        left = _LOCAL.search(text, max(0, at - 64), at)
         right = _DOMAIN.match(text, at + 1)
+        # the whole local part, however long; none reaches over the "@" before, so each is scanned once
+        start = at
+        while right and start > low and _LOCAL.match(text, start - 1):
+            start -= 1
+        left = _LOCAL_START.search(text, start, at)
         if left and right:
             found.append((left.start(), right.end(), "email", text[left.start() : right.end()].lower()))
-        at = text.find("@", at + 1)
+        at, low = text.find("@", at + 1), at + 1
     done = 0
     for place in _DIGITS.finditer(text):
         at = max(done, place.start() - BEFORE)
@@ -221,6 +226,11 @@ def entities(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(F.explode(found(F.col(text).cast("string"))).alias("e")).select("e.kind", "e.form").distinct()
 
 
+def _seen(form: str) -> Column:
+    """What of a canonical form can be seen: the gender before a name can't."""
+    return F.when(F.col("kind") == "name", F.substring_index(form, ":", -1)).otherwise(F.col(form))
+
+
 def draws(found: DataFrame, key: bytes) -> DataFrame:
     """kind, form, attempt, drawn: a surrogate for each entity, all distinct and none an entity of the corpus."""
 
@@ -231,11 +241,12 @@ def draws(found: DataFrame, key: bytes) -> DataFrame:
 
     now = stored(found.withColumn("attempt", F.lit(0)).withColumn("drawn", drawn("kind", "form", "attempt")), "draws")
     while True:
-        first = now.groupBy("kind", "drawn").agg(F.min(F.struct("attempt", "form")).alias("first"), F.count(F.lit(1)).alias("n"))
-        shared = now.join(first.filter("n > 1"), ["kind", "drawn"]).filter(
+        shown = now.withColumn("shown", _seen("drawn"))
+        first = shown.groupBy("kind", "shown").agg(F.min(F.struct("attempt", "form")).alias("first"), F.count(F.lit(1)).alias("n"))
+        shared = shown.join(first.filter("n > 1"), ["kind", "shown"]).filter(
             F.struct("attempt", "form") != F.col("first")
         )
-        taken = now.join(found.select("kind", F.col("form").alias("drawn")), ["kind", "drawn"], "left_semi")
+        taken = shown.join(found.select("kind", _seen("form").alias("shown")), ["kind", "shown"], "left_semi")
         again = shared.select("kind", "form").unionByName(taken.select("kind", "form")).distinct()
         again = stored(again.withColumn("again", F.lit(True)), "collisions")
         if again.isEmpty():

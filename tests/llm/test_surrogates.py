@@ -96,3 +96,23 @@ def test_awkward_rows(spark):
     assert sorted(r.n_entities for r in got) == [0, 0, 0, 1, 1, 1]
     assert [r.text for r in got if r.doc_id in (1, 2)] == [None, ""]
     assert surrogates.replace(docs.limit(0), b"k").count() == 0
+
+
+@pytest.mark.parametrize("local", ["a" * 80, "a" * 5000, "é" + "b." * 60 + "c", "%" * 70 + "x" * 10])
+def test_long_mail_names_are_replaced_whole(local):
+    text = f"to {local}@example.com, or x@{local}@example.org."
+    done, n = surrogates.rewrite(text, DRAWER, {})
+    assert n == 2 and len(done) == len(text)
+    for k in range(0, len(local) - 8, 7):
+        if local[k : k + 8].isalpha():
+            assert f"{local[k : k + 8]}" not in done
+
+
+def test_what_is_shown_is_distinct(spark):
+    """Every two forms' surrogates as they are shown, and against the corpus: the gender before a name can't be seen."""
+    stems = [a + b + c for a in ("la", "li", "na", "ra", "mi", "so") for b in ("sa", "no", "ri", "ta", "le") for c in ("na", "ra", "n", "s", "m", "l")]
+    forms = [("name", f"{g}:{s}") for g in "mfn" for s in stems]
+    made = surrogates.draws(spark.createDataFrame(forms, "kind string, form string"), b"k").collect()
+    shown = {r.form: r.drawn.partition(":")[2] for r in made}
+    assert len(shown) == len(forms) == len(set(shown.values()))
+    assert not set(shown.values()) & set(stems)
