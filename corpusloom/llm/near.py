@@ -11,13 +11,14 @@ it is the Jaccard similarity. A class is a connected component of links.
    than all registers' (ProbMinHash). The share of equal registers estimates the similarity.
 3. Banding: documents that share all registers of a band meet in a bucket. With 16 bands of 4 a pair at 0.8
    meets with a probability of 0.9998.
-4. Verification in rounds: per bucket one or two members are centres, which change with the round, and
-   members of other classes that have enough registers in common with one are compared with it on their
-   whole texts; then classes are joined. So a bucket costs its size in a round, not its square. It ends
-   after two rounds without a link.
-5. The rest: in buckets that still hold several classes, every two members of different classes meet in
-   blocks of bounded size, and those with enough registers in common are compared on their texts, likely
-   links first. No pair of a bucket stays open, so this costs the square of what the rounds have left apart.
+4. Verification in rounds: per bucket one member is the centre, in the first round the one whose buckets are
+   fullest, as a family's most typical text shares most of its buckets; later two drawn ones. Members of other
+   classes that have enough registers in common with a centre are compared with it on their whole texts; then
+   classes are joined. So a bucket costs its size in a round, not its square. Rounds end when few of the compared
+   pairs are links.
+5. The rest: in buckets that still hold several classes, the members outside the largest class meet all others in
+   blocks of bounded size, and pairs with enough registers in common are compared on their texts, likely links
+   first. No pair of a bucket stays open; what the rounds have put into one class is not compared with itself.
 
 Ids must be whole numbers, and one row per id; rows without an id are left out. Texts without a word
 (null, empty, punctuation) have no shingles and are classes of their own. Texts of fewer than five words
@@ -35,18 +36,19 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm import words as W
 from corpusloom.llm.components import components, stored
-from corpusloom.session import shared_folder
+from corpusloom.session import scratch_path, shared_folder
 
 BANDS, ROWS = 16, 4
-REGISTERS = BANDS * ROWS
+#: Registers of a signature, of which the first BANDS * ROWS make the bands; all are compared before texts are.
+REGISTERS = 256
 THRESHOLD = 0.8
-#: Pairs with fewer registers alike, by four bits of each, are not compared. Of 64 a pair at 0.8 has 52 on
-#: average, with a deviation of 3.1, so one in 20,000 of such pairs is lost; at 0.6 it has 40.
-LEAST_ALIKE = 40
-#: Centres of a bucket in the first two rounds, and in later ones; rounds without a link that end the search.
-CENTRES, QUIET = (1, 2), 2
+#: Pairs with fewer registers alike, by four bits of each, are not compared. A pair at 0.8 has 208 of 256 on
+#: average, with a deviation of 6.2, so one in 10,000 of such pairs is lost; at 0.7 it has 184, at 0.6 160.
+LEAST_ALIKE = 184
+#: Centres of a bucket in the first round and in later ones; the share of links that calls for another round.
+CENTRES, WORTH = (1, 2), 0.05
 #: Members of a block of a bucket, on average. Registers alike of the pairs that are compared first, and then.
-BLOCK, STEPS = 256, (52, LEAST_ALIKE)
+BLOCK, STEPS = 256, (208, LEAST_ALIKE)
 
 
 def shingles(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -80,7 +82,7 @@ def signatures(values: np.ndarray, text: np.ndarray, weight: np.ndarray, texts:
 def _bands(who: np.ndarray) -> np.ndarray:
     out = np.zeros((len(who), BANDS), np.uint64)
     for row in range(ROWS):
-        out = W.mix(out + who[:, row::ROWS] + np.arange(1, BANDS + 1, dtype=np.uint64))
+        out = W.mix(out + who[:, row : BANDS * ROWS : ROWS] + np.arange(1, BANDS + 1, dtype=np.uint64))
     return out.view(np.int64)
 
 
@@ -169,81 +171,103 @@ def _verified(threshold: float):
     return run
 
 
-def _open_pairs(members: DataFrame, least_alike: int) -> DataFrame:
+def _open_pairs(members: DataFrame, known: DataFrame, least_alike: int) -> DataFrame:
     """Every two members of different classes that share a bucket and have enough registers alike, once.
 
-    A bucket's members are dealt into blocks, and each two blocks are a key of the join.
+    A bucket's members, and those of them outside its largest class, are dealt into blocks, and each two blocks
+    are a key of the join. A pair that shares several buckets is taken in the first of them.
     """
-    spread = members.groupBy("bucket").agg(
-        F.min("label").alias("least"), F.max("label").alias("most"), F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks")
-    )
-    spread = spread.filter("least <> most").select("bucket", "blocks")
-    block = F.pmod(F.xxhash64("bucket", "id"), "blocks")
-    rows = members.join(spread, "bucket").select("bucket", "blocks", block.alias("block"), F.struct("id", "label", "sketch").alias("m"))
-    one = rows.select("bucket", F.col("block").alias("i"), F.explode(F.expr("sequence(block, blocks - 1)")).alias("j"), F.col("m").alias("x"))
-    other = rows.select("bucket", F.explode(F.expr("sequence(0L, block)")).alias("i"), F.col("block").alias("j"), F.col("m").alias("y"))
-    enough = _alike(F.col("x.sketch"), F.col("y.sketch")) >= least_alike
+    classes = members.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
+    spread = (
+        classes.groupBy("bucket")
+        .agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("most"))
+        .filter("n > most.n")
+        .select("bucket", F.col("most.label").alias("most"), F.ceil(F.col("n") / BLOCK).alias("all_blocks"), F.ceil((F.col("n") - F.col("most.n")) / BLOCK).alias("blocks"))
+    )
+    rows = members.join(spread, "bucket").join(known.select("id", "buckets", "sketch"), "id")
+    member = F.struct("id", "label", "buckets", "sketch")
+    one = rows.select(
+        "bucket", F.pmod(F.xxhash64("bucket", "id"), "all_blocks").alias("i"), F.explode(F.expr("sequence(0L, blocks - 1)")).alias("j"),
+        member.alias("x"), (F.col("label") == F.col("most")).alias("of_most"),
+    )
+    other = rows.filter("label <> most").select(
+        "bucket", F.explode(F.expr("sequence(0L, all_blocks - 1)")).alias("i"), F.pmod(F.xxhash64("id", "bucket"), "blocks").alias("j"),
+        member.alias("y"),
+    )
     met = one.alias("one").join(
         other.alias("other").hint("merge"),
         (F.col("one.bucket") == F.col("other.bucket")) & (F.col("one.i") == F.col("other.i")) & (F.col("one.j") == F.col("other.j"))
-        & F.expr("x.label <> y.label AND (one.i < one.j OR x.id < y.id)") & enough,
+        & F.expr("x.label <> y.label AND (of_most OR x.id < y.id)")
+        & (_alike(F.col("x.sketch"), F.col("y.sketch")) >= least_alike)
+        & F.expr("array_min(array_intersect(x.buckets, y.buckets)) = one.bucket"),
     )
     return _pairs(met, F.struct("x.id", "x.label"), F.struct("y.id", "y.label"))
 
 
+def _star_pairs(members: DataFrame, known: DataFrame, turn: int) -> DataFrame:
+    """Members of each bucket with its centres, where the classes differ and enough registers are alike."""
+    centre = F.struct("id", "label")
+    if turn:
+        ranks = [F.xxhash64(F.lit(turn), F.lit(k), "bucket", "id") for k in range(CENTRES[1])]
+    else:
+        ranks = [F.struct(-F.col("density"), "id")]
+    open_ = members.groupBy("bucket").agg(
+        *[F.min_by(centre, r).alias(f"c{k}") for k, r in enumerate(ranks)],
+        F.min("label").alias("least"), F.max("label").alias("most"),
+    )
+    centres = F.explode(F.array(*[f"c{k}" for k in range(len(ranks))])).alias("c")
+    met = members.join(open_.filter("least <> most").select("bucket", centres), "bucket").filter("label <> c.label")
+    pairs = _pairs(met, centre, F.struct("c.id", "c.label")).distinct()
+    pairs = pairs.join(known.select(F.col("id").alias("a"), F.col("sketch").alias("one")), "a")
+    pairs = pairs.join(known.select(F.col("id").alias("b"), F.col("sketch").alias("other")), "b")
+    return pairs.filter(_alike(F.col("one"), F.col("other")) >= LEAST_ALIKE).select("a", "class_a", "b", "class_b")
+
+
 def _pairs(met: DataFrame, one: Column, other: Column) -> DataFrame:
-    """Distinct pairs of members that met, the smaller id first."""
-    pairs = met.select(F.least(one, other).alias("x"), F.greatest(one, other).alias("y")).distinct()
-    return pairs.select(
+    """Pairs of members that met, the smaller id first."""
+    return met.select(F.least(one, other).alias("x"), F.greatest(one, other).alias("y")).select(
         F.col("x.id").alias("a"), F.col("x.label").alias("class_a"),
         F.col("y.id").alias("b"), F.col("y.label").alias("class_b"),
     )
 
 
-def bucket_classes(texts: DataFrame, buckets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def bucket_classes(
+    texts: DataFrame, buckets: DataFrame, threshold: float = THRESHOLD, sketches: DataFrame | None = None
+) -> DataFrame:
     """``id`` and ``label``, the smallest id of its class, for the ids that share a bucket with others.
 
-    ``texts`` has a row (id, text) for each id, ``buckets`` a row (bucket, id, sketch) for each membership.
+    ``texts`` has a row (id, text) for each id, ``buckets`` a row (bucket, id) for each membership, ``sketches`` a row
+    (id, sketch) for each id; without it ``buckets`` has a column sketch.
     """
-    shared = buckets.groupBy("bucket").count().filter("count > 1").select("bucket")
-    members = stored(buckets.join(shared, "bucket").withColumn("label", F.col("id")), "members")
-    label = stored(members.select("id", "label").distinct(), "labels")
+    spark = buckets.sparkSession
+    if sketches is None:
+        sketches = buckets.select("id", "sketch").dropDuplicates(["id"])
+    sizes = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    shared = stored(buckets.select("bucket", "id").join(sizes, "bucket"), "shared")
+    own = shared.groupBy("id").agg(F.sum("n").alias("density"), F.collect_set("bucket").alias("buckets"))
+    known = stored(own.join(sketches, "id"), "known")
+    label = known.select("id", F.col("id").alias("label"))
+    members = stored(shared.drop("n").join(known.select("id", "density"), "id").withColumn("label", F.col("id")), "members")
     texts = stored(texts.join(label.select("id"), "id", "left_semi"), "texts")
-    turn, quiet, seen = 0, 0, None
-    steps = list(STEPS)
-    while quiet < QUIET or steps:
-        if quiet < QUIET:
-            # in the first round all buckets of a document tend to have the same centre, later all differ
-            ranks = [F.xxhash64(F.lit(turn), F.lit(k), "bucket", "id") for k in range(CENTRES[turn > 1])]
-            ranks = ranks if turn else [F.xxhash64("id")]
-            centre = F.struct("id", "label", "sketch")
-            open_ = members.groupBy("bucket").agg(
-                *[F.min_by(centre, r).alias(f"c{k}") for k, r in enumerate(ranks)],
-                F.min("label").alias("least"), F.max("label").alias("most"),
-            )
-            centres = F.explode(F.array(*[f"c{k}" for k in range(len(ranks))])).alias("c")
-            centres = open_.filter("least <> most").select("bucket", centres)
-            met = members.join(centres, "bucket").filter(
-                (F.col("label") != F.col("c.label")) & (_alike(F.col("sketch"), F.col("c.sketch")) >= LEAST_ALIKE)
-            )
-            pairs = _pairs(met, F.struct("id", "label"), F.struct("c.id", "c.label"))
-            turn += 1
-            quiet += 1
-        else:
-            pairs = _open_pairs(members, steps.pop(0))
-        if seen is not None:  # no pair is compared twice
-            pairs = pairs.join(seen, ["a", "b"], "left_anti")
-        pairs = stored(pairs, "pairs")
-        seen = pairs.select("a", "b") if seen is None else seen.unionByName(pairs.select("a", "b"))
-        pairs = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-        pairs = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-        new = stored(pairs.mapInArrow(_verified(threshold), "a long, b long"), "links")
-        if not new.isEmpty():
-            quiet = 0 if len(steps) == len(STEPS) else quiet
+    compared, turn, stars, steps = scratch_path(spark, "pairs"), 0, True, list(STEPS)
+    while stars or steps:
+        pairs = _star_pairs(members, known, turn) if stars else _open_pairs(members, known, steps.pop(0))
+        if turn:  # no pair is compared twice
+            before = spark.read.schema(pairs.schema).parquet(f"{compared}/*").select("a", "b")
+            pairs = pairs.join(before, ["a", "b"], "left_anti")
+        pairs.write.parquet(f"{compared}/{turn}")
+        pairs = spark.read.schema(pairs.schema).parquet(f"{compared}/{turn}")
+        turn += 1
+        both = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
+        both = both.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
+        new = stored(both.mapInArrow(_verified(threshold), "a long, b long"), "links")
+        links = new.count()
+        stars = stars and links > 0 and links >= WORTH * pairs.count()
+        if links:
             joined = components(new).select(F.col("node").alias("label"), F.col("label").alias("whole"))
             whole = F.coalesce("whole", "label").alias("label")
             label = stored(label.join(joined, "label", "left").select("id", whole), "labels")
-            members = stored(members.join(joined, "label", "left").select("bucket", "id", "sketch", whole), "members")
+            members = stored(members.join(joined, "label", "left").select("bucket", "id", "density", whole), "members")
     return label
 
 
@@ -260,8 +284,9 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", thres
         F.min("id").alias("first"), F.first("buckets").alias("buckets"), F.first("sketch").alias("sketch")
     )
     same = stored(same, "texts-apart")
-    buckets = same.select(F.explode("buckets").alias("bucket"), F.col("first").alias("id"), "sketch")
-    label = bucket_classes(rows, buckets, threshold).withColumnRenamed("id", "first")
+    buckets = same.select(F.explode("buckets").alias("bucket"), F.col("first").alias("id"))
+    sketches = same.select(F.col("first").alias("id"), "sketch")
+    label = bucket_classes(rows, buckets, threshold, sketches).withColumnRenamed("id", "first")
     named = same.select("same1", "same2", "first").join(label, "first", "left")
     named = named.select("same1", "same2", F.coalesce("label", "first").alias("class_id"))
     member = signed.select("id", "same1", "same2").join(named, ["same1", "same2"]).select("id", "class_id")
