@@ -196,6 +196,17 @@ def test_copies_with_one_altered_slot_or_in_another_case(spark):
     assert sorted((r.doc_id, r.item_id, r.exact) for r in got) == [(1, 1, False), (2, 2, True), (3, 2, True)]
 
 
+def test_names_at_the_start_of_sentences_are_slots(spark):
+    item = "Tom has 5 red apples. Tom buys 3 more apples. Anna gives Tom 2 apples. How many apples does Tom have now?"
+    other = "Ben has 9 red apples. Ben buys 4 more apples. Lucy gives Ben 7 apples. How many apples does Ben have now?"
+    mixed = "Ben has 9 red apples. Max buys 4 more apples. Lucy gives Ben 7 apples. How many apples does Max have now?"
+    clean = "Ben sold red apples at the market. The apples were more than Ben could carry, and so Lucy helped Ben all day."
+    docs = [(1, item), (2, other), (3, mixed), (4, clean), (5, other), (5, other)]
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()
+    assert sorted((r.doc_id, r.exact) for r in got) == [(1, True), (2, False), (5, False)]
+
+
 def test_contamination_of_empty_tables(spark):
     docs = spark.createDataFrame([(5, QUESTION)], "doc_id long, text string")
     items = spark.createDataFrame([(1, QUESTION)], "item_id long, text string")
