@@ -71,6 +71,17 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(target)
 
 
+def move_files(spark: SparkSession, source: str, target: str, prefix: str) -> None:
+    """Move a table's files to the folder ``target``, their names after ``prefix``; those that are gone have been moved."""
+    fs, folder = _file_system(spark, source)
+    for status in fs.listStatus(folder):
+        name = status.getPath().getName()
+        if not name.startswith(("_", ".")):
+            _, path = _file_system(spark, f"{target}/{prefix}{name}")
+            if not fs.rename(status.getPath(), path):
+                raise OSError(f"{status.getPath()} could not be moved to {path}")
+
+
 def drop_mark(spark: SparkSession, path: str) -> None:
     """Remove the success mark of an output that is about to be replaced."""
     fs, target = _file_system(spark, f"{path}/_SUCCESS")

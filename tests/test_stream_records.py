@@ -90,3 +90,13 @@ def test_lines_of_the_tables(spark, small, tmp_path):
     lines = inputs.dense_lines(spark, small)
     lines.repartition(5, F.xxhash64("line_no")).write.parquet(f"{tmp_path}/in")
     same(run(spark, tmp_path), lines)
+
+
+def test_what_waits_is_a_table_and_a_batch_run_again_changes_nothing(spark, tmp_path):
+    rows = lines_of(5, [("hot", 30)])
+    for number, part in enumerate((rows[1:], rows[:1])):
+        for _ in range(2):
+            SR._assemble(spark, f"{tmp_path}/out", f"{tmp_path}/check", None, spark.createDataFrame(part, LINES), number)
+        waiting = spark.read.schema(SR.LINES).parquet(f"{tmp_path}/check/assembly/{number}/waiting")
+        assert waiting.count() == (2 if number else len(rows) - 1)
+    same(spark.read.schema(SR.RECORDS).parquet(f"{tmp_path}/out"), spark.createDataFrame(rows, LINES))
