@@ -21,12 +21,17 @@ from __future__ import annotations
 
 import heapq
 from collections import Counter, defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.config import SPECIAL_TOKENS, TokenizerSettings
+from corpusloom.operators.merging import LONGEST, NO_RANK, Ranks, flat_lists, lists, merge, neighbours
 from corpusloom.operators.vocab import VOCAB_SCHEMA, word_counts
 from corpusloom.session import cut_lineage, remove, written
 
@@ -62,58 +67,96 @@ class Merges:
         return spark.createDataFrame(rows, MERGE_SCHEMA)
 
 
+#: Words that a task takes at once: what they have in common is summed up there.
+WORDS_AT_ONCE = 1 << 17
+
+
+def _bundles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of several batches together."""
+    held, rows = [], 0
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= WORDS_AT_ONCE:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held, rows = [], 0
+    if rows:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _column(table: pa.Table, name: str) -> pa.Array:
+    return table[name].combine_chunks() if table[name].num_chunks != 1 else table[name].chunk(0)
+
+
 def spell(words: DataFrame, char_ids: dict[str, int]) -> DataFrame:
     """``syms, n``: each distinct word as its characters' ids."""
 
     @F.arrow_udf("array<int>")
     def to_ids(batch):
-        import pyarrow as pa
-
-        return pa.array([[char_ids[c] for c in w] for w in batch.to_pylist()], pa.list_(pa.int32()))
+        points = np.frombuffer("".join(batch.to_pylist()).encode("utf-32-le"), np.uint32)
+        distinct, place = np.unique(points, return_inverse=True)
+        ids = np.array([char_ids[chr(c)] for c in distinct], np.int32)
+        return lists(ids[place], np.concatenate(([0], np.cumsum(pc.utf8_length(batch).to_numpy()))))
 
     return words.select(to_ids("word").alias("syms"), "n")
 
 
+def _pair_sums(syms: pa.Array, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs, as one number each, and the sums of their words' counts."""
+    values, offsets = flat_lists(syms)
+    at = neighbours(values, offsets)
+    pairs = values[at].astype(np.int64) << 32 | values[at + 1]
+    pairs, place = np.unique(pairs, return_inverse=True)
+    sums = np.zeros(len(pairs), np.int64)
+    np.add.at(sums, place, np.repeat(n, np.diff(offsets))[at])
+    return pairs, sums
+
+
+def _pair_rows(pairs: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
+    left, right = (pairs >> 32).astype(np.int32), (pairs & 0xFFFFFFFF).astype(np.int32)
+    return pa.record_batch({"left_id": left, "right_id": right, "n": sums})
+
+
+PAIRS = "left_id int, right_id int, n long"
+
+
 def pair_counts(words: DataFrame) -> DataFrame:
     """``left_id, right_id, n`` over all adjacent symbols, weighted by word count."""
-    pairs = F.transform(
-        F.sequence(F.lit(1), F.size("syms") - 1),
-        lambda i: F.struct(
-            F.get("syms", i - 1).alias("left_id"), F.get("syms", i).alias("right_id")
-        ),
-    )
-    return (
-        words.filter(F.size("syms") > 1)
-        .select(F.explode_outer(pairs).alias("pair"), "n")
-        .groupBy("pair.left_id", "pair.right_id")
-        .agg(F.sum("n").alias("n"))
-    )
+
+    def count(batches):
+        for table in _bundles(batches):
+            yield _pair_rows(*_pair_sums(_column(table, "syms"), table["n"].to_numpy()))
+
+    return words.select("syms", "n").mapInArrow(count, PAIRS).groupBy("left_id", "right_id").agg(F.sum("n").alias("n"))
 
 
 def segment_counts(words: DataFrame, active: set[tuple[int, int]]) -> DataFrame:
     """``seg, n``: distinct stretches of at least two symbols joined by active pairs only."""
-
-    @F.arrow_udf("array<array<int>>")
-    def stretches(batch):
-        import pyarrow as pa
-
-        rows = []
-        for syms in batch.to_pylist():
-            found, start = [], 0
-            for i in range(1, len(syms) + 1):
-                if i == len(syms) or (syms[i - 1], syms[i]) not in active:
-                    if i - start > 1:
-                        found.append(syms[start:i])
-                    start = i
-            rows.append(found)
-        return pa.array(rows, pa.list_(pa.list_(pa.int32())))
-
-    return (
-        words.select(F.explode_outer(stretches("syms")).alias("seg"), "n")
-        .filter(F.col("seg").isNotNull())
-        .groupBy("seg")
-        .agg(F.sum("n").alias("n"))
-    )
+    wanted = Ranks({pair: (i, 0) for i, pair in enumerate(active)}, in_order=True)
+
+    def stretches(batches):
+        for table in _bundles(batches):
+            values, offsets = flat_lists(_column(table, "syms"))
+            at = neighbours(values, offsets)
+            apart = np.ones(len(values) + 1, bool)
+            apart[at[wanted.of(values[at], values[at + 1]) != NO_RANK] + 1] = False
+            begins = np.flatnonzero(apart)  # and the end
+            sizes = np.diff(begins)
+            kept = sizes > 1
+            n = np.repeat(table["n"].to_numpy(), np.diff(offsets))[begins[:-1][kept]]
+            ends = np.concatenate(([0], np.cumsum(sizes[kept]))) * 4
+            data = np.ascontiguousarray(values[np.repeat(kept, sizes)], np.int32)
+            seg = pa.LargeBinaryArray.from_buffers(
+                pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(data)]
+            )
+            summed = pa.table({"seg": seg, "n": n}).group_by("seg").aggregate([("n", "sum")])
+            spelled = _column(summed, "seg")
+            ends = np.concatenate(([0], np.cumsum(pc.binary_length(spelled).to_numpy()))) // 4
+            symbols = np.frombuffer(b"".join(spelled.to_pylist()), np.int32)
+            yield pa.record_batch({"seg": lists(symbols, ends), "n": _column(summed, "n_sum")})
+
+    counted = words.select("syms", "n").mapInArrow(stretches, "seg array<int>, n long")
+    return counted.groupBy("seg").agg(F.sum("n").alias("n"))
 
 
 def merged(syms: list[int], ranks: dict[tuple[int, int], tuple[int, int]]) -> list[int] | None:
@@ -141,24 +184,42 @@ def merged(syms: list[int], ranks: dict[tuple[int, int], tuple[int, int]]) -> li
 
 def rewrite(words: DataFrame, merges: list[tuple[tuple[int, int], int]]) -> DataFrame:
     """``syms, n, before``: the words after ``merges``; ``before`` is null where nothing changed."""
-    ranks = {pair: (i, new) for i, (pair, new) in enumerate(merges)}
-
-    @F.arrow_udf("array<int>")
-    def after(batch):
-        import pyarrow as pa
+    places = {pair: (i, new) for i, (pair, new) in enumerate(merges)}
+    ranks = Ranks(places, in_order=True)
+
+    def after(batches):
+        for table in _bundles(batches):
+            before = _column(table, "syms")
+            values, offsets = flat_lists(before)
+            sizes = np.diff(offsets)
+            long = np.flatnonzero(sizes > LONGEST)
+            short = np.where(sizes > LONGEST, 0, sizes)
+            picked = values[np.repeat(sizes <= LONGEST, sizes)]
+            made, begins, count = merge(picked, np.concatenate(([0], np.cumsum(short))), ranks)
+            syms, changed = lists(made, begins), count > 0
+            if len(long):
+                alone = [merged(values[offsets[i] : offsets[i + 1]].tolist(), places) for i in long]
+                changed[long] = [x is not None for x in alone]
+                alone = [values[offsets[i] : offsets[i + 1]] if x is None else x for i, x in zip(long, alone, strict=True)]
+                place = np.arange(len(syms))
+                place[long] = len(syms) + np.arange(len(long))
+                syms = pa.concat_arrays([syms, pa.array(alone, pa.list_(pa.int32()))]).take(pa.array(place))
+            before = pc.if_else(pa.array(changed), before, pa.scalar(None, before.type))
+            yield pa.record_batch({"syms": syms, "n": _column(table, "n"), "before": before})
+
+    return words.select("syms", "n").mapInArrow(after, "syms array<int>, n long, before array<int>")
 
-        return pa.array([merged(syms, ranks) for syms in batch.to_pylist()], pa.list_(pa.int32()))
 
-    made = words.select(after("syms").alias("after"), "syms", "n")
-    changed = F.col("after").isNotNull()
-    return made.select(F.coalesce("after", "syms").alias("syms"), "n", F.when(changed, F.col("syms")).alias("before"))
+def pair_changes(rewritten: DataFrame) -> DataFrame:
+    """``left_id, right_id, n``: by how much the words a round changed alter the pair counts; several rows a pair."""
 
+    def count(batches):
+        for table in _bundles(batches):
+            n = table["n"].to_numpy()
+            (pairs, sums), (gone, less) = _pair_sums(_column(table, "syms"), n), _pair_sums(_column(table, "before"), -n)
+            yield _pair_rows(np.concatenate([pairs, gone]), np.concatenate([sums, less]))
 
-def pair_changes(rewritten: DataFrame) -> DataFrame:
-    """``left_id, right_id, n``: by how much the words a round changed alter the pair counts."""
-    changed = rewritten.filter(F.col("before").isNotNull())
-    gone = changed.select(F.col("before").alias("syms"), (-F.col("n")).alias("n"))
-    return pair_counts(changed.select("syms", "n")).unionByName(pair_counts(gone))
+    return rewritten.filter(F.col("before").isNotNull()).mapInArrow(count, PAIRS)
 
 
 class _Round:
