@@ -5,30 +5,43 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.config import SPECIAL_TOKENS, UNK
 from corpusloom.functions.text import RAW_BYTES, SHOWN_BYTES, encodable_words, read_bytes
+from corpusloom.operators.merging import LONGEST, Ranks, lists, merge
 
 
-def _per_word(ids_of: Callable[[str], list[int]]):
-    """Arrow UDF from words to ids that spells each distinct word of a batch once."""
+#: Words of a batch that are looked up or segmented at once, which bounds what a task holds beside its batch.
+WORDS_AT_ONCE = 1 << 18
+
+
+def _per_word(ids_of: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]):
+    """Arrow UDF from words to ids that spells each distinct word of a stretch of a batch once.
+
+    ``ids_of`` gives the ids of words one after the other, and where each word's begin.
+    """
 
     @F.arrow_udf("array<int>")
     def encode(batch):
-        import numpy as np
-        import pyarrow as pa
-        import pyarrow.compute as pc
-
-        coded = batch.flatten().dictionary_encode()
-        per_word = pa.array([ids_of(w) for w in coded.dictionary.to_pylist()], pa.list_(pa.int32()))
-        spelled = per_word.take(coded.indices)
-        token_ends = np.concatenate(([0], np.cumsum(pc.list_value_length(spelled).to_numpy())))
-        word_ends = np.concatenate(([0], np.cumsum(pc.list_value_length(batch).to_numpy())))
-        return pa.ListArray.from_arrays(
-            pa.array(token_ends[word_ends].astype(np.int32)), spelled.flatten()
-        )
+        word_ends = np.concatenate(([0], np.cumsum(pc.list_value_length(batch).to_numpy(zero_copy_only=False))))
+        words, made = batch.flatten(), []
+        token_ends = np.zeros(len(words) + 1, np.int32)
+        for at in range(0, len(words), WORDS_AT_ONCE):
+            coded = words.slice(at, WORDS_AT_ONCE).dictionary_encode()
+            ids, begins = ids_of(coded.dictionary)
+            places = coded.indices.to_numpy()
+            counts = np.diff(begins)[places]
+            token_ends[at + 1 : at + 1 + len(places)] = counts
+            # each word's ids, from where they begin
+            inside = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+            made.append(ids[np.repeat(begins[:-1][places], counts) + inside].astype(np.int32, copy=False))
+        np.cumsum(token_ends, out=token_ends)
+        return lists(np.concatenate([np.zeros(0, np.int32), *made]), token_ends[word_ends])
 
     return encode
 
@@ -54,7 +67,16 @@ def word_encoder(vocab: DataFrame):
     rows = vocab.select(short.alias("key"), "id").toArrow()
     ids = dict(zip(rows["key"].to_pylist(), rows["id"].to_pylist(), strict=True))
     shared = vocab.sparkSession.sparkContext.broadcast(ids)
-    return _per_word(lambda word: [shared.value.get(_word_key(word), UNK)])
+
+    def ids_of(words):
+        known, step = shared.value, 1 << 13
+        found = np.empty(len(words), np.int32)
+        for at in range(0, len(words), step):
+            some = words.slice(at, step).to_pylist()
+            found[at : at + step] = [known.get(_word_key(word), UNK) for word in some]
+        return found, np.arange(len(words) + 1)
+
+    return _per_word(ids_of)
 
 
 def bpe_encoder(
@@ -63,7 +85,7 @@ def bpe_encoder(
     byte_level: bool,
     specials: Sequence[str] = SPECIAL_TOKENS,
 ):
-    """Arrow UDF from words to token ids. Each distinct word of a batch is segmented once.
+    """Arrow UDF from words to token ids. The distinct words of a stretch are segmented together, long ones alone.
 
     Byte-level words come in plain spelling and are spelled in bytes here, once each.
     Driver-side input is the vocabulary and merge list, bounded by the vocabulary size.
@@ -72,17 +94,13 @@ def bpe_encoder(
     rank_of = {(left, right): (rank, new) for rank, (left, right, new) in enumerate(merges)}
     special_ids = {token: i for i, token in enumerate(specials)}
     unknown = UNK
-    memo: dict[str, list[int]] = {}
+    ranks: list[Ranks] = []
     shown = {b: chr(b) for b in range(256)} | dict(zip(map(ord, RAW_BYTES), SHOWN_BYTES))
     byte_ids = [char_ids.get(shown[b], unknown) for b in range(256)]
 
-    def segment(word: str) -> list[int]:
+    def segment(syms: list[int]) -> list[int]:
         import heapq
 
-        if byte_level:
-            syms = [byte_ids[b] for b in word.encode()]
-        else:
-            syms = [char_ids.get(c, unknown) for c in word]
         after = list(range(1, len(syms))) + [-1]
         before = list(range(-1, len(syms) - 1))
         queue = []
@@ -114,15 +132,38 @@ def bpe_encoder(
                     heapq.heappush(queue, queue.pop())
         return [s for s in syms if s >= 0]
 
-    def ids_of(word: str) -> list[int]:
-        found = memo.get(word)
-        if found is None:
-            found = [special_ids[word]] if word in special_ids else segment(word)
-            if len(word) <= 64:
-                if len(memo) >= 500_000:
-                    memo.clear()
-                memo[word] = found
-        return found
+    def spelled(words) -> tuple[np.ndarray, np.ndarray]:
+        """The symbols of words one after the other, and where each word begins."""
+        if byte_level:
+            large = words.cast(pa.large_binary())
+            off = np.frombuffer(large.buffers()[1], np.int64)[large.offset : large.offset + len(large) + 1]
+            data = np.frombuffer(large.buffers()[2] or b"", np.uint8)[off[0] : off[-1]]
+            return np.array(byte_ids, np.int32)[data], off - off[0]
+        off = np.concatenate(([0], np.cumsum(pc.utf8_length(words).to_numpy())))
+        points = np.frombuffer("".join(words.to_pylist()).encode("utf-32-le"), np.uint32)
+        distinct, place = np.unique(points, return_inverse=True)
+        return np.array([char_ids.get(chr(c), unknown) for c in distinct], np.int32)[place], off
+
+    def ids_of(words):
+        if not ranks:
+            ranks.append(Ranks(rank_of, in_order=False))
+        syms, off = spelled(words)
+        sizes = np.diff(off)
+        alone = {int(i): segment(syms[off[i] : off[i + 1]].tolist()) for i in np.flatnonzero(sizes > LONGEST)}
+        marks = pc.index_in(words, value_set=pa.array(specials, words.type)).to_pylist() if len(specials) else []
+        alone |= {i: [special_ids[specials[k]]] for i, k in enumerate(marks) if k is not None}
+        if not alone:
+            return merge(syms, off, ranks[0])[:2]
+        others = np.ones(len(sizes), bool)
+        others[list(alone)] = False
+        sizes[~others] = 0
+        ids, begins, _ = merge(syms[np.repeat(others, np.diff(off))], np.concatenate(([0], np.cumsum(sizes))), ranks[0])
+        # the others' ids, and after them those of the words that were done alone, in the words' order
+        counts = np.diff(begins)
+        which = np.concatenate([np.repeat(np.arange(len(counts)), counts), *[np.full(len(x), i) for i, x in alone.items()]])
+        ids = np.concatenate([ids, *[np.array(x, np.int32) for x in alone.values()]])
+        ends = np.cumsum(np.bincount(which, minlength=len(words)))
+        return ids[np.argsort(which, kind="stable")], np.concatenate(([0], ends))
 
     return _per_word(ids_of)
 

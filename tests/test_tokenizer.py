@@ -1,6 +1,7 @@
 import json
 import time
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -9,7 +10,7 @@ from tokenizers import Regex, Tokenizer as Library
 from tokenizers import decoders, models, normalizers, pre_tokenizers, trainers
 
 from corpusloom.config import SPECIAL_TOKENS, TokenizerSettings
-from corpusloom.operators import bpe, vocab
+from corpusloom.operators import bpe, encode, merging, vocab
 from corpusloom.plans import generation
 from corpusloom.tokenizer import Tokenizer, get_or_train, load_tokenizer
 
@@ -269,3 +270,43 @@ def test_bpe_encoding_needs_no_shuffle(spark, pair, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     plan = pair[0].encode(docs, ["doc_id"], {"ids": "text"})._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "ArrowEvalPython" in plan
+
+
+@settings(max_examples=300, deadline=None)
+@given(
+    st.lists(st.lists(st.integers(0, 3), max_size=9), max_size=12),
+    st.lists(st.tuples(st.integers(0, 7), st.integers(0, 7), st.integers(4, 8)), max_size=8),
+)
+def test_merges_of_many_words_at_once(words, merges):
+    """Merges in order, and by lowest rank (ids made twice or taken up earlier, too), as word by word."""
+    ranks = {(a, b): (i, new) for i, (a, b, new) in enumerate(merges)}
+    flat = np.array([s for w in words for s in w], np.int32)
+    off = np.cumsum([0, *map(len, words)])
+
+    def cut(values, begins, _):
+        return [values[a:b].tolist() for a, b in zip(begins, begins[1:])]
+
+    assert cut(*merging.merge(flat, off, merging.Ranks(ranks, in_order=True))) == [bpe.merged(list(w), ranks) or w for w in words]
+
+    def lowest_first(word):
+        word = list(word)
+        while found := [(ranks[p][0], i) for i, p in enumerate(zip(word, word[1:])) if p in ranks]:
+            _, i = min(found)
+            word[i : i + 2] = [ranks[word[i], word[i + 1]][1]]
+        return word
+
+    if all(new not in (a, b) for a, b, new in merges) and all(new > max(a, b) for a, b, new in merges):
+        assert cut(*merging.merge(flat, off, merging.Ranks(ranks, in_order=False))) == [lowest_first(w) for w in words]
+
+
+@pytest.mark.parametrize("words_at_once", [1, 1 << 18])
+def test_words_of_any_length_in_stretches(spark, monkeypatch, words_at_once):
+    """Segmented together or alone (long words, marks), in stretches of any size, with the library's ids."""
+    monkeypatch.setattr(encode, "WORDS_AT_ONCE", words_at_once)
+    rows = ["ab" * 400 + " abc [EOS] aaaaa", "", "é abab" * 3, "ab" * 300] + REPEATS
+    theirs = library(rows, "whitespace", 60)
+    ours = bpe.train_bpe(frame(spark, rows), TokenizerSettings(pre_tokenizer="whitespace", vocab_size=60))
+    assert ours.tokens == by_id(theirs)
+    tok = Tokenizer(TokenizerSettings(pre_tokenizer="whitespace"), ours.vocab(spark), ours)
+    got = encode.encode_texts(frame(spark, rows), tok._encoder(), {"ids": "text"}, "whitespace").select("text", "ids").collect()
+    assert [r.ids for r in got] == [theirs.encode(r.text).ids for r in got]
