@@ -16,7 +16,6 @@ from __future__ import annotations
 import base64
 from array import array
 from functools import lru_cache
-from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -33,14 +32,14 @@ MEMO_CHARS = 64
 
 
 class _Known(dict):
-    """The ids of pieces; one that is missing is encoded, and kept if it is short."""
+    """The ids of pieces as an array's bytes; one that is missing is encoded, and kept if it is short."""
 
     def __init__(self, encode):
         super().__init__()
         self.encode = encode
 
-    def __missing__(self, match: str) -> tuple[int, ...]:
-        found = tuple(self.encode(match.encode().decode("latin-1")))
+    def __missing__(self, match: str) -> bytes:
+        found = array("i", self.encode(match.encode().decode("latin-1"))).tobytes()
         if len(match) <= MEMO_CHARS:
             if len(self) >= MEMO:
                 self.clear()
@@ -62,27 +61,61 @@ class Codec:
             self.trie.add_word(token, rank)
         self.trie.make_automaton()
         size = max(self.token, default=0) + 1
+        self.none = size  # above every rank
         self.widths = [len(self.token.get(i, "")) for i in range(size)]
         self.prefixes = [-2] * size
         self.pairs: dict[tuple[int, int], bool] = {}
+        self.traces: dict[int, tuple | None] = {}
         self.known = _Known(self.encode_piece)
 
-    def merged(self, text: str) -> list[int]:
-        """The ids of a short string by merging the best pair again and again."""
-        parts = list(text)
-        while len(parts) > 1:
-            ranks = [self.ids.get(a + b, len(self.ids)) for a, b in zip(parts, parts[1:], strict=False)]
-            best = min(ranks)
-            if best == len(self.ids):
-                break
-            at = ranks.index(best)
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return [self.ids[p] for p in parts]
+    def trace(self, token: int) -> tuple:
+        """How a token comes about by merging: the ranks in their order, its first part before each and its last one.
+
+        After the last merge there is no next rank, and both parts are the token. None if merging ends otherwise.
+        """
+        if token not in self.traces:
+            ids, none, text = self.ids, self.none, self.token[token]
+            parts, merges, first, last = list(text), [], [], []
+            while len(parts) > 1:
+                ranks = [ids.get(a + b, none) for a, b in zip(parts, parts[1:], strict=False)]
+                best = min(ranks)
+                if best == none:
+                    break
+                merges.append(best)
+                first.append(parts[0])
+                last.append(parts[-1])
+                at = ranks.index(best)
+                parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            whole = parts == [text]
+            self.traces[token] = ((*merges, none), (*first, text), (*last, text)) if whole else None
+        return self.traces[token]
 
     def together(self, left: int, right: int) -> bool:
+        """Whether merging the bytes of two tokens gives these two: no merge takes a part of each.
+
+        Each token merges as it does alone, the lower rank first and the left one of equals, until the last part of
+        the left one and the first of the right one are next.
+        """
         if len(self.pairs) >= MEMO:
             self.pairs.clear()
-        found = self.pairs[left, right] = self.merged(self.token[left] + self.token[right]) == [left, right]
+        ids, none = self.ids, self.none
+        one, two = self.trace(left), self.trace(right)
+        found = one is not None and two is not None
+        if found:
+            (ours, _, last), (theirs, first, _) = one, two
+            i = j = 0
+            while True:
+                a, b, across = ours[i], theirs[j], ids.get(last[i] + first[j], none)
+                if across < a and across <= b and across < none:
+                    found = False
+                    break
+                if a == b == none:
+                    break
+                if a <= b:
+                    i += 1
+                else:
+                    j += 1
+        self.pairs[left, right] = found
         return found
 
     def prefix(self, token: int) -> int:
@@ -146,12 +179,13 @@ class Codec:
         return out
 
     def encode(self, text: str) -> array:
-        known = self.known.__getitem__
+        known, out = self.known.__getitem__, array("i")
         if len(text) > 1 << 20:
-            matches = (match[0] for match in self.pattern.finditer(text))
+            for match in self.pattern.finditer(text):
+                out.frombytes(known(match[0]))
         else:
-            matches = self.pattern.findall(text)
-        return array("i", chain.from_iterable(map(known, matches)))
+            out.frombytes(b"".join(map(known, self.pattern.findall(text))))
+        return out
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.spelling.__getitem__, ids))

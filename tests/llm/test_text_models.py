@@ -51,6 +51,44 @@ def test_long_pieces_take_linear_time(reference):
     assert own.encode(text).tolist() == reference.encode_ordinary(text)
 
 
+def _merged(ids, text):
+    """The parts of a string after merging the lowest rank again and again, the left one of equals first."""
+    parts = list(text)
+    while found := [(ids[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in ids]:
+        at = min(found)[1]
+        parts[at : at + 2] = [parts[at] + parts[at + 1]]
+    return parts
+
+
+@given(st.lists(st.text("abc", min_size=2, max_size=5), max_size=12, unique=True), st.randoms(use_true_random=False))
+@settings(max_examples=200, deadline=None)
+def test_bpe_neighbours_are_those_that_merging_leaves(tokens, random):
+    ranks = [*"abc", *tokens]
+    random.shuffle(ranks)
+    own = bpe.Codec({t.encode(): i for i, t in enumerate(ranks)}, P.PATTERN)
+    for left in ranks:
+        for right in ranks:
+            expected = _merged(own.ids, left + right) == [left, right]
+            assert own.together(own.ids[left], own.ids[right]) == expected
+
+
+def test_bpe_neighbours_merge_once_a_token():
+    class Counted(dict):
+        looked = 0
+
+        def get(self, *args):
+            self.looked += 1
+            return super().get(*args)
+
+    own = bpe.codec.__wrapped__(PATH, P.PATTERN)
+    tokens = [i for i in range(20_000, 20_400) if 6 <= own.widths[i] <= 10][:60]
+    own.ids = Counted(own.ids)
+    for left in tokens:
+        for right in tokens:
+            own.together(left, right)
+    assert len(tokens) == 60 and own.ids.looked < 20 * len(tokens) ** 2  # merging each pair's bytes takes about 100
+
+
 def test_bpe_query(spark, reference):
     got = {r.doc_id: tuple(r)[1:] for r in queries.op8_byte_bpe(spark, SMALL).collect()}
     for row in spark.read.parquet(f"{SMALL}/documents.parquet").collect():
