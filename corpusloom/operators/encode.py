@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Callable, Sequence
 
 import numpy as np
@@ -23,25 +24,28 @@ WORDS_AT_ONCE = 1 << 18
 def _per_word(ids_of: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]):
     """Arrow UDF from words to ids that spells each distinct word of a stretch of a batch once.
 
-    ``ids_of`` gives the ids of words one after the other, and where each word's begin.
+    ``ids_of`` gives the ids of words one after the other, and where each word's begin. Beside the batch, which Spark
+    bounds in rows and bytes, there are its ids once and one stretch.
     """
 
     @F.arrow_udf("array<int>")
     def encode(batch):
         word_ends = np.concatenate(([0], np.cumsum(pc.list_value_length(batch).to_numpy(zero_copy_only=False))))
-        words, made = batch.flatten(), []
-        token_ends = np.zeros(len(words) + 1, np.int32)
+        words, made = batch.flatten(), array("i")
+        ends = np.zeros(len(word_ends), np.int32)
         for at in range(0, len(words), WORDS_AT_ONCE):
             coded = words.slice(at, WORDS_AT_ONCE).dictionary_encode()
             ids, begins = ids_of(coded.dictionary)
             places = coded.indices.to_numpy()
             counts = np.diff(begins)[places]
-            token_ends[at + 1 : at + 1 + len(places)] = counts
+            before = np.concatenate(([0], np.cumsum(counts)))
+            # the rows that end in this stretch
+            low, high = np.searchsorted(word_ends, [at, at + len(places)], side="right")
+            ends[low:high] = len(made) + before[word_ends[low:high] - at]
             # each word's ids, from where they begin
-            inside = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-            made.append(ids[np.repeat(begins[:-1][places], counts) + inside].astype(np.int32, copy=False))
-        np.cumsum(token_ends, out=token_ends)
-        return lists(np.concatenate([np.zeros(0, np.int32), *made]), token_ends[word_ends])
+            inside = np.arange(before[-1]) - np.repeat(before[:-1], counts)
+            made.frombytes(ids[np.repeat(begins[:-1][places], counts) + inside].astype(np.int32, copy=False).view(np.uint8))
+        return lists(np.frombuffer(made, np.int32), ends)
 
     return encode
 

@@ -310,3 +310,25 @@ def test_words_of_any_length_in_stretches(spark, monkeypatch, words_at_once):
     tok = Tokenizer(TokenizerSettings(pre_tokenizer="whitespace"), ours.vocab(spark), ours)
     got = encode.encode_texts(frame(spark, rows), tok._encoder(), {"ids": "text"}, "whitespace").select("text", "ids").collect()
     assert [r.ids for r in got] == [theirs.encode(r.text).ids for r in got]
+
+
+def test_a_batch_of_words_takes_its_ids_once(spark):
+    """Beside the ids there is one stretch, whatever the number of words."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    per_word = encode._per_word(lambda words: (np.arange(len(words), dtype=np.int32), np.arange(len(words) + 1)))
+
+    def peak(rows: int) -> int:
+        texts = pa.array([["ab", "c", "ab", "d"] * 2048] * rows, pa.list_(pa.string()))
+        tracemalloc.start()
+        made = per_word.func(texts)
+        held = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert made.to_pylist() == [[0, 1, 0, 2] * 2048] * rows
+        return held
+
+    words = 256 * 8192
+    assert peak(320) - peak(64) < 6 * words  # four bytes an id; the ids twice and each word's end would be twelve
