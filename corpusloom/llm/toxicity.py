@@ -19,9 +19,10 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import cached_property
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +49,8 @@ OTHER = 63
 
 #: Entries of the memo of tokens; it is emptied when full, which changes no result.
 MEMO = 100_000
+#: Different tokens of several texts, or of a part of one, that are weighed together.
+AT_ONCE = 1 << 17
 
 _CODE = {c: i + 1 for i, c in enumerate(LETTERS)}
 _TABLE = np.zeros(0x3000, np.uint8)
@@ -81,6 +84,7 @@ def character_counts(docs: DataFrame, text: str = "text") -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << 18, np.int64)
+        held, size = [], 0
         for batch in batches:
             for part in W.pieces(batch, "text"):
                 for value in part["text"]:
@@ -89,8 +93,13 @@ def character_counts(docs: DataFrame, text: str = "text") -> np.ndarray:
                         # the two characters before a piece are only context
                         signs = _signs((" " + whole)[max(0, at - 1) : at + W.PIECE + 1]).astype(np.int64)
                         signs = np.concatenate([[0], signs, [0]] if not at else [signs, [0]])
-                        grams = (signs[:-2] << 12) | (signs[1:-1] << 6) | signs[2:]
-                        total += np.bincount(grams, minlength=1 << 18)
+                        held.append((signs[:-2] << 12) | (signs[1:-1] << 6) | signs[2:])
+                        size += len(held[-1])
+                        if size >= W.PIECE:  # a count goes through the whole table
+                            total += np.bincount(np.concatenate(held), minlength=1 << 18)
+                            held, size = [], 0
+        if held:
+            total += np.bincount(np.concatenate(held), minlength=1 << 18)
         kept = np.flatnonzero(total)
         yield pa.record_batch({"gram": pa.array(kept), "n": pa.array(total[kept])})
 
@@ -212,29 +221,57 @@ def spelt_words(letters: str, step: int = 10_000) -> Iterator[list[str]]:
 
 
 class Reader(dict):
-    """Tokens to what ``weigh`` says of their restored words; kept for each token that was seen."""
+    """Tokens that show signs of disguise to what ``weigh`` says of their restored words; kept for each that was seen.
 
-    def __init__(self, restorer: Restorer, weigh: Callable[[list[str]], object]):
+    Plain words, the most of all, are not kept: ``weigh_each`` says of many of them what ``weigh`` says of each alone.
+    """
+
+    def __init__(
+        self,
+        restorer: Restorer,
+        weigh: Callable[[list[str]], object],
+        weigh_each: Callable[[list[str]], list] | None = None,
+    ):
         super().__init__()
         self.restorer, self.weigh = restorer, weigh
+        self.weigh_each = weigh_each or (lambda words: [weigh([word]) for word in words])
 
     def __missing__(self, token: str):
         if len(self) >= MEMO:
             self.clear()
-        bare = token.rstrip(_AFTER)
-        if bare.isalpha() and not _STRETCHED.search(bare):
-            words = [bare]  # the only reading of letters without a sign of disguise
-        else:
-            words = _WORD.findall(" ".join(self.restorer.readings(token)))
-        found = self[token] = self.weigh(words)
+        found = self[token] = self.weigh(_WORD.findall(" ".join(self.restorer.readings(token))))
+        return found
+
+    def tokens(self, tokens: Iterable[str]) -> dict[str, object]:
+        """What each token weighs; the only reading of letters without a sign of disguise is the word itself."""
+        bare = {token: token.rstrip(_AFTER) for token in tokens}
+        plain = {token: b for token, b in bare.items() if b.isalpha() and not _STRETCHED.search(b)}
+        found = dict(zip(plain, self.weigh_each(list(plain.values())), strict=True))
+        found.update((token, self[token]) for token in bare.keys() - plain.keys())
         return found
 
     def of(self, text: str) -> list:
-        low = text.lower()
-        out = [self[t] for t in set(low.split())]
-        for spelt in _LETTER_BY_LETTER.finditer(low):
-            out += [self.weigh(words) for words in spelt_words(self.restorer("".join(" " if c in ".-_~" else c for c in spelt[0])))]
-        return out
+        return next(self.of_each([text]))
+
+    def of_each(self, texts: list[str]) -> Iterator[list]:
+        """What the tokens of each text weigh, and what is spelt letter by letter there."""
+        lows = [text.lower() for text in texts]
+        tokens = [set(low.split()) for low in lows]
+        every = set().union(*tokens)
+        if len(every) > AT_ONCE and len(texts) > 1:
+            half = len(texts) // 2
+            yield from self.of_each(texts[:half])
+            yield from self.of_each(texts[half:])
+            return
+        found = self.tokens(every) if len(texts) > 1 else None
+        for low, own in zip(lows, tokens, strict=True):
+            if found is None:  # a text alone may have any number of tokens
+                out = [x for some in batched(own, AT_ONCE) for x in self.tokens(some).values()]
+            else:
+                out = list(map(found.__getitem__, own))
+            for spelt in _LETTER_BY_LETTER.finditer(low):
+                out += [self.weigh(words) for words in spelt_words(self.restorer("".join(" " if c in ".-_~" else c for c in spelt[0])))]
+            yield out
 
 
 @dataclass(frozen=True)
@@ -249,11 +286,23 @@ class Model:
     def reader(self) -> Reader:
         """One for all batches that a Python worker gets with the same model."""
         weights = self.weights
+        number = np.array(sorted(weights), np.int64)
+        weight = np.array([weights[n] for n in number.tolist()], np.float64)
 
         def most(words: list[str]) -> float:
             return max((weights.get(_number(f), 0.0) for w in words for f in beginnings(w)), default=0.0)
 
-        return Reader(Restorer(self.characters), most)
+        def most_each(words: list[str]) -> list[float]:
+            out = np.full(len(words), -np.inf)
+            for which, numbers in _numbers(words):
+                if len(number):
+                    at = np.minimum(np.searchsorted(number, numbers), len(number) - 1)
+                    out[which] = np.maximum(out[which], np.where(number[at] == numbers, weight[at], 0.0))
+                else:
+                    out[which] = np.maximum(out[which], 0.0)
+            return out.tolist()
+
+        return Reader(Restorer(self.characters), most, most_each)
 
     def score(self, most: float) -> float:
         return 1 / (1 + np.exp(-np.clip(self.slope * most + self.shift, -35, 35)))
@@ -263,6 +312,40 @@ def _number(feature: str) -> int:
     return zlib.crc32(feature.encode("utf-8", "replace")) - (1 << 31)
 
 
+#: What a byte does to a CRC-32, from the library's own.
+_CRC = np.array([zlib.crc32(bytes([i ^ 0xFF])) ^ 0xFF000000 for i in range(256)], np.uint32)
+
+
+def _numbers(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The numbers of the words' beginnings, many at once: which words, and a feature's number of each.
+
+    A feature's number goes on from that of the next shorter one, so each byte is taken once.
+    """
+    data = np.frombuffer("\0".join([*words, ""]).encode("utf-8", "replace"), np.uint8)
+    ends = np.flatnonzero(data == 0)
+    at = np.concatenate(([0], ends[:-1] + 1))
+    which, state, letters = np.arange(len(words)), np.full(len(words), 0xFFFFFFFF, np.uint32), np.zeros(len(words), np.int32)
+
+    def after(state: np.ndarray, byte: np.ndarray | int) -> np.ndarray:
+        return _CRC[(state ^ byte) & 0xFF] ^ (state >> 8)
+
+    def number(state: np.ndarray) -> np.ndarray:
+        return (state ^ np.uint32(0xFFFFFFFF)).astype(np.int64) - (1 << 31)
+
+    while len(which):
+        byte = data[at].astype(np.uint32)
+        begins = (byte & 0xC0) != 0x80  # a character does, or the word has ended
+        some = begins & (letters >= LEAST) & (letters <= MOST)
+        if some.any():
+            yield which[some], number(state[some])
+        ended = at == ends
+        if ended.any():
+            yield which[ended], number(after(state[ended], np.uint32(ord("$"))))
+            going = ~ended
+            which, at, ends, state, letters, byte, begins = (x[going] for x in (which, at, ends, state, letters, byte, begins))
+        state, letters, at = after(state, byte), letters + begins, at + 1
+
+
 def _batch(texts: pa.Array) -> Iterator[pa.RecordBatch]:
     return W.pieces(pa.record_batch({"text": texts}), "text")
 
@@ -276,7 +359,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = 80
     @F.arrow_udf("array<int>")
     def found(column: pa.Array) -> pa.Array:
         reader = Reader(Restorer(shared.value), lambda words: tuple({_number(f) for w in words for f in beginnings(w)}))
-        out = [sorted(set().union(*reader.of(v.as_py() or ""))) for part in _batch(column) for v in part["text"]]
+        read = (x for part in _batch(column) for x in reader.of_each([v or "" for v in part["text"].to_pylist()]))
+        out = [sorted(set().union(*x)) for x in read]
         return pa.array(out, pa.list_(pa.int32()))
 
     chosen = labelled_ids(labels, label, rows, key)
@@ -339,7 +423,8 @@ def score(docs: DataFrame, model: Model, text: str = "text", to: str = "score")
     def scores(column: pa.Array) -> pa.Array:
         own = shared.value
         reader = own.reader
-        most = [max(reader.of(v.as_py() or ""), default=0.0) for part in _batch(column) for v in part["text"]]
+        read = (x for part in _batch(column) for x in reader.of_each([v or "" for v in part["text"].to_pylist()]))
+        most = [max(x, default=0.0) for x in read]
         return pa.array(own.score(np.array(most, np.float64)), pa.float64())
 
     return docs.withColumn(to, scores(F.col(text).cast("string")))

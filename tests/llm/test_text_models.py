@@ -158,6 +158,30 @@ def test_words_disguised_at_edges_in_lists_and_after_other_words_are_seen(spark)
         assert any(word in words for words in reader.of(text)), (text[-30:], reader.of(text))
 
 
+@given(st.lists(st.text(st.sampled_from("abzéß中🙂"), max_size=11), max_size=20))
+@settings(max_examples=200, deadline=None)
+def test_numbers_of_many_beginnings(words):
+    found = [[] for _ in words]
+    for which, numbers in toxicity._numbers(words):
+        for i, n in zip(which.tolist(), numbers.tolist(), strict=True):
+            found[i].append(n)
+    assert found == [[toxicity._number(f) for f in toxicity.beginnings(w)] for w in words]
+
+
+def test_plain_words_are_weighed_together(monkeypatch):
+    weights = {toxicity._number("abc"): 2.0, toxicity._number("dear$"): -1.0, toxicity._number("éé$"): 0.5}
+    model = toxicity.Model(np.zeros((64, 64, 64), np.float32), weights)
+    texts = ["", "Dear, éé x", "xabc y-z abcdéfghijk.", "dear " + "a 4bc", " ".join(f"w{a}{b}" for a in "xyz" for b in "uvw")]
+    one_by_one, calls, number = [max(model.reader.of(t), default=0.0) for t in texts], [], toxicity._number
+    monkeypatch.setattr(toxicity, "_number", lambda feature: calls.append(feature) or number(feature))
+    assert [max(x, default=0.0) for x in model.reader.of_each(texts)] == one_by_one == [0.0, 0.5, 2.0, 2.0, 0.0]
+    monkeypatch.setattr(toxicity, "AT_ONCE", 2)
+    assert [max(x, default=0.0) for x in model.reader.of_each(texts)] == one_by_one
+    calls.clear()
+    model.reader.of("some plain words, that show no sign of disguise.")
+    assert not calls
+
+
 def test_character_counts(spark):
     docs = spark.createDataFrame([(1, "abc déf, " * 30), (2, None), (3, "")], "doc_id long, text string")
     counts = toxicity.character_counts(docs)
