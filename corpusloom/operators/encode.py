@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from array import array
 from collections.abc import Callable, Sequence
 
@@ -54,33 +53,53 @@ def _per_word(ids_of: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]):
 WORD_BYTES = 64
 
 
-def _word_key(word: str) -> str:
-    if len(word) * 4 <= WORD_BYTES or len(data := word.encode()) <= WORD_BYTES:
-        return word
-    return "\0" + hashlib.sha256(data).hexdigest()
+def _word_key(word: Column) -> Column:
+    return F.when(F.octet_length(word) <= WORD_BYTES, word).otherwise(F.concat(F.lit("\0"), F.sha2(word, 256)))
 
 
-def word_encoder(vocab: DataFrame):
-    """Arrow UDF from words to ids of a word-level vocabulary, whatever its size.
+def _slot(word: Column, n_slots: int) -> Column:
+    return F.pmod(F.xxhash64(word), F.lit(n_slots)).cast("int")
+
 
-    The vocabulary is brought to every worker once: as many rows as its settings allow, and at most 65 bytes
+def id_table(vocab: DataFrame) -> tuple[Column, int]:
+    """Maps from words to ids, one per slot, as one array through a scalar subquery; and the number of slots.
+
+    A word's slot is its hash, and there are as many slots as words, so a lookup compares a word or two however
+    large the vocabulary is. Passes the driver: as many rows as the vocabulary's settings allow, and at most 65 bytes
     of a word and its id in each, however long its words are.
     """
-    token = F.col("token")
-    short = F.when(F.octet_length(token) <= WORD_BYTES, token).otherwise(F.concat(F.lit("\0"), F.sha2(token, 256)))
-    rows = vocab.select(short.alias("key"), "id").toArrow()
-    ids = dict(zip(rows["key"].to_pylist(), rows["id"].to_pylist(), strict=True))
-    shared = vocab.sparkSession.sparkContext.broadcast(ids)
+    n_slots, token = max(vocab.count(), 1), F.col("token")
+    rows = vocab.filter(token.isNotNull()).select(_slot(token, n_slots).alias("slot"), _word_key(token).alias("key"), "id")
+    slots: list[dict[str, int]] = [{} for _ in range(n_slots)]
+    for slot, key, at in zip(*rows.toArrow().to_pydict().values(), strict=True):
+        slots[slot][key] = at
+    maps = pa.array([[list(slot.items()) for slot in slots]], pa.list_(pa.map_(pa.string(), pa.int32())))
+    return vocab.sparkSession.createDataFrame(pa.table({"ids": maps})).scalar(), n_slots
 
-    def ids_of(words):
-        known, step = shared.value, 1 << 13
-        found = np.empty(len(words), np.int32)
-        for at in range(0, len(words), step):
-            some = words.slice(at, step).to_pylist()
-            found[at : at + step] = [known.get(_word_key(word), UNK) for word in some]
-        return found, np.arange(len(words) + 1)
 
-    return _per_word(ids_of)
+def word_encoder(vocab: DataFrame):
+    """Adds ids of a word-level vocabulary to a frame, whatever the vocabulary's size.
+
+    Words are looked up row by row by Spark's own expressions, so no row goes to a Python worker.
+    """
+    table, n_slots = id_table(vocab)
+
+    def encode(df: DataFrame, words: dict[str, Column]) -> DataFrame:
+        # one for each, so that the optimizer puts the subquery in place and no row carries the table
+        tables = {name: f"__table_{i}" for i, name in enumerate(words)}
+
+        def ids_of(name):
+            def look_up(word):
+                found = F.try_element_at(F.get(F.col(tables[name]), _slot(word, n_slots)), _word_key(word))
+                return F.coalesce(found, F.lit(UNK))
+
+            # always so, but not known to be: the optimizer would copy the whole lookup into each filter on ids
+            return F.when(F.spark_partition_id() >= 0, F.transform(words[name], look_up))
+
+        shared = df.withColumns({column: table for column in tables.values()})
+        return shared.withColumns({name: ids_of(name) for name in words}).drop(*tables.values())
+
+    return encode
 
 
 def bpe_encoder(
@@ -89,7 +108,7 @@ def bpe_encoder(
     byte_level: bool,
     specials: Sequence[str] = SPECIAL_TOKENS,
 ):
-    """Arrow UDF from words to token ids. The distinct words of a stretch are segmented together, long ones alone.
+    """Adds token ids to a frame by an Arrow UDF. The distinct words of a stretch are segmented together, long ones alone.
 
     Byte-level words come in plain spelling and are spelled in bytes here, once each.
     Driver-side input is the vocabulary and merge list, bounded by the vocabulary size.
@@ -169,7 +188,8 @@ def bpe_encoder(
         ends = np.cumsum(np.bincount(which, minlength=len(words)))
         return ids[np.argsort(which, kind="stable")], np.concatenate(([0], ends))
 
-    return _per_word(ids_of)
+    spell = _per_word(ids_of)
+    return lambda df, words: df.withColumns({name: spell(column) for name, column in words.items()})
 
 
 def encode_texts(
@@ -180,12 +200,11 @@ def encode_texts(
     normalize: bool = True,
 ) -> DataFrame:
     """Add one id array per entry of ``texts``. Row-local: no shuffle, whatever the word skew."""
-    return df.withColumns(
-        {
-            name: encoder(encodable_words(F.col(source), pre_tokenizer, normalize, spelled=False))
-            for name, source in texts.items()
-        }
-    )
+    words = {
+        name: encodable_words(F.col(source), pre_tokenizer, normalize, spelled=False)
+        for name, source in texts.items()
+    }
+    return encoder(df, words)
 
 
 def token_array(vocab: DataFrame) -> Column:

@@ -266,6 +266,28 @@ def test_word_level_encoding_needs_no_shuffle(spark, small):
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan
 
 
+def test_word_level_encoding_and_decoding_stay_out_of_python(spark, small):
+    """No Python worker holds rows, so its memory can't grow with them; and no row carries the vocabulary."""
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    tok = Tokenizer.train(docs, TokenizerSettings("word-level", "whitespace", 100))
+    made = tok.decode(tok.encode(docs, ["doc_id"], {"ids": "text", "again": "text"}), "ids")
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "AS __table" not in plan
+
+
+def test_word_level_ids_of_many_words(spark):
+    """Words that share a slot, unknown and empty ones, a table for each of several texts, one named as its source."""
+    words = [f"w{i}" for i in range(3000)]
+    rows = [(i, f"w{i} no w{i + 1}", f"[PAD] w{i}") for i in range(0, 2900, 29)] + [(-1, None, "")]
+    vocab_ = spark.createDataFrame(list(enumerate([*SPECIAL_TOKENS, *words])), "id int, token string")
+    tok = Tokenizer(TokenizerSettings("word-level", "whitespace"), vocab_)
+    df = spark.createDataFrame(rows, "i int, text string, other string")
+    got = {r.i: (r.text, r.ids) for r in tok.encode(df, ["i"], {"text": "text", "ids": "other"}).collect()}
+    first = len(SPECIAL_TOKENS)
+    assert got.pop(-1) == ([], [])
+    assert got == {i: ([first + i, 0, first + i + 1], [1, first + i]) for i, *_ in rows[:-1]}
+
+
 def test_bpe_encoding_needs_no_shuffle(spark, pair, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     plan = pair[0].encode(docs, ["doc_id"], {"ids": "text"})._jdf.queryExecution().executedPlan().toString()
