@@ -85,19 +85,19 @@ def word_encoder(vocab: DataFrame):
     table, n_slots = id_table(vocab)
 
     def encode(df: DataFrame, words: dict[str, Column]) -> DataFrame:
-        # one for each, so that the optimizer puts the subquery in place and no row carries the table
-        tables = {name: f"__table_{i}" for i, name in enumerate(words)}
-
-        def ids_of(name):
+        # one table for each, beside its words: both are used once, so the optimizer puts them in place and no row
+        # carries the table
+        def ids_of(i):
             def look_up(word):
-                found = F.try_element_at(F.get(F.col(tables[name]), _slot(word, n_slots)), _word_key(word))
+                found = F.try_element_at(F.get(F.col(f"__table_{i}"), _slot(word, n_slots)), _word_key(word))
                 return F.coalesce(found, F.lit(UNK))
 
             # always so, but not known to be: the optimizer would copy the whole lookup into each filter on ids
-            return F.when(F.spark_partition_id() >= 0, F.transform(words[name], look_up))
+            return F.when(F.spark_partition_id() >= 0, F.transform(f"__words_{i}", look_up))
 
-        shared = df.withColumns({column: table for column in tables.values()})
-        return shared.withColumns({name: ids_of(name) for name in words}).drop(*tables.values())
+        used = {f"__words_{i}": column for i, column in enumerate(words.values())}
+        used |= {f"__table_{i}": table for i in range(len(words))}
+        return df.withColumns(used).withColumns({name: ids_of(i) for i, name in enumerate(words)}).drop(*used)
 
     return encode
 

@@ -29,6 +29,19 @@ def sft(spark, rows, length):
     return finetuning.require_equal_lengths(made).orderBy("rec_id").collect()
 
 
+def test_sft_dataset_encodes_each_field_once_and_outside_python(spark):
+    """The filter on lengths doesn't look the words up again."""
+    records = spark.createDataFrame(
+        [("s", 0, "a, b", "a", "a b", "b a c")], "src string, rec_id long, features string, words string, summary string, story string"
+    )
+    tok = Tokenizer.train(records.withColumnRenamed("story", "text"), TokenizerSettings("word-level", "whitespace", 100, 1))
+    made = finetuning.sft_dataset(records, tok)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" not in plan and "AS __table" not in plan and plan.count("element_at(") == 4
+    a, b, c = (tok.token_to_id(w) for w in "abc")
+    assert made.first().input_ids == [2, 5, a, 0, b, 6, 7, a, 8, 9, a, b, 10, 11, b, a, c, 12, 3]
+
+
 def test_sft_sequences(spark):
     rows = [("s", 0, [20], [21, 22], [], [30, 31]), ("s", 1, [20] * 30, [], [], [30]), ("s", 2, [], [], [], [])]
     a, b, e = sft(spark, rows, 16)
