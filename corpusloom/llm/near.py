@@ -17,8 +17,10 @@ it is the Jaccard similarity. A class is a connected component of links.
    classes are joined. So a bucket costs its size in a round, not its square. Rounds end when few of the compared
    pairs are links.
 5. The rest: in buckets that still hold several classes, the members outside the largest class meet all others in
-   blocks of bounded size, and pairs with enough registers in common are compared on their texts, likely links
-   first. No pair of a bucket stays open; what the rounds have put into one class is not compared with itself.
+   cells of two blocks of bounded size, whose registers are compared as arrays. The texts of a cell's pairs with
+   enough registers in common are taken apart once for all its pairs; a pair is dropped if the weight that two
+   texts share is too small for the threshold, whatever the rest, and left out if its classes are joined by then.
+   No pair of a bucket stays open; what the rounds have put into one class is not compared with itself.
 
 Ids must be whole numbers, and one row per id; rows without an id are left out. Texts without a word
 (null, empty, punctuation) have no shingles and are classes of their own. Texts of fewer than five words
@@ -47,8 +49,13 @@ THRESHOLD = 0.8
 LEAST_ALIKE = 184
 #: Centres of a bucket in the first round and in later ones; the share of links that calls for another round.
 CENTRES, WORTH = (1, 2), 0.05
-#: Members of a block of a bucket, on average. Registers alike of the pairs that are compared first, and then.
-BLOCK, STEPS = 256, (208, LEAST_ALIKE)
+#: Members of a block of a bucket and bytes of their texts, on average.
+BLOCK, BLOCK_BYTES = 512, 4 * W.PIECE
+#: Arrivals that are drawn at once when few shingles are left.
+FEW = 1 << 14
+#: Pairs whose registers, and shingles whose weights, are looked up at once.
+AT_ONCE = 1 << 16
+CELL = ("bucket", "i", "j")
 
 
 def shingles(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -63,17 +70,24 @@ def signatures(values: np.ndarray, text: np.ndarray, weight: np.ndarray, texts:
     """One row of registers per text, each with the shingle that came first; 0 for texts without any."""
     time = np.full(texts * REGISTERS, np.inf)
     who = np.zeros(texts * REGISTERS, np.uint64)
+    latest = np.full(texts, np.inf)
     at = np.zeros(len(values))
     turn = 0
     while len(values):
-        turn += 1
-        draw = W.mix(values + np.uint64(turn * 0x9E3779B97F4A7C15 % 2**64))
-        at = at - np.log(((draw >> np.uint64(11)).astype(np.float64) + 1) / (2.0**53 + 1)) / weight
-        slot = text * REGISTERS + (draw & np.uint64(REGISTERS - 1)).astype(np.int64)
-        np.minimum.at(time, slot, at)
-        first = time[slot] == at
-        who[slot[first]] = values[first]
-        latest = time.reshape(texts, REGISTERS).max(axis=1)
+        turns = np.arange(turn + 1, turn + 1 + min(max(1, FEW // len(values)), 64), dtype=np.uint64)  # of few shingles many arrivals at once
+        turn += len(turns)
+        draw = W.mix(values[:, None] + turns * np.uint64(0x9E3779B97F4A7C15))
+        wait = np.log(((draw >> np.uint64(11)).astype(np.float64) + 1) / (2.0**53 + 1)) / weight[:, None]
+        wait[:, 0] = at - wait[:, 0]
+        arrival = np.subtract.accumulate(wait, axis=1)
+        soon, k = np.nonzero(arrival < latest[text][:, None])
+        arrival, at, of = arrival[soon, k], arrival[:, -1], text[soon]
+        slot = of * REGISTERS + (draw[soon, k] & np.uint64(REGISTERS - 1)).astype(np.int64)
+        np.minimum.at(time, slot, arrival)
+        first = time[slot] == arrival
+        who[slot[first]] = values[soon[first]]
+        live = of[np.flatnonzero(np.diff(of, prepend=-1))]
+        latest[live] = time.reshape(texts, REGISTERS)[live].max(axis=1)
         go_on = at < latest[text]
         values, text, weight, at = values[go_on], text[go_on], weight[go_on], at[go_on]
     return who.reshape(texts, REGISTERS)
@@ -137,15 +151,22 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def similarity(left: pa.Array, right: pa.Array) -> np.ndarray:
     """Probability Jaccard similarity of the texts in each row of two columns."""
-    rows = len(left)
-    av, at, aw = shingles(left)
-    bv, bt, bw = shingles(right)
+    return _similarity(*_merged(*shingles(left), *shingles(right)), len(left))
+
+
+def _merged(
+    av: np.ndarray, at: np.ndarray, aw: np.ndarray, bv: np.ndarray, bt: np.ndarray, bw: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The shingles of either text of a row, once: row, weight in the one and in the other text (0 for none)."""
     key = np.concatenate([(at.astype(np.uint64) << np.uint64(48)) | av, (bt.astype(np.uint64) << np.uint64(48)) | bv])
     key, place = np.unique(key, return_inverse=True)
-    row = (key >> np.uint64(48)).astype(np.int64)
     a, b = np.zeros(len(key)), np.zeros(len(key))
     a[place[: len(av)]] = aw
     b[place[len(av) :]] = bw
+    return (key >> np.uint64(48)).astype(np.int64), a, b
+
+
+def _similarity(row: np.ndarray, a: np.ndarray, b: np.ndarray, rows: int) -> np.ndarray:
     both = np.flatnonzero((a > 0) & (b > 0))
     ratio = a[both] / b[both]
     out = np.zeros(rows)
@@ -159,49 +180,264 @@ def similarity(left: pa.Array, right: pa.Array) -> np.ndarray:
     return out
 
 
+def _most(one: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """The largest similarity that two texts can have, from the shares of their weights that lie on common shingles.
+
+    With p and q the weights as shares and y the other's share on its own shingles, a common shingle adds at most
+    1 / (1 / p + y / q), which is concave, so all of them add at most that of their sums.
+    """
+    return one * other / np.maximum(1 - (1 - one) * (1 - other), 1e-300)
+
+
+def _linked(row: np.ndarray, a: np.ndarray, b: np.ndarray, rows: int, threshold: float) -> np.ndarray:
+    """Rows whose similarity is the threshold or more; where bounds don't tell, by the similarity itself."""
+    both = (a > 0) & (b > 0)
+    one, other = (np.bincount(row, x * both, rows) / np.maximum(np.bincount(row, x, rows), 1e-300) for x in (a, b))
+    least = np.bincount(row, np.minimum(a, b), rows) / np.maximum(np.bincount(row, np.maximum(a, b), rows), 1e-300)
+    out = least >= threshold + 1e-6
+    open_ = ~out & (_most(one, other) >= threshold - 1e-6)
+    if open_.any():
+        part = open_[row]
+        out[open_] = _similarity((np.cumsum(open_) - 1)[row[part]], a[part], b[part], int(open_.sum())) >= threshold - 1e-9
+    return out
+
+
 def _verified(threshold: float):
     """The classes of the pairs whose texts are similar."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in W.pieces(batch, "text_b", rows=512):
-                alike = pa.array(similarity(part["text_a"], part["text_b"]) >= threshold - 1e-9)
+                merged = _merged(*shingles(part["text_a"]), *shingles(part["text_b"]))
+                alike = pa.array(_linked(*merged, part.num_rows, threshold))
                 yield pa.record_batch({"a": part["class_a"].filter(alike), "b": part["class_b"].filter(alike)})
 
     return run
 
 
-def _open_pairs(members: DataFrame, known: DataFrame, least_alike: int) -> DataFrame:
+def _cells(table: pa.Table) -> np.ndarray:
+    """Where each cell begins, and the end."""
+    new = np.zeros(table.num_rows, bool)
+    new[:1] = True
+    for name in CELL:
+        key = table[name].to_numpy()
+        new[1:] |= key[1:] != key[:-1]
+    return np.append(np.flatnonzero(new), len(new))
+
+
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The batches as tables of whole cells, of rows in the order of their cells."""
+    held = None
+    for batch in batches:
+        new = pa.Table.from_batches([batch])
+        held = pa.concat_tables([held, new]) if held is not None else new
+        last = int(_cells(held)[-2:][0])
+        if last:
+            yield held.slice(0, last)
+            held = held.slice(last)
+    if held is not None and held.num_rows:
+        yield held
+
+
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """Lists as rows, a shorter one filled up with its first value."""
+    column = column.combine_chunks()
+    size = column.value_lengths().to_numpy()
+    start = np.cumsum(size) - size
+    place = np.arange(size.max(initial=0))
+    return column.flatten().to_numpy()[start[:, None] + np.where(place < size[:, None], place, 0)]
+
+
+def _runs(start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All places of several runs, and the number of the run of each."""
+    run = np.repeat(np.arange(len(size)), size)
+    return np.arange(len(run)) + (start - (np.cumsum(size) - size))[run], run
+
+
+def _open_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Every two members of different classes that share a bucket and have enough registers alike, once.
 
+    A cell has members of one block of a bucket, and then those of a block of the members outside the largest class.
+    A pair that shares several buckets is taken in the first of them.
+    """
+    for table in _whole(batches):
+        cut = _cells(table)
+        cell = {name: table[name].to_numpy()[cut[:-1]] for name in CELL}
+        outside, of_most = (table[name].to_numpy() for name in ("outside", "of_most"))
+        key, label = table["id"].to_numpy(), table["label"].to_numpy()
+        buckets, sketch = _matrix(table["buckets"]), _matrix(table["sketch"]).view(np.uint64).T.copy()
+        others = np.add.reduceat(outside.astype(np.int64), cut[:-1])
+        ones = np.diff(cut) - others
+        before = np.append(0, np.cumsum(ones * others))
+        for at in range(0, int(before[-1]), AT_ONCE):
+            pair = np.arange(at, min(at + AT_ONCE, before[-1]))
+            of = np.searchsorted(before, pair, side="right") - 1
+            x, y = np.divmod(pair - before[of], others[of])
+            x, y = x + cut[of], y + cut[of] + ones[of]
+            met = (label[x] != label[y]) & (of_most[x] | (key[x] < key[y]))
+            of, x, y = of[met], x[met], y[met]
+            alike = np.full(len(x), REGISTERS)
+            for part in sketch:
+                bits = part[x] ^ part[y]
+                bits |= bits >> np.uint64(1)
+                bits |= bits >> np.uint64(2)
+                alike -= np.bitwise_count(bits & np.uint64(0x1111111111111111))
+            near = alike >= LEAST_ALIKE
+            of, x, y, alike = of[near], x[near], y[near], alike[near]
+            mine, theirs = buckets[x], buckets[y]
+            common = (mine[:, :, None] == theirs[:, None, :]).any(axis=2)
+            first = np.where(common, mine, np.iinfo(np.int64).max).min(axis=1, initial=np.iinfo(np.int64).max) == cell["bucket"][of]
+            of, x, y, alike = of[first], x[first], y[first], alike[first]
+            yield pa.record_batch(
+                {name: pa.array(cell[name][of]) for name in CELL}
+                | {"a": pa.array(key[x]), "b": pa.array(key[y]), "class_a": pa.array(label[x]), "class_b": pa.array(label[y])}
+                | {"alike": pa.array(alike.astype(np.int32))}
+            )
+
+
+def _enough_shared(
+    start: np.ndarray, code: np.ndarray, weight: np.ndarray, x: np.ndarray, y: np.ndarray, threshold: float
+) -> np.ndarray:
+    """Pairs of texts x and y that share enough weight for the threshold; ``start`` is where each text's shingles begin."""
+    total = np.append(0, np.cumsum(weight))
+    total = np.maximum(total[start[1:]] - total[start[:-1]], 1e-300)
+    size = np.diff(start)
+    held = np.zeros(int(code.max(initial=-1)) + 1)
+    out = np.zeros(len(x), bool)
+    order = np.argsort(x, kind="stable")
+    first = np.flatnonzero(np.diff(x[order], prepend=-1))
+    for lo, hi in zip(first, np.append(first[1:], len(x)), strict=True):
+        one = x[order[lo]]
+        own = slice(start[one], start[one + 1])
+        held[code[own]] = weight[own]
+        steps = np.cumsum(size[y[order[lo:hi]]]) // AT_ONCE
+        for pairs in np.split(order[lo:hi], np.flatnonzero(np.diff(steps)) + 1):
+            place, pair = _runs(start[y[pairs]], size[y[pairs]])
+            mine = held[code[place]]
+            shared = np.bincount(pair, mine, len(pairs)) / total[one]
+            theirs = np.bincount(pair, weight[place] * (mine > 0), len(pairs)) / total[y[pairs]]
+            out[pairs] = _most(shared, theirs) >= threshold - 1e-6
+        held[code[own]] = 0
+    return out
+
+
+def _meet(wanted: np.ndarray, there: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each of the wanted keys all places of it: number of the key, place."""
+    order = np.argsort(there, kind="stable")
+    low, high = (np.searchsorted(there[order], wanted, side=side) for side in ("left", "right"))
+    place, of = _runs(low, high - low)
+    return of, order[place]
+
+
+def _cell_links(part: pa.Table, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Classes that links between the texts of some cells join; not all links of classes that are joined already."""
+    cut = _cells(part)
+    cell = np.repeat(np.arange(len(cut) - 1), np.diff(cut))
+    is_text = part["b"].is_null().to_numpy()
+    texts, pairs = part.filter(pa.array(is_text)), part.filter(pa.array(~is_text))
+    a, b = (pairs[name].to_numpy() for name in ("a", "b"))
+    ids = np.concatenate([texts["a"].to_numpy(), a, b])
+    ids = np.unique(ids, return_inverse=True)[1] + np.concatenate([cell[is_text], cell[~is_text], cell[~is_text]]) * len(ids)
+    there, a, b = np.split(ids, [texts.num_rows, texts.num_rows + len(a)])
+    pair, x = _meet(a, there)  # an id with several rows has several texts
+    again, y = _meet(b[pair], there)
+    pair, x = pair[again], x[again]
+    pieces = [piece["text"] for batch in texts.select(["text"]).to_batches() for piece in W.pieces(batch, "text")]
+    before = np.cumsum([0, *map(len, pieces)])
+    value, of, weight = zip(*map(shingles, pieces), strict=True)
+    value, weight = np.concatenate(value), np.concatenate(weight)
+    of = np.concatenate([o + n for o, n in zip(of, before[:-1], strict=True)])
+    start = np.searchsorted(of, np.arange(texts.num_rows + 1))
+    code = np.unique(value, return_inverse=True)[1]
+    swap = len(np.unique(y)) < len(np.unique(x))
+    enough = _enough_shared(start, code, weight, *((y, x) if swap else (x, y)), threshold)
+    left = np.flatnonzero(enough)
+    left = left[np.argsort(-pairs["alike"].to_numpy()[pair[left]], kind="stable")]
+    one, other = (pairs[name].to_numpy()[pair[left]] for name in ("class_a", "class_b"))
+    return _joining(start, value, weight, x[left], y[left], one, other, threshold)
+
+
+def _joining(
+    start: np.ndarray, value: np.ndarray, weight: np.ndarray, x: np.ndarray, y: np.ndarray,
+    one: np.ndarray, other: np.ndarray, threshold: float,
+) -> tuple[np.ndarray, np.ndarray]:
+    """Of pairs of texts, in this order, those that are links and join two classes, as pairs of classes."""
+    classes, codes = np.unique(np.concatenate([one, other]), return_inverse=True)
+    one, other = np.split(codes, 2)
+    joined, size, rows = np.arange(len(classes)), np.diff(start), 16
+    found = [], []
+    while len(x):
+        to = max(1, min(rows, int(np.searchsorted(np.cumsum(size[x] + size[y]), 1 << 20))))
+        at, of_a = _runs(start[x[:to]], size[x[:to]])
+        bt, of_b = _runs(start[y[:to]], size[y[:to]])
+        merged = _merged(value[at], of_a, weight[at], value[bt], of_b, weight[bt])
+        for k in np.flatnonzero(_linked(*merged, len(x[:to]), threshold)):
+            low, high = sorted((joined[one[k]], joined[other[k]]))
+            if low != high:
+                joined[joined == high] = low
+                found[0].append(classes[one[k]])
+                found[1].append(classes[other[k]])
+        left = to + np.flatnonzero(joined[one[to:]] != joined[other[to:]])
+        x, y, one, other, rows = x[left], y[left], one[left], other[left], min(2 * rows, 512)
+    return np.array(found[0], np.int64), np.array(found[1], np.int64)
+
+
+def _verified_cells(threshold: float):
+    """The classes that the pairs of each cell join, where texts are similar; texts are rows without ``b``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole(batches):
+            cut = _cells(table)
+            size = np.add.reduceat(table["size"].to_numpy(), cut[:-1])
+            steps = np.cumsum(size) // BLOCK_BYTES
+            for cells in np.split(np.arange(len(size)), np.flatnonzero(np.diff(steps)) + 1):
+                part = table.slice(cut[cells[0]], cut[cells[-1] + 1] - cut[cells[0]])
+                one, other = _cell_links(part, threshold)
+                yield pa.record_batch({"a": pa.array(one), "b": pa.array(other)})
+
+    return run
+
+
+def _dealt(df: DataFrame, *then: str) -> DataFrame:
+    """Rows of a cell one after another in one task."""
+    return df.repartition(*CELL).sortWithinPartitions(*CELL, *then)
+
+
+def _rest(members: DataFrame, known: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Links between the classes that are still apart: enough of them to join all classes that links join.
+
     A bucket's members, and those of them outside its largest class, are dealt into blocks, and each two blocks
-    are a key of the join. A pair that shares several buckets is taken in the first of them.
+    are a cell.
     """
-    classes = members.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
+    sizes = texts.groupBy("id").agg(F.sum("size").alias("size"))
+    classes = members.join(sizes, "id").groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
+    blocks = lambda n, size: F.ceil(F.greatest(n / BLOCK, size / BLOCK_BYTES))
     spread = (
         classes.groupBy("bucket")
-        .agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("most"))
+        .agg(F.sum("n").alias("n"), F.sum("size").alias("size"), F.max(F.struct("n", "label", "size")).alias("most"))
         .filter("n > most.n")
-        .select("bucket", F.col("most.label").alias("most"), F.ceil(F.col("n") / BLOCK).alias("all_blocks"), F.ceil((F.col("n") - F.col("most.n")) / BLOCK).alias("blocks"))
+        .select(
+            "bucket", F.col("most.label").alias("most"), blocks(F.col("n"), F.col("size")).alias("all_blocks"),
+            blocks(F.col("n") - F.col("most.n"), F.col("size") - F.col("most.size")).alias("blocks"),
+        )
     )
     rows = members.join(spread, "bucket").join(known.select("id", "buckets", "sketch"), "id")
-    member = F.struct("id", "label", "buckets", "sketch")
-    one = rows.select(
-        "bucket", F.pmod(F.xxhash64("bucket", "id"), "all_blocks").alias("i"), F.explode(F.expr("sequence(0L, blocks - 1)")).alias("j"),
-        member.alias("x"), (F.col("label") == F.col("most")).alias("of_most"),
-    )
-    other = rows.filter("label <> most").select(
-        "bucket", F.explode(F.expr("sequence(0L, all_blocks - 1)")).alias("i"), F.pmod(F.xxhash64("id", "bucket"), "blocks").alias("j"),
-        member.alias("y"),
+    every = F.pmod(F.xxhash64("bucket", "id"), "all_blocks")
+    other = F.pmod(F.xxhash64("id", "bucket"), "blocks")
+    in_cells = lambda df, i, j, outside: df.select(
+        "bucket", i.alias("i"), j.alias("j"), F.lit(outside).alias("outside"),
+        (F.col("label") == F.col("most")).alias("of_most"), "id", "label", "buckets", "sketch",
     )
-    met = one.alias("one").join(
-        other.alias("other").hint("merge"),
-        (F.col("one.bucket") == F.col("other.bucket")) & (F.col("one.i") == F.col("other.i")) & (F.col("one.j") == F.col("other.j"))
-        & F.expr("x.label <> y.label AND (of_most OR x.id < y.id)")
-        & (_alike(F.col("x.sketch"), F.col("y.sketch")) >= least_alike)
-        & F.expr("array_min(array_intersect(x.buckets, y.buckets)) = one.bucket"),
-    )
-    return _pairs(met, F.struct("x.id", "x.label"), F.struct("y.id", "y.label"))
+    all_of = in_cells(rows, every, F.explode(F.expr("sequence(0L, blocks - 1)")), False)
+    outside = in_cells(rows.filter("label <> most"), F.explode(F.expr("sequence(0L, all_blocks - 1)")), other, True)
+    pairs = _dealt(all_of.unionByName(outside), "outside").mapInArrow(
+        _open_pairs, "bucket long, i long, j long, a long, b long, class_a long, class_b long, alike int"
+    )
+    pairs = stored(pairs, "pairs")
+    needed = pairs.select(*CELL, F.explode(F.array("a", "b")).alias("id")).distinct()
+    needed = needed.join(texts, "id").withColumnRenamed("id", "a")
+    both = needed.unionByName(pairs.withColumn("size", F.lit(0).cast("long")), allowMissingColumns=True)
+    return stored(_dealt(both).mapInArrow(_verified_cells(threshold), "a long, b long"), "links")
 
 
 def _star_pairs(members: DataFrame, known: DataFrame, turn: int) -> DataFrame:
@@ -248,27 +484,33 @@ def bucket_classes(
     known = stored(own.join(sketches, "id"), "known")
     label = known.select("id", F.col("id").alias("label"))
     members = stored(shared.drop("n").join(known.select("id", "density"), "id").withColumn("label", F.col("id")), "members")
-    texts = stored(texts.join(label.select("id"), "id", "left_semi"), "texts")
-    compared, turn, stars, steps = scratch_path(spark, "pairs"), 0, True, list(STEPS)
-    while stars or steps:
-        pairs = _star_pairs(members, known, turn) if stars else _open_pairs(members, known, steps.pop(0))
-        if turn:  # no pair is compared twice
-            before = spark.read.schema(pairs.schema).parquet(f"{compared}/*").select("a", "b")
-            pairs = pairs.join(before, ["a", "b"], "left_anti")
-        pairs.write.parquet(f"{compared}/{turn}")
-        pairs = spark.read.schema(pairs.schema).parquet(f"{compared}/{turn}")
-        turn += 1
-        both = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-        both = both.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-        new = stored(both.mapInArrow(_verified(threshold), "a long, b long"), "links")
+    texts = texts.join(label.select("id"), "id", "left_semi")
+    texts = stored(texts.withColumn("size", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")), "texts")
+    compared, turn, stars = scratch_path(spark, "pairs"), 0, True
+    while True:
+        if stars:
+            pairs = _star_pairs(members, known, turn)
+            if turn:  # no pair is compared twice
+                before = spark.read.schema(pairs.schema).parquet(f"{compared}/*").select("a", "b")
+                pairs = pairs.join(before, ["a", "b"], "left_anti")
+            pairs.write.parquet(f"{compared}/{turn}")
+            pairs = spark.read.schema(pairs.schema).parquet(f"{compared}/{turn}")
+            both = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
+            both = both.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
+            new = stored(both.mapInArrow(_verified(threshold), "a long, b long"), "links")
+        else:
+            new = _rest(members, known, texts, threshold)
         links = new.count()
-        stars = stars and links > 0 and links >= WORTH * pairs.count()
         if links:
             joined = components(new).select(F.col("node").alias("label"), F.col("label").alias("whole"))
             whole = F.coalesce("whole", "label").alias("label")
             label = stored(label.join(joined, "label", "left").select("id", whole), "labels")
+        if not stars:
+            return label
+        if links:
             members = stored(members.join(joined, "label", "left").select("bucket", "id", "density", whole), "members")
-    return label
+        turn += 1
+        stars = links > 0 and links >= WORTH * pairs.count()
 
 
 def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:

@@ -231,3 +231,92 @@ def test_sketches_count_registers_alike(spark):
     frame = spark.createDataFrame(rows, "a array<long>, b array<long>")
     got = [r.n for r in frame.select(near._alike(F.col("a"), F.col("b")).alias("n")).collect()]
     assert got == (bits[0] == bits[1]).sum(axis=1).tolist()
+
+
+def test_signatures_are_those_of_one_arrival_at_a_time():
+    texts = pa.array(["one two", "a b c d e f g", "x " * 300, "", " ".join(f"w{k} w{k % 7}" for k in range(400))])
+    value, text, weight = near.shingles(texts)
+    time, want = np.full((5, near.REGISTERS), np.inf), np.zeros((5, near.REGISTERS), np.uint64)
+    for v, t, w in zip(value, text, weight, strict=True):
+        at, turn = 0.0, 0
+        while at < time[t].max():
+            turn += 1
+            draw = W.mix(np.array([v + np.uint64(turn * 0x9E3779B97F4A7C15 % 2**64)]))[0]
+            at -= np.log((float(draw >> np.uint64(11)) + 1) / (2.0**53 + 1)) / w
+            slot = int(draw) % near.REGISTERS
+            if at < time[t, slot]:
+                time[t, slot], want[t, slot] = at, v
+    assert (near.signatures(value, text, weight, 5) == want).all()
+
+
+def test_bounds_decide_as_the_similarity_does(monkeypatch):
+    rng = np.random.default_rng(6)
+    left = [" ".join(rng.choice(list("abc"), n)) for n in rng.integers(5, 200, 300)]
+    right = [x if k % 3 else x[: -2 * int(rng.integers(1, 12))] + " " + left[k - 1][:9] for k, x in enumerate(left)]
+    merged = near._merged(*near.shingles(pa.array(left)), *near.shingles(pa.array(right)))
+    want = near.similarity(pa.array(left), pa.array(right))
+    assert (near._linked(*merged, 300, 0.8) == (want >= 0.8 - 1e-9)).all() and 0 < (want < 0.8).sum() < 300
+    row, a, b = merged
+    one, other = (np.bincount(row, x * (a > 0) * (b > 0), 300) / np.bincount(row, x, 300) for x in (a, b))
+    assert (near._most(one, other) >= want - 1e-9).all()
+
+
+def test_open_pairs_of_cells_that_span_batches():
+    rng = np.random.default_rng(7)
+    base = rng.integers(0, 16, near.REGISTERS)
+    rows, want = [], set()
+    for bucket in (5, 9):
+        for j in (0, 1):
+            cell = []
+            for k in range(23):
+                bits = np.where(rng.random(near.REGISTERS) < 0.14, rng.integers(0, 16, near.REGISTERS), base).astype(np.uint64)
+                sketch = np.bitwise_or.reduce(bits.reshape(-1, 16) << (np.arange(16, dtype=np.uint64) * np.uint64(4)), axis=1)
+                label = int(rng.integers(0, 4))
+                cell.append((bucket, 3, j, k >= 12, label == 0 and k < 12, 1000 * j + k, label, [5, 9] if k % 5 else [bucket], sketch.view(np.int64).tolist(), bits))
+            rows += [r[:-1] for r in cell]
+            for x in cell[:12]:
+                for y in cell[12:]:
+                    if x[6] != y[6] and (x[4] or x[5] < y[5]) and (x[9] == y[9]).sum() >= near.LEAST_ALIKE and min(set(x[7]) & set(y[7])) == bucket:
+                        want.add((bucket, 3, j, x[5], y[5], x[6], y[6], int((x[9] == y[9]).sum())))
+    names = [*near.CELL, "outside", "of_most", "id", "label", "buckets", "sketch"]
+    table = pa.table(dict(zip(names, map(list, zip(*rows, strict=True)), strict=True)))
+    batches = [b for at in range(0, len(rows), 9) for b in table.slice(at, 9).to_batches()]
+    got = [tuple(r.values()) for b in near._open_pairs(iter(batches)) for r in b.to_pylist()]
+    assert want and len(got) == len(set(got)) and set(got) == want
+
+
+def test_a_cell_compares_no_pair_that_its_shares_rule_out(monkeypatch):
+    """Each text is taken apart once, not once for each of its pairs."""
+    form = [f"form{k}" for k in range(130)]
+    texts = [" ".join([*form, *(f"own{k}x{j}" for j in range(40))]) for k in range(60)]
+    texts += [t + " more" for t in texts[:7]] + [texts[0] + " even more"]
+    pairs = [(a, b) for a in range(len(texts)) for b in range(a)]
+    rows = [{"a": k, "size": len(t), "text": t} for k, t in enumerate(texts)]
+    rows += [{"a": a, "b": b, "class_a": a, "class_b": b, "alike": 200 - abs(a - b) % 60, "size": 0} for a, b in pairs]
+    schema = pa.schema([*((n, pa.int64()) for n in ("bucket", "i", "j", "a", "b", "class_a", "class_b")), ("alike", pa.int32()), ("size", pa.int64()), ("text", pa.string())])
+    table = pa.Table.from_pylist([{"bucket": c, "i": 0, "j": 0} | r for c in (1, 2) for r in rows], schema)
+    taken, compared = [], []
+    shingles, linked = near.shingles, near._linked
+    monkeypatch.setattr(near, "shingles", lambda column: taken.append(len(column)) or shingles(column))
+    monkeypatch.setattr(near, "_linked", lambda row, a, b, n, t: compared.append(n) or linked(row, a, b, n, t))
+    links = [r for b in near._verified_cells(0.8)(iter(table.to_batches(50))) for r in zip(b["a"].to_pylist(), b["b"].to_pylist(), strict=True)]
+    label = list(range(len(texts)))
+    for a, b in links:
+        label = [min(label[a], label[b]) if x in (label[a], label[b]) else x for x in label]
+    assert label == [*range(60), *range(7), 0]
+    assert sum(taken) == 2 * len(texts) and sum(compared) <= 20
+
+
+def test_a_family_far_larger_than_a_block_is_compared_as_a_whole(spark, monkeypatch):
+    monkeypatch.setattr(near, "BLOCK", 8)
+    monkeypatch.setattr(near, "BLOCK_BYTES", 9000)
+    form = [f"form{k}" for k in range(130)]
+    texts = [" ".join([*form, *(f"own{k}x{j}" for j in range(40))]) for k in range(90)]
+    texts += [texts[k] + " more" for k in (3, 50, 89)]
+    value, text, weight = near.shingles(pa.array(texts))
+    sketch = near._sketch(near.signatures(value, text, weight, len(texts))).tolist()
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    rows = rows.unionByName(rows.filter("id < 5"))  # an id may come twice
+    buckets = spark.createDataFrame([(b, k, s) for k, s in enumerate(sketch) for b in (1, 2)], "bucket long, id long, sketch array<long>")
+    got = dict(map(tuple, near.bucket_classes(rows, buckets).collect()))
+    assert got == {k: k for k in range(90)} | {90: 3, 91: 50, 92: 89}
