@@ -254,45 +254,48 @@ def _runs(start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.arange(len(run)) + (start - (np.cumsum(size) - size))[run], run
 
 
-def _open_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every two members of different classes that share a bucket and have enough registers alike, once.
+def _open_pairs(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Every two members of different classes that share a bucket and have enough registers alike: rows, registers alike.
 
     A cell has members of one block of a bucket, and then those of a block of the members outside the largest class.
     A pair that shares several buckets is taken in the first of them.
     """
+    cut = _cells(table)
+    outside, of_most = (table[name].to_numpy() for name in ("outside", "of_most"))
+    bucket, key, label = (table[name].to_numpy() for name in ("bucket", "id", "label"))
+    buckets, sketch = _matrix(table["buckets"]), _matrix(table["sketch"]).view(np.uint64).T.copy()
+    others = np.add.reduceat(outside.astype(np.int64), cut[:-1])
+    ones = np.diff(cut) - others
+    before = np.append(0, np.cumsum(ones * others))
+    for at in range(0, int(before[-1]), AT_ONCE):
+        pair = np.arange(at, min(at + AT_ONCE, before[-1]))
+        of = np.searchsorted(before, pair, side="right") - 1
+        x, y = np.divmod(pair - before[of], others[of])
+        x, y = x + cut[of], y + cut[of] + ones[of]
+        met = (label[x] != label[y]) & (of_most[x] | (key[x] < key[y]))
+        x, y = x[met], y[met]
+        alike = np.full(len(x), REGISTERS)
+        for part in sketch:
+            bits = part[x] ^ part[y]
+            bits |= bits >> np.uint64(1)
+            bits |= bits >> np.uint64(2)
+            alike -= np.bitwise_count(bits & np.uint64(0x1111111111111111))
+        near = alike >= LEAST_ALIKE
+        x, y, alike = x[near], y[near], alike[near]
+        mine, theirs = buckets[x], buckets[y]
+        common = (mine[:, :, None] == theirs[:, None, :]).any(axis=2)
+        last = np.iinfo(np.int64).max
+        first = np.where(common, mine, last).min(axis=1, initial=last) == bucket[x]
+        yield x[first], y[first], alike[first]
+
+
+def _with_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The members of each cell that have a pair there."""
     for table in _whole(batches):
-        cut = _cells(table)
-        cell = {name: table[name].to_numpy()[cut[:-1]] for name in CELL}
-        outside, of_most = (table[name].to_numpy() for name in ("outside", "of_most"))
-        key, label = table["id"].to_numpy(), table["label"].to_numpy()
-        buckets, sketch = _matrix(table["buckets"]), _matrix(table["sketch"]).view(np.uint64).T.copy()
-        others = np.add.reduceat(outside.astype(np.int64), cut[:-1])
-        ones = np.diff(cut) - others
-        before = np.append(0, np.cumsum(ones * others))
-        for at in range(0, int(before[-1]), AT_ONCE):
-            pair = np.arange(at, min(at + AT_ONCE, before[-1]))
-            of = np.searchsorted(before, pair, side="right") - 1
-            x, y = np.divmod(pair - before[of], others[of])
-            x, y = x + cut[of], y + cut[of] + ones[of]
-            met = (label[x] != label[y]) & (of_most[x] | (key[x] < key[y]))
-            of, x, y = of[met], x[met], y[met]
-            alike = np.full(len(x), REGISTERS)
-            for part in sketch:
-                bits = part[x] ^ part[y]
-                bits |= bits >> np.uint64(1)
-                bits |= bits >> np.uint64(2)
-                alike -= np.bitwise_count(bits & np.uint64(0x1111111111111111))
-            near = alike >= LEAST_ALIKE
-            of, x, y, alike = of[near], x[near], y[near], alike[near]
-            mine, theirs = buckets[x], buckets[y]
-            common = (mine[:, :, None] == theirs[:, None, :]).any(axis=2)
-            first = np.where(common, mine, np.iinfo(np.int64).max).min(axis=1, initial=np.iinfo(np.int64).max) == cell["bucket"][of]
-            of, x, y, alike = of[first], x[first], y[first], alike[first]
-            yield pa.record_batch(
-                {name: pa.array(cell[name][of]) for name in CELL}
-                | {"a": pa.array(key[x]), "b": pa.array(key[y]), "class_a": pa.array(label[x]), "class_b": pa.array(label[y])}
-                | {"alike": pa.array(alike.astype(np.int32))}
-            )
+        has = np.zeros(table.num_rows, bool)
+        for x, y, _ in _open_pairs(table):
+            has[x] = has[y] = True
+        yield from table.filter(pa.array(has)).to_batches()
 
 
 def _enough_shared(
@@ -304,6 +307,8 @@ def _enough_shared(
     size = np.diff(start)
     held = np.zeros(int(code.max(initial=-1)) + 1)
     out = np.zeros(len(x), bool)
+    if len(np.unique(y)) < len(np.unique(x)):
+        x, y = y, x
     order = np.argsort(x, kind="stable")
     first = np.flatnonzero(np.diff(x[order], prepend=-1))
     for lo, hi in zip(first, np.append(first[1:], len(x)), strict=True):
@@ -321,76 +326,46 @@ def _enough_shared(
     return out
 
 
-def _meet(wanted: np.ndarray, there: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each of the wanted keys all places of it: number of the key, place."""
-    order = np.argsort(there, kind="stable")
-    low, high = (np.searchsorted(there[order], wanted, side=side) for side in ("left", "right"))
-    place, of = _runs(low, high - low)
-    return of, order[place]
-
-
 def _cell_links(part: pa.Table, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Classes that links between the texts of some cells join; not all links of classes that are joined already."""
-    cut = _cells(part)
-    cell = np.repeat(np.arange(len(cut) - 1), np.diff(cut))
-    is_text = part["b"].is_null().to_numpy()
-    texts, pairs = part.filter(pa.array(is_text)), part.filter(pa.array(~is_text))
-    a, b = (pairs[name].to_numpy() for name in ("a", "b"))
-    ids = np.concatenate([texts["a"].to_numpy(), a, b])
-    ids = np.unique(ids, return_inverse=True)[1] + np.concatenate([cell[is_text], cell[~is_text], cell[~is_text]]) * len(ids)
-    there, a, b = np.split(ids, [texts.num_rows, texts.num_rows + len(a)])
-    pair, x = _meet(a, there)  # an id with several rows has several texts
-    again, y = _meet(b[pair], there)
-    pair, x = pair[again], x[again]
-    pieces = [piece["text"] for batch in texts.select(["text"]).to_batches() for piece in W.pieces(batch, "text")]
+    pieces = [piece["text"] for batch in part.select(["text"]).to_batches() for piece in W.pieces(batch, "text")]
     before = np.cumsum([0, *map(len, pieces)])
     value, of, weight = zip(*map(shingles, pieces), strict=True)
     value, weight = np.concatenate(value), np.concatenate(weight)
     of = np.concatenate([o + n for o, n in zip(of, before[:-1], strict=True)])
-    start = np.searchsorted(of, np.arange(texts.num_rows + 1))
+    start = np.searchsorted(of, np.arange(part.num_rows + 1))
     code = np.unique(value, return_inverse=True)[1]
-    swap = len(np.unique(y)) < len(np.unique(x))
-    enough = _enough_shared(start, code, weight, *((y, x) if swap else (x, y)), threshold)
-    left = np.flatnonzero(enough)
-    left = left[np.argsort(-pairs["alike"].to_numpy()[pair[left]], kind="stable")]
-    one, other = (pairs[name].to_numpy()[pair[left]] for name in ("class_a", "class_b"))
-    return _joining(start, value, weight, x[left], y[left], one, other, threshold)
-
-
-def _joining(
-    start: np.ndarray, value: np.ndarray, weight: np.ndarray, x: np.ndarray, y: np.ndarray,
-    one: np.ndarray, other: np.ndarray, threshold: float,
-) -> tuple[np.ndarray, np.ndarray]:
-    """Of pairs of texts, in this order, those that are links and join two classes, as pairs of classes."""
-    classes, codes = np.unique(np.concatenate([one, other]), return_inverse=True)
-    one, other = np.split(codes, 2)
-    joined, size, rows = np.arange(len(classes)), np.diff(start), 16
-    found = [], []
-    while len(x):
-        to = max(1, min(rows, int(np.searchsorted(np.cumsum(size[x] + size[y]), 1 << 20))))
-        at, of_a = _runs(start[x[:to]], size[x[:to]])
-        bt, of_b = _runs(start[y[:to]], size[y[:to]])
-        merged = _merged(value[at], of_a, weight[at], value[bt], of_b, weight[bt])
-        for k in np.flatnonzero(_linked(*merged, len(x[:to]), threshold)):
-            low, high = sorted((joined[one[k]], joined[other[k]]))
-            if low != high:
-                joined[joined == high] = low
-                found[0].append(classes[one[k]])
-                found[1].append(classes[other[k]])
-        left = to + np.flatnonzero(joined[one[to:]] != joined[other[to:]])
-        x, y, one, other, rows = x[left], y[left], one[left], other[left], min(2 * rows, 512)
+    classes, label = np.unique(part["label"].to_numpy(), return_inverse=True)
+    joined, size, found = np.arange(len(classes)), np.diff(start), ([], [])
+    for x, y, alike in _open_pairs(part):
+        left = np.flatnonzero(joined[label[x]] != joined[label[y]])
+        left = left[_enough_shared(start, code, weight, x[left], y[left], threshold)]
+        left = left[np.argsort(-alike[left], kind="stable")]
+        x, y, rows = x[left], y[left], 16
+        while len(x):
+            to = max(1, min(rows, int(np.searchsorted(np.cumsum(size[x] + size[y]), W.PIECE))))
+            at, of_a = _runs(start[x[:to]], size[x[:to]])
+            bt, of_b = _runs(start[y[:to]], size[y[:to]])
+            merged = _merged(value[at], of_a, weight[at], value[bt], of_b, weight[bt])
+            for k in np.flatnonzero(_linked(*merged, len(x[:to]), threshold)):
+                low, high = sorted((joined[label[x[k]]], joined[label[y[k]]]))
+                if low != high:
+                    joined[joined == high] = low
+                    found[0].append(classes[label[x[k]]])
+                    found[1].append(classes[label[y[k]]])
+            left = to + np.flatnonzero(joined[label[x[to:]]] != joined[label[y[to:]]])
+            x, y, rows = x[left], y[left], min(2 * rows, 512)
     return np.array(found[0], np.int64), np.array(found[1], np.int64)
 
 
 def _verified_cells(threshold: float):
-    """The classes that the pairs of each cell join, where texts are similar; texts are rows without ``b``."""
+    """The classes that the pairs of each cell join, where texts are similar."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _whole(batches):
             cut = _cells(table)
-            size = np.add.reduceat(table["size"].to_numpy(), cut[:-1])
-            steps = np.cumsum(size) // BLOCK_BYTES
-            for cells in np.split(np.arange(len(size)), np.flatnonzero(np.diff(steps)) + 1):
+            steps = np.cumsum(np.add.reduceat(table["size"].to_numpy(), cut[:-1])) // BLOCK_BYTES
+            for cells in np.split(np.arange(len(steps)), np.flatnonzero(np.diff(steps)) + 1):
                 part = table.slice(cut[cells[0]], cut[cells[-1] + 1] - cut[cells[0]])
                 one, other = _cell_links(part, threshold)
                 yield pa.record_batch({"a": pa.array(one), "b": pa.array(other)})
@@ -430,14 +405,9 @@ def _rest(members: DataFrame, known: DataFrame, texts: DataFrame, threshold: flo
     )
     all_of = in_cells(rows, every, F.explode(F.expr("sequence(0L, blocks - 1)")), False)
     outside = in_cells(rows.filter("label <> most"), F.explode(F.expr("sequence(0L, all_blocks - 1)")), other, True)
-    pairs = _dealt(all_of.unionByName(outside), "outside").mapInArrow(
-        _open_pairs, "bucket long, i long, j long, a long, b long, class_a long, class_b long, alike int"
-    )
-    pairs = stored(pairs, "pairs")
-    needed = pairs.select(*CELL, F.explode(F.array("a", "b")).alias("id")).distinct()
-    needed = needed.join(texts, "id").withColumnRenamed("id", "a")
-    both = needed.unionByName(pairs.withColumn("size", F.lit(0).cast("long")), allowMissingColumns=True)
-    return stored(_dealt(both).mapInArrow(_verified_cells(threshold), "a long, b long"), "links")
+    cells = all_of.unionByName(outside)
+    met = stored(_dealt(cells, "outside").mapInArrow(_with_pairs, cells.schema), "cells")
+    return stored(_dealt(met.join(texts, "id"), "outside").mapInArrow(_verified_cells(threshold), "a long, b long"), "links")
 
 
 def _star_pairs(members: DataFrame, known: DataFrame, turn: int) -> DataFrame:

@@ -272,17 +272,21 @@ def test_open_pairs_of_cells_that_span_batches():
                 bits = np.where(rng.random(near.REGISTERS) < 0.14, rng.integers(0, 16, near.REGISTERS), base).astype(np.uint64)
                 sketch = np.bitwise_or.reduce(bits.reshape(-1, 16) << (np.arange(16, dtype=np.uint64) * np.uint64(4)), axis=1)
                 label = int(rng.integers(0, 4))
-                cell.append((bucket, 3, j, k >= 12, label == 0 and k < 12, 1000 * j + k, label, [5, 9] if k % 5 else [bucket], sketch.view(np.int64).tolist(), bits))
+                cell.append((bucket, 3, j, k >= 12, label == 0 and k < 12, 1000 * (10 * bucket + j) + k, label, [5, 9] if k % 5 else [bucket], sketch.view(np.int64).tolist(), bits))
             rows += [r[:-1] for r in cell]
             for x in cell[:12]:
                 for y in cell[12:]:
                     if x[6] != y[6] and (x[4] or x[5] < y[5]) and (x[9] == y[9]).sum() >= near.LEAST_ALIKE and min(set(x[7]) & set(y[7])) == bucket:
-                        want.add((bucket, 3, j, x[5], y[5], x[6], y[6], int((x[9] == y[9]).sum())))
+                        want.add((x[5], y[5], int((x[9] == y[9]).sum())))
     names = [*near.CELL, "outside", "of_most", "id", "label", "buckets", "sketch"]
     table = pa.table(dict(zip(names, map(list, zip(*rows, strict=True)), strict=True)))
     batches = [b for at in range(0, len(rows), 9) for b in table.slice(at, 9).to_batches()]
-    got = [tuple(r.values()) for b in near._open_pairs(iter(batches)) for r in b.to_pylist()]
+    tables = list(near._whole(iter(batches)))
+    assert len(tables) > 1 and pa.concat_tables(tables).equals(pa.Table.from_batches(batches))
+    got = [(t["id"][int(a)].as_py(), t["id"][int(b)].as_py(), int(n)) for t in tables for p in near._open_pairs(t) for a, b, n in zip(*p, strict=True)]
     assert want and len(got) == len(set(got)) and set(got) == want
+    kept = [k for b in near._with_pairs(iter(batches)) for k in b["id"].to_pylist()]
+    assert sorted(kept) == sorted({k for p in want for k in p[:2]})
 
 
 def test_a_cell_compares_no_pair_that_its_shares_rule_out(monkeypatch):
@@ -290,11 +294,14 @@ def test_a_cell_compares_no_pair_that_its_shares_rule_out(monkeypatch):
     form = [f"form{k}" for k in range(130)]
     texts = [" ".join([*form, *(f"own{k}x{j}" for j in range(40))]) for k in range(60)]
     texts += [t + " more" for t in texts[:7]] + [texts[0] + " even more"]
-    pairs = [(a, b) for a in range(len(texts)) for b in range(a)]
-    rows = [{"a": k, "size": len(t), "text": t} for k, t in enumerate(texts)]
-    rows += [{"a": a, "b": b, "class_a": a, "class_b": b, "alike": 200 - abs(a - b) % 60, "size": 0} for a, b in pairs]
-    schema = pa.schema([*((n, pa.int64()) for n in ("bucket", "i", "j", "a", "b", "class_a", "class_b")), ("alike", pa.int32()), ("size", pa.int64()), ("text", pa.string())])
-    table = pa.Table.from_pylist([{"bucket": c, "i": 0, "j": 0} | r for c in (1, 2) for r in rows], schema)
+    value, text, weight = near.shingles(pa.array(texts))
+    sketch = near._sketch(near.signatures(value, text, weight, len(texts))).tolist()
+    cell = {"i": 0, "j": 0, "of_most": False}
+    rows = [
+        {"bucket": bucket, **cell, "outside": out, "id": k, "label": k, "buckets": [bucket], "sketch": sketch[k], "text": t, "size": len(t)}
+        for bucket in (1, 2) for out in (False, True) for k, t in enumerate(texts)
+    ]
+    table = pa.Table.from_pylist(rows)
     taken, compared = [], []
     shingles, linked = near.shingles, near._linked
     monkeypatch.setattr(near, "shingles", lambda column: taken.append(len(column)) or shingles(column))
@@ -304,7 +311,7 @@ def test_a_cell_compares_no_pair_that_its_shares_rule_out(monkeypatch):
     for a, b in links:
         label = [min(label[a], label[b]) if x in (label[a], label[b]) else x for x in label]
     assert label == [*range(60), *range(7), 0]
-    assert sum(taken) == 2 * len(texts) and sum(compared) <= 20
+    assert sum(taken) == 4 * len(texts) and sum(compared) <= 20
 
 
 def test_a_family_far_larger_than_a_block_is_compared_as_a_whole(spark, monkeypatch):
